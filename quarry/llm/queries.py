@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_format
+from quarry.llm import chat_format, mixing
 
 QUERIES = {
+    "op3_mix_sources": mixing.query,
     "op10_chat_format": chat_format.query,
 }
 ORACLES = {
