@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package's code, once per context, for sessions that were not started with it."""
+    if getattr(spark.sparkContext, "_quarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    held = tempfile.mkdtemp(prefix="quarry-code-")
+    shutil.copytree(root, Path(held) / "code" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{held}/quarry", "zip", f"{held}/code"))
+    spark.sparkContext._quarry_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can take in a Python worker."""
+    """Make ready for Python workers: bound what one Arrow batch of whole texts can take."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_format, mixing
+from quarry.llm import chat_format, mixing, token_records
 
 QUERIES = {
+    "op2_token_records": token_records.query,
     "op3_mix_sources": mixing.query,
     "op10_chat_format": chat_format.query,
 }
