@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_format, mixing, token_records
+from quarry.llm import chat_format, decontaminate, mixing, secrets, token_records
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
+    "op9_secrets": secrets.query,
     "op2_token_records": token_records.query,
     "op3_mix_sources": mixing.query,
     "op10_chat_format": chat_format.query,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.SQL,
     "op10_chat_format": chat_format.SQL,
 }
