@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_format, decontaminate, mixing, secrets, token_records
+from quarry.llm import chat_format, decontaminate, gif, mixing, secrets, token_records
 
 QUERIES = {
+    "op7_gif_media": gif.query,
     "op1_decontaminate": decontaminate.query,
     "op9_secrets": secrets.query,
     "op2_token_records": token_records.query,
