@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_format, decontaminate, gif, mixing, secrets, token_records
+from quarry.llm import chat_format, decontaminate, gif, html_text, mixing, quality, secrets, token_records
 
 QUERIES = {
+    "op4_quality": quality.query,
+    "op6_html_text": html_text.query,
     "op7_gif_media": gif.query,
     "op1_decontaminate": decontaminate.query,
     "op9_secrets": secrets.query,
