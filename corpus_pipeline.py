@@ -1,11 +1,52 @@
-"""Corpus pipeline: the stages in order, each a function of (spark, docs, sf_dir)."""
+"""Corpus pipeline: documents that the classifier accepts, one of each near-duplicate class, none
+contaminated, mixed to target weights, and written as token records.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last
+return the columns of ``documents``; the last returns the index of the records it wrote. A document
+that the mix takes twice has two records.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm import decontaminate, mixing, near_duplicates, quality, token_records
+from quarry.llm._common import table, written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.one_of_each(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_records.digest(spark, docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near-duplicate removal", keep_one_of_each),
+    ("benchmark decontamination", keep_clean),
+    ("source mixing", mix),
+    ("token records", write_tokens),
+]
+#: SQL cannot express the classifier, the signatures or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
