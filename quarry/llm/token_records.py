@@ -48,14 +48,16 @@ TAIL = struct.Struct("<I")
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Encoded pieces that a worker remembers before it starts anew, about 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_300_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Cuts a text only where the byte-level pre-tokenizer must cut too: before white space that follows
 #: a non-space, after a lone line break before a letter, and between a letter and plain punctuation.
 _PIECE = re.compile(rf"\n(?=[{_LETTER}])| ?[{_LETTER}]+(?=[ \t\n\r.,!?;:#$%&*|()]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: White space that is not among the four above: such texts are encoded in one go.
-_RARE_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85​﻿]")
+#: White space that is not among the four above: such texts are encoded in one go. The bytes that
+#: can begin one are looked for first.
+_RARE_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85\u200b\ufeff]")
+_RARE_BYTES = (b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1", b"\xe2", b"\xe3", b"\xef")
 
 
 def masked(data: bytes) -> int:
@@ -73,25 +75,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # ``known`` takes its place
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, fresh: list[str]) -> None:
+        for piece, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.known[piece] = array(self.code, got.ids).tobytes()
+
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut = [None if _RARE_SPACE.search(t) or any(s in t for s in self.special) else _PIECE.findall(t) for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        new -= self.known.keys()
-        fresh = list(new)
-        for piece, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[piece] = array(self.code, got.ids).tobytes()
-        known = self.known.__getitem__
-        return [self._whole(t) if pieces is None else b"".join(map(known, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+        known = self.known
+        cut: list[list[str] | None] = []
+        for t in texts:
+            data = t.encode("utf-8", "surrogatepass")
+            rare = any(b in data for b in _RARE_BYTES) and _RARE_SPACE.search(t)
+            cut.append(None if rare or any(s in t for s in self.special) else _PIECE.findall(t))
+        found = [None if pieces is None else list(map(known.get, pieces)) for pieces in cut]
+        lacking = [k for k, got in enumerate(found) if got is not None and None in got]
+        fresh: set[str] = set()
+        for k in lacking:
+            fresh.update([p for p, got in zip(cut[k], found[k]) if got is None])
+        if fresh:
+            self._learn(list(fresh))
+        for k in lacking:
+            found[k] = [known[p] if got is None else got for p, got in zip(cut[k], found[k])]
+        return [self._whole(t) if got is None else b"".join(got) for t, got in zip(texts, found, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
