@@ -10,9 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch handed to Python. Texts can be long, so both are kept small.
+#: Rows of one Arrow batch handed to Python. Texts can be long, so it is kept small.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and the shuffle files that only this step needed are deleted when it ends."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package's code, once per context, for sessions that were not started with it."""
     if getattr(spark.sparkContext, "_quarry_shipped", False):
@@ -62,7 +72,6 @@ def small_batches(spark: SparkSession) -> None:
     """Make ready for Python workers: bound what one Arrow batch of whole texts can take."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -75,3 +84,11 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes that ``docs`` reads, as the optimizer has it from its files; counted where it can't know."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 58:
+        return known
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

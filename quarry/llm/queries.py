@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_format, decontaminate, gif, html_text, mixing, near_duplicates, quality, secrets, token_records
+from quarry.llm import chat_format, decontaminate, gif, html_text, mixing, near_duplicates, quality, repeats, secrets, token_records
 
 QUERIES = {
+    "op8_repeats": repeats.query,
     "op5_near_duplicates": near_duplicates.query,
     "op4_quality": quality.query,
     "op6_html_text": html_text.query,

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import fresh_path, small_batches, table
+from quarry.llm._common import fresh_path, input_bytes, small_batches, table
 
 #: Fixed values of the record format.
 MASK_ADD = 0xA282EAD8
@@ -148,7 +148,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = max(1, ceil(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / part_bytes))
+    n = max(1, ceil(input_bytes(docs) / part_bytes))
     ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     framed = ranged.mapInArrow(_encode(tokenizer_path, end_id), "frame binary")
