@@ -1,0 +1,152 @@
+"""Risky-pattern scan over lines, with the proximity of a path to sensitive code.
+
+The rules are one ordered CASE, so the first that matches a line names it and no rule table is
+joined; a single alternation in front settles the lines that match none.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+_JS = ("js", "ts")
+#: Id, weakness, severity, pattern, languages (none: all), in the order they are tried.
+RULES = (
+    ("CWE-78-exec", "CWE-78", "CRITICAL", r"child_process\.(exec|execSync)\s*\(", _JS),
+    ("CWE-78-spawn-shell", "CWE-78", "CRITICAL", r"child_process\.spawn\s*\([^)]*shell\s*:\s*true", _JS),
+    ("CWE-78-os-system", "CWE-78", "CRITICAL", r"os\.system\s*\(|subprocess\.(Popen|call|run)\s*\(", ("py",)),
+    ("CWE-78-go-exec", "CWE-78", "CRITICAL", r"exec\.Command\s*\(", ("go",)),
+    ("CWE-94-eval", "CWE-94", "CRITICAL", r"\beval\s*\(", (*_JS, "py")),
+    ("CWE-94-new-function", "CWE-94", "CRITICAL", r"new\s+Function\s*\(", _JS),
+    ("CWE-94-vm-run", "CWE-94", "CRITICAL", r"vm\.(runInNewContext|runInThisContext|runInContext|compileFunction)\s*\(", _JS),
+    ("CWE-798-password", "CWE-798", "CRITICAL", r"""(?i)(password|passwd|secret|api_key|apikey|api_secret)\s*[:=]\s*["'][^"']{4,}""", ()),
+    ("CWE-798-aws-key", "CWE-798", "CRITICAL", r"AKIA[0-9A-Z]{16}", ()),
+    ("CWE-798-private-key", "CWE-798", "CRITICAL", r"-----BEGIN (RSA |EC |DSA )?PRIVATE KEY-----", ()),
+    ("CWE-798-openai-key", "CWE-798", "HIGH", r"sk-[a-zA-Z0-9]{20,}", ()),
+    ("CWE-22-path-join-params", "CWE-22", "HIGH", r"path\.join\s*\([^)]*req\.(params|query|body)", _JS),
+    ("CWE-22-readfile-params", "CWE-22", "HIGH", r"(readFile|readFileSync|createReadStream)\s*\([^)]*req\.(params|query|body)", _JS),
+    ("CWE-502-pickle", "CWE-502", "HIGH", r"pickle\.(load|loads)\s*\(", ("py",)),
+    ("CWE-502-yaml-load", "CWE-502", "HIGH", r"yaml\.load\s*\([^)]*(?!Loader\s*=\s*yaml\.SafeLoader)", ("py",)),
+    ("CWE-502-unserialize", "CWE-502", "HIGH", r"\bunserialize\s*\(", ("php",)),
+    ("CWE-79-innerhtml", "CWE-79", "HIGH", r"\.innerHTML\s*=", _JS),
+    ("CWE-79-dangerously", "CWE-79", "HIGH", r"dangerouslySetInnerHTML", _JS),
+    ("CWE-79-document-write", "CWE-79", "HIGH", r"document\.write\s*\(", _JS),
+    ("CWE-327-md5", "CWE-327", "MEDIUM", r"""createHash\s*\(\s*['"]md5['"]\s*\)""", _JS),
+    ("CWE-327-sha1", "CWE-327", "MEDIUM", r"hashlib\.(md5|sha1)\s*\(", ("py",)),
+    ("CWE-327-des-rc4", "CWE-327", "MEDIUM", r"""(?i)createCipher(iv)?\s*\(\s*['"](des|rc4|des-ede|des-ede3)['"]""", _JS),
+    ("CWE-918-fetch-params", "CWE-918", "HIGH", r"fetch\s*\(\s*req\.(params|query|body)", _JS),
+    ("CWE-918-requests-dynamic", "CWE-918", "MEDIUM", r"""requests\.(get|post|put|delete)\s*\(\s*f?["']""", ("py",)),
+    ("CWE-200-console-sensitive", "CWE-200", "LOW", r"(?i)console\.(log|debug|info)\s*\([^)]*\b(password|secret|token|key|credential)", _JS),
+    ("CWE-200-stack-trace", "CWE-200", "LOW", r"res\.(send|json)\s*\(\s*(err|error)\.(stack|message)", _JS),
+)
+#: Path segment, category, boost.
+PROXIMITY = (
+    ("auth", "authentication", "CRITICAL"), ("oauth", "authentication", "CRITICAL"), ("sso", "authentication", "CRITICAL"),
+    ("crypto", "cryptography", "CRITICAL"), ("encryption", "cryptography", "CRITICAL"), ("sandbox", "sandbox", "CRITICAL"),
+    ("task-runner", "sandbox", "CRITICAL"), ("webhooks?", "webhooks", "HIGH"), ("api", "api", "MEDIUM"), ("graphql", "api", "MEDIUM"),
+    ("admin", "admin", "HIGH"), ("payments?", "payment", "CRITICAL"), ("billing", "payment", "HIGH"), ("checkout", "payment", "HIGH"),
+    ("middleware", "middleware", "MEDIUM"), ("rbac", "access-control", "CRITICAL"), ("acl", "access-control", "HIGH"),
+    ("permissions?", "access-control", "HIGH"), ("jwt", "tokens", "CRITICAL"), ("tokens?", "tokens", "HIGH"),
+    ("uploads?", "file-upload", "HIGH"), ("secrets?", "secrets", "CRITICAL"),
+)
+BOOST_RANK = {"MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
+SEVERITY_RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
+
+
+def lines(files: DataFrame, text: str = "content") -> DataFrame:
+    """One row a line: the columns of ``files`` but the text, line (from 1), line_text."""
+    kept = [c for c in files.columns if c != text]
+    return files.select(*kept, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\r?\n", -1)).alias("_at", "line_text")).select(
+        *kept, (F.col("_at") + 1).alias("line"), "line_text"
+    )
+
+
+def first_rule(text: Column, lang: Column | None, rules=RULES) -> Column:
+    """The id of the first rule that matches, in order; null where none does."""
+    plain = [p for *_, p, _ in rules]
+    any_of = text.rlike("|".join(f"(?:{p})" for p in plain if not p.startswith("(?i)")))
+    insensitive = [p[4:] for p in plain if p.startswith("(?i)")]
+    if insensitive:
+        any_of = any_of | text.rlike("(?i)" + "|".join(f"(?:{p})" for p in insensitive))
+    told = None
+    for name, _, _, pattern, languages in rules:
+        hit = text.rlike(pattern)
+        if languages and lang is not None:
+            hit = hit & lang.isin(*languages)
+        told = F.when(hit, name) if told is None else told.when(hit, name)
+    return F.when(any_of, told)
+
+
+def _of_rule(rule: Column, at: int, rules=RULES) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for r in rules for x in (r[0], r[at]))), rule)
+
+
+def after_comment(rows: DataFrame, *file: str) -> DataFrame:
+    """Without lines whose line before says that they are ignored on purpose."""
+    before = F.lag("line_text").over(Window.partitionBy(*file).orderBy("line"))
+    return rows.withColumn("_before", before).filter(F.col("_before").isNull() | ~F.lower("_before").rlike("security-ignore|nosec|eslint-disable")).drop("_before")
+
+
+def outside_template(rows: DataFrame, *file: str) -> DataFrame:
+    """Without lines that start inside a back-quoted text: an odd number of quotes stands before them."""
+    quotes = F.length("line_text") - F.length(F.regexp_replace("line_text", "`", ""))
+    so_far = F.sum(quotes).over(Window.partitionBy(*file).orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_open", F.coalesce(so_far, F.lit(0)) % 2).filter("_open = 0").drop("_open")
+
+
+def proximity(path: Column) -> Column:
+    """array<struct<category, boost>> of every rule whose segment is in the path."""
+    found = [
+        F.when(F.lower(path).rlike(rf"[/\\]{segment}[/\\]"), F.struct(F.lit(category).alias("category"), F.lit(boost).alias("boost"))) for segment, category, boost in PROXIMITY
+    ]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def highest_boost(path: Column) -> Column:
+    ranked = F.transform(proximity(path), lambda x: F.when(x["boost"] == "CRITICAL", 3).when(x["boost"] == "HIGH", 2).otherwise(1))
+    best = F.array_max(ranked)
+    return F.when(best == 3, "CRITICAL").when(best == 2, "HIGH").when(best == 1, "MEDIUM")
+
+
+def boosted(severity: Column, boost: Column) -> Column:
+    """One level up if the boost ranks at least as high as the severity; critical stays."""
+    rank = lambda c: F.when(c == "CRITICAL", 4).when(c == "HIGH", 3).when(c == "MEDIUM", 2).when(c == "LOW", 1)
+    up = F.when(severity == "HIGH", "CRITICAL").when(severity == "MEDIUM", "HIGH").when(severity == "LOW", "MEDIUM").otherwise(severity)
+    return F.when(boost.isNotNull() & (severity != "CRITICAL") & (rank(boost) >= rank(severity)), up).otherwise(severity)
+
+
+def scan(files: DataFrame, dead: DataFrame | None = None, rules=RULES) -> DataFrame:
+    """Findings of ``files`` (project, file, lang, content): one a line, the first rule's."""
+    rows = outside_template(after_comment(lines(files.select("project", "file", "lang", "content")), "project", "file"), "project", "file")
+    found = rows.withColumn("rule", first_rule(F.col("line_text"), F.col("lang"), rules)).filter("rule IS NOT NULL")
+    found = found.withColumn("original_severity", _of_rule(F.col("rule"), 2, rules)).withColumn("boost", highest_boost(F.concat(F.lit("/"), F.col("file"))))
+    found = found.withColumn("severity", boosted(F.col("original_severity"), F.col("boost")))
+    if dead is not None:
+        gone = dead.select("project", "file", F.lit(True).alias("_dead")).distinct()
+        found = found.join(gone, ["project", "file"], "left")
+    else:
+        found = found.withColumn("_dead", F.lit(False))
+    return found.select(
+        "project", "file", "line", "rule", _of_rule(F.col("rule"), 1, rules).alias("cwe"), "severity", "original_severity",
+        (F.col("severity") != F.col("original_severity")).alias("boosted"), F.substring(F.trim("line_text"), 1, 120).alias("line_content"),
+        F.coalesce("_dead", F.lit(False)).alias("is_dead"),
+    )
+
+
+def with_findings(dead: DataFrame, findings: DataFrame) -> DataFrame:
+    """Dead files with the findings in them; null where there are none."""
+    per = findings.groupBy("project", "file").agg(F.array_sort(F.collect_list(F.struct("line", "rule", "severity"))).alias("security_patterns"))
+    return dead.join(per, ["project", "file"], "left")
+
+
+def summary(findings: DataFrame) -> DataFrame:
+    by = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
+    return findings.agg(
+        F.count(F.lit(1)).alias("total"), *(by(s) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")), F.count_if("is_dead").alias("in_dead_code"),
+        F.count_if(~F.col("is_dead")).alias("in_live_code"), F.countDistinct("project", "file").alias("files"),
+    )
+
+
+def worst_first(findings: DataFrame) -> DataFrame:
+    rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).when(F.col("severity") == "MEDIUM", 2).otherwise(3)
+    return findings.orderBy(rank, "is_dead", "project", "file", "line")
