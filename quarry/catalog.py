@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -59,8 +59,10 @@ def references(files: DataFrame) -> DataFrame:
 
 
 def css_rules(files: DataFrame) -> DataFrame:
-    """project, file, rules, selectors of style sheets."""
-    found = F.filter(F.transform(F.regexp_extract_all("content", F.lit(r"([^{}]+)(?=\{)"), 1), lambda s: F.trim(s)), lambda s: s != "")
+    """project, file, rules, selectors of style sheets: what stands before each opening brace since the last brace."""
+    before = F.split("content", r"\{", -1)
+    pieces = F.slice(before, F.lit(1), F.greatest(F.size(before) - 1, F.lit(0)))
+    found = F.filter(F.transform(pieces, lambda s: F.trim(F.substring_index(s, "}", -1))), lambda s: s != "")
     return files.select("project", "file", F.size(found).alias("rules"), found.alias("selectors"))
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.shipping import ship
+
 TASK_EDGES = 2_000_000
 NODE = "project string, node string, depth long"
 
@@ -67,6 +69,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, task_edges: int = TASK_EDGES,
         method = "rounds" if counts.filter(F.col("count") > task_edges).limit(1).count() else "search"
     if method == "rounds":
         return _rounds(edges, seeds)
+    ship(edges.sparkSession)
     left = edges.select("project", "src", "dst").distinct().groupBy("project")
     return left.cogroup(seeds.select("project", "node").distinct().groupBy("project")).applyInPandas(_search, NODE)
 
@@ -119,22 +122,51 @@ def export_usage(reached: DataFrame, imports: DataFrame) -> DataFrame:
     return live.select("project", "target", F.explode(F.when(none, whole).otherwise(named)).alias("symbol"), F.col("file").alias("importer"))
 
 
-def propagate_usage(usage: DataFrame, reexports: DataFrame, passes: int | None = None) -> DataFrame:
+def _spread(key, usage: pd.DataFrame, reexports: pd.DataFrame) -> pd.DataFrame:
+    named: dict[str, list[tuple[str, str]]] = {}
+    starred: dict[str, list[str]] = {}
+    for barrel, source, name in zip(reexports["barrel"], reexports["source"], reexports["name"], strict=True):
+        if name == "*":
+            starred.setdefault(barrel, []).append(source)
+        else:
+            named.setdefault(barrel, []).append((name, source))
+    seen = set(zip(usage["target"], usage["symbol"], strict=True))
+    queue = deque(seen)
+    while queue:
+        target, symbol = queue.popleft()
+        own = named.get(target, ())
+        step = [(source, name) for name, source in own if symbol in ("*", "__ALL__", name)]
+        if all(symbol != name for name, _ in own):
+            step += [(source, symbol) for source in starred.get(target, ())]
+        for at in step:
+            if at not in seen:
+                seen.add(at)
+                queue.append(at)
+    return pd.DataFrame([(key[0], *at) for at in seen], columns=["project", "target", "symbol"])
+
+
+def propagate_usage(usage: DataFrame, reexports: DataFrame, passes: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """Usage of a barrel's symbols reaches the files it re-exports them from, to a fixpoint or so many passes.
 
     ``usage``: project, target, symbol. ``reexports``: project, barrel, source, name, with ``*`` for
-    all names but those the barrel itself names.
+    all names but those the barrel itself names. As with reachability, a project is searched in one
+    task unless it is too large, or passes are to be counted.
     """
-    usage = _written(usage.select("project", "target", "symbol").distinct())
+    usage = usage.select("project", "target", "symbol").distinct()
+    reexports = reexports.select("project", "barrel", "source", "name").distinct()
+    if passes is None and not reexports.groupBy("project").count().filter(F.col("count") > task_edges).limit(1).count():
+        ship(usage.sparkSession)
+        return usage.groupBy("project").cogroup(reexports.groupBy("project")).applyInPandas(_spread, "project string, target string, symbol string")
+    usage = _written(usage)
     own = reexports.filter("name <> '*'").select("project", F.col("barrel").alias("target"), F.col("name").alias("symbol"))
     frontier, done = usage, 0
     while not frontier.isEmpty() and (passes is None or done < passes):
         done += 1
-        named = frontier.join(reexports.filter("name <> '*'"), (frontier["project"] == reexports["project"]) & (F.col("target") == F.col("barrel")) & F.col("symbol").isin("*", "__ALL__").__or__(F.col("symbol") == F.col("name")))
-        named = named.select(frontier["project"], F.col("source").alias("target"), F.col("name").alias("symbol"))
-        starred = frontier.join(own, ["project", "target", "symbol"], "left_anti").join(
-            reexports.filter("name = '*'").select("project", F.col("barrel").alias("target"), "source"), ["project", "target"]
-        )
+        by_name = reexports.filter("name <> '*'").select("project", F.col("barrel").alias("target"), "source", "name")
+        named = frontier.join(by_name, ["project", "target"]).filter(F.col("symbol").isin("*", "__ALL__") | (F.col("symbol") == F.col("name")))
+        named = named.select("project", F.col("source").alias("target"), F.col("name").alias("symbol"))
+        stars = reexports.filter("name = '*'").select("project", F.col("barrel").alias("target"), "source")
+        starred = frontier.join(own, ["project", "target", "symbol"], "left_anti").join(stars, ["project", "target"])
         step = named.unionByName(starred.select("project", F.col("source").alias("target"), "symbol")).distinct()
         frontier = _written(step.join(usage, ["project", "target", "symbol"], "left_anti"))
         usage = _written(usage.unionByName(frontier))

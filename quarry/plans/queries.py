@@ -1,0 +1,613 @@
+"""Queries over the test tables, each an operator applied, with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import scalars as S
+from quarry.operators import assets, dependencies, duplicates, graph, history, issues, names, patterns
+from quarry.plans.tables import ALL_EDGES_SQL, LINES_SQL, REACHED_SQL, document_lines, part_edges, part_seeds, table
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+DAY = "2001-08-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def as_long(name: str) -> F.Column:
+    return F.col(name).cast("long").alias(name)
+
+
+# --- graph ---------------------------------------------------------------------------------------
+
+
+@query(REACHED_SQL + " SELECT node FROM reached")
+def reachable_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reachable(part_edges(spark, d), part_seeds(spark, d)).select(as_long("node"))
+
+
+@query(
+    REACHED_SQL
+    + """ SELECT p_partkey AS node, CASE WHEN regexp_matches(lower(p_type), 'brushed|plated|anodized') THEN 'possibly-live' ELSE 'unreachable' END AS verdict,
+  round(0.95 - CASE WHEN regexp_matches(lower(p_type), 'brushed|plated|anodized') THEN 0.2 ELSE 0.0 END
+    - CASE WHEN (SELECT count(*) FROM part WHERE p_partkey % 100 = 0) < 5 THEN 0.1 ELSE 0.0 END, 2)::DOUBLE AS confidence,
+  CAST(p_size AS BIGINT) AS size
+FROM part WHERE p_partkey NOT IN (SELECT node FROM reached)"""
+)
+def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
+    seeds = part_seeds(spark, d)
+    nodes = table(spark, d, "part").select(F.lit("p").alias("project"), F.col("p_partkey").cast("string").alias("node"), "p_type", "p_size")
+    dead = graph.not_reached(nodes, graph.reachable(part_edges(spark, d), seeds), seeds)
+    dynamic = F.lower("p_type").rlike("brushed|plated|anodized")
+    score = graph.confidence(dynamic, F.lit(seeds.count()))
+    return dead.select(as_long("node"), F.when(dynamic, "possibly-live").otherwise("unreachable").alias("verdict"), score.alias("confidence"), F.col("p_size").cast("long").alias("size"))
+
+
+@query(
+    REACHED_SQL.replace("reached(node)", "walk(node, depth)").replace("SELECT p_partkey FROM", "SELECT p_partkey, 0 FROM").replace(
+        "UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.node", "UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 60"
+    )
+    + " SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node"
+)
+def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reachable(part_edges(spark, d), part_seeds(spark, d)).select(as_long("node"), "depth")
+
+
+@query(f"WITH {ALL_EDGES_SQL.strip()} SELECT dst AS node, count(*) AS importer_count FROM edges GROUP BY dst")
+def importer_count(spark: SparkSession, d: str) -> DataFrame:
+    return graph.importer_count(part_edges(spark, d)).select(as_long("node"), "importer_count")
+
+
+@query(f"""WITH {ALL_EDGES_SQL.strip()}, n AS (SELECT dst, count(*) AS c FROM edges GROUP BY dst)
+SELECT dst AS node, CASE WHEN c = 1 THEN 8.0 WHEN c = 2 THEN 4.0 ELSE 0.0 END::DOUBLE AS fragility FROM n""")
+def import_fragility(spark: SparkSession, d: str) -> DataFrame:
+    return graph.importer_count(part_edges(spark, d)).select(as_long("node"), S.import_fragility(F.col("importer_count")).cast("double").alias("fragility"))
+
+
+@query(
+    REACHED_SQL.replace("reached(node)", "used(target, symbol)").replace("SELECT p_partkey FROM part WHERE p_partkey % 100 = 0", "SELECT p_partkey, 's' || (p_partkey % 3) FROM part WHERE p_partkey % 100 = 0").replace(
+        "UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.node", "UNION SELECT e.dst, u.symbol FROM used u JOIN edges e ON e.src = u.target"
+    )
+    + " SELECT CAST(target AS VARCHAR) AS target, symbol FROM used"
+)
+def barrel_propagation(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey")
+    usage = table(spark, d, "part").filter(key % 100 == 0).select(F.lit("p").alias("project"), key.cast("string").alias("target"), F.concat(F.lit("s"), (key % 3).cast("string")).alias("symbol"))
+    stars = part_edges(spark, d).distinct().select("project", F.col("src").alias("barrel"), F.col("dst").alias("source"), F.lit("*").alias("name"))
+    return graph.propagate_usage(usage, stars).select("target", "symbol")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem)
+SELECT l_orderkey AS file, count(*) FILTER (l_returnflag = 'N') AS live, count(*) FILTER (l_returnflag <> 'N') AS dead
+FROM e GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag <> 'N') > 0""")
+def dead_exports(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag").distinct()
+    name = F.concat_ws("/", "l_partkey", "l_linenumber", "l_returnflag")
+    exports = rows.select(F.lit("p").alias("project"), F.col("l_orderkey").alias("file"), name.alias("name"), F.lit(False).alias("is_default"))
+    usage = rows.filter("l_returnflag = 'N'").select(F.lit("p").alias("project"), F.col("l_orderkey").alias("target"), name.alias("symbol"))
+    return graph.partly_dead(exports, usage).select("file", "live", "dead")
+
+
+@query("SELECT DISTINCT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS name FROM pages")
+def used_packages(spark: SparkSession, d: str) -> DataFrame:
+    modules = table(spark, d, "pages").select(F.lit("p").alias("project"), F.regexp_replace("url", "^https?://", "").alias("module"))
+    return graph.used_packages(modules).select("name")
+
+
+# --- dependencies --------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS name, p_brand AS version FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R')")
+def unused_deps(spark: SparkSession, d: str) -> DataFrame:
+    declared = table(spark, d, "part").select(F.lit("p").alias("project"), F.col("p_partkey").alias("name"), F.col("p_brand").alias("version"), F.lit("dependencies").alias("declared_in"))
+    used = table(spark, d, "lineitem").filter("l_quantity >= 48 AND l_returnflag = 'R'").select(F.lit("p").alias("project"), F.col("l_partkey").alias("name"))
+    return dependencies.unused(declared, used).select("name", "version")
+
+
+@query("SELECT l_partkey AS name, count(DISTINCT l_suppkey) AS n_dependents FROM lineitem GROUP BY l_partkey")
+def package_dependents(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "lineitem").select(F.lit("p").alias("project"), F.col("l_suppkey").alias("requirer"), F.col("l_partkey").alias("name"))
+    return dependencies.dependents(edges).select("name", "n_dependents")
+
+
+_RELEASES_SQL = """r AS (SELECT DISTINCT p_brand AS name, p_size AS a, p_partkey % 10 AS b, p_partkey % 7 AS c FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY a, b, c) AS rank, count(*) OVER (PARTITION BY name) AS n FROM r),
+l AS (SELECT name, a AS la, b AS lb, c AS lc FROM k WHERE rank = n)"""
+
+
+def _releases(spark: SparkSession, d: str) -> DataFrame:
+    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"), (F.col("p_partkey") % 7).cast("string"))
+    return table(spark, d, "part").select(F.col("p_brand").alias("name"), version.alias("version")).distinct()
+
+
+@query(f"""WITH {_RELEASES_SQL} SELECT k.name, a || '.' || b || '.' || c AS version, n - rank AS behind,
+CASE WHEN la > a THEN 'major' WHEN lb > b THEN 'minor' WHEN lc > c THEN 'patch' ELSE 'none' END AS update_type FROM k JOIN l USING (name)""")
+def versions_behind(spark: SparkSession, d: str) -> DataFrame:
+    releases = _releases(spark, d)
+    return dependencies.versions_behind(releases, releases).select("name", "version", as_long("behind"), "update_type")
+
+
+@query(f"""WITH {_RELEASES_SQL}, u AS (SELECT CASE WHEN la > a THEN 'major' WHEN lb > b THEN 'minor' WHEN lc > c THEN 'patch' ELSE 'none' END AS update_type FROM k JOIN l USING (name))
+SELECT update_type, count(*) AS packages FROM u GROUP BY 1""")
+def update_types(spark: SparkSession, d: str) -> DataFrame:
+    releases = _releases(spark, d)
+    return dependencies.versions_behind(releases, releases).groupBy("update_type").agg(F.count(F.lit(1)).alias("packages"))
+
+
+@query("""SELECT p_partkey AS name, CASE WHEN p_size % 10 = 0 THEN 'replace' WHEN p_size % 10 = 1 THEN 'evaluate' WHEN p_size % 10 IN (2, 3) THEN 'update' WHEN p_size % 10 = 4 THEN 'evaluate' ELSE 'update' END AS action,
+CASE WHEN p_size % 10 = 0 THEN 'high' WHEN p_size % 10 = 1 THEN 'medium' WHEN p_size % 10 = 2 THEN 'critical' WHEN p_size % 10 = 3 THEN 'high' WHEN p_size % 10 = 4 THEN 'low'
+ ELSE CASE WHEN p_partkey % 2 = 0 THEN 'medium' ELSE 'low' END END AS priority FROM part""")
+def update_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_size") % 10
+    cve = F.when(k == 2, "critical").when(k == 3, "low")
+    effort = dependencies.effort(F.when(k == 4, "major").otherwise("minor"), F.col("p_partkey") % 2 == 0, F.lit(0))
+    told = dependencies.recommendation(k == 0, k == 1, cve, F.when(k == 4, "major").otherwise("minor"), effort)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("name"), told["action"].alias("action"), told["priority"].alias("priority"))
+
+
+@query("SELECT p_partkey AS name, round(p_retailprice, 2) AS size, p_type AS alternative FROM part WHERE p_size = 1")
+def heavy_deps(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    alternatives = part.filter("p_size = 1").select(F.col("p_partkey").alias("name"), F.col("p_type").alias("alternative"))
+    packages = part.select(F.col("p_partkey").alias("name"), F.col("p_retailprice").alias("size_bytes"))
+    return dependencies.heavy(packages, alternatives).select("name", F.round("size_bytes", 2).alias("size"), "alternative")
+
+
+@query("""WITH t AS (SELECT sum(p_retailprice) AS total FROM part), k AS (SELECT sum(p_retailprice) AS top FROM (SELECT p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10))
+SELECT round(total, 2) AS total, round(top, 2) AS top, round(top / total, 6) AS share FROM t, k""")
+def top10_share(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies.top_share(table(spark, d, "part"), "p_retailprice", "p_partkey").select(F.round("total", 2).alias("total"), F.round("top", 2).alias("top"), "share")
+
+
+_LICENCE_SQL = """CASE WHEN regexp_matches(upper(l), 'MIT|APACHE|BSD|CC0|PUBLIC DOMAIN|WTFPL|ZLIB|OFL|OPEN FONT|BOOST|BSL-1\\.0|PYTHON|PSF|ARTISTIC|POSTGRESQL|W3C|BLUEOAK|UNICODE|JSON|CURL') OR upper(l) IN ('ISC', 'ISC LICENSE', 'UNLICENSE', 'UNLICENSED') THEN 'permissive'
+WHEN regexp_matches(upper(l), 'GPL|MPL|EPL|EUPL|CDDL|OSL|CC-BY-SA') THEN 'copyleft' WHEN regexp_matches(upper(l), 'SSPL|COMMONS-CLAUSE|COMMONS CLAUSE|CC-BY-NC|CC-BY-ND|ELASTIC-2') OR upper(l) = 'BUSL-1.1' THEN 'restrictive' ELSE 'unknown' END"""
+
+
+@query(f"WITH {LINES_SQL.strip()}, f AS (SELECT doc_id, line, line_text AS l FROM lines WHERE regexp_matches(line_text, '(?i)license')) SELECT doc_id, CAST(line AS BIGINT) AS line, {_LICENCE_SQL} AS category FROM f")
+def license_classify(spark: SparkSession, d: str) -> DataFrame:
+    rows = document_lines(spark, d).filter(F.col("line_text").rlike("(?i)license"))
+    return rows.select("doc_id", as_long("line"), S.license_class(F.col("line_text")).alias("category"))
+
+
+@query(f"WITH {LINES_SQL.strip()}, f AS (SELECT line_text AS l FROM lines WHERE regexp_matches(line_text, '(?i)license')) SELECT {_LICENCE_SQL} AS category, count(*) AS packages FROM f GROUP BY 1")
+def license_histogram(spark: SparkSession, d: str) -> DataFrame:
+    rows = document_lines(spark, d).filter(F.col("line_text").rlike("(?i)license")).select(F.col("line_text").alias("license"))
+    return rows.withColumn("category", S.license_class(F.col("license"))).groupBy("category").agg(F.count(F.lit(1)).alias("packages"))
+
+
+# --- patterns ------------------------------------------------------------------------------------
+
+_TEST_RULES = (
+    ("token", "CWE-798", "HIGH", r"""(?i)(password|token|secret)\s*[:=]\s*["']?[A-Za-z0-9]{8,}""", ()),
+    ("aws", "CWE-798", "CRITICAL", r"AKIA[0-9A-Z]{16}", ()),
+    ("mail", "CWE-200", "LOW", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]{2,}", ()),
+    ("licence", "CWE-0", "MEDIUM", r"(?i)license", ("en", "de")),
+)
+_RULE_SQL = """CASE WHEN regexp_matches(line_text, '(?i)(password|token|secret)\\s*[:=]\\s*["'']?[A-Za-z0-9]{8,}') THEN 'token'
+WHEN regexp_matches(line_text, 'AKIA[0-9A-Z]{16}') THEN 'aws' WHEN regexp_matches(line_text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+\\.[a-z]{2,}') THEN 'mail'
+WHEN lang IN ('en', 'de') AND regexp_matches(line_text, '(?i)license') THEN 'licence' END"""
+_FOUND_SQL = f"""WITH {LINES_SQL.strip()}, tagged AS (SELECT doc_id, source, line, line_text, {_RULE_SQL} AS rule,
+  coalesce(sum(length(line_text) - length(replace(line_text, '`', ''))) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS open FROM lines),
+found AS (SELECT * FROM tagged WHERE rule IS NOT NULL AND open = 0)"""
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("file"), "lang", F.col("text").alias("content"))
+    return patterns.scan(docs, rules=_TEST_RULES)
+
+
+@query(_FOUND_SQL + " SELECT doc_id, CAST(line AS BIGINT) AS line, rule FROM found")
+def pattern_findings(spark: SparkSession, d: str) -> DataFrame:
+    return _findings(spark, d).select(F.col("file").cast("long").alias("doc_id"), as_long("line"), "rule")
+
+
+@query(_FOUND_SQL + " SELECT CASE rule WHEN 'token' THEN 'CWE-798' WHEN 'aws' THEN 'CWE-798' WHEN 'mail' THEN 'CWE-200' ELSE 'CWE-0' END AS cwe, count(*) AS findings, count(DISTINCT doc_id) AS files FROM found GROUP BY 1")
+def findings_by_cwe(spark: SparkSession, d: str) -> DataFrame:
+    return _findings(spark, d).groupBy("cwe").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("file").alias("files"))
+
+
+@query(_FOUND_SQL + """ SELECT count(*) AS total, count(*) FILTER (rule = 'aws') AS critical, count(*) FILTER (rule = 'token') AS high, count(*) FILTER (rule = 'licence') AS medium,
+count(*) FILTER (rule = 'mail') AS low, count(DISTINCT doc_id) AS files FROM found""")
+def findings_summary(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.summary(_findings(spark, d)).select("total", "critical", "high", "medium", "low", "files")
+
+
+@query(_FOUND_SQL + """, dead AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) SELECT dead.doc_id, count(found.doc_id) AS findings FROM dead LEFT JOIN found USING (doc_id) GROUP BY 1""")
+def dead_files_with_findings(spark: SparkSession, d: str) -> DataFrame:
+    dead = table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("file"))
+    rows = patterns.with_findings(dead, _findings(spark, d))
+    return rows.select(F.col("file").cast("long").alias("doc_id"), F.coalesce(F.size("security_patterns"), F.lit(0)).cast("long").alias("findings"))
+
+
+@query(f"""WITH {LINES_SQL.strip()}, q AS (SELECT doc_id, line, coalesce(sum(length(line_text) - length(replace(line_text, ',', ''))) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM lines)
+SELECT doc_id, count(*) AS lines FROM q WHERE n % 2 = 0 GROUP BY 1""")
+def line_parity_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = document_lines(spark, d).withColumn("line_text", F.translate("line_text", "`,", "´`"))
+    return patterns.outside_template(rows, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"""WITH {LINES_SQL.strip()}, p AS (SELECT doc_id, line, lag(line_text) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM lines)
+SELECT doc_id, count(*) AS lines FROM p WHERE before IS NULL OR NOT regexp_matches(lower(before), 'security-ignore|nosec|eslint-disable') GROUP BY 1""")
+def prev_line_filter(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.after_comment(document_lines(spark, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _proximity_sql() -> str:
+    ranked = "greatest(" + ", ".join(f"CASE WHEN regexp_matches(lower(url || '/'), '[/]{s}[/]') THEN {patterns.BOOST_RANK[b]} ELSE 0 END" for s, _, b in patterns.PROXIMITY) + ")"
+    return f"SELECT page_id, CASE {ranked} WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' END AS boost FROM pages"
+
+
+@query(_proximity_sql())
+def proximity_boost(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", patterns.highest_boost(F.concat("url", F.lit("/"))).alias("boost"))
+
+
+# --- duplicates and names ---------------------------------------------------------------------------
+
+_HASHED_SQL = "h AS (SELECT doc_id, source, length(text) AS size, md5(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'), ' ')) AS hash FROM documents)"
+_ONCE_SQL = f"WITH {_HASHED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY hash, source ORDER BY doc_id) AS n FROM h), g AS (SELECT hash, count(*) AS copies, sum(size) AS total_size FROM o WHERE n = 1 GROUP BY hash HAVING count(*) > 1)"
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    text = F.trim(F.regexp_replace("text", "[ \t\n]+", " "))
+    rows = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("ord"), F.md5(text.cast("binary")).alias("hash"), F.length("text").alias("size"))
+    return duplicates.exact_groups(rows)
+
+
+@query(_ONCE_SQL + " SELECT hash, copies, CAST(total_size AS BIGINT) AS total_size, CAST(total_size - floor(total_size / copies + 0.5) AS BIGINT) AS wasted FROM g")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).select("hash", "copies", as_long("total_size"), as_long("wasted"))
+
+
+@query(_ONCE_SQL + " SELECT count(*) AS groups, CAST(coalesce(sum(total_size - floor(total_size / copies + 0.5)), 0) AS BIGINT) AS wasted FROM g")
+def duplicate_waste(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("wasted"), F.lit(0)).cast("long").alias("wasted"))
+
+
+@query(r"""WITH t AS (SELECT doc_id AS id, lang, text, length(text) AS n, list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda x: length(x) > 1)) AS k FROM (SELECT min(doc_id) AS doc_id, lang, text FROM documents GROUP BY lang, text)),
+p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.k, b.k)) AS i, len(a.k) AS la, len(b.k) AS lb, a.n AS na, b.n AS nb FROM t a JOIN t b ON a.lang = b.lang AND a.id < b.id
+  AND least(a.n, b.n) * 2 >= greatest(a.n, b.n) AND least(len(a.k), len(b.k)) >= 0.78 * greatest(len(a.k), len(b.k)))
+SELECT id_a, id_b, round(0.7 * i / (la + lb - i) + 0.3 * least(na, nb) / greatest(na, nb), 6) AS similarity FROM p
+WHERE la > 0 AND lb > 0 AND round(0.7 * i / (la + lb - i) + 0.3 * least(na, nb) / greatest(na, nb), 6) >= 0.85""")
+def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.near_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), F.col("text").alias("code")))
+
+
+@query(r"""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark),
+d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents)
+SELECT name, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM d JOIN q USING (name) WHERE length(name) >= 4 GROUP BY name""")
+def inverted_index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("file"), F.col("text").alias("content"))
+    items = table(spark, d, "benchmark").select(F.lit("p").alias("project"), F.col("item_id").alias("file"), F.col("text").alias("content"))
+    wanted = names.index(items, least=4).select(F.col("token").alias("name")).distinct()
+    found = names.index(docs, least=4).withColumnRenamed("token", "name").join(wanted, "name")
+    return found.groupBy("name").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"))
+
+
+@query(r"""WITH d AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents), c AS (SELECT name, count(*) AS occurrences FROM d GROUP BY name)
+SELECT occurrences, count(*) AS names FROM c WHERE occurrences <= 2 GROUP BY 1""")
+def rare_names(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("file"), F.col("text").alias("content"))
+    tokens = names.index(docs)
+    every = tokens.select("project", F.col("token").alias("name")).distinct()
+    return names.unreferenced(every, tokens, 2).groupBy("occurrences").agg(F.count(F.lit(1)).alias("names"))
+
+
+# --- sources -----------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("href"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<script')) AS scripts FROM pages")
+def html_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<script")).cast("long").alias("scripts"))
+
+
+@query("SELECT page_id, len(list_filter(list_transform(regexp_extract_all(html, '([^{}]+)\\{', 1), lambda x: trim(x)), lambda x: x <> '')) AS rules FROM pages")
+def css_rules(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(F.lit("p").alias("project"), F.col("page_id").alias("file"), F.col("html").alias("content"))
+    return assets.css_rules(pages).select(F.col("file").alias("page_id"), as_long("rules"))
+
+
+@query("SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY lang")
+def lang_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"))
+
+
+@query("SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS total, CAST(coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS BIGINT) AS en, CAST(coalesce(sum(n_chars) FILTER (lang = 'fr'), 0) AS BIGINT) AS fr, round(100.0 * count(*) FILTER (doc_id % 4 = 0) / count(*), 4) AS dead_rate FROM documents")
+def scan_totals(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda lang: F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n_chars"))), F.lit(0)).alias(lang)
+    rate = F.round(100.0 * F.count_if(F.col("doc_id") % 4 == 0) / F.count(F.lit(1)), 4)
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("total"), of("en"), of("fr"), rate.alias("dead_rate"))
+
+
+@query("SELECT p_partkey AS id, regexp_replace(p_name, '[^ ]* ?$', '') AS folder, split_part(p_name, ' ', -1) AS name FROM part")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    path = F.replace(F.col("p_name"), F.lit(" "), F.lit("/"))
+    folder = F.when(path.contains("/"), F.concat(F.replace(S.dirname(path), F.lit("/"), F.lit(" ")), F.lit(" "))).otherwise("")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), folder.alias("folder"), S.basename(path).alias("name"))
+
+
+# --- history -------------------------------------------------------------------------------------------
+
+_BUCKETS_SQL = """c AS (SELECT o_custkey AS file, o_orderpriority AS author, o_orderdate AS ts FROM orders WHERE o_orderdate <= TIMESTAMP '2001-08-01'),
+b AS (SELECT file, count(*) FILTER (ts >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY) AS commits_30d, count(*) FILTER (ts >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY) AS commits_90d,
+  count(*) FILTER (ts >= TIMESTAMP '2001-08-01' - INTERVAL 180 DAY) AS commits_180d, count(*) FILTER (ts >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY) AS commits_365d,
+  count(DISTINCT author) AS contributors_all, count(DISTINCT author) FILTER (ts >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY) AS contributors_90d, max(ts) AS last_commit FROM c GROUP BY file)"""
+
+
+def _buckets(spark: SparkSession, d: str) -> DataFrame:
+    commits = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderpriority").alias("author"), F.col("o_orderdate").alias("ts"))
+    return history.commit_buckets(commits, F.lit(DAY).cast("timestamp_ntz") if dict(commits.dtypes)["ts"] == "timestamp_ntz" else F.lit(DAY).cast("timestamp"))
+
+
+@query(f"WITH {_BUCKETS_SQL} SELECT file, commits_30d, commits_90d, commits_180d, commits_365d, contributors_all, contributors_90d FROM b")
+def commit_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return _buckets(spark, d).select("file", "commits_30d", "commits_90d", "commits_180d", "commits_365d", "contributors_all", "contributors_90d")
+
+
+@query("""WITH m AS (SELECT max(ts) AS t FROM events) SELECT user_id AS file, count(*) FILTER (ts >= t - INTERVAL 1 DAY) AS commits_1d, count(*) FILTER (ts >= t - INTERVAL 3 DAY) AS commits_3d,
+count(*) FILTER (ts >= t - INTERVAL 7 DAY) AS commits_7d, count(*) FILTER (ts >= t - INTERVAL 30 DAY) AS commits_30d, count(DISTINCT event_type) AS contributors_all FROM events, m GROUP BY user_id""")
+def commit_buckets_events(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("author"), "ts")
+    last = events.agg(F.max("ts")).first()[0]
+    return history.commit_buckets(events, F.lit(last), (1, 3, 7, 30)).select("file", "commits_1d", "commits_3d", "commits_7d", "commits_30d", "contributors_all")
+
+
+_DECAY_SQL = f"""WITH {_BUCKETS_SQL}, s AS (SELECT file, floor(10 * CASE WHEN commits_365d < 3 THEN 0.0 WHEN r >= 1 THEN 0.0 WHEN r >= 0.5 THEN 25 * (1 - r) * 0.6 WHEN r > 0 THEN 25 * (0.7 + 0.3 * (1 - r / 0.5)) ELSE 25.0 END + 0.5) / 10 AS velocity,
+  floor(10 * CASE WHEN contributors_all <= 1 OR commits_90d = 0 THEN 0.0 WHEN contributors_90d = 1 AND contributors_all >= 4 THEN 0.8 * 12 WHEN contributors_90d = 1 AND contributors_all >= 2 THEN 0.5 * 12
+    WHEN contributors_90d::DOUBLE / contributors_all < 0.4 THEN 12 * (1 - contributors_90d::DOUBLE / contributors_all / 0.4) ELSE 0.0 END + 0.5) / 10 AS contributors,
+  floor(10 * CASE WHEN days < 180 THEN 0.0 WHEN days < 365 THEN 13 * 0.5 * (days - 180) / 185 WHEN days < 730 THEN 13 * (0.5 + 0.35 * (days - 365) / 365) ELSE 13.0 END + 0.5) / 10 AS staleness
+ FROM (SELECT *, commits_30d::DOUBLE / nullif(greatest(commits_90d / 3.0::DOUBLE, commits_365d / 12.0::DOUBLE), 0) AS r, (floor(epoch(TIMESTAMP '2001-08-01')) - floor(epoch(last_commit))) / 86400.0::DOUBLE AS days FROM b)),
+z AS (SELECT *, round(velocity + contributors + staleness, 1) AS score FROM s)"""
+
+
+def _decay(spark: SparkSession, d: str) -> DataFrame:
+    files = _buckets(spark, d).withColumns({"importer_count": F.lit(5), "previous_importers": F.lit(None).cast("int"), "export_total": F.lit(0), "export_dead": F.lit(0)})
+    return history.decay(files.withColumn("last_commit", F.col("last_commit").cast("timestamp")), F.lit(DAY).cast("timestamp"))
+
+
+@query(_DECAY_SQL + " SELECT file, velocity, contributors, staleness, score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'none' END AS risk FROM z")
+def decay_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _decay(spark, d).select("file", "velocity", "contributors", "staleness", "score", "risk")
+
+
+@query(_DECAY_SQL + " SELECT CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'none' END AS risk, count(*) AS files FROM z GROUP BY 1")
+def decay_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _decay(spark, d).groupBy("risk").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("""WITH i AS (SELECT DISTINCT substr(sha256('customer:' || o_custkey), 1, 12) AS id, year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) IN (1999, 2000))
+SELECT coalesce(p.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'resolved' WHEN p.id IS NULL THEN 'new' ELSE 'open' END AS status FROM (SELECT id FROM i WHERE y = 1999) p FULL JOIN (SELECT id FROM i WHERE y = 2000) n ON p.id = n.id""")
+def scan_diff(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    of = lambda y: orders.filter(F.year("o_orderdate") == y).select(S.issue_id(F.lit("customer"), F.col("o_custkey").cast("string")).alias("id"), F.lit(y).alias("scan")).distinct()
+    return history.scan_diff(of(1999), of(2000), "id").select("id", "status")
+
+
+_SCANS_SQL = "s AS (SELECT n_name AS project, o_orderkey AS id, o_orderdate AS ts, CAST(floor(o_totalprice) AS BIGINT) AS waste FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("project"))
+    customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.floor("o_totalprice").cast("long").alias("waste"))
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("project", "id", "ts", "waste")
+
+
+@query(f"""WITH {_SCANS_SQL}, p AS (SELECT *, lag(waste) OVER (PARTITION BY project ORDER BY ts, id) AS before FROM s)
+SELECT project, count(*) AS scans, CAST(coalesce(sum(greatest(0, before - waste)), 0) AS BIGINT) AS fixed, round(coalesce(sum(greatest(0, before - waste)), 0) * 100000 * 6e-10 * 0.233 * 12, 4) AS avoided_grams FROM p GROUP BY project""")
+def esg_by_project(spark: SparkSession, d: str) -> DataFrame:
+    rows = history.with_previous(_scans(spark, d), "project", ["ts", "id"], "waste")
+    fixed = F.coalesce(F.sum(F.when(F.col("previous").isNotNull(), F.col("fixed"))), F.lit(0)).cast("long")
+    per = rows.groupBy("project").agg(F.count(F.lit(1)).alias("scans"), fixed.alias("fixed"))
+    return per.withColumn("avoided_grams", F.round(S.avoided_grams(F.col("fixed")), 4))
+
+
+@query(f"WITH {_SCANS_SQL} SELECT strftime(ts, '%Y-%m') AS month, count(*) AS scans, CAST(sum(waste) AS BIGINT) AS waste, count(DISTINCT project) AS projects FROM s GROUP BY 1")
+def esg_monthly(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("scans"), F.sum("waste").alias("waste"), F.countDistinct("project").alias("projects"))
+
+
+@query(f"""WITH {_SCANS_SQL}, t AS (SELECT project, arg_min(waste, ts::VARCHAR || lpad(id::VARCHAR, 12, '0')) AS f, arg_max(waste, ts::VARCHAR || lpad(id::VARCHAR, 12, '0')) AS l FROM s GROUP BY project)
+SELECT project, round((l - f)::DOUBLE / f * 100, 1) AS percent, CASE WHEN round((l - f)::DOUBLE / f * 100, 1) > 2 THEN 'up' WHEN round((l - f)::DOUBLE / f * 100, 1) < -2 THEN 'down' ELSE 'flat' END AS sign FROM t WHERE f > 0""")
+def esg_trend(spark: SparkSession, d: str) -> DataFrame:
+    at = F.struct("ts", "id")
+    per = _scans(spark, d).groupBy("project").agg(F.min_by("waste", at).alias("first"), F.max_by("waste", at).alias("last")).filter("first > 0")
+    percent = history.trend(F.col("first"), F.col("last"))
+    return per.select("project", percent.alias("percent"), history.trend_sign(percent).alias("sign"))
+
+
+@query("SELECT o_custkey AS project, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def latest_scan(spark: SparkSession, d: str) -> DataFrame:
+    return history.latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS project FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
+def recent_scans(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project"))
+
+
+@query("SELECT o_custkey AS project, count(*) AS scans, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents, round(max(o_totalprice), 2) AS highest FROM orders GROUP BY 1")
+def project_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("project")).agg(
+        F.count(F.lit(1)).alias("scans"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total_cents"), F.round(F.max("o_totalprice"), 2).alias("highest")
+    )
+
+
+@query("SELECT o_orderstatus AS status, o_custkey AS project, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = history.latest(table(spark, d, "orders"), ["o_custkey", "o_orderstatus"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return rows.select(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"))
+
+
+# --- scores, costs, emissions -------------------------------------------------------------------------
+
+_METRICS_SQL = """m AS (SELECT l_suppkey AS supplier, 100.0 * count(*) FILTER (l_returnflag = 'R') / count(*) AS waste, count(*) FILTER (l_quantity = 50) AS critical, count(*) FILTER (l_quantity = 49) AS high, count(*) FILTER (l_quantity = 48) AS medium,
+ count(*) FILTER (l_discount = 0.1) AS major, count(*) FILTER (l_discount = 0.0) AS minor, count(*) FILTER (l_tax = 0.08) AS restrictive, sum(l_quantity) / 100 AS co2 FROM lineitem GROUP BY 1)"""
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    n = F.count(F.lit(1))
+    return table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("supplier")).agg(
+        (100.0 * F.count_if(c("l_returnflag") == "R") / n).alias("waste"), F.count_if(c("l_quantity") == 50).alias("critical"), F.count_if(c("l_quantity") == 49).alias("high"),
+        F.count_if(c("l_quantity") == 48).alias("medium"), F.count_if(c("l_discount") == 0.1).alias("major"), F.count_if(c("l_discount") == 0.0).alias("minor"),
+        F.count_if(c("l_tax") == 0.08).alias("restrictive"), (F.sum("l_quantity") / 100).alias("co2"),
+    )
+
+
+@query(f"""WITH {_METRICS_SQL}, s AS (SELECT supplier, greatest(0, least(100, floor(100 - least(30, waste * 1.5) - CASE WHEN critical > 0 THEN least(40, critical * 20) ELSE least(20, high * 10) END
+ - least(15, restrictive * 10) - least(10, major * 2) - least(5, minor) + 0.5))) AS score FROM m)
+SELECT supplier, CAST(score AS INTEGER) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s""")
+def health_score(spark: SparkSession, d: str) -> DataFrame:
+    zero = F.lit(0)
+    given = {k: F.col(k) for k in ("critical", "high", "major", "minor", "restrictive")} | {"waste_percent": F.col("waste"), "copyleft": zero}
+    score = S.health_score(given | {k: zero for k in ("live_critical", "live_high", "dead_critical", "dead_high")})
+    return _metrics(spark, d).select("supplier", score.alias("score"), S.grade(score).alias("grade"))
+
+
+@query(f"""WITH {_METRICS_SQL} SELECT supplier, CAST(greatest(0, floor(25 - least(25, waste * 1.25) + 0.5)) AS INTEGER) AS performance,
+CAST(CASE WHEN co2 > 10 THEN greatest(0, floor(10 - (co2 - 10) / 10 * 5 + 0.5)) ELSE 10 END AS INTEGER) AS emissions,
+CAST(greatest(0, floor(40 - least(20, critical * 20) - least(12, high * 4) - least(8, medium) + 0.5)) AS INTEGER) AS exposure,
+CAST(greatest(0, floor(25 - least(10, major * 3) - least(5, minor * 0.5) - least(5, restrictive * 3) + 0.5)) AS INTEGER) AS risk FROM m""")
+def pillar_scores(spark: SparkSession, d: str) -> DataFrame:
+    given = {k: F.col(k) for k in ("critical", "high", "medium", "major", "minor", "restrictive")}
+    scores = S.pillar_scores(given | {"waste_percent": F.col("waste"), "co2_kg": F.col("co2"), "deprecated": F.lit(0)})
+    return _metrics(spark, d).select("supplier", *(v.cast("int").alias(k) for k, v in scores.items()))
+
+
+@query("""WITH m AS (SELECT count(*)::DOUBLE AS items, avg(l_discount) AS discount, max(l_tax) AS tax FROM lineitem), c AS (SELECT unnest(['items', 'discount', 'tax']) AS "check", unnest([items, discount, tax]) AS actual, unnest([1000.0, 0.06, 0.05]::DOUBLE[]) AS allowed FROM m)
+SELECT "check", round(actual, 6) AS actual, allowed, actual <= allowed AS passed FROM c""")
+def threshold_checks(spark: SparkSession, d: str) -> DataFrame:
+    metrics = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("items"), F.avg("l_discount").alias("discount"), F.max("l_tax").alias("tax"), F.lit(0).alias("other"))
+    return issues.thresholds(metrics, {"items": 1000, "discount": 0.06, "tax": 0.05, "other": None}).withColumn("actual", F.round("actual", 6))
+
+
+_WASTE_SQL = "w AS (SELECT source, sum(n_chars) AS bytes, 100.0 * sum(n_chars) FILTER (doc_id % 4 = 0) / sum(n_chars) AS waste, count(*) FILTER (doc_id % 4 = 0) AS files, count(*) FILTER (doc_id % 5 = 0) AS exports, count(*) FILTER (doc_id % 7 = 0) AS deps FROM documents GROUP BY source)"
+
+
+def _waste(spark: SparkSession, d: str) -> DataFrame:
+    every = lambda n: F.col("doc_id") % n == 0
+    return table(spark, d, "documents").groupBy("source").agg(
+        F.sum("n_chars").alias("bytes"), (100.0 * F.sum(F.when(every(4), F.col("n_chars"))) / F.sum("n_chars")).alias("waste"),
+        F.count_if(every(4)).alias("files"), F.count_if(every(5)).alias("exports"), F.count_if(every(7)).alias("deps"),
+    )
+
+
+@query(f"""WITH {_WASTE_SQL} SELECT source, round(1200 + 5 * 2080 * 0.1 * least(waste / 10, 1) * 75, 2) AS annual, round((files * 5 + exports * 2 + deps * 10) / 60.0 * 75, 2) AS cleanup,
+round((files * 5 + exports * 2 + deps * 10) / 60.0 * 75 / ((1200 + 5 * 2080 * 0.1 * least(waste / 10, 1) * 75) / 12), 4) AS roi_months FROM w""")
+def dev_cost(spark: SparkSession, d: str) -> DataFrame:
+    cost = S.developer_cost(F.col("waste"), F.col("files"), F.col("exports"), F.col("deps"))
+    return _waste(spark, d).select("source", F.round(cost["annual"], 2).alias("annual"), F.round(cost["cleanup"], 2).alias("cleanup"), F.round(cost["roi_months"], 4).alias("roi_months"))
+
+
+@query(f"WITH {_WASTE_SQL} SELECT source, round(10000 * 3 * (0.3 + 0.07) * bytes / 1073741824.0, 8) AS gb, round(10000 * 3 * (0.3 + 0.07) * bytes / 1073741824.0 * 0.085, 8) AS cost FROM w")
+def bandwidth_cost(spark: SparkSession, d: str) -> DataFrame:
+    gb = S.transfer_gb(F.col("bytes"))
+    return _waste(spark, d).select("source", F.round(gb, 8).alias("gb"), F.round(gb * 0.085, 8).alias("cost"))
+
+
+@query(f"""WITH {_WASTE_SQL}, g AS (SELECT source, 10000 * 3 * 0.37 * bytes / 1073741824.0 AS gb, CASE source WHEN 'src0' THEN 233 WHEN 'src1' THEN 85 ELSE 494 END AS grid FROM w)
+SELECT source, round(gb * (0.055 * grid + 0.059 * grid + 0.080 * 494 + (0.012 + 0.013 + 0.081) * 494), 6) AS grams FROM g""")
+def emissions(spark: SparkSession, d: str) -> DataFrame:
+    region = F.when(F.col("source") == "src0", "uk").when(F.col("source") == "src1", "France").otherwise("nowhere")
+    grams = S.monthly_grams(S.transfer_gb(F.col("bytes")), S.grid_intensity(region), F.lit(False))
+    return _waste(spark, d).select("source", F.round(grams, 6).alias("grams"))
+
+
+# --- issues and assets ------------------------------------------------------------------------------------
+
+
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    part, none = table(spark, d, "part"), F.lit(None).cast("string")
+    key = F.col("p_partkey").cast("string")
+    size = F.floor("p_retailprice")
+    make = lambda rows, cat, sev, effort: issues.branch(rows, cat, key, sev, F.col("p_name"), none, size, effort)
+    return issues.action_list(
+        make(part.filter("p_size = 50"), "vulnerability", F.lit("critical"), "medium"),
+        make(part.filter("p_size = 49"), "dead-file", F.lit("high"), "easy"),
+        make(part.filter("p_size IN (47, 48)"), "unused-dependency", F.lit("medium"), "trivial"),
+        make(part.filter("p_size = 46"), "licence", S.map_severity(F.lit("info")), "hard"),
+    )
+
+
+def _issue_sql(where: str, category: str, severity: str, effort: str) -> str:
+    return f"SELECT substr(sha256('{category}:' || p_partkey), 1, 12) AS id, '{severity}' AS severity, '{category}' AS category, p_name AS title, CAST(floor(p_retailprice) AS BIGINT) AS size, '{effort}' AS effort FROM part WHERE {where}"
+
+
+_ISSUES_SQL = "i AS (" + " UNION ALL ".join(
+    _issue_sql(*x) for x in (("p_size = 50", "vulnerability", "critical", "medium"), ("p_size = 49", "dead-file", "high", "easy"), ("p_size IN (47, 48)", "unused-dependency", "medium", "trivial"), ("p_size = 46", "licence", "low", "hard"))
+) + ")"
+
+
+@query(f"WITH {_ISSUES_SQL} SELECT id, severity, category, title, size, effort FROM i")
+def action_list(spark: SparkSession, d: str) -> DataFrame:
+    return issues.worst_first(_issues(spark, d)).select("id", "severity", "category", "title", "size", "effort")
+
+
+@query(f"WITH {_ISSUES_SQL} SELECT id, severity, size FROM i WHERE effort IN ('trivial', 'easy', 'low') ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, size DESC, id LIMIT 5")
+def quick_wins(spark: SparkSession, d: str) -> DataFrame:
+    return issues.quick_wins(_issues(spark, d)).select("id", "severity", "size")
+
+
+@query(f"""WITH {_ISSUES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY size DESC, id) AS n FROM i)
+SELECT id, severity FROM n WHERE (severity = 'critical' AND n <= 3) OR (severity = 'high' AND n <= 2)""")
+def next_actions(spark: SparkSession, d: str) -> DataFrame:
+    return issues.next_actions(_issues(spark, d)).select("id", "severity")
+
+
+@query(f"WITH {_ISSUES_SQL} SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM i")
+def issue_summary(spark: SparkSession, d: str) -> DataFrame:
+    return issues.by_severity(_issues(spark, d))
+
+
+@query("SELECT p_type AS kind, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS total, CAST(max(p_size) AS BIGINT) AS largest FROM part GROUP BY 1")
+def asset_rollup(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_size").cast("long").alias("size"))
+    return assets.rollup(rows)
+
+
+_ASSET_SQL = "a AS (SELECT p_partkey, p_partkey || CASE p_partkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.ttf' WHEN 3 THEN '.svg' ELSE '.mov' END AS path, p_size FROM part)"
+
+
+def _asset_rows(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    ext = F.when(k == 0, ".png").when(k == 1, ".jpg").when(k == 2, ".ttf").when(k == 3, ".svg").otherwise(".mov")
+    return table(spark, d, "part").select(F.lit("p").alias("project"), F.concat(F.col("p_partkey").cast("string"), ext).alias("path"), F.col("p_size").cast("long").alias("size"), "p_partkey")
+
+
+@query(f"WITH {_ASSET_SQL} SELECT path, CASE p_partkey % 5 WHEN 2 THEN 'woff2' WHEN 4 THEN 'mp4' ELSE 'webp' END AS format, CAST(floor(p_size * CASE p_partkey % 5 WHEN 0 THEN 30 WHEN 1 THEN 25 WHEN 2 THEN 50 ELSE 40 END / 100) AS BIGINT) AS saved FROM a WHERE p_partkey % 5 <> 3")
+def format_savings(spark: SparkSession, d: str) -> DataFrame:
+    return assets.format_savings(_asset_rows(spark, d)).select("path", "format", as_long("saved"))
+
+
+@query(f"WITH {_ASSET_SQL} SELECT path FROM a WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+def unused_assets(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "lineitem").filter("l_quantity = 50").select(F.lit("p").alias("project"), F.col("l_partkey").cast("string").alias("name")).distinct()
+    return assets.unreferenced(_asset_rows(spark, d), used).select("path")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    per = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return per.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT o_orderpriority AS status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM orders GROUP BY 1")
+def percent_of_total(spark: SparkSession, d: str) -> DataFrame:
+    per = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
