@@ -33,6 +33,16 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _renewed(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows under columns of their own, so that both sides of a cogroup may come from one table."""
+    return df.select(*(F.col(c).alias(c) for c in columns)).distinct()
+
+
+def _frame(**columns) -> pd.DataFrame:
+    """Texts as plain objects, so that an empty frame has the types of a full one."""
+    return pd.DataFrame({k: v if isinstance(v, pd.Series) else pd.Series(v, dtype=object) for k, v in columns.items()})
+
+
 def _search(key, edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
     after = edges.groupby("src")["dst"].agg(list).to_dict() if len(edges) else {}
     depth = dict.fromkeys(seeds["node"], 0)
@@ -43,7 +53,7 @@ def _search(key, edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
             if nxt not in depth:
                 depth[nxt] = depth[node] + 1
                 queue.append(nxt)
-    return pd.DataFrame({"project": key[0], "node": list(depth), "depth": list(depth.values())})
+    return _frame(project=[key[0]] * len(depth), node=list(depth), depth=pd.Series(list(depth.values()), dtype="int64"))
 
 
 def _rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -53,8 +63,8 @@ def _rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     reached, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1
-        step = frontier.join(edges, (frontier["project"] == edges["project"]) & (frontier["node"] == edges["src"]))
-        step = step.select(edges["project"], F.col("dst").alias("node")).distinct().join(reached.select("project", "node"), ["project", "node"], "left_anti")
+        step = frontier.select("project", F.col("node").alias("src")).join(edges, ["project", "src"]).select("project", F.col("dst").alias("node")).distinct()
+        step = step.join(reached.select("project", "node"), ["project", "node"], "left_anti")
         frontier = _written(step.withColumn("depth", F.lit(depth).cast("long")))
         reached = reached.unionByName(frontier)
         if depth % 8 == 0:
@@ -71,7 +81,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, task_edges: int = TASK_EDGES,
         return _rounds(edges, seeds)
     ship(edges.sparkSession)
     left = edges.select("project", "src", "dst").distinct().groupBy("project")
-    return left.cogroup(seeds.select("project", "node").distinct().groupBy("project")).applyInPandas(_search, NODE)
+    return left.cogroup(_renewed(seeds, "project", "node").groupBy("project")).applyInPandas(_search, NODE)
 
 
 def not_reached(nodes: DataFrame, reached: DataFrame, *kept: DataFrame) -> DataFrame:
@@ -142,7 +152,7 @@ def _spread(key, usage: pd.DataFrame, reexports: pd.DataFrame) -> pd.DataFrame:
             if at not in seen:
                 seen.add(at)
                 queue.append(at)
-    return pd.DataFrame([(key[0], *at) for at in seen], columns=["project", "target", "symbol"])
+    return _frame(project=[key[0]] * len(seen), target=[t for t, _ in seen], symbol=[s for _, s in seen])
 
 
 def propagate_usage(usage: DataFrame, reexports: DataFrame, passes: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -156,7 +166,8 @@ def propagate_usage(usage: DataFrame, reexports: DataFrame, passes: int | None =
     reexports = reexports.select("project", "barrel", "source", "name").distinct()
     if passes is None and not reexports.groupBy("project").count().filter(F.col("count") > task_edges).limit(1).count():
         ship(usage.sparkSession)
-        return usage.groupBy("project").cogroup(reexports.groupBy("project")).applyInPandas(_spread, "project string, target string, symbol string")
+        right = _renewed(reexports, "project", "barrel", "source", "name").groupBy("project")
+        return usage.groupBy("project").cogroup(right).applyInPandas(_spread, "project string, target string, symbol string")
     usage = _written(usage)
     own = reexports.filter("name <> '*'").select("project", F.col("barrel").alias("target"), F.col("name").alias("symbol"))
     frontier, done = usage, 0

@@ -109,15 +109,11 @@ _KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "con
 def declarations(files: DataFrame, rules=RULES) -> DataFrame:
     """project, file, lang, relation, type, name of ``files`` (project, file, lang, content)."""
 
-    def one(lang: str) -> DataFrame:
-        found = [
-            F.transform(
-                F.regexp_extract_all("content", F.lit(pattern), 1),
-                lambda n, r=relation, k=kind: F.struct(F.lit(r).alias("relation"), F.lit(k).alias("type"), n.alias("name")),
-            )
-            for own, relation, kind, pattern in rules
-            if own == lang
-        ]
+    def tagged(relation: str, kind: str):
+        return lambda n: F.struct(F.lit(relation).alias("relation"), F.lit(kind).alias("type"), n.alias("name"))
+
+    def one(lang: str):
+        found = [F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), tagged(relation, kind)) for own, relation, kind, pattern in rules if own == lang]
         return F.when(F.col("lang") == lang, F.concat(*found))
 
     every = F.coalesce(*(one(lang) for lang in dict.fromkeys(r[0] for r in rules)))

@@ -39,15 +39,12 @@ BUILD_SYSTEMS = (
 
 def entries(files: DataFrame, readers=READERS) -> DataFrame:
     """project, reader, config, path: what configuration files (project, file, content) name, without a leading ``./``."""
-    found = F.concat(
-        *(
-            F.when(
-                F.col("file").rlike(where),
-                F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), lambda p, n=name: F.struct(F.lit(n).alias("reader"), F.regexp_replace(p, r"^\./", "").alias("path"))),
-            ).otherwise(F.array().cast("array<struct<reader:string,path:string>>"))
-            for name, where, pattern in readers
-        )
-    )
+    def tagged(name: str):
+        return lambda p: F.struct(F.lit(name).alias("reader"), F.regexp_replace(p, r"^\./", "").alias("path"))
+
+    none = F.array().cast("array<struct<reader:string,path:string>>")
+    each = lambda name, pattern: F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), tagged(name))
+    found = F.concat(*(F.when(F.col("file").rlike(where), each(name, pattern)).otherwise(none) for name, where, pattern in readers))
     return files.select("project", F.col("file").alias("config"), F.explode(found).alias("e")).select("project", "e.reader", "config", "e.path").distinct()
 
 
@@ -64,10 +61,11 @@ def manifests(files: DataFrame) -> DataFrame:
     schema = f"dependencies {group}, devDependencies {group}, peerDependencies {group}, optionalDependencies {group}"
     read = files.filter(F.col("file").rlike(r"(^|/)package\.json$")).withColumn("j", F.from_json("content", schema))
     folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "")).otherwise(".")
-    each = [
-        F.transform(F.map_entries(F.coalesce(F.col(f"j.{k}"), F.create_map().cast(group))), lambda e, k=k: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(k).alias("declared_in")))
-        for k in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-    ]
+    def declared(k: str):
+        return lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(k).alias("declared_in"))
+
+    kinds = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+    each = [F.transform(F.map_entries(F.coalesce(F.col(f"j.{k}"), F.create_map().cast(group))), declared(k)) for k in kinds]
     return read.select("project", folder.alias("directory"), F.explode(F.concat(*each)).alias("d")).select("project", "directory", "d.*")
 
 
