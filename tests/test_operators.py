@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import dependencies, duplicates, graph, history, issues, names, patterns
+from quarry.operators import dependencies, duplicates, entries, graph, history, issues, names, patterns
 from quarry.sinks import reports
 from quarry.sources import code, configs, files
 
@@ -73,7 +73,7 @@ def test_names_elsewhere_and_unreferenced(spark, tree):
 
 
 def test_pattern_scan_takes_the_first_rule_and_boosts(spark):
-    rows = [("p", "src/auth/a.js", "js", "eval(x)\nconst s = `\neval(y)\n`\n// nosec\neval(z)"), ("p", "b.py", "py", "pickle.load(f)\ninnerHTML = 1")]
+    rows = [("p", "src/auth/a.js", "js", "eval(x)\nconst s = `\neval(y)\n`\n<Code lang='js'>\neval(z)\n// eval(c)"), ("p", "b.py", "py", "pickle.load(f)\ninnerHTML = 1")]
     found = patterns.scan(spark.createDataFrame(rows, "project string, file string, lang string, content string")).collect()
     assert sorted((r.file, r.line, r.rule, r.severity) for r in found) == [("b.py", 1, "CWE-502-pickle", "HIGH"), ("src/auth/a.js", 1, "CWE-94-eval", "CRITICAL")]
 
@@ -211,3 +211,21 @@ def test_rescan_hands_over_new_files(spark, tmp_path):
     for _ in range(2):
         monitor.rescan(spark, source, "id long, v string", str(tmp_path / "cp"), lambda df, _: seen.append(df.count())).awaitTermination()
     assert seen == [1]
+
+
+def test_entry_rules(spark):
+    assert [bool(entries.re_match(g, p)) for g, p in (("src/**/*.ts", "src/a/b.ts"), ("src/*.ts", "src/a/b.ts"), ("*.{js,ts}", "x.ts"), ("**/x", "a/b/x"))] == [True, False, True, True]
+    rows = spark.createDataFrame([("p", "src/a.ts", ["Injectable"], ["root"]), ("p", "src/b.ts", ["Other"], [])], "project string, file string, decorators array<string>, provided array<string>")
+    assert col(rows.filter(entries.injected(F.col("decorators"), F.col("provided"))), "file") == ["src/a.ts"]
+    named = spark.createDataFrame([("p", "a.ts"), ("p", "src/b")], "project string, entry string")
+    assert col(entries.configured(rows, named), "file") == ["src/a.ts", "src/b.ts"]
+    found = spark.createDataFrame([("p", "a", "test", 0.5), ("p", "a", "main", 0.9)], "project string, file string, reason string, confidence double")
+    assert [(r.file, r.reason) for r in entries.best(found).collect()] == [("a", "main")]
+
+
+def test_private_section_and_console_logs(spark):
+    text = ["class A", "  def a", "  private", "  def b", "  public", "  def c"]
+    rows = spark.createDataFrame([("p", "a.rb", i, t) for i, t in enumerate(text)], "project string, file string, line long, line_text string")
+    assert col(entries.ruby_private(rows), "name") == ["b"]
+    tree = spark.createDataFrame([("p", "a.js", "console.log(1)\n// console.log(2)\nx\nconsole.debug(3)")], "project string, file string, content string")
+    assert entries.console_logs(tree).first()["n"] == 2
