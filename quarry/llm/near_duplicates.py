@@ -81,15 +81,48 @@ def signed(docs: DataFrame, weights: Weights = unit_weights) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sign(weights), "doc_id long, s1 long, s2 long, n long, bands array<long>")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bits of the filter that tells which documents' sets may be wanted: 1 MiB, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype("i8").view("u8")) % _U(FILTER_BITS)).astype("i8")
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS // 64, "u8")
     for batch in batches:
-        for k in range(0, batch.num_rows, 300):
-            part = batch.slice(k, 300)
-            sets = [e for e, _ in shingle_sets(part.column(1).to_pylist(), SIZE)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array([_fingerprint(e)[0] for e in sets], pa.int64()), pa.array([e.tobytes() for e in sets], pa.binary())],
-                ["rep", "s1", "shingles"],
-            )
+        places = _places(batch.column(0).to_numpy(zero_copy_only=False))
+        np.bitwise_or.at(bits, places >> 6, _U(1) << (places & 63).astype("u8"))
+    at = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view("i8"))], ["at", "word"])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every id of ``ids`` (one column) has its bit."""
+    words = ids.mapInArrow(_bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect()
+    bits = np.zeros(FILTER_BITS // 64, "i8")
+    for r in words:
+        bits[r["at"]] = r["word"]
+    return bits.view("u8")
+
+
+def _sets(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            places = _places(ids)
+            batch = batch.filter(pa.array((bits.value[places >> 6] >> (places & 63).astype("u8") & _U(1)).astype(bool)))
+            for k in range(0, batch.num_rows, 300):
+                part = batch.slice(k, 300)
+                sets = [e for e, _ in shingle_sets(part.column(1).to_pylist(), SIZE)]
+                prints = [_fingerprint(e)[0] for e in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).cast(pa.int64()), pa.array(prints, pa.int64()), pa.array([e.tobytes() for e in sets], pa.binary())], ["rep", "s1", "shingles"]
+                )
+
+    return run
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -176,9 +209,9 @@ def bucket_links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     members = members.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "rep", "s1")
     members = written(members, "members")
-    wanted = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = texts.mapInArrow(_sets, "rep long, s1 long, shingles binary")
+    # Texts stay where they are: a bitmap settles which sets to make, the join which of them were meant.
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(members.select("rep")))
+    sets = docs.select("doc_id", "text").mapInArrow(_sets(bits), "rep long, s1 long, shingles binary")
     grouped = members.join(sets, ["rep", "s1"]).select("key", "a", "b", "side", "rep", "shingles").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return grouped.mapInArrow(_link, "u long, v long").distinct()
 
