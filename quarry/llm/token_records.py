@@ -47,8 +47,9 @@ TAIL = struct.Struct("<I")
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Encoded pieces that a worker remembers before it starts anew, about 200 bytes each.
-REMEMBERED = 1_300_000
+#: Encoded pieces that a worker remembers, about 200 bytes each. Later ones, which are rarer, it
+#: encodes for their batch; if most of a batch is new to it, it starts anew.
+REMEMBERED = 600_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Cuts a text only where the byte-level pre-tokenizer must cut too: before white space that follows
@@ -82,13 +83,11 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, fresh: list[str]) -> None:
-        for piece, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[piece] = array(self.code, got.ids).tobytes()
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        return {piece: array(self.code, got.ids).tobytes() for piece, got in zip(fresh, coded, strict=True)}
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         known = self.known
         cut: list[list[str] | None] = []
         for t in texts:
@@ -100,10 +99,13 @@ class Encoder:
         fresh: set[str] = set()
         for k in lacking:
             fresh.update([p for p, got in zip(cut[k], found[k]) if got is None])
-        if fresh:
-            self._learn(list(fresh))
+        learned = self._learn(list(fresh)) if fresh else {}
         for k in lacking:
-            found[k] = [known[p] if got is None else got for p, got in zip(cut[k], found[k])]
+            found[k] = [learned[p] if got is None else got for p, got in zip(cut[k], found[k])]
+        if len(known) + len(learned) <= REMEMBERED:
+            known.update(learned)
+        elif 2 * len(fresh) > sum(len(pieces) for pieces in cut if pieces):
+            known.clear()
         return [self._whole(t) if got is None else b"".join(got) for t, got in zip(texts, found, strict=True)]
 
 
