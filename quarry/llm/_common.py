@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +82,17 @@ def input_bytes(docs: DataFrame) -> int:
     if known < 1 << 58:
         return known
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+#: What operators keep in a Python worker between tasks, and how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    _kept[name] = forget
+
+
+def only(name: str) -> None:
+    """Called where an operator starts in a worker: what the other operators kept there is let go."""
+    for other in [k for k in _kept if k != name]:
+        _kept.pop(other)()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import small_batches, table, written
+from quarry.llm._common import keeps, only, small_batches, table, written
 
 #: Fixed values of the contamination rule.
 WINDOW = 13
@@ -95,6 +95,7 @@ def _windows(block) -> Windows:
     """One automaton at a time in a worker."""
     if block.id not in _built:
         _built.clear()
+        keeps("decontaminate", _built.clear)
         _built[block.id] = Windows(block.value)
     return _built[block.id]
 
@@ -116,6 +117,7 @@ class _Block:
 
 def _scan(block: _Block, text_at: int, found_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontaminate")
         windows = _windows(block)
         for batch in batches:
             counts, hits, items = [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import small_batches, table, written
+from quarry.llm._common import only, small_batches, table, written
 from quarry.llm.dart_minhash import signatures
 from quarry.llm.shingles import mixed, shingle_sets
 
@@ -52,6 +52,7 @@ def _fingerprint(elements: np.ndarray) -> tuple[int, int]:
 
 def _sign(weights: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("near-duplicates")
         for batch in batches:
             for k in range(0, batch.num_rows, 300):
                 part = batch.slice(k, 300)

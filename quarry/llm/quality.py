@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import small_batches, table, written
+from quarry.llm._common import only, small_batches, table, written
 
 KEEP_FROM = 0.7
 #: Share of the pooled covariance in each class's, and of the identity in the result.
@@ -116,6 +116,7 @@ def solve(sums: dict[int, np.ndarray]) -> Model:
 
 def _measure(text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             got = [statistics(t.as_py()) for t in batch.column(text_at)]
             kept = [c for k, c in enumerate(batch.columns) if k != text_at]
@@ -183,6 +184,7 @@ def scored(x: DataFrame, model: Model) -> DataFrame:
 
 def _keep(model: Model, text_at: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(text_at)], "f8").reshape(-1, N)
             yield batch.filter(pa.array(model.scores(x) >= least))

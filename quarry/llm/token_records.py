@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import fresh_path, input_bytes, small_batches, table
+from quarry.llm._common import fresh_path, input_bytes, keeps, only, small_batches, table
 
 #: Fixed values of the record format.
 MASK_ADD = 0xA282EAD8
@@ -119,6 +119,7 @@ def encoder(path: str | None) -> Encoder:
         path = public_tokenizers.path(VOCABULARY)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        keeps("token-records", _encoders.clear)
     return _encoders[path]
 
 
@@ -130,6 +131,7 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
 
 def _encode(path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("token-records")
         enc = encoder(path)
         end, width = array(enc.code, [end_id]).tobytes(), array(enc.code).itemsize
         for batch in batches:
