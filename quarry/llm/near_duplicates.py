@@ -175,23 +175,24 @@ def links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], least: flo
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a group (key, a, b) follow each other."""
-    group, at = [], None
+    group, at = {}, None
 
     def settled() -> pa.RecordBatch | None:
-        if len({g[0] for g in group}) < 2:
+        if len({rep for rep, _ in group}) < 2:
             return None
-        once = list({g[0]: g for g in group}.values())
+        once = list(group.values())
         found = links(np.array([g[0] for g in once]), np.array([g[1] for g in once]), [np.frombuffer(g[2], "u8") for g in once])
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"]) if found else None
 
     for batch in batches:
-        key, a, b, side, rep = (batch.column(k).to_pylist() for k in range(5))
-        for k, cell in enumerate(batch.column(5)):
+        key, a, b, side, rep, s1 = (batch.column(k).to_pylist() for k in range(6))
+        for k, cell in enumerate(batch.column(6)):
             if (key[k], a[k], b[k]) != at:
                 if (done := settled()) is not None:
                     yield done
-                group, at = [], (key[k], a[k], b[k])
-            group.append((rep[k], side[k], cell.as_py()))
+                group, at = {}, (key[k], a[k], b[k])
+            if (rep[k], s1[k]) not in group:
+                group[rep[k], s1[k]] = (rep[k], side[k], cell.as_py())
     if (done := settled()) is not None:
         yield done
 
@@ -199,9 +200,11 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bucket_links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
     """u < v: a spanning forest of the links inside every bucket."""
     own = sig.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")))
+    # Repeated rows are one member: what enters a bucket twice would cancel in the xor that tells buckets apart.
+    own = own.groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.min("bands").alias("bands"))
     rows = own.select("rep", "s1", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "rep", "s1")
     buckets = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"), F.min("rep").alias("low"), F.max("rep").alias("high")
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep", "s1")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep", "s1")).alias("y"), F.min("rep").alias("low"), F.max("rep").alias("high")
     )
     once = buckets.filter("low < high").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
     members = rows.join(once.select("key", "m"), "key")
@@ -212,8 +215,8 @@ def bucket_links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
     members = written(members, "members")
     # Texts stay where they are: a bitmap settles which sets to make, the join which of them were meant.
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(members.select("rep")))
-    sets = docs.select("doc_id", "text").mapInArrow(_sets(bits), "rep long, s1 long, shingles binary")
-    grouped = members.join(sets, ["rep", "s1"]).select("key", "a", "b", "side", "rep", "shingles").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    sets = docs.select("doc_id", "text").mapInArrow(_sets(bits), "rep long, s1 long, shingles binary").dropDuplicates(["rep", "s1"])
+    grouped = members.join(sets, ["rep", "s1"]).select("key", "a", "b", "side", "rep", "s1", "shingles").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return grouped.mapInArrow(_link, "u long, v long").distinct()
 
 

@@ -55,6 +55,19 @@ def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_repeated_rows_do_not_merge_buckets(spark):
+    rng = random.Random(3)
+    rows = []
+    for pair in range(12):
+        words = [f"p{pair}w{rng.randrange(10**6)}" for _ in range(200)]
+        near = [*words[:-1], "other"]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(near))]
+    want = {d: d - d % 2 for d, _ in rows}
+    schema = "doc_id long, text string"
+    for repeated in (rows, rows * 2, rows * 3 + rows[:9]):
+        assert {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(repeated, schema)).collect()} == want
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "!!!"), (4, "a b"), (5, "A, b!"), (6, "one two three four five"), (7, "one two three four five"), (None, "a b"), (7, "one two three four five"), (8, "long word " * 60_000)]
     frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, class_id string")
