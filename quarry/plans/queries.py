@@ -286,6 +286,15 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.near_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), F.col("text").alias("code")))
 
 
+@query(ORACLES["near_duplicates"].replace("SELECT id_a, id_b, round(", ", pairs AS (SELECT id_a, id_b, round(", 1)
+    + """), ends AS (SELECT id, count(*) AS links FROM (SELECT id_a AS id FROM pairs UNION ALL SELECT id_b FROM pairs) GROUP BY id),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, text) AS representative, count(*) OVER (PARTITION BY lang, text) AS copies FROM documents)
+SELECT m.doc_id, m.representative, m.copies, coalesce(ends.links, 0) AS links FROM m LEFT JOIN ends ON m.representative = ends.id""")
+def near_duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), F.col("text").alias("code"))
+    return duplicates.near_members(rows).withColumnRenamed("id", "doc_id")
+
+
 @query(r"""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark),
 d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents)
 SELECT name, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM d JOIN q USING (name) WHERE length(name) >= 4 GROUP BY name""")

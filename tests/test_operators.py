@@ -92,6 +92,15 @@ def test_near_pairs_against_brute_force(spark):
     assert got == {(0, 1)}
 
 
+def test_near_members_names_every_copy(spark):
+    near = ["alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta iota"]
+    rows = [(0, "x", near[0]), (1, "x", near[1]), (2, "x", "one two three four"), (3, "x", near[0]), (4, "x", "one two three four"), (5, None, near[0]), (6, None, near[1]), (7, None, near[1]), (8, "x", None), (9, "x", None)]
+    frame = spark.createDataFrame(rows, "id long, scope string, code string")
+    assert {(r.id_a, r.id_b) for r in duplicates.near_pairs(frame, 0.8).collect()} == {(0, 1), (5, 6)}
+    got = {r.id: (r.representative, r.copies, r.links) for r in duplicates.near_members(frame, 0.8).collect()}
+    assert got == {0: (0, 2, 1), 3: (0, 2, 1), 1: (1, 1, 1), 2: (2, 2, 0), 4: (2, 2, 0), 5: (5, 1, 1), 6: (6, 2, 1), 7: (6, 2, 1), 8: (8, 1, 0), 9: (9, 1, 0)}
+
+
 def test_normalized_code(spark):
     assert one(spark, duplicates.normalized_code(F.lit("a = 1 // x\n/* y */ b('z')"))) == "a=0 b('')"
 
