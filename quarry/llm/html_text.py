@@ -24,7 +24,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +77,22 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
-@cache
-def _flags(named: str) -> int:
+#: What is remembered of attribute values: this many, none longer than this. Longer ones are read anew.
+REMEMBERED, LONGEST = 1 << 14, 1000
+
+
+def _read_flags(named: str) -> int:
     spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()
     return sum(1 << k for k, words in enumerate(WORDS) if words.intersection(_SPLIT.findall(spaced)))
 
 
+_remembered_flags = lru_cache(REMEMBERED)(_read_flags)
+
+
+def _flags(named: str) -> int:
+    return _remembered_flags(named) if len(named) <= LONGEST else _read_flags(named)
+
+
 def parse(page: str) -> list[Node]:
     """Blocks in page order, the root first; leaves have kind ``#text``."""
     nodes = [Node(-1, "#root", 0)]
@@ -144,7 +154,7 @@ def parse(page: str) -> list[Node]:
         top = nodes[stack[-1]]
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if "=" in attributes else ""
         top.children.append(len(nodes))
-        nodes.append(Node(stack[-1], tag, top.depth + 1, _flags(named[:200]) if named else 0, hidden=top.hidden or tag in HIDDEN))
+        nodes.append(Node(stack[-1], tag, top.depth + 1, _flags(named) if named else 0, hidden=top.hidden or tag in HIDDEN))
         if not attributes.endswith("/"):
             stack.append(len(nodes) - 1)
     flush()

@@ -48,6 +48,14 @@ def test_page_with_everything():
     assert text(page) == "Big news Some text & more of it, with a bold word. It goes on for a while. A second paragraph, which is also long enough to be read as text."
 
 
+@pytest.mark.parametrize("before", [0, 30, 60, 400])
+def test_attributes_are_read_whole(before):
+    page = f"<div class='{'px-4 mt-2 ' * before}sidebar' id=cookie><p>x</p></div>"
+    assert m.parse(page)[1].flags == m.parse("<div class='sidebar cookie'><p>x</p></div>")[1].flags != 0
+    cut = "z" * 197 + " adverse"
+    assert m.parse(f"<div class='{cut}'>x</div>")[1].flags == 0
+
+
 def test_no_kept_node_has_a_dropped_parent():
     rng = random.Random(5)
     import numpy as np
