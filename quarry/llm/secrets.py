@@ -7,8 +7,8 @@ long hexadecimal run). The confirmed kinds are reported only if a candidate deco
 whose fields are those of PKCS#1, PKCS#8 or an EC key, or the OpenSSH format with its
 length-prefixed fields; ``pem``, a private-key block whose body decodes to one of those.
 
-Spans are code-point offsets, end exclusive. A text is looked at whole; three byte searches settle
-that most texts cannot hold any kind, and only the others are matched.
+Spans are code-point offsets, end exclusive. A text is looked at whole; byte searches, one for
+each kind or more, settle that most texts cannot hold it, and only the others are matched.
 
 Defined cases: a null or empty text has no spans; every row is judged by itself, so repeated rows
 and equal ids are no matter; an empty table gives an empty result; other columns are ignored,
@@ -44,6 +44,9 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _RUN = bytes(120 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-." else 32 for b in range(256))
 _LONG = b"x" * 32
+#: What every match of ``_JWT`` holds, letter by letter: the end of the header, a dot, the start of the payload.
+_PART = bytes(46 if chr(b) == "." else 120 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-" else 32 for b in range(256))
+_DOTTED = b"x" * 8 + b".xx"
 
 INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 
@@ -138,11 +141,12 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     if _LONG in data.translate(_RUN):
         spans += [("hex", *m.span()) for m in _LONG_HEX.finditer(text)]
-        spans += [("jwt", *m.span()) for m in _JWT.finditer(text) if signed_token(m[1], m[2])]
         for m in _ENCODED.finditer(text):
             as_hex = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", m[0]) else None
             if private_key(as_hex) or private_key(decoded(m[0])):
                 spans.append(("key", *m.span()))
+    if b"." in data and _DOTTED in data.translate(_PART):
+        spans += [("jwt", *m.span()) for m in _JWT.finditer(text) if signed_token(m[1], m[2])]
     if b"-----BEGIN " in data:
         spans += [("pem", *m.span()) for m in _PEM.finditer(text) if private_key(decoded(m[2]))]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

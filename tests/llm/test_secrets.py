@@ -72,6 +72,14 @@ def test_signed_tokens_are_confirmed_by_their_header():
     assert "jwt" not in kinds("some.long-dotted-name.of-a-host.example-which-is-long")
 
 
+def test_short_signed_tokens_are_found_alone():
+    short = "eyJhbGciOiJub25lIn0.e30."
+    for text in (short, f"é {short} x", f"{short} {'a' * 40}", "eyJhbGciOiIifQ.e30."):
+        (span,) = (s for s in m.find(text) if s[0] == "jwt")
+        assert text[span[1] : span[2]] in (short, "eyJhbGciOiIifQ.e30.")
+    assert kinds("a sentence that terminates. Another one-with-dashes.of names") == []
+
+
 def test_rows(spark):
     rows = [(1, None, "c"), (1, None, "c"), (None, "token=abcdefgh", "c"), (2, "x" * 2_000_000, "c")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, spans string")
