@@ -232,6 +232,13 @@ def dead_files_with_findings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("file").cast("long").alias("doc_id"), F.coalesce(F.size("security_patterns"), F.lit(0)).cast("long").alias("findings"))
 
 
+@query(_FOUND_SQL + """ SELECT documents.doc_id, count(found.doc_id) AS findings FROM documents LEFT JOIN found USING (doc_id) GROUP BY 1""")
+def files_with_findings(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("file"))
+    rows = patterns.with_findings(files, _findings(spark, d))
+    return rows.select(F.col("file").cast("long").alias("doc_id"), F.coalesce(F.size("security_patterns"), F.lit(0)).cast("long").alias("findings"))
+
+
 @query(f"""WITH {LINES_SQL.strip()}, q AS (SELECT doc_id, length(line_text) - length(replace(line_text, ',', '')) AS own, sum(length(line_text) - length(replace(line_text, ',', ''))) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM lines)
 SELECT doc_id, count(*) AS lines FROM q WHERE n % 2 = 0 OR own > 0 GROUP BY 1""")
 def line_parity_filter(spark: SparkSession, d: str) -> DataFrame:
