@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm._common import only, small_batches, table, written
 from quarry.llm.dart_minhash import signatures
@@ -239,8 +240,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, weights: Weights = unit_weights) -> DataFrame:
-    """doc_id, class_id, n_shingles: one row for each row of ``docs`` (doc_id, text)."""
+def _named(docs: DataFrame, weights: Weights = unit_weights) -> DataFrame:
+    """doc_id, s1, s2, n, class_id: one row for each row of ``docs`` (doc_id, text)."""
     sig = written(signed(docs, weights), "signed")
     worded = sig.filter("n > 0 AND doc_id IS NOT NULL")
     reps = written(worded.groupBy(F.col("s1").alias("r1"), F.col("s2").alias("r2")).agg(F.min("doc_id").alias("rep")), "reps")
@@ -248,15 +249,57 @@ def classes(docs: DataFrame, weights: Weights = unit_weights) -> DataFrame:
     named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("r1", "r2", F.coalesce("label", "rep").alias("_class"))
     same = (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")) & (F.col("n") > 0)
     return sig.select("doc_id", "s1", "s2", "n").join(named, same, "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("class_id"), F.col("n").alias("n_shingles")
+        "doc_id", "s1", "s2", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("class_id")
     )
 
 
+def classes(docs: DataFrame, weights: Weights = unit_weights) -> DataFrame:
+    """doc_id, class_id, n_shingles: one row for each row of ``docs`` (doc_id, text)."""
+    return _named(docs, weights).select("doc_id", "class_id", F.col("n").alias("n_shingles"))
+
+
+def _printed(bits):
+    """Whole rows, with their fingerprints, whose id has its bit or is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).field("doc_id").cast(pa.int64())
+            places = _places(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            wanted = (bits.value[places >> 6] >> (places & 63).astype("u8") & _U(1)).astype(bool)
+            rows = batch.column(0).filter(pa.array(wanted | ids.is_null().to_numpy(zero_copy_only=False)))
+            for k in range(0, len(rows), 300):
+                part = rows.slice(k, 300)
+                sets = [e for e, _ in shingle_sets(part.field("text").to_pylist(), SIZE)]
+                prints = [_fingerprint(e) for e in sets]
+                made = [pa.array(c, pa.int64()) for c in ([p[0] for p in prints], [p[1] for p in prints], [len(e) for e in sets])]
+                yield pa.RecordBatch.from_arrays([part.field("doc_id").cast(pa.int64()), *made, part], ["id", "s1", "s2", "n", "row"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class, columns as they were; null ids stay."""
-    kept = classes(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """The rows of ``docs`` whose doc_id names their class, columns as they were.
+
+    Of rows with equal doc_id and shingle set one stays, with the smallest text (among equal texts,
+    any). Rows with a null doc_id are in no class: one of those with equal sets stays, and all
+    without words.
+    """
+    named = written(_named(docs), "classes")
+    ids = named.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.expr("doc_id = class_id")).alias("names"))
+    ids = ids.filter("names")
+    single = docs.join(ids.filter("rows = 1").select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    repeated = ids.filter("rows > 1").select("_kept")
+    if repeated.isEmpty() and named.filter("doc_id IS NULL").isEmpty():
+        return single
+    # As in bucket_links: a bitmap settles which rows leave their place, the join which of them were meant.
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(repeated))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = StructType([*(StructField(c, LongType()) for c in ("id", "s1", "s2", "n")), *row.schema])
+    rows = written(row.mapInArrow(_printed(bits), schema), "repeated")
+    prints = named.filter("doc_id = class_id").join(repeated, F.col("doc_id") == F.col("_kept"), "left_semi").select(F.col("doc_id").alias("id"), "s1", "s2").distinct()
+    several = rows.join(prints, ["id", "s1", "s2"], "left_semi").unionByName(rows.filter("id IS NULL AND n > 0"))
+    one = several.groupBy("id", "s1", "s2").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return single.unionByName(one.select("row.*")).unionByName(rows.filter("id IS NULL AND n = 0").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,18 @@ def test_edges(spark):
     assert m.classes(frame.limit(0)).count() == 0
 
 
+def test_one_row_of_each_stays(spark):
+    one, two = "one two three four five six", "an own text of quite other words"
+    rows = [(1, one), (1, one), (1, "One, two three four five six!"), (2, one), (3, two), (4, None), (4, None), (5, one), (5, "yet another text with its words")]
+    rows += [(None, "a b c"), (None, "A b c"), (None, "a b c"), (None, None), (None, "")]
+    frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, s1 string, `a.b` string")
+    kept = m.one_of_each(frame)
+    assert kept.columns == frame.columns
+    got = [(r[0], r[1], r[2], r[3]) for r in kept.collect()]
+    want = [(1, "One, two three four five six!"), (3, two), (4, None), (5, "yet another text with its words"), (None, "A b c"), (None, None), (None, "")]
+    assert sorted(map(repr, got)) == sorted(repr((d, t, "x", "y")) for d, t in want)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.label for r in m.components(edges).collect()}
