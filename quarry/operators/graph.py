@@ -7,7 +7,6 @@ instead, in which only newly reached nodes are joined to the edges.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import deque
 
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.shared import shared_dir
 from quarry.shipping import ship
 
 TASK_EDGES = 2_000_000
@@ -24,11 +24,7 @@ NODE = "project string, node string, depth long"
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the folder that driver and executors share."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(spark.sparkContext, "_quarry_rounds_dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-rounds-")
-        spark.sparkContext._quarry_rounds_dir = at
-    path = f"{at.rstrip('/')}/quarry/rounds-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarry/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
