@@ -2,38 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quarry.shared import shared_dir
 from quarry.shipping import ship
 
-#: Rows of one Arrow batch handed to Python. Texts can be long, so it is kept small.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch handed to Python, whichever comes first; one row is the least.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a single machine) is a temporary folder made and recorded in
-    the session, so that one session always uses one folder.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(spark.sparkContext, "_quarry_shared_dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
-        spark.sparkContext._quarry_shared_dir = at
-    return at.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
@@ -43,10 +32,67 @@ def written(df: DataFrame, name: str) -> DataFrame:
     outlives any executor."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _scratch[-1].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Intermediate tables by the step that they belong to; the first list is the session's.
+_scratch: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def _delete_all(paths: list[tuple[SparkSession, str]]) -> None:
+    while paths:
+        delete_path(*paths.pop())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end: what needs them must be written
+    by then, under a path of its own. Those written outside any go when the driver's Python ends."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        _delete_all(_scratch.pop())
+
+
+@atexit.register
+def _at_the_end() -> None:
+    if _scratch[0] and _scratch[0][0][0].sparkContext._gateway is not None:
+        try:
+            _delete_all(_scratch[0])
+        except Exception:  # noqa: BLE001 - the JVM may be gone already, and its session with it
+            pass
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``written`` for what ``make`` gives; the tables that it wrote on its way are deleted then."""
+    with scratch():
+        out = make()
+        path = fresh_path(out.sparkSession, name)
+        out.write.parquet(path)
+    _scratch[-1].append((out.sparkSession, path))
+    return out.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns renamed c0, c1, ...: no name of the caller's can clash or need quoting."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def as_row(df: DataFrame) -> DataFrame:
+    """One column, ``row``: the whole row as a struct."""
+    return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row"))
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: StructType | None = None) -> DataFrame:
+    """``mapInArrow`` that keeps the columns c0, c1, ... of ``numbered(df)`` and adds some."""
+    small_batches(df.sparkSession)
+    plain = numbered(df)
+    return plain.mapInArrow(run, StructType([*plain.schema, *(added or [])]))
+
+
 def written_once(df: DataFrame, name: str) -> DataFrame:
     """``written``, and the shuffle files that only this step needed are deleted when it ends."""
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -62,6 +108,7 @@ def small_batches(spark: SparkSession) -> None:
     """Make ready for Python workers: bound what one Arrow batch of whole texts can take."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -74,8 +121,6 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-
-
 def input_bytes(docs: DataFrame) -> int:
     """Bytes that ``docs`` reads, as the optimizer has it from its files; counted where it can't know."""
     known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -8,9 +8,11 @@ delay and the histogram of the canvas as shown, 64 bins of two bits a channel.
 coded, so that a text's bytes come back exactly as the frames' samples in order.
 
 Defined cases: a null text is empty, and the padding makes one row of zeros of it; bytes that are
-no readable GIF give null fields and the reason in ``error``; every row is judged by itself, so
+no readable GIF, that declare more than ``MOST_PIXELS`` and 256 pixels for each byte of the file
+(what ``encode`` writes stays below 200), or whose code stream is too short to fill its frame, give null fields and the reason in ``error``, before any memory is
+taken for the pixels they declare; every row is judged by itself, so
 repeated rows and equal ids are no matter; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quarry.llm._common import small_batches, table, written
+from quarry.llm._common import numbered, small_batches, table, written
 
 WIDTH, MOST_ROWS, PAD = 64, 1024, 64
+#: Pixels that a file of any size may declare, canvas and frames together, about 320 MB, and those for each of its bytes.
+MOST_PIXELS, MOST_RATIO = 1 << 26, 256
+#: Samples that one byte of a code stream can stand for at most: two codes of 4096 for three bytes.
+MOST_PER_BYTE = 4096
 DELAY_CS = 4
 BINS = 64
 
@@ -206,6 +213,9 @@ def decode(data: bytes) -> dict:
     at, common = 13, None
     if flags & 0x80:
         common, at = _palette(data, at, flags)
+    pixels, most = wide * high, MOST_PIXELS + MOST_RATIO * len(data)
+    if pixels > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((high, wide, 4), "u1")
     control, frames = (0, 0, None), []
     while True:
@@ -232,6 +242,11 @@ def decode(data: bytes) -> dict:
         if not 2 <= least <= 8:
             raise ValueError("the code size is out of range")
         stream, at = _joined(data, at + 1)
+        pixels += w * h
+        if w * h > MOST_PIXELS or pixels > most:
+            raise ValueError("the frames are too large")
+        if w * h > MOST_PER_BYTE * len(stream):
+            raise ValueError("a code stream is too short for its frame")
         samples = lzw_decode(stream, least, w * h)[: w * h]
         index = np.zeros(w * h, "u1")
         index[: len(samples)] = np.frombuffer(samples, "u1")
@@ -305,9 +320,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def media_columns(media: DataFrame) -> DataFrame:
     """The columns of ``media`` but its last, which holds GIF bytes, and what decoding gives."""
     small_batches(media.sparkSession)
-    *kept, last = media.schema.fields
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return media.mapInArrow(_decode, f"{plain}, {DECODED}")
+    plain = numbered(media)
+    names = media.columns[:-1]
+    added = StructType.fromDDL(DECODED)
+    return plain.mapInArrow(_decode, StructType([*plain.schema[:-1], *added])).toDF(*names, *added.names)
 
 
 def frames(decoded: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ page order, are the text.
 The trees are trained here, on pages made by ``example_page`` from a fixed seed whose main text is
 known. They are symmetric (one test a level), so a batch of nodes is scored with array operations.
 
-Defined cases: a null or empty page has empty text; broken markup is read as far as it goes, open
-elements end with their parents or the page; text in script, style, head, template and control
+Defined cases: a null or empty page has empty text; broken markup is read as far as it goes, in time
+proportional to its length, and open elements end with their parents or the page; text in script, style, head, template and control
 elements is never text of the page; every row is judged by itself, so repeated rows and equal ids
 are no matter; an empty table gives an empty result; other columns are ignored, whatever their
 names. Pages are read whole.
@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm._common import small_batches, table
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S
-)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: quotes count only right after an equals sign. Nothing is tried twice.
+_REST = re.compile(r"""(?:=\s*+(?:"[^"]*+"|'[^']*+'|)|[^>=]++)*+>""")
+_ZEROS, _PAST_ALL = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: Fixed values of HTML: elements without content, elements inside a line, and elements whose content is never page text.
@@ -93,6 +94,61 @@ def _flags(named: str) -> int:
     return _remembered_flags(named) if len(named) <= LONGEST else _read_flags(named)
 
 
+def tokens(page: str) -> Iterator[tuple[str | None, bool, str, int]]:
+    """Pieces of a page: (None, False, text, end) or (tag, closing, attributes, end).
+
+    The caller may send a place to go on from. Once a tag's quotes run to the end of the page, or no
+    tag end is left, quotes no longer count, so a page is read once whatever is wrong with it.
+    """
+    at, size, loose = 0, len(page), False
+    while at < size:
+        start = page.find("<", at)
+        if start != at:
+            end = size if start < 0 else start
+            yield None, False, page[at:end], end
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, at + 1)
+        if name is None and page[at + 1 : at + 2] not in ("!", "?"):
+            yield None, False, "<", at + 1
+            at += 1
+            continue
+        close = page.find(">", at)
+        if close < 0:
+            yield None, False, page[at:], size
+            return
+        if name is None:
+            at = close + 1
+            continue
+        rest = None if loose else _REST.match(page, name.end())
+        if rest is None:
+            loose, end = True, max(close + 1, name.end())
+        else:
+            end = rest.end()
+        sent = yield name[1].lower(), page[at + 1] == "/", page[name.end() : end - 1], end
+        at = end if sent is None else sent
+        if sent is not None:
+            yield None, False, "", at
+
+
+def _after(page: str, tag: str, at: int) -> int:
+    """Where the content of a raw element ends, with its closing tag."""
+    found = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
+    end = page.find(">", found.end()) if found else -1
+    return len(page) if end < 0 else end + 1
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded. Numbers past every character are taken out first: Python reads none of over 4,300 digits."""
+    if "&#" in text:
+        text = _PAST_ALL.sub("\ufffd", _ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
 def parse(page: str) -> list[Node]:
     """Blocks in page order, the root first; leaves have kind ``#text``."""
     nodes = [Node(-1, "#root", 0)]
@@ -102,7 +158,7 @@ def parse(page: str) -> list[Node]:
 
     def flush() -> None:
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join(unescaped("".join(run)).split())
             if text:
                 top = stack[-1]
                 nodes[top].children.append(len(nodes))
@@ -110,23 +166,24 @@ def parse(page: str) -> list[Node]:
             run.clear()
         links[1] = 0
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2] or m[5]
+    still_open: dict[str, int] = {}
+
+    def drop(first: int) -> None:
+        for k in stack[first:]:
+            still_open[nodes[k].kind] -= 1
+        del stack[first:]
+
+    pieces = tokens(page)
+    for tag, closing, piece, at in pieces:
         if tag is None:
-            piece = m[0]
-            if not piece.startswith(("<!", "<?")):
-                run.append(piece)
-                if links[0]:
-                    links[1] += len(piece)
+            run.append(piece)
+            if links[0]:
+                links[1] += len(piece)
             continue
-        tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        attributes = "" if closing else piece
         if tag in RAW:
             if not closing and not (tag == "svg" and attributes.endswith("/")):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+                pieces.send(_after(page, tag, at))
             continue
         if tag in INLINE:
             if tag == "a":
@@ -138,17 +195,15 @@ def parse(page: str) -> list[Node]:
         flush()
         links[0] = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].kind == tag:
-                    del stack[k:]
-                    break
+            if still_open.get(tag):
+                drop(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].kind == tag))
             continue
         if tag in _ENDS_P and nodes[stack[-1]].kind == "p":
-            stack.pop()
+            drop(len(stack) - 1)
         while len(stack) > 1 and nodes[stack[-1]].kind in _SAME.get(tag, ()):
-            stack.pop()
+            drop(len(stack) - 1)
         if tag == "body" and nodes[stack[-1]].kind == "head":
-            stack.pop()
+            drop(len(stack) - 1)
         if tag == "hr":
             continue
         top = nodes[stack[-1]]
@@ -157,6 +212,7 @@ def parse(page: str) -> list[Node]:
         nodes.append(Node(stack[-1], tag, top.depth + 1, _flags(named) if named else 0, hidden=top.hidden or tag in HIDDEN))
         if not attributes.endswith("/"):
             stack.append(len(nodes) - 1)
+            still_open[tag] = still_open.get(tag, 0) + 1
     flush()
     return nodes
 
@@ -294,6 +350,10 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[str]:
     return [x.text for k, x in enumerate(nodes) if x.kind == "#text" and kept[k]]
 
 
+#: Starts main text in made pages.
+MARK = "\ue000"
+
+
 def example_page(rng: random.Random) -> tuple[str, list[bool]]:
     """A made page, and for each of its text leaves in order whether it is main text.
 
@@ -306,7 +366,7 @@ def example_page(rng: random.Random) -> tuple[str, list[bool]]:
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     sentence = lambda: words(2, 16).capitalize() + pick(". . . ? ! ;".split())
     prose = lambda a, b: " ".join(sentence() for _ in range(rng.randint(a, b)))
-    yes = ""
+    yes = MARK
     named = lambda *names: pick(["", f' class="{pick(names)}"', f' id="{pick(names)}"', f' class="{word()} {pick(names)}-{word()}"', f' class="{word()}"'])
 
     def links(n: int) -> str:
@@ -392,22 +452,34 @@ def trained(pages: int = 700, seed: int = 11) -> Trees:
         nodes = parse(example_page(rng)[0])
         y = np.zeros(len(nodes))
         for k in range(len(nodes) - 1, 0, -1):
-            if "" in nodes[k].text:
+            if MARK in nodes[k].text:
                 y[k] = 1
-                nodes[k].text = nodes[k].text.replace("", "")
+                nodes[k].text = nodes[k].text.replace(MARK, "")
             y[nodes[k].parent] = max(y[nodes[k].parent], y[k])
         xs.append(features(nodes))
         ys.append(y)
     return boost(np.concatenate(xs), np.concatenate(ys))
 
 
+#: Nodes that are scored at a time.
+NODES = 20_000
+
+
 def extract(pages: list[str | None], trees: Trees) -> list[str]:
-    parsed = [parse(p or "") for p in pages]
-    if not parsed:
-        return []
-    odds = trees.odds(np.concatenate([features(n) for n in parsed]))
-    ends = np.cumsum([len(n) for n in parsed])
-    return [" ".join(decode(n, odds[e - len(n) : e])) for n, e in zip(parsed, ends, strict=True)]
+    out: list[str] = []
+    held: list[list[Node]] = []
+
+    def scored() -> None:
+        odds = trees.odds(np.concatenate([features(n) for n in held]))
+        ends = np.cumsum([len(n) for n in held])
+        out.extend(" ".join(decode(n, odds[e - len(n) : e])) for n, e in zip(held, ends, strict=True))
+        held.clear()
+
+    for k, page in enumerate(pages):
+        held.append(parse(page or ""))
+        if sum(map(len, held)) > NODES or k == len(pages) - 1:
+            scored()
+    return out
 
 
 def _extract(trees: Trees, at: int):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import only, small_batches, table, written
+from quarry.llm._common import mapped, only, small_batches, table, written
 
 KEEP_FROM = 0.7
 #: Share of the pooled covariance in each class's, and of the identity in the result.
@@ -197,7 +197,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, least: float = KEEP_FROM)
     small_batches(docs.sparkSession)
     # Measuring every document twice costs less than sending the labelled texts through a shuffle.
     model = fit(measured(docs), labels)
-    return docs.mapInArrow(_keep(model, docs.columns.index("text"), least), docs.schema)
+    return mapped(docs, _keep(model, docs.columns.index("text"), least)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,14 +37,16 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "jwt", "key", "pem")
 
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: Runs of token letters joined by dots; any three of its parts in a row may be a signed token.
+_PARTS = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+#: A block's body ends at the next five dashes, whatever they begin, so blocks are read once each.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9]++(?: [A-Z0-9]++)*+)-----((?:[A-Za-z0-9+/=\s:,]|-(?!----))*+)-----END \1-----")
 
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _RUN = bytes(120 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-." else 32 for b in range(256))
 _LONG = b"x" * 32
-#: What every match of ``_JWT`` holds, letter by letter: the end of the header, a dot, the start of the payload.
+#: What every signed token holds, letter by letter: the end of the header, a dot, the start of the payload.
 _PART = bytes(46 if chr(b) == "." else 120 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-" else 32 for b in range(256))
 _DOTTED = b"x" * 8 + b".xx"
 
@@ -128,6 +130,18 @@ def signed_token(header: str, payload: str) -> bool:
     return isinstance(parsed[0], dict) and isinstance(parsed[0].get("alg"), str) and isinstance(parsed[1], dict)
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost spans of header, payload and signature, none overlapping."""
+    for run in _PARTS.finditer(text):
+        parts, at, done = run[0].split("."), run.start(), 0
+        for k in range(len(parts) - 2):
+            size = len(parts[k]) + len(parts[k + 1]) + len(parts[k + 2]) + 2
+            if k >= done and len(parts[k]) >= 8 and len(parts[k + 1]) >= 2 and signed_token(parts[k], parts[k + 1]):
+                yield at, at + size
+                done = k + 3
+            at += len(parts[k]) + 1
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed."""
     if not text:
@@ -146,9 +160,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if private_key(as_hex) or private_key(decoded(m[0])):
                 spans.append(("key", *m.span()))
     if b"." in data and _DOTTED in data.translate(_PART):
-        spans += [("jwt", *m.span()) for m in _JWT.finditer(text) if signed_token(m[1], m[2])]
+        spans += [("jwt", *s) for s in signed_tokens(text)]
     if b"-----BEGIN " in data:
-        spans += [("pem", *m.span()) for m in _PEM.finditer(text) if private_key(decoded(m[2]))]
+        spans += [("pem", *m.span()) for m in _PEM.finditer(text) if m[1].endswith("PRIVATE KEY") and private_key(decoded(m[2]))]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

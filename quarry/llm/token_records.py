@@ -24,6 +24,7 @@ index; other columns are ignored, whatever their names. Documents are tokenized
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -74,6 +75,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The cut rule is that of the byte-level pre-tokenizer; with any other, texts are encoded whole.
+        parts = json.loads(self.tokenizer.to_str())
+        kind = parts["pre_tokenizer"] or {}
+        self.cuts = (
+            (kind.get("type"), kind.get("add_prefix_space"), kind.get("use_regex")) == ("ByteLevel", False, True)
+            and parts["normalizer"] is None and parts["post_processor"] is None and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
+        )
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         if hasattr(self.tokenizer.model, "_resize_cache"):
@@ -91,9 +99,9 @@ class Encoder:
         known = self.known
         cut: list[list[str] | None] = []
         for t in texts:
-            data = t.encode("utf-8", "surrogatepass")
+            data = t.encode("utf-8", "surrogatepass") if self.cuts else b""
             rare = any(b in data for b in _RARE_BYTES) and _RARE_SPACE.search(t)
-            cut.append(None if rare or any(s in t for s in self.special) else _PIECE.findall(t))
+            cut.append(None if rare or not self.cuts or any(s in t for s in self.special) else _PIECE.findall(t))
         found = [None if pieces is None else list(map(known.get, pieces)) for pieces in cut]
         lacking = [k for k, got in enumerate(found) if got is not None and None in got]
         fresh: set[str] = set()

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -27,8 +28,8 @@ def test_held_out_pages():
     rng, right = random.Random(1234), 0
     for _ in range(120):
         page = m.example_page(rng)[0]
-        want = " ".join(n.text.replace("", "") for n in m.parse(page) if "" in n.text)
-        right += text(page.replace("", "")) == want
+        want = " ".join(n.text.replace(m.MARK, "") for n in m.parse(page) if m.MARK in n.text)
+        right += text(page.replace(m.MARK, "")) == want
     assert right >= 100
 
 
@@ -73,3 +74,19 @@ def test_edges(spark):
     got = m.main_text(pages).collect()
     assert sorted(r.n_chars for r in got)[:2] == [0, 0] and max(r.n_chars for r in got) > 400_000
     assert m.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "unit", ["<a b='", '<a b="', "<a ", "<!x", "<!--", "</script", "<script", "<div>", "</p>", "<p x=\"1' y='2\">", "&#", "&#9", "id=\"", "<svg>", "<li>"]
+)
+def test_hostile_pages_take_linear_time(unit):
+    for page in (unit * (1_000_000 // len(unit)), f"<article>{unit * (1_000_000 // len(unit))}", "<div>" * 50_000 + "</p>" * 50_000 + unit):
+        began = time.perf_counter()
+        m.parse(page)
+        assert time.perf_counter() - began < 20
+
+
+def test_tag_ends_and_references():
+    assert [n.text for n in m.parse("<p title='a > b'>x</p><p don't>y</p><p a=\"open>z</p>") if n.kind == "#text"] == ["x", "y", "z"]
+    assert m.unescaped("&#" + "0" * 9000 + "65;&#" + "9" * 9000 + ";&#x41;&amp;") == "A\ufffdA&"
+    assert [n.text for n in m.parse("a<script>var x = '</scripty>';</script >b< c") if n.kind == "#text"] == ["ab< c"]
