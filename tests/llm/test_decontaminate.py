@@ -1,3 +1,8 @@
+import random
+import time
+
+import numpy as np
+
 from quarry.llm import decontaminate as m
 from tests.parity import SF, same
 
@@ -14,17 +19,43 @@ def test_edges_against_brute_force(spark):
         (7, f"{ITEM} " * 300), (8, "été w3"), (9, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 " * 2),
     ]
     items = [(10, ITEM), (2, "short item"), (2, "short item"), (3, ""), (4, None), (None, "été"), (7, ITEM)]
-    frame = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, _found string")
+    frame = spark.createDataFrame([(d, t, "clash", 1, 2) for d, t in docs], "doc_id long, text string, found string, `a.b` int, c0 int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(m.expected(docs, items))
+    assert sorted(tuple(r) for r in m.contamination(frame, bench).collect()) == want
     for size in (1 << 20, 40):
-        rows = m.contamination(frame.drop("_found"), bench).collect() if size > 100 else None
-        if rows:
-            assert sorted(tuple(r) for r in rows) == want
-        else:
-            found = m.scanned(frame.select("doc_id", "text"), bench, size).select("doc_id", m._hit().alias("n")).collect()
-            assert sorted((r.doc_id, r.n) for r in found) == sorted((w[0], w[2]) for w in want)
-    assert m.contamination(frame, bench).count() == len(docs)
+        found = m.scanned(frame.select("doc_id", "text"), bench, size).select("c0", m._hit().alias("n"), "found.items").collect()
+        assert sorted((r.c0, r.n, len(r["items"])) for r in found) == sorted((w[0], w[2], w[3]) for w in want)
+    clean = m.clean_documents(frame, bench)
+    assert clean.columns == frame.columns
+    assert sorted(tuple(r) for r in clean.collect()) == sorted((d, t, "clash", 1, 2) for d, t in docs if not m.expected([(d, t)], items)[0][5])
+
+
+def test_random_texts_against_brute_force():
+    rng = random.Random(8)
+    for turn in range(60):
+        letters = [f"w{k}" for k in range(rng.choice([2, 4, 30]))]
+        items = [(k % 7, " ".join(rng.choices(letters, k=rng.choice([1, 2, 5, 12, 13, 14, 20, 40])))) for k in range(rng.randint(1, 12))]
+        docs = []
+        for d in range(rng.randint(1, 12)):
+            parts = [" ".join(rng.choices([*letters, "other"], k=rng.randint(0, 20))) for _ in range(4)]
+            parts.insert(2, " ".join(rng.choice(items)[1].split()[: rng.randint(1, 40)]))
+            docs.append((d, " ".join(parts * rng.choice([1, 1, 12]))))
+        counts, runs, own = m.Windows(items).scan([t for _, t in docs])
+        got = [(d, int(n), int((r[:, 1] - r[:, 0]).sum()), len(o)) for (d, _), n, r, o in zip(docs, counts, runs, own)]
+        assert got == [w[:4] for w in m.expected(docs, items)], turn
+
+
+def test_a_large_benchmark_is_one_automaton():
+    rng = np.random.default_rng(0)
+    items = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, 200) % 60_000)) for k in range(8000)]
+    size = sum(len(t) for _, t in items)
+    began = time.perf_counter()
+    windows = m.Windows(items)
+    held = sum(v.nbytes for v in vars(windows).values() if hasattr(v, "nbytes"))
+    assert held < 40 * 8000 * 200 and size < m.BLOCK_BYTES and time.perf_counter() - began < 60
+    counts, runs, own = windows.scan([items[5][1], f"x {items[7][1]} y", "nothing here"])
+    assert own[0].tolist() == [5] and own[1].tolist() == [7] and [r.tolist() for r in runs] == [[[0, 200]], [[1, 201]], []]
 
 
 def test_clean_documents_keep_columns(spark):
