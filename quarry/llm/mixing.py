@@ -10,12 +10,17 @@ permuted, disjoint runs, and rows are ordered by a hash inside a shard.
 
 No task sees a whole source: documents are spread over hash buckets whatever their source, a
 stream position is a bucket's offset plus a running sum inside the bucket, and only one row per
-source and bucket takes part in the offsets.
+source and bucket takes part in the offsets. Sources stay a table: the driver sees their number, the
+documents' and the blocks', nothing that grows with them. The tree's root is one row with an entry
+for each source; further down a node has entries only for sources with blocks in it, so all leaves
+together have at most one for each block. Pieces meet the tree's blocks by a sort-merge join on
+source and block, which no source can heat: it has as many keys as blocks.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a
-document of size 0 is returned with nothing taken; rows that share doc_id and source count as one
-document; an empty table gives an empty mix; other columns are ignored, whatever their names.
-Draws depend on the seed, ids and sizes only, so reruns agree.
+document of size 0 is returned with nothing taken; every row is a document of its own, rows that are
+equal in doc_id, source and text included; an empty table gives an empty mix; other columns are
+ignored or kept, whatever their names. Draws depend on the seed, ids, sizes and texts only, so
+reruns agree.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import table, written
+from quarry.llm._common import as_row, table, written
 
 #: A word, the weights in order of source, the share of all sizes, and the most a source gives.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,18 +39,20 @@ SHARE = 1.5
 MOST = 2
 #: Multipliers of the block permutation; primes, so that one that does not divide a count is coprime to it.
 PRIMES = (15485863, 1299709, 999983)
-#: Sources up to this many rows are broadcast; beyond it they are joined like any table.
+#: Up to so many sources, counted first, their table is broadcast to the documents; more are joined by
+#: shuffle, where the hottest source is split by the adaptive skew join.
 BROADCAST_SOURCES = 50_000
 
 
+def _size(text: str = "text") -> F.Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and a hash of the text that orders rows of equal id."""
-    return docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("text").alias("_tie"),
-    )
+    """doc_id, source, size in words, tie (a hash of the text) and copy (from 1, of rows equal in all these)."""
+    rows = docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("tie"))
+    per = rows.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("copies"))
+    return per.select("doc_id", "source", "size", "tie", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -115,109 +122,98 @@ def hypergeometric(pool: F.Column, good: F.Column, draws: F.Column, u: F.Column)
 
 
 def _deal(counts: F.Column, take: F.Column, seed: int, *keys: F.Column) -> F.Column:
-    """array<long>: how many of each source's blocks are among ``take`` of them, one draw per source."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    """array<long>: how many blocks of each entry are among ``take`` of them all, one draw per entry."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["have"])
     state = F.struct(total.alias("pool"), take.cast("long").alias("need"), F.array().cast("array<bigint>").alias("got"))
 
-    def step(acc, i):
-        have = F.get(counts, i)
-        got = hypergeometric(acc["pool"], have, acc["need"], _uniform(F.lit(seed), *keys, i))
+    def step(acc, x):
+        got = hypergeometric(acc["pool"], x["have"], acc["need"], _uniform(F.lit(seed), *keys, x["sid"]))
         return F.transform(
-            F.array(got), lambda x: F.struct((acc["pool"] - have).alias("pool"), (acc["need"] - x).alias("need"), F.concat(acc["got"], F.array(x)).alias("got"))
+            F.array(got), lambda n: F.struct((acc["pool"] - x["have"]).alias("pool"), (acc["need"] - n).alias("need"), F.concat(acc["got"], F.array(n)).alias("got"))
         )[0]
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(counts) - 1), state, step, lambda acc: acc["got"])
+    return F.aggregate(counts, state, step, lambda acc: acc["got"])
 
 
-def splitting_tree(spark: SparkSession, counts: list[int], shards: int, seed: int) -> DataFrame:
+def splitting_tree(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     """shard, sid, first, blocks: the run of a source's permuted blocks that each shard gets.
 
-    ``counts`` has one number per source. Levels are row-wise projections: a node's row becomes
-    its children's rows, and carries how many blocks of each source lie left of it.
+    ``counts``: sid, blocks. Levels are row-wise projections: a node's row becomes its children's
+    rows. An entry of a node is a source with blocks there, and how many of its blocks lie left of it.
     """
-    if not counts:
-        return spark.range(0).select(*(F.lit(0).cast("long").alias(c) for c in ("shard", "sid", "first", "blocks")))
-    longs = lambda xs: F.array(*(F.lit(int(x)).cast("long") for x in xs))
-    nodes = spark.range(1).select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("n"), longs(counts).alias("counts"), longs([0] * len(counts)).alias("left"))
+    entry = F.struct(F.col("sid").cast("long").alias("sid"), F.col("blocks").cast("long").alias("have"), F.lit(0).cast("long").alias("left"))
+    root = counts.filter("blocks > 0").agg(F.array_sort(F.collect_list(entry)).alias("counts"))
+    nodes = root.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("n"), "counts")
     width, level = 1, 0
     while width < shards:
         half = F.floor(F.col("n") / 2).cast("long")
-        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x["have"])
         take = F.round(total * half / F.col("n")).cast("long")
         dealt = nodes.withColumn("half", half).withColumn("dealt", F.when(F.col("n") > 1, _deal(F.col("counts"), take, seed, F.col("lo"), F.col("n"))))
-        child = lambda lo, n, have, left: F.struct(lo.alias("lo"), n.alias("n"), have.alias("counts"), left.alias("left"))
-        minus = F.zip_with("counts", "dealt", lambda a, b: a - b)
-        plus = F.zip_with("left", "dealt", lambda a, b: a + b)
-        both = F.array(
-            child(F.col("lo"), F.col("half"), F.col("dealt"), F.col("left")),
-            child(F.col("lo") + F.col("half"), F.col("n") - F.col("half"), minus, plus),
-        )
-        same = F.array(child(F.col("lo"), F.col("n"), F.col("counts"), F.col("left")))
+        child = lambda lo, n, have: F.struct(lo.alias("lo"), n.alias("n"), F.filter(have, lambda x: x["have"] > 0).alias("counts"))
+        part = lambda x, have, left: F.struct(x["sid"].alias("sid"), have.alias("have"), left.alias("left"))
+        lower = F.zip_with("counts", "dealt", lambda x, n: part(x, n, x["left"]))
+        upper = F.zip_with("counts", "dealt", lambda x, n: part(x, x["have"] - n, x["left"] + n))
+        both = F.array(child(F.col("lo"), F.col("half"), lower), child(F.col("lo") + F.col("half"), F.col("n") - F.col("half"), upper))
+        same = F.array(child(F.col("lo"), F.col("n"), F.col("counts")))
         nodes = dealt.select(F.explode(F.when(F.col("n") > 1, both).otherwise(same)).alias("c")).select("c.*")
         width, level = width * 2, level + 1
-        if level == 8:
+        if level % 8 == 0:
             nodes = nodes.repartition("lo")
-    return nodes.select(F.col("lo").alias("shard"), F.posexplode(F.arrays_zip("counts", "left")).alias("sid", "x")).select(
-        "shard", F.col("sid").cast("long").alias("sid"), F.col("x.left").alias("first"), F.col("x.counts").alias("blocks")
+    return nodes.select(F.col("lo").alias("shard"), F.explode("counts").alias("x")).select(
+        "shard", F.col("x.sid").alias("sid"), F.col("x.left").alias("first"), F.col("x.have").alias("blocks")
     )
 
 
 def streams(sized: DataFrame, sources: DataFrame, docs: int, few: bool, seed: int, docs_per_bucket: int = 2000) -> DataFrame:
     """Every document with its place in the stream of its source: ``begin``, and the source's row."""
     buckets = max(256, ceil(docs / docs_per_bucket))
-    small = F.broadcast(sources) if few else sources
-    there = small.select(F.col("source").alias("_source"), "sid", "source_size", "target", "quota")
-    rows = sized.join(there, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)).cast("int"))
+    there = sources.select(F.col("source").alias("_source"), F.col("sid").cast("long").alias("sid"), "source_size", "target", "quota")
+    rows = sized.join(F.broadcast(there) if few else there.hint("merge"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "copy"), F.lit(buckets)).cast("int"))
     per = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     offsets = per.select(
         "sid", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")
     )
-    inside = Window.partitionBy("bucket", "sid").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("bucket", "sid").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "tie", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return placed.join(offsets, ["bucket", "sid"]).withColumn("begin", F.col("offset") + F.col("before")).drop("offset", "before", "bucket")
 
 
-def plan(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, list]:
-    """The documents' stream places, the sources with quotas, and the sources' rows on the driver."""
-    sized = written(sizes(docs), "mix-sizes")
-    sources = written(source_targets(sized).withColumn("quota", F.round("target").cast("long")), "mix-sources")
-    # One row per source: what the tree's root has to hold in any case.
-    rows = sources.orderBy("sid").collect()
-    return streams(sized, sources, sum(r["docs"] for r in rows), len(rows) <= BROADCAST_SOURCES, seed), sources, rows
-
-
 def mix(docs: DataFrame, block_words: int = 4096, shard_blocks: int = 256, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The documents placed in their streams, and the pieces of the mix.
 
-    A piece: shard, place (order inside the shard), doc_id, source, word_start, word_end (the
-    words of the document that it takes), pass (0, or 1 for the second time round).
+    A piece: shard, place (order inside the shard), doc_id, source, tie, copy, word_start, word_end
+    (the words of the document that it takes), pass (0, or 1 for the second time round).
     """
-    spark = docs.sparkSession
-    placed, _, rows = plan(docs, block_words, seed)
-    counts = [ceil(r["quota"] / block_words) for r in rows]
-    shards = max(1, ceil(sum(counts) / shard_blocks))
-    tree = splitting_tree(spark, counts, shards, seed)
-    runs = tree.filter("blocks > 0").select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("drawn"))
-    size = F.col("quota")
-    ends = placed.select("doc_id", "source", "sid", "size", "source_size", "quota", "begin", F.explode(F.array(*(F.lit(e).cast("long") for e in range(MOST)))).alias("pass"))
-    ends = ends.withColumn("from", F.col("pass") * F.col("source_size") + F.col("begin")).withColumn("to", F.least(F.col("from") + F.col("size"), size)).filter("to > from")
+    blocks = F.ceil(F.col("quota") / block_words).cast("long")
+    sized = written(sizes(docs), "mix-sizes")
+    sources = written(source_targets(sized).withColumn("quota", F.round("target").cast("long")).withColumn("blocks", blocks), "mix-sources")
+    told = sources.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks")).first()
+    placed = streams(sized, sources, told["docs"], told["sources"] <= BROADCAST_SOURCES, seed)
+    tree = splitting_tree(sources.select("sid", "blocks"), max(1, ceil(told["blocks"] / shard_blocks)), seed)
+    runs = tree.select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("drawn"))
+    ends = placed.select("doc_id", "source", "tie", "copy", "sid", "size", "source_size", "quota", "begin", F.explode(F.array(*(F.lit(e).cast("long") for e in range(MOST)))).alias("pass"))
+    ends = ends.withColumn("from", F.col("pass") * F.col("source_size") + F.col("begin")).withColumn("to", F.least(F.col("from") + F.col("size"), "quota")).filter("to > from")
     block = lambda c: F.floor(c / block_words).cast("long")
     cut = ends.withColumn("block", F.explode(F.sequence(block(F.col("from")), block(F.col("to") - 1))))
     edge = F.col("block") * block_words
-    blocks = F.ceil(F.col("quota") / block_words).cast("long")
     factor = F.coalesce(*(F.when(blocks % p != 0, F.lit(p)) for p in PRIMES), F.lit(1)).cast("long")
     cut = cut.select(
         "doc_id",
         "source",
-        F.col("sid").cast("long").alias("sid"),
+        "tie",
+        "copy",
+        "size",
+        "sid",
         "pass",
         F.pmod(F.col("block") * factor, blocks).alias("drawn"),
         (F.greatest(F.col("from"), edge) - F.col("from")).alias("word_start"),
         (F.least(F.col("to"), edge + block_words) - F.col("from")).alias("word_end"),
     )
-    pieces = cut.join(runs, ["sid", "drawn"]).withColumn("place", F.xxhash64(F.lit(seed + 2), "doc_id", "pass", "word_start"))
-    return placed, pieces.select("shard", "place", "doc_id", "source", "pass", "word_start", "word_end")
+    # One row for each block of the mix: too many to broadcast, and more than the planner can tell.
+    pieces = cut.join(runs.hint("merge"), ["sid", "drawn"]).withColumn("place", F.xxhash64(F.lit(seed + 2), "doc_id", "tie", "copy", "pass", "word_start"))
+    return placed, pieces.select("shard", "place", "doc_id", "source", "tie", "copy", "size", "pass", "word_start", "word_end")
 
 
 def first_words(text: F.Column, n: F.Column) -> F.Column:
@@ -233,24 +229,35 @@ def mixed_documents(docs: DataFrame, block_words: int = 4096, shard_blocks: int
     twice is there twice. ``n_chars`` follows the text where it was cut.
     """
     _, pieces = mix(docs, block_words, shard_blocks, seed)
-    taken = pieces.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "pass").agg(F.max("word_end").alias("_words"))
-    have = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    joined = have.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")))
-    text = F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
-    cut = joined.withColumn("text", text)
+    key = lambda d, s, t: F.struct(F.col(d).alias("d"), F.col(s).alias("s"), t.alias("t"))
+    words = F.sum(F.col("word_end") - F.col("word_start"))
+    each = pieces.groupBy(key("doc_id", "source", F.col("tie")).alias("key"), "copy", "pass", "size").agg(words.alias("words"))
+    # Equal rows are alike, so it is enough how many of them a pass takes whole, and how much of one more.
+    whole = lambda p: F.count_if((F.col("pass") == p) & (F.col("words") == F.col("size"))).alias(f"whole{p}")
+    part = lambda p: F.coalesce(F.max(F.when((F.col("pass") == p) & (F.col("words") < F.col("size")), F.col("words"))), F.lit(0).cast("long")).alias(f"part{p}")
+    taken = each.groupBy("key").agg(*(f(p) for p in range(MOST) for f in (whole, part)))
+    have = as_row(docs).select("row", key("row.doc_id", "row.source", F.xxhash64("row.text")).alias("key"))
+    joined = have.join(taken, "key").withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    size = _size("row.text")
+    takes = F.array(*(F.when(F.col("copy") <= F.col(f"whole{p}"), size).when(F.col("copy") == F.col(f"whole{p}") + 1, F.col(f"part{p}")).otherwise(0) for p in range(MOST)))
+    rows = joined.withColumn("size", size).withColumn("words", F.explode(F.filter(takes, lambda n: n > 0)))
+    text = F.when(F.col("words") < F.col("size"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
+    cut = rows.select(F.col("row").withField("text", text).alias("row"), (F.col("words") < F.col("size")).alias("cut"))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        n_chars = F.when(F.col("cut"), F.char_length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        cut = cut.withColumn("row", F.col("row").withField("n_chars", n_chars))
+    return cut.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, pieces = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     zero = F.lit(0).cast("long")
-    every = placed.select("doc_id", "source", "size", "source_size", "target", zero.alias("taken"), zero.alias("pieces")).unionByName(
+    own = ("doc_id", "source", "tie", "copy")
+    every = placed.select(*own, "size", "source_size", "target", zero.alias("taken"), zero.alias("pieces")).unionByName(
         pieces.select(
-            "doc_id", "source", zero.alias("size"), zero.alias("source_size"), F.lit(0.0).alias("target"), (F.col("word_end") - F.col("word_start")).alias("taken"), F.lit(1).cast("long").alias("pieces")
+            *own, zero.alias("size"), zero.alias("source_size"), F.lit(0.0).alias("target"), (F.col("word_end") - F.col("word_start")).alias("taken"), F.lit(1).cast("long").alias("pieces")
         )
     )
-    return every.groupBy("doc_id", "source").agg(
+    return every.groupBy(*own).agg(
         F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("pieces").alias("n_pieces")
-    ).drop("source")
+    ).drop("source", "tie", "copy")

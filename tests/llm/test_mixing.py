@@ -76,7 +76,8 @@ def test_query_bounds(spark):
 
 
 def test_tree_is_exact_at_every_shard(spark):
-    rows = m.splitting_tree(spark, [1000, 0, 7, 333], 13, 5).collect()
+    counts = spark.createDataFrame(list(enumerate([1000, 0, 7, 333])), "sid int, blocks long")
+    rows = m.splitting_tree(counts, 13, 5).collect()
     per_source, per_shard = Counter(), Counter()
     runs = {}
     for r in rows:
@@ -104,3 +105,75 @@ def test_hypergeometric_distribution(spark):
 def test_cut_documents_keep_their_white_space(spark):
     text = spark.range(1).select(m.first_words(F.lit(" a  b\tc d"), F.lit(3)).alias("x")).first()["x"]
     assert text == " a  b\tc"
+
+
+def plain_streams(rows, block_words, seed, spark):
+    """Words that the mix takes of each row, from the streams alone: the front of each, going round."""
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    order = m.streams(m.sizes(frame), m.source_targets(m.sizes(frame)).withColumn("quota", F.round("target").cast("long")), len(rows), True, seed).collect()
+    out = Counter()
+    by_source = {}
+    for r in order:
+        by_source.setdefault(r.source, []).append(r)
+    for s, own in by_source.items():
+        left = own[0].quota
+        for turn in range(2):
+            for r in sorted(own, key=lambda r: (r.begin, r.begin + r.size)):
+                took = min(left, r.size)
+                left -= took
+                out[r.doc_id, r.source, r.tie, r.copy] += took
+    return out
+
+
+def rows_of_kinds():
+    rows = [(i, f"s{i % 4}", "w " * (i % 37)) for i in range(120)] + [(500, None, "a b c"), (501, "hot", "x " * 3000), (502, "s1", None), (503, "", "one"), (None, None, None)]
+    return rows + [(1, "s1", "equal rows stay rows of their own " * 3)] * 9 + [(1, "s2", "equal rows")] * 2 + [(None, "s1", "no id")] * 3
+
+
+def test_taken_against_the_streams(spark):
+    rows = rows_of_kinds()
+    want = plain_streams(rows, 16, 7, spark)
+    for few in (50_000, 0):
+        m.BROADCAST_SOURCES, before = few, m.BROADCAST_SOURCES
+        try:
+            placed, pieces = m.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_words=16, shard_blocks=4)
+            got = Counter()
+            for p in pieces.collect():
+                got[p.doc_id, p.source, p.tie, p.copy] += p.word_end - p.word_start
+            assert placed.count() == len(rows) == len(want)
+            assert got == +want
+        finally:
+            m.BROADCAST_SOURCES = before
+
+
+def test_documents_follow_the_pieces_and_keep_columns(spark):
+    rows = rows_of_kinds()
+    names = "doc_id long, source string, text string, n_chars int, `a.b` int, _id int, _from int, pass int, copy int, key int, row int, tie int, size int"
+    frame = spark.createDataFrame([(d, s, t, len(t or ""), k, 1, 2, 3, 4, 5, 6, 7, 8) for k, (d, s, t) in enumerate(rows)], names)
+    out = m.mixed_documents(frame, block_words=16, shard_blocks=4)
+    assert out.columns == frame.columns
+    got = out.collect()
+    _, pieces = m.mix(frame, block_words=16, shard_blocks=4)
+    want = Counter()
+    for p in pieces.collect():
+        want[p.doc_id, p.source, p.tie, p.copy, p["pass"]] += p.word_end - p.word_start
+    told = lambda pairs: sorted(map(repr, pairs))
+    assert told((r.doc_id, r.source, len(r.text.split())) for r in got) == told((k[0], k[1], n) for k, n in want.items())
+    assert all(r.n_chars == len(r.text) and (r._id, r["pass"], r["key"], r["size"]) == (1, 3, 5, 8) and rows[r["a.b"]][:2] == (r.doc_id, r.source) for r in got)
+    per_row = Counter(r["a.b"] for r in got)
+    assert max(per_row.values()) <= 2
+
+
+def test_blocks_meet_by_shuffle_however_many(spark):
+    rows = [(i, f"s{i % 3}", "w " * 50) for i in range(400)]
+    _, pieces = m.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_words=1, shard_blocks=64)
+    assert pieces.count() == 30_000
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [sid" in plan and "BroadcastHashJoin [sid" not in plan
+
+
+def test_rows_of_equal_id_are_documents_of_their_own(spark):
+    rows = [(1, "a", "one two three")] * 4 + [(1, "b", "one")]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    placed, _ = m.mix(frame)
+    assert placed.count() == 5 and m.mixed_documents(frame).count() >= 5
