@@ -5,10 +5,18 @@ a class is what links connect. Texts with equal shingle sets are one representat
 start, so copies are never paired. Signatures of 96 coordinates make 24 bands of 4; two texts with
 a similarity of 0.8 share none of them with a probability of 3 in a million.
 
-Each bucket of a band is settled exactly, whatever its size: buckets with the same members are
-settled once; one of more than ``BLOCK`` members is dealt into blocks, and each pair of blocks is
-a group of its own, so no task holds a bucket. In a group the shared shingles of all members give
-all their intersections as matrix products, and what leaves it is a spanning forest of its links.
+Each bucket of a band is settled exactly, whatever its size; buckets with the same members are
+settled once. In a group the shared shingles of all members give all their intersections as matrix
+products, and what leaves it is a spanning forest of its links. A bucket of up to ``BLOCK`` members
+is one group. Larger ones take three steps, none of which grows with the square of a bucket:
+
+1. Each member meets ``BLOCK`` members that a hash picks as the bucket's pivots, in blocks. What is
+   linked so far makes classes; a bucket of one class is done with, as large groups of near copies are.
+2. Members of the others form one exact similarity join by prefix filter: shingles are ordered by how
+   few members have them, and two sets that are similar enough share one of their first 20 %. What
+   unlike texts have in common is common to many, so it is not among those.
+3. The members that share such a shingle are compared across classes only, in blocks of one large
+   class or of several small ones.
 
 Defined cases: a null text, or one without words, is like no other and is its own class; a text of
 fewer than five words is one shingle; a null doc_id has a null class; rows of equal doc_id and text
@@ -26,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.llm._common import only, small_batches, table, written
+from quarry.llm._common import as_row, only, small_batches, table, written
 from quarry.llm.dart_minhash import signatures
 from quarry.llm.shingles import mixed, shingle_sets
 
@@ -83,39 +91,46 @@ def signed(docs: DataFrame, weights: Weights = unit_weights) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sign(weights), "doc_id long, s1 long, s2 long, n long, bands array<long>")
 
 
-#: Bits of the filter that tells which documents' sets may be wanted: 1 MiB, whatever the input.
-FILTER_BITS = 1 << 23
+#: Bits of the filter for each id that it is made for, and the most ids it is made for: 32 MB of bits.
+#: More ids take a semi-join instead, which gives the same rows.
+ID_BITS, MOST_IDS = 8, 1 << 25
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype("i8").view("u8")) % _U(FILTER_BITS)).astype("i8")
+class IdFilter:
+    """A bitmap, sized by their number, in which every id given has its bit."""
 
+    def __init__(self, ids: DataFrame, n: int):
+        self.size = 1 << max(16, (ID_BITS * n - 1).bit_length())
+        told = ids.mapInArrow(self._bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        bits = np.zeros(self.size // 64, "i8")
+        bits[told.column("at").to_numpy()] = told.column("word").to_numpy()
+        self.sent = ids.sparkSession.sparkContext.broadcast(bits.view("u8"))
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS // 64, "u8")
-    for batch in batches:
-        places = _places(batch.column(0).to_numpy(zero_copy_only=False))
-        np.bitwise_or.at(bits, places >> 6, _U(1) << (places & 63).astype("u8"))
-    at = np.flatnonzero(bits)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view("i8"))], ["at", "word"])
+    def __getstate__(self):
+        return {"size": self.size, "sent": getattr(self, "sent", None)}
+
+    def _places(self, ids: np.ndarray) -> np.ndarray:
+        return (mixed(ids.astype("i8").view("u8")) % _U(self.size)).astype("i8")
 
+    def _bits(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(self.size // 64, "u8")
+        for batch in batches:
+            places = self._places(batch.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(bits, places >> 6, _U(1) << (places & 63).astype("u8"))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view("i8"))], ["at", "word"])
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which every id of ``ids`` (one column) has its bit."""
-    words = ids.mapInArrow(_bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect()
-    bits = np.zeros(FILTER_BITS // 64, "i8")
-    for r in words:
-        bits[r["at"]] = r["word"]
-    return bits.view("u8")
+    def may_have(self, ids: np.ndarray) -> np.ndarray:
+        places = self._places(ids)
+        return (self.sent.value[places >> 6] >> (places & 63).astype("u8") & _U(1)).astype(bool)
 
 
-def _sets(bits):
+def _sets(wanted: IdFilter | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            places = _places(ids)
-            batch = batch.filter(pa.array((bits.value[places >> 6] >> (places & 63).astype("u8") & _U(1)).astype(bool)))
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.may_have(batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False))))
             for k in range(0, batch.num_rows, 300):
                 part = batch.slice(k, 300)
                 sets = [e for e, _ in shingle_sets(part.column(1).to_pylist(), SIZE)]
@@ -127,6 +142,21 @@ def _sets(bits):
     return run
 
 
+def sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """rep, s1, shingles of the ``members`` (rep, s1) and perhaps of some others: the caller joins.
+
+    Texts stay where they are: a bitmap settles which sets to make.
+    """
+    ids = members.select("rep").distinct()
+    n = ids.count()
+    rows = docs.select("doc_id", "text")
+    if n <= MOST_IDS:
+        made = rows.mapInArrow(_sets(IdFilter(ids, n)), "rep long, s1 long, shingles binary")
+    else:
+        made = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets(None), "rep long, s1 long, shingles binary")
+    return made.dropDuplicates(["rep", "s1"])
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, from the shingles that more than one set has."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -198,6 +228,66 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done
 
 
+def _linked(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """u < v: links inside each group (key, a, b), across sides where it has several."""
+    held = groups.join(sets_of(docs, groups), ["rep", "s1"]).select("key", "a", "b", "side", "rep", "s1", "shingles")
+    return held.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_link, "u long, v long").distinct()
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set's shingles, given with the number of sets that have them, the first few in rising order of that."""
+    for batch in batches:
+        out: list[tuple] = []
+        for rep, s1, label, n, pairs in zip(*(batch.column(k) for k in range(5)), strict=True):
+            flat = np.array([(p["count"], p["e"]) for p in pairs.as_py()], "i8").reshape(-1, 2)
+            # Those that no other set has are not sent: they come first and take up their places.
+            room = n.as_py() - int(np.ceil(LEAST * n.as_py() - 1e-9)) + 1 - (n.as_py() - len(flat))
+            for e in flat[np.lexsort((flat[:, 1], flat[:, 0]))[: max(0, room)], 1].tolist():
+                out.append((e, rep.as_py(), s1.as_py(), label.as_py()))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "rep", "s1", "label"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 100):
+            part = batch.slice(k, 100)
+            sets = [np.frombuffer(c.as_buffer(), "i8") for c in part.column(3)]
+            sizes = np.array([len(x) for x in sets])
+            held = [np.repeat(part.column(c).to_numpy(), sizes) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(h) for h in held), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], ["rep", "s1", "label", "n", "e"])
+
+
+def prefix_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Groups (key, a, b, side, rep, s1) that hold every pair of similar enough ``members`` (rep, s1, label) of different labels.
+
+    ``key`` is a shingle that the pair shares among its first; the side is the label.
+    """
+    sets = members.join(sets_of(docs, members), ["rep", "s1"]).select("rep", "s1", "label", "shingles")
+    each = written(sets.mapInArrow(_exploded, "rep long, s1 long, label long, n long, e long"), "shingles")
+    # A shingle that only one label has can't link two.
+    shared = each.groupBy("e").agg(F.count(F.lit(1)).alias("count"), F.min("label").alias("low"), F.max("label").alias("high")).filter("count > 1")
+    known = each.join(shared, "e").groupBy("rep", "s1", "label", "n").agg(F.collect_list(F.struct("count", "e")).alias("pairs"))
+    first = known.mapInArrow(_prefixes, "key long, rep long, s1 long, label long")
+    across = shared.filter("low < high").select(F.col("e").alias("key"))
+    first = written(first.join(across, "key", "left_semi"), "prefixes")
+    per = first.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own"))
+    small = F.sum(F.when(F.col("own") <= BLOCK, F.col("own")).otherwise(0))
+    totals = per.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.ceil(small / BLOCK).cast("long").alias("bins")).filter("labels > 1").drop("labels")
+    large = F.col("own") > BLOCK
+    sub = F.pmod(F.xxhash64(F.lit(3), "rep"), F.ceil(F.col("own") / BLOCK).cast("long"))
+    dealt = first.join(per, ["key", "label"]).join(totals, "key").select(
+        "key", "rep", "s1", "label", F.when(large, F.col("label")).alias("large"),
+        F.when(large, F.xxhash64("label", sub)).otherwise(F.pmod(F.xxhash64(F.lit(4), "label"), F.greatest("bins", F.lit(1)))).alias("block"),
+    )
+    dealt = written(dealt, "dealt")
+    one = dealt.select("key", F.col("block").alias("a"), F.col("large").alias("la")).distinct()
+    two = dealt.select("key", F.col("block").alias("b"), F.col("large").alias("lb")).distinct()
+    met = one.join(two, "key").filter("a <= b AND NOT coalesce(la = lb, false)").select("key", "a", "b")
+    sides = met.select("key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    return dealt.join(sides, ["key", "block"]).select("key", "a", "b", F.col("label").alias("side"), "rep", "s1")
+
+
 def bucket_links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
     """u < v: a spanning forest of the links inside every bucket."""
     own = sig.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")))
@@ -208,17 +298,25 @@ def bucket_links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep", "s1")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep", "s1")).alias("y"), F.min("rep").alias("low"), F.max("rep").alias("high")
     )
     once = buckets.filter("low < high").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
-    members = rows.join(once.select("key", "m"), "key")
     n = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = members.withColumn("side", F.pmod(F.xxhash64(F.lit(2), "rep"), n).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    members = members.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "rep", "s1")
-    members = written(members, "members")
-    # Texts stay where they are: a bitmap settles which sets to make, the join which of them were meant.
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(members.select("rep")))
-    sets = docs.select("doc_id", "text").mapInArrow(_sets(bits), "rep long, s1 long, shingles binary").dropDuplicates(["rep", "s1"])
-    grouped = members.join(sets, ["rep", "s1"]).select("key", "a", "b", "side", "rep", "s1", "shingles").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return grouped.mapInArrow(_link, "u long, v long").distinct()
+    members = rows.join(once.select("key", "m"), "key").withColumn("side", F.pmod(F.xxhash64(F.lit(2), "rep"), n).cast("long"))
+    members = written(members.select("key", "m", "side", "rep", "s1"), "members")
+    zero = F.lit(0).cast("long")
+    # Side 0 are the pivots, which meet every block; the others meet them only.
+    last = F.when(F.col("side") == 0, n.cast("long") - 1).otherwise(F.col("side"))
+    groups = members.withColumn("b", F.explode(F.sequence(F.col("side"), last))).select("key", zero.alias("a"), "b", "side", "rep", "s1")
+    found = _linked(groups, docs)
+    large = members.filter(F.col("m") > BLOCK)
+    if large.isEmpty():
+        return found
+    found = written(found, "links")
+    labels = components(found).withColumnRenamed("node", "rep")
+    labelled = large.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    open_still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    rest = written(labelled.join(open_still, "key", "left_semi").select("rep", "s1", "label").distinct(), "unlike")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(_linked(written(prefix_groups(docs, rest), "groups"), docs)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,15 +356,14 @@ def classes(docs: DataFrame, weights: Weights = unit_weights) -> DataFrame:
     return _named(docs, weights).select("doc_id", "class_id", F.col("n").alias("n_shingles"))
 
 
-def _printed(bits):
+def _printed(wanted: IdFilter):
     """Whole rows, with their fingerprints, whose id has its bit or is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).field("doc_id").cast(pa.int64())
-            places = _places(ids.fill_null(0).to_numpy(zero_copy_only=False))
-            wanted = (bits.value[places >> 6] >> (places & 63).astype("u8") & _U(1)).astype(bool)
-            rows = batch.column(0).filter(pa.array(wanted | ids.is_null().to_numpy(zero_copy_only=False)))
+            may = wanted.may_have(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            rows = batch.column(0).filter(pa.array(may | ids.is_null().to_numpy(zero_copy_only=False)))
             for k in range(0, len(rows), 300):
                 part = rows.slice(k, 300)
                 sets = [e for e, _ in shingle_sets(part.field("text").to_pylist(), SIZE)]
@@ -285,21 +382,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     without words.
     """
     named = written(_named(docs), "classes")
-    ids = named.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.expr("doc_id = class_id")).alias("names"))
-    ids = ids.filter("names")
-    single = docs.join(ids.filter("rows = 1").select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    repeated = ids.filter("rows > 1").select("_kept")
-    if repeated.isEmpty() and named.filter("doc_id IS NULL").isEmpty():
-        return single
-    # As in bucket_links: a bitmap settles which rows leave their place, the join which of them were meant.
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(repeated))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    ids = named.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.expr("doc_id = class_id")).alias("names"))
+    ids = written(ids.filter("names"), "kept")
+    row = as_row(docs)
+    single = row.join(ids.filter("rows = 1").select("kept"), F.col("row.doc_id") == F.col("kept"), "left_semi")
+    repeated = ids.filter("rows > 1").select("kept")
+    several = repeated.count()
+    if not several and named.filter("doc_id IS NULL").isEmpty():
+        return single.select("row.*")
+    # As in ``sets_of``: a bitmap settles which rows leave their place, the join which of them were meant.
     schema = StructType([*(StructField(c, LongType()) for c in ("id", "s1", "s2", "n")), *row.schema])
-    rows = written(row.mapInArrow(_printed(bits), schema), "repeated")
-    prints = named.filter("doc_id = class_id").join(repeated, F.col("doc_id") == F.col("_kept"), "left_semi").select(F.col("doc_id").alias("id"), "s1", "s2").distinct()
-    several = rows.join(prints, ["id", "s1", "s2"], "left_semi").unionByName(rows.filter("id IS NULL AND n > 0"))
-    one = several.groupBy("id", "s1", "s2").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
-    return single.unionByName(one.select("row.*")).unionByName(rows.filter("id IS NULL AND n = 0").select("row.*"))
+    rows = written(row.mapInArrow(_printed(IdFilter(repeated, min(several, MOST_IDS))), schema), "repeated")
+    prints = named.filter("doc_id = class_id").join(repeated, F.col("doc_id") == F.col("kept"), "left_semi").select(F.col("doc_id").alias("id"), "s1", "s2").distinct()
+    more = rows.join(prints, ["id", "s1", "s2"], "left_semi").unionByName(rows.filter("id IS NULL AND n > 0"))
+    one = more.groupBy("id", "s1", "s2").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return single.unionByName(one.select("row")).unionByName(rows.filter("id IS NULL AND n = 0").select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

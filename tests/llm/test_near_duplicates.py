@@ -2,6 +2,8 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import dart_minhash
 from quarry.llm import near_duplicates as m
@@ -83,7 +85,7 @@ def test_one_row_of_each_stays(spark):
     one, two = "one two three four five six", "an own text of quite other words"
     rows = [(1, one), (1, one), (1, "One, two three four five six!"), (2, one), (3, two), (4, None), (4, None), (5, one), (5, "yet another text with its words")]
     rows += [(None, "a b c"), (None, "A b c"), (None, "a b c"), (None, None), (None, "")]
-    frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, s1 string, `a.b` string")
+    frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, kept string, `a.b` string")
     kept = m.one_of_each(frame)
     assert kept.columns == frame.columns
     got = [(r[0], r[1], r[2], r[3]) for r in kept.collect()]
@@ -110,3 +112,64 @@ def test_signatures_do_not_depend_on_the_batch():
     sets = [(e, np.ones(len(e))) for e, _ in shingle_sets(["a b c d e f g", "h i j k l m", "a b"])]
     whole = dart_minhash.signatures(sets, 32)
     assert all((dart_minhash.signatures([s], 32)[0] == w).all() for s, w in zip(sets, whole, strict=True))
+
+
+def boilerplate(rng, n, share, words=120):
+    """Texts that have a run of words in common and differ in the rest."""
+    common = [f"c{k}" for k in range(int(words * share))]
+    return [" ".join(common + [f"u{rng.randrange(10**9)}" for _ in range(words - len(common))]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("share", [0.5, 0.7, 0.86])
+def test_large_buckets_of_unlike_texts(spark, monkeypatch, share):
+    monkeypatch.setattr(m, "BLOCK", 16)
+    rng = random.Random(6)
+    texts = boilerplate(rng, 150, share)
+    texts += [" ".join(t.split()[:-1] + ["x"]) for t in texts[:40]]
+    texts += [" ".join([*(f"n{k}" for k in range(60)), f"v{k}"]) for k in range(70)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_unlike_texts_of_a_bucket_are_not_paired(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 32)
+    counts = []
+    for n in (200, 800):
+        rows = list(enumerate(boilerplate(random.Random(7), n, 0.7)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        members = docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("label")).join(m.signed(docs).select(F.col("doc_id").alias("rep"), "s1"), "rep")
+        counts.append(m.prefix_groups(docs, members).count())
+    # All pairs of blocks would be 16 times as many.
+    assert counts[1] <= 5 * max(counts[0], 100)
+
+
+def test_ids_by_filter_and_by_join_agree(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k // 3}x{j}" for j in range(40))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for most in (1 << 25, 3):
+        monkeypatch.setattr(m, "MOST_IDS", most)
+        got.append(sorted(map(tuple, m.classes(frame).collect())))
+    assert got[0] == got[1] and all(c == d - d % 3 for d, c, _ in got[0])
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs with a similarity just above 0.8: all but a few in a million are met, so of these all are found."""
+    rng = random.Random(9)
+    rows, near = [], 0
+    for pair in range(1500):
+        words = [f"p{pair}w{j}" for j in range(200)]
+        other = list(words)
+        at = rng.sample(range(0, 196, 7), 4)
+        for j in at[: rng.choice([3, 4])]:
+            other[j] = f"q{j}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    want = {}
+    for k in range(0, len(rows), 2):
+        want |= brute(rows[k : k + 2])
+    got = {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [d for d in want if d % 2 and want[d] != d]
+    assert len(near) > 1000
+    assert sum(got[d] == want[d] for d in near) / len(near) >= 0.999
