@@ -67,11 +67,14 @@ def _at_the_end() -> None:
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """``written`` for what ``make`` gives; the tables that it wrote on its way are deleted then."""
+    """``written`` for what ``make`` gives; the tables that it wrote on its way are deleted then, and
+    inside a ``scratch`` also what that held before, which is the input of a step that is done."""
     with scratch():
         out = make()
         path = fresh_path(out.sparkSession, name)
         out.write.parquet(path)
+    if len(_scratch) > 1:
+        _delete_all(_scratch[-1])
     _scratch[-1].append((out.sparkSession, path))
     return out.sparkSession.read.schema(out.schema).parquet(path)
 
