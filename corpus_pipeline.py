@@ -4,6 +4,16 @@ contaminated, mixed to target weights, and written as token records.
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last
 return the columns of ``documents``; the last returns the index of the records it wrote. A document
 that the mix takes twice has two records.
+
+What a stage wrote on its way is deleted once its output is written, and that output once the next
+stage's is, so of the corpus at most two copies stand in the shared folder. The records and their
+index, in ``<shared folder>/quarry/tokens-...``, are the product and stay.
+
+Defined cases, which are those of the stages in turn: a null or empty text is scored like any other,
+is like no other document, is not contaminated, and has no words, so the mix leaves it out; of
+repeated rows one stays; rows with a null doc_id are documents without a class; an empty table, or
+one of which nothing is kept, gives an empty index; without labels of both classes every document
+has the same score; extra columns go along to the mix, whatever their names, and end there.
 """
 
 from __future__ import annotations
@@ -11,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mixing, near_duplicates, quality, token_records
-from quarry.llm._common import table, written
+from quarry.llm._common import scratch, settled, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return apply(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages on ``docs``."""
+    with scratch():
+        for name, stage in STAGES[:-1]:
+            before = docs
+            docs = settled(lambda stage=stage, before=before: stage(spark, before, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        return STAGES[-1][1](spark, docs, sf_dir)
