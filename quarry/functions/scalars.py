@@ -145,9 +145,9 @@ def version(text: Column) -> Column:
 
 
 def update_type(current: Column, latest: Column) -> Column:
-    """major, minor, patch or none, by the first part that is higher."""
+    """major, minor or patch, by the first part that is higher; patch also where none is."""
     a, b = version(current), version(latest)
-    return F.when(b[0] > a[0], "major").when(b[1] > a[1], "minor").when(b[2] > a[2], "patch").otherwise("none")
+    return F.when(b[0] > a[0], "major").when(b[1] > a[1], "minor").otherwise("patch")
 
 
 def versions_behind_estimate(current: Column, latest: Column) -> Column:
@@ -155,52 +155,139 @@ def versions_behind_estimate(current: Column, latest: Column) -> Column:
     return F.greatest(F.lit(1), 10 * (b[0] - a[0]) + 3 * (b[1] - a[1]) + (b[2] - a[2]))
 
 
+def days_behind(current_released: Column, latest_released: Column) -> Column:
+    """Whole days from one release to the other; 0 where either date is missing."""
+    seconds = F.unix_timestamp(latest_released) - F.unix_timestamp(current_released)
+    return F.coalesce(F.floor(seconds / 86400), F.lit(0)).cast("long")
+
+
 def bump_type(tag: Column) -> Column:
-    v = version(tag)
-    return (
-        F.when(F.lower(tag).rlike("alpha|beta|rc|next|canary|pre"), "prerelease")
-        .when((v[1] == 0) & (v[2] == 0), "major")
-        .when(v[2] == 0, "minor")
-        .otherwise("patch")
-    )
+    """prerelease if the tag, without its v, says so or has a hyphen; stable otherwise."""
+    return F.when(F.regexp_replace(tag, "^v", "").rlike("alpha|beta|rc|-"), "prerelease").otherwise("stable")
+
+
+def fixed_version(advisory_range: Column) -> Column:
+    """The version after the first ``>`` or ``>=`` of a range."""
+    found = F.regexp_extract(advisory_range, r">=?\s*([\d.]+)", 1)
+    return F.when(found == "", "unknown").otherwise(F.coalesce(found, F.lit("unknown")))
+
+
+def major_available(current: Column, latest: Column) -> Column:
+    return version(latest)[0] > version(current)[0]
+
+
+def cost_of_waiting(worst_cve: Column, days: Column, deprecated: Column, maintained: Column) -> dict[str, Column]:
+    debt = F.when(days > 730, "significant").when(days > 365, "growing").when(days > 180, "moderate").otherwise("minimal")
+    return {
+        "security": F.when(worst_cve.isin("critical", "high"), "critical").when(worst_cve.isNotNull(), "high").otherwise("low"),
+        "features": F.when(days > 365, "medium").otherwise("low"),
+        "maintenance": F.when(days > 180, "medium").otherwise("low"),
+        "technical_debt": F.when(deprecated, "critical").when(~maintained, "high").otherwise(debt),
+    }
+
+
+def release_summary(body: Column) -> Column:
+    """The first plain line of release notes, else its first bullet, without marks, cut at 150 characters."""
+    lines = F.split(body, "\n", -1)
+    plain = F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^[#*|-]"))
+    bullets = F.filter(lines, lambda x: F.trim(x).startswith("- ") | F.trim(x).startswith("* "))
+    told = F.coalesce(F.get(plain, F.lit(0)), F.regexp_replace(F.get(bullets, F.lit(0)), r"^[-*]\s*", ""), F.lit(""))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.replace(told, F.lit("**"), F.lit("")), r"`([^`]+)`", "$1"), r"\[([^\]]+)\]\([^)]+\)", "$1"))
+    short = F.when(F.length(clean) > 150, F.concat(F.substring(clean, 1, 147), F.lit("..."))).when(clean == "", "See release notes").otherwise(clean)
+    return F.when(body.isNull() | (body == ""), "No release notes").otherwise(short)
 
 
 # --- licences ----------------------------------------------------------------------------------
 
-#: Words of each class, in the order they are tried.
+#: Names of each class, tried whole first, and words of each class, in the order they are tried.
+PERMISSIVE = (
+    "MIT", "ISC", "Unlicense", "CC0-1.0", "0BSD", "Apache-2.0", "Apache 2.0", "Apache-1.1", "BSD-2-Clause", "BSD-3-Clause",
+    "BSD-3-Clause-No-Nuclear-License", "BSD*", "Artistic-2.0", "Artistic-1.0", "Zlib", "zlib-acknowledgement", "PSF-2.0", "Python-2.0",
+    "Python-2.0-complete", "BlueOak-1.0.0", "CC-BY-3.0", "CC-BY-4.0", "AFL-3.0", "AFL-2.1", "MS-PL", "MulanPSL-2.0", "NCSA", "UPL-1.0",
+    "Unicode-DFS-2016", "Unicode-3.0", "X11", "curl", "libpng-2.0", "OFL-1.0", "OFL-1.1", "OpenSSL", "SSLeay", "PHP-3.0", "PHP-3.01",
+    "PostgreSQL", "W3C", "W3C-20150513", "Zope-2.0", "ECL-2.0", "EDL-1.0", "Boost-1.0", "BSL-1.0", "WTFPL", "Fair", "Beerware", "HPND",
+    "NTP", "Sendmail", "TCL", "Vim", "FTL", "FSFAP", "ICU", "SMLNJ", "AAL", "LPPL-1.3c", "LPPL-1.3a", "Naumen", "Multics", "Eurosym",
+    "blessing", "DWTFYWTPL", "JSON", "CC-PDDC", "Public Domain", "PUBLICDOMAIN",
+)
+COPYLEFT = (
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0+", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0+", "LGPL-2.0",
+    "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.0+", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1+", "LGPL-3.0",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-3.0+", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "MPL-1.1", "EPL-1.0",
+    "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "CDDL-1.0", "CDDL-1.1", "CPL-1.0", "IPL-1.0", "OSL-3.0", "OSL-2.1", "CECILL-2.1", "APSL-2.0",
+    "CPAL-1.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "RPL-1.5", "QPL-1.0",
+)
+RESTRICTIVE = (
+    "SSPL-1.0", "SSPL", "Commons-Clause", "CC-BY-NC-1.0", "CC-BY-NC-2.0", "CC-BY-NC-3.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-1.0", "CC-BY-NC-SA-2.0",
+    "CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-1.0", "CC-BY-ND-2.0", "CC-BY-ND-3.0", "CC-BY-ND-4.0", "Elastic-2.0", "BSL-1.1", "Sleepycat", "Watcom-1.0",
+)
 PERMISSIVE_WORDS = "MIT|APACHE|BSD|CC0|PUBLIC DOMAIN|WTFPL|ZLIB|OFL|OPEN FONT|BOOST|BSL-1\\.0|PYTHON|PSF|ARTISTIC|POSTGRESQL|W3C|BLUEOAK|UNICODE|JSON|CURL"
 PERMISSIVE_NAMES = ("ISC", "ISC LICENSE", "UNLICENSE", "UNLICENSED")
 COPYLEFT_WORDS = "GPL|MPL|EPL|EUPL|CDDL|OSL|CC-BY-SA"
 RESTRICTIVE_WORDS = "SSPL|COMMONS-CLAUSE|COMMONS CLAUSE|CC-BY-NC|CC-BY-ND|ELASTIC-2"
 
 
-def license_class(name: Column) -> Column:
-    """permissive, copyleft, restrictive or unknown. Permissive words win over the others in one expression."""
+def _named_license(name: Column) -> Column:
+    """The class of one name, not an expression; null where nothing tells it."""
     up = F.upper(name)
     return (
-        F.when(name.isNull() | name.isin("", "unknown"), "unknown")
+        F.when(name.isin(*PERMISSIVE), "permissive")
+        .when(name.isin(*COPYLEFT), "copyleft")
+        .when(name.isin(*RESTRICTIVE), "restrictive")
         .when(up.isin(*PERMISSIVE_NAMES) | up.rlike(PERMISSIVE_WORDS), "permissive")
         .when(up.rlike(COPYLEFT_WORDS), "copyleft")
         .when(up.rlike(RESTRICTIVE_WORDS) | (up == "BUSL-1.1"), "restrictive")
-        .otherwise("unknown")
     )
 
 
+def license_class(name: Column) -> Column:
+    """permissive, copyleft, restrictive or unknown.
+
+    Whole names first, then words, of which permissive ones win over the others. An expression that
+    neither tells has the strictest class of its parts.
+    """
+    parts = F.transform(F.split(F.regexp_replace(name, "[()]", ""), r"\s+(?:OR|AND)\s+"), lambda p: _named_license(F.trim(p)))
+    of_parts = F.when(F.array_contains(parts, "restrictive"), "restrictive").when(F.array_contains(parts, "copyleft"), "copyleft").when(F.array_contains(parts, "permissive"), "permissive")
+    told = F.coalesce(_named_license(name), F.when(name.contains(" OR ") | name.contains(" AND "), of_parts), F.lit("unknown"))
+    return F.when(name.isNull() | name.isin("", "unknown"), "unknown").otherwise(told)
+
+
+#: The dashboard's own scheme, words of each risk, in the order they are tried.
+HIGH_RISK = "GPL AGPL LGPL SSPL CC-BY-NC CC-BY-ND OSL SLEEPYCAT WATCOM RPL QPL".split()
+MEDIUM_RISK = "MPL EPL EUPL CDDL CPL IPL MS-RL CECILL APSL CPAL CC-BY-SA ELASTIC BSL".split()
+LOW_RISK = (
+    *"MIT ISC BSD Apache Unlicense CC0 WTFPL 0BSD ZLIB PSF PYTHON ARTISTIC PERL RUBY BLUEOAK CC-BY-3 CC-BY-4 AFL MS-PL MULANPSL NCSA UPL".split(),
+    *"SAX-PD UNICODE X11 CURL JSON LIBPNG LIBTIFF OFL SIL OPENSSL PHP POSTGRE FAIR W3C ZOPE ECL EDL NAUMEN MULTICS BOOST BST".split(),
+    "PUBLIC DOMAIN",
+    *"PUBLICDOMAIN AAL SIMPL LATEX LPPL HPND NTP POSTGRESQL SENDMAIL TCL VIM VOL FTL FSFAP ICU LIBTOOL MINPACK SMLNJ SPENCER BEERWARE DWTFYWTPL".split(),
+)
+
+
 def license_risk(name: Column) -> Column:
-    """The dashboard's own scheme: high, medium, low, unknown."""
+    """The dashboard's own scheme: high, medium, low, unknown.
+
+    Names are compared without case, so that Apache and Unlicense are low and not unknown.
+    """
     up = F.upper(name)
-    return (
-        F.when(name.isNull() | name.isin("", "unknown"), "unknown")
-        .when(up.rlike("(^|[^L])GPL|SSPL|BUSL"), "high")
-        .when(up.rlike("LGPL|MPL|EPL|CDDL"), "medium")
-        .otherwise("low")
-    )
+    any_of = lambda words: up.rlike("|".join(w.upper() for w in words))
+    return F.when(name.isNull(), "unknown").when(any_of(HIGH_RISK), "high").when(any_of(MEDIUM_RISK), "medium").when(any_of(LOW_RISK), "low").otherwise("unknown")
+
+
+def license_risk_rank(risk: Column) -> Column:
+    return F.when(risk == "high", 0).when(risk == "medium", 1).when(risk == "unknown", 2).otherwise(3)
+
+
+def license_duties(name: Column) -> dict[str, Column]:
+    """What a licence asks for: attribution, source disclosure, notes of modifications."""
+    risk = license_risk(name)
+    return {"attribution": ~F.upper(name).rlike("UNLICENSE|CC0|WTFPL"), "source_disclosure": risk == "high", "modifications": risk.isin("high", "medium")}
 
 
 # --- decay -------------------------------------------------------------------------------------
 
 #: The weight of each signal.
-WEIGHTS = {"velocity": 25, "imports": 25, "contributors": 12, "staleness": 13, "exports": 10, "fragility": 8, "size": 7}
+WEIGHTS = {"velocity": 25, "imports": 25, "contributors": 12, "staleness": 13, "mtime": 10, "fragility": 8, "exports": 7}
+#: Fixed value: files with fewer exports say nothing by the share of dead ones.
+LEAST_EXPORTS = 3
 
 
 def velocity_decline(c30: Column, c90: Column, c365: Column, weight: float = WEIGHTS["velocity"]) -> Column:
@@ -229,14 +316,23 @@ def contributor_withdrawal(recent: Column, ever: Column, c90: Column, weight: fl
 
 def staleness(days: Column, weight: float = WEIGHTS["staleness"]) -> Column:
     score = (
-        F.when(days.isNull() | (days < 180), 0.0)
-        .when(days < 365, weight * 0.5 * (days - 180) / 185)
-        .when(days < 730, weight * (0.5 + 0.35 * (days - 365) / 365))
+        F.when(days.isNull() | (days <= 180), 0.0)
+        .when(days <= 365, weight * 0.5 * (days - 180) / 185)
+        .when(days <= 730, weight * (0.5 + 0.35 * (days - 365) / 365))
         .otherwise(F.lit(float(weight)))
     )
     return half_up(score, 1)
 
 
+def mtime_staleness(days: Column, git_staleness: Column, weight: float = WEIGHTS["mtime"]) -> Column:
+    """Staleness by the file's own time, only where its history shows none."""
+    return F.when(git_staleness > 0, 0.0).otherwise(staleness(days, weight))
+
+
+def dead_export_share(dead: Column, total: Column, weight: float = WEIGHTS["exports"]) -> Column:
+    return half_up(F.when(F.coalesce(total, F.lit(0)) < LEAST_EXPORTS, 0.0).otherwise(weight * F.coalesce(dead, F.lit(0)) / total), 1)
+
+
 def import_fragility(importers: Column, weight: float = WEIGHTS["fragility"]) -> Column:
     return F.when(importers == 1, float(weight)).when(importers == 2, weight * 0.5).otherwise(0.0)
 

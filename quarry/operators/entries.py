@@ -41,6 +41,14 @@ def re_match(glob: str, path: str) -> bool:
     return re.match(glob_pattern(glob), path) is not None
 
 
+def glob_column(glob: Column) -> Column:
+    """``glob_pattern`` of a column, without braces and question marks."""
+    quoted = F.regexp_replace(glob, r"([.+()\[\]^$|{}\\])", r"\\$1")
+    crossing = F.replace(F.replace(quoted, F.lit("**/"), F.lit("\u0001")), F.lit("**"), F.lit("\u0002"))
+    inner = F.replace(crossing, F.lit("*"), F.lit("[^/]*"))
+    return F.concat(F.lit("^"), F.replace(F.replace(inner, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("\u0002"), F.lit(".*")), F.lit("$"))
+
+
 def by_globs(path: Column, globs: list[str]) -> Column:
     return path.rlike("|".join(map(glob_pattern, globs))) if globs else F.lit(False)
 

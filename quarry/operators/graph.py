@@ -7,14 +7,14 @@ instead, in which only newly reached nodes are joined to the edges.
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.shared import shared_dir
+from quarry.functions import scalars as S
+from quarry.shared import written
 from quarry.shipping import ship
 
 TASK_EDGES = 2_000_000
@@ -22,11 +22,7 @@ NODE = "project string, node string, depth long"
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the folder that driver and executors share."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "rounds")
 
 
 def _renewed(df: DataFrame, *columns: str) -> DataFrame:
@@ -201,6 +197,51 @@ def partly_dead(exports: DataFrame, usage: DataFrame, excluded: DataFrame | None
     return per_file.filter("live > 0 AND dead > 0")
 
 
+#: Exports that frameworks call by name.
+FRAMEWORK_EXPORTS = (
+    "GET POST PUT DELETE PATCH HEAD OPTIONS middleware config metadata viewport revalidate dynamic dynamicParams fetchCache runtime preferredRegion maxDuration "
+    "generateStaticParams generateMetadata generateViewport generateImageMetadata getServerSideProps getStaticProps getStaticPaths getInitialProps reportWebVitals "
+    "loader action links handle meta shouldRevalidate ErrorBoundary HydrateFallback headers load prerender csr ssr trailingSlash entries actions onRequest"
+).split()
+
+
+def vetoed(partly: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``partly_dead`` rows without the dead names that occur in any other file, which may be used in ways imports do not show.
+
+    ``tokens``: project, file, token of every file. ``default`` occurs everywhere and is never reported.
+    """
+    names = partly.select("project", "file", F.explode("dead_names").alias("name")).filter("name <> 'default'")
+    other = tokens.select("project", F.col("file").alias("_other"), F.col("token").alias("name")).distinct()
+    wanted = other.join(names.select("project", "name").distinct(), ["project", "name"], "left_semi")
+    ends = wanted.groupBy("project", "name").agg(F.min("_other").alias("_low"), F.max("_other").alias("_high"))
+    met = names.join(ends, ["project", "name"], "left")
+    alone = met.filter(F.col("_low").isNull() | ((F.col("_low") == F.col("file")) & (F.col("_high") == F.col("file"))))
+    left = alone.groupBy("project", "file").agg(F.array_sort(F.collect_set("name")).alias("dead_names"))
+    return partly.drop("dead_names", "dead").join(left, ["project", "file"]).withColumn("dead", F.size("dead_names").cast("long"))
+
+
+def by_dead_exports(partly: DataFrame) -> DataFrame:
+    return partly.orderBy(F.desc("dead"), "project", "file")
+
+
+def glob_seeds(files: DataFrame, globs: DataFrame) -> DataFrame:
+    """Files (project, node) that a glob in any file's code (project, file, glob) takes in, whether that file is reached or not.
+
+    Globs and files meet on the directory that the glob begins with, then by the glob's pattern.
+    """
+    from quarry.operators.entries import glob_column
+
+    fixed = F.regexp_replace("glob", r"/?[^/]*[*?{\[].*$", "")
+    folder = F.when(F.col("file").contains("/"), S.dirname(F.col("file"))).otherwise("")
+    base = F.when(fixed.startswith("/"), F.substring(fixed, 2, 2147483647)).otherwise(S.joined(folder, fixed))
+    tail = F.expr("substring(glob, length(_fixed) + 1)")
+    own = globs.withColumn("_fixed", fixed).select("project", base.alias("_base"), F.regexp_replace(tail, "^/", "").alias("_tail")).distinct()
+    above = files.select("project", "file", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.filter(S.ancestors(F.col("file")), lambda a: F.lit(True))))).alias("_base"))
+    met = above.join(own, ["project", "_base"])
+    rest = F.when(F.col("_base") == "", F.col("file")).otherwise(F.expr("substring(file, length(_base) + 2)"))
+    return met.withColumn("_rest", rest).filter(F.rlike(F.col("_rest"), glob_column(F.col("_tail")))).select("project", F.col("file").alias("node")).distinct()
+
+
 def used_packages(modules: DataFrame) -> DataFrame:
     """Package names (project, name) of import specifiers: two segments for scoped ones, else one."""
     m = F.col("module")

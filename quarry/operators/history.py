@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,28 +24,59 @@ def commit_buckets(commits: DataFrame, as_of: Column, days: tuple[int, ...] = BU
     )
 
 
+SIGNALS = ("velocity", "imports", "contributors", "staleness", "mtime", "fragility", "exports")
+#: Extensions of source files; others are expected to be stable.
+SOURCE_EXTENSIONS = (
+    "js ts jsx tsx mjs cjs py pyx pyi go java kt kts scala rb erb rs php cs fs fsx c h cpp hpp cc hh swift m mm dart ex exs hs lhs lua pl pm r clj cljs cljc "
+    "ml mli jl zig nim erl hrl groovy gradle cr v sh bash zsh ps1 cob cbl f90 f95 f03 vb svelte vue sol move"
+).split()
+
+
+def is_source(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, r"\."), -1)).isin(*SOURCE_EXTENSIONS)
+
+
+def with_previous_importers(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Adds ``previous_importers``: what the scan before had for the same file, null where it had none."""
+    before = previous.groupBy("file").agg(F.max("importer_count").alias("previous_importers"))
+    return current.join(before, "file", "left")
+
+
 def decay(files: DataFrame, as_of: Column) -> DataFrame:
     """Signals and total of each file's decline.
 
     ``files``: file, commits_30d, commits_90d, commits_365d, contributors_all, contributors_90d,
-    last_commit, importer_count, previous_importers, export_total, export_dead.
+    last_commit, mtime, importer_count, previous_importers, export_total, export_dead.
     """
     c = F.col
-    days = (F.unix_timestamp(as_of) - F.unix_timestamp(c("last_commit"))) / 86400.0
+    age = lambda ts: (F.unix_timestamp(as_of) - F.unix_timestamp(c(ts))) / 86400.0
+    stale = S.staleness(age("last_commit"))
     signals = files.select(
         "file",
         S.velocity_decline(c("commits_30d"), c("commits_90d"), c("commits_365d")).alias("velocity"),
         S.import_decline(c("importer_count"), c("previous_importers")).alias("imports"),
         S.contributor_withdrawal(c("contributors_90d"), c("contributors_all"), c("commits_90d")).alias("contributors"),
-        S.staleness(days).alias("staleness"),
-        S.half_up(F.coalesce(F.try_divide(c("export_dead") * 1.0, c("export_total")), F.lit(0.0)) * S.WEIGHTS["exports"], 1).alias("exports"),
+        stale.alias("staleness"),
+        S.mtime_staleness(age("mtime"), stale).alias("mtime"),
         S.import_fragility(c("importer_count")).alias("fragility"),
+        S.dead_export_share(c("export_dead"), c("export_total")).alias("exports"),
     )
-    total = sum((F.col(s) for s in ("velocity", "imports", "contributors", "staleness", "exports", "fragility")), F.lit(0.0))
-    scored = signals.withColumn("score", F.round(total, 1))
+    scored = signals.withColumn("score", F.round(sum((F.col(s) for s in SIGNALS), F.lit(0.0)), 1))
     return scored.withColumn("risk", S.decay_level(F.col("score")))
 
 
+def decay_candidates(scored: DataFrame, dead: DataFrame | None = None) -> DataFrame:
+    """Live source files at any risk, the highest score first."""
+    rows = scored.filter((F.col("risk") != "none") & is_source(F.col("file")))
+    if dead is not None:
+        rows = rows.join(dead.select("file"), "file", "left_anti")
+    return rows.orderBy(F.desc("score"), "file")
+
+
+def decay_summary(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("risk").agg(F.count(F.lit(1)).alias("files"))
+
+
 def scan_diff(previous: DataFrame, current: DataFrame, *key: str) -> DataFrame:
     """Every issue of either scan with its status: resolved, open or new. Other columns are the current's where it has one."""
     p = previous.select(*key, F.lit(True).alias("_before"), F.struct(*(c for c in previous.columns if c not in key)).alias("_p"))
@@ -78,8 +111,12 @@ def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def period(preset: str, as_of: Column) -> tuple[Column, Column]:
-    """Start and end of a reporting period: 30d, 90d, quarter, last-quarter, year, last-year."""
+    """Start and end of a reporting period: 30d, 90d, quarter, last-quarter, year, last-year, or one quarter, as in 2024-Q3."""
     quarter, year = F.date_trunc("quarter", as_of), F.date_trunc("year", as_of)
+    named = re.fullmatch(r"(\d{4})-?Q([1-4])", preset, re.I)
+    if named:
+        first = F.make_date(F.lit(int(named[1])), F.lit(3 * int(named[2]) - 2), F.lit(1)).cast("timestamp")
+        return first, F.add_months(first, 3).cast("timestamp")
     bounds = {
         "30d": (as_of - F.make_dt_interval(F.lit(30)), as_of),
         "90d": (as_of - F.make_dt_interval(F.lit(90)), as_of),
@@ -89,3 +126,38 @@ def period(preset: str, as_of: Column) -> tuple[Column, Column]:
         "last-year": (F.add_months(year, -12).cast("timestamp"), year),
     }
     return bounds[preset]
+
+
+def custom_range(first_day: str, last_day: str) -> tuple[Column, Column]:
+    """From the start of one day to the end of another, both included; in either order."""
+    a, b = sorted((first_day, last_day))
+    return F.to_timestamp(F.lit(a)), F.date_add(F.to_date(F.lit(b)), 1).cast("timestamp")
+
+
+def within(rows: DataFrame, ts: str, bounds: tuple[Column, Column]) -> DataFrame:
+    return rows.filter((F.col(ts) >= bounds[0]) & (F.col(ts) < bounds[1]))
+
+
+def by_month(scans: DataFrame) -> DataFrame:
+    """month, scans, waste, projects of scans (project, ts, waste)."""
+    return scans.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("scans"), F.sum("waste").alias("waste"), F.countDistinct("project").alias("projects"))
+
+
+def recent(scans: DataFrame, n: int, order: list) -> DataFrame:
+    return scans.orderBy(*order).limit(n)
+
+
+def project_stats(scans: DataFrame, value: str) -> DataFrame:
+    """project, scans, total, highest of scans (project, ``value``)."""
+    return scans.groupBy("project").agg(F.count(F.lit(1)).alias("scans"), F.sum(value).alias("total"), F.max(value).alias("highest"))
+
+
+def percent_of_total(rows: DataFrame, key: str) -> DataFrame:
+    """``key``, n, percent: one row for each value, and its share of all rows."""
+    per = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("_all")))).withColumn("percent", F.round(100.0 * F.col("n") / F.col("_all"), 4)).drop("_all")
+
+
+def scans_of_projects(scans: DataFrame, projects: DataFrame) -> DataFrame:
+    """Each scan once, with its project's row where there is one: a left join without repeats."""
+    return scans.join(projects, "project", "left").distinct()

@@ -41,7 +41,7 @@ RULES = (
 )
 #: Path segment, category, boost.
 PROXIMITY = (
-    ("auth", "authentication", "CRITICAL"), ("oauth", "authentication", "CRITICAL"), ("sso", "authentication", "CRITICAL"),
+    ("auth", "authentication", "CRITICAL"), ("login", "authentication", "CRITICAL"), ("oauth", "authentication", "CRITICAL"), ("sso", "authentication", "CRITICAL"),
     ("crypto", "cryptography", "CRITICAL"), ("encryption", "cryptography", "CRITICAL"), ("sandbox", "sandbox", "CRITICAL"),
     ("task-runner", "sandbox", "CRITICAL"), ("webhooks?", "webhooks", "HIGH"), ("api", "api", "MEDIUM"), ("graphql", "api", "MEDIUM"),
     ("admin", "admin", "HIGH"), ("payments?", "payment", "CRITICAL"), ("billing", "payment", "HIGH"), ("checkout", "payment", "HIGH"),
@@ -132,11 +132,30 @@ def boosted(severity: Column, boost: Column) -> Column:
     return F.when(boost.isNotNull() & (severity != "CRITICAL") & (rank(boost) >= rank(severity)), up).otherwise(severity)
 
 
+def _kept_lines(text: Column) -> Column:
+    """array<struct<line, text>> of the lines that are no comment, no sample, and not wholly inside a back-quoted text.
+
+    All lines of a file come from its one row, so they are judged in the row and nothing is
+    shuffled. The text between back quotes is every other piece of the lines cut at the quotes;
+    what lies between a piece's first and last line break is inside.
+    """
+    every = F.split(F.coalesce(text, F.lit("")), "\r?\n", -1)
+    plain = F.filter(F.transform(every, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda x: ~comment_line(x["text"]))
+    told = F.array_join(F.transform(plain, lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["text"])), "\n")
+    pieces = F.split(told, r"(?<!\\)`", -1)
+    last = F.size(pieces) - 1
+    closed = lambda p: F.regexp_replace(p, r"(?s)^([^\n]*\n).*\n", "$1")
+    unclosed = lambda p: F.substring_index(p, "\n", 1)
+    outside = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).when(i == last, unclosed(p)).otherwise(closed(p))), "`")
+    lines_ = F.when(F.contains(told, F.lit("`")), F.split(outside, "\n", -1)).otherwise(F.split(told, "\n", -1))
+    number = lambda x: F.substring_index(x, ":", 1).cast("int")
+    rows = F.transform(F.filter(lines_, lambda x: x != ""), lambda x: F.struct(number(x).alias("line"), F.regexp_replace(x, r"(?s)^\d+:", "").alias("text")))
+    return F.filter(rows, lambda x: ~example_line(x["text"], F.get(every, x["line"] - 2)))
+
+
 def scan(files: DataFrame, dead: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Findings of ``files`` (project, file, lang, content): one a line, the first rule's."""
-    rows = lines(files.select("project", "file", "lang", "content"))
-    rows = rows.withColumn("_before", F.lag("line_text").over(Window.partitionBy("project", "file").orderBy("line"))).filter(~comment_line(F.col("line_text")))
-    rows = outside_template(rows, "project", "file").filter(~example_line(F.col("line_text"), F.col("_before"))).drop("_before")
+    rows = files.select("project", "file", "lang", F.explode(_kept_lines(F.col("content"))).alias("x")).select("project", "file", "lang", "x.line", F.col("x.text").alias("line_text"))
     found = rows.withColumn("rule", first_rule(F.col("line_text"), F.col("lang"), rules)).filter("rule IS NOT NULL")
     found = found.withColumn("original_severity", _of_rule(F.col("rule"), 2, rules)).withColumn("boost", highest_boost(F.concat(F.lit("/"), F.col("file"))))
     found = found.withColumn("severity", boosted(F.col("original_severity"), F.col("boost")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         context._quarry_shared_dir = at
     return at.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a table in that folder: what comes after reads it, whatever executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
@@ -45,6 +45,7 @@ RULES = (
     ("kotlin", "class", "class", r"(?m)^\s*(?:\w+\s+)*(?:class|interface|object)\s+(\w+)"),
     ("csharp", "import", "using", r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+);"),
     ("csharp", "class", "class", r"(?m)^\s*(?:\w+\s+)*(?:class|interface|struct|enum|record)\s+(\w+)"),
+    ("csharp", "function", "method", r"(?m)^[ \t]+(?:(?:public|private|protected|internal|static|async|override|virtual|sealed|abstract|partial|extern|new|unsafe)\s+)+[\w<>\[\],.?]+\s+(\w+)\s*(?:<[^>(\n]*>)?\("),
     ("rust", "import", "use", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"),
     ("rust", "import", "mod", r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)\s*;"),
     ("rust", "function", "fn", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)"),
@@ -62,10 +63,12 @@ RULES = (
     ("dart", "class", "class", r"(?m)^\s*(?:abstract\s+)?(?:class|mixin|enum|extension)\s+(\w+)"),
     ("scala", "import", "import", r"(?m)^\s*import\s+([\w.]+)"),
     ("scala", "class", "class", r"(?m)^\s*(?:\w+\s+)*(?:class|object|trait)\s+(\w+)"),
+    ("scala", "function", "def", r"(?m)^\s*(?:\w+\s+)*def\s+(\w+)"),
     ("elixir", "import", "alias", r"(?m)^\s*(?:alias|import|use|require)\s+([\w.]+)"),
     ("elixir", "function", "function", r"(?m)^\s*defp?\s+(\w+[?!]?)"),
     ("elixir", "class", "module", r"(?m)^\s*defmodule\s+([\w.]+)"),
     ("haskell", "import", "import", r"(?m)^import\s+(?:qualified\s+)?([\w.]+)"),
+    ("haskell", "function", "signature", r"(?m)^([a-z]\w*'?)\s*::"),
     ("lua", "import", "require", r"""\brequire\s*\(?\s*['"]([^'"]+)['"]"""),
     ("lua", "function", "function", r"(?m)^\s*(?:local\s+)?function\s+([\w.:]+)"),
     ("cpp", "import", "include", r"""(?m)^\s*#include\s+[<"]([^>"]+)[>"]"""),
@@ -88,6 +91,7 @@ RULES = (
     ("erlang", "function", "function", r"(?m)^([a-z]\w*)\([^)]*\)\s*(?:when[^-]*)?->"),
     ("crystal", "import", "require", r"""(?m)^\s*require\s+"([^"]+)\""""),
     ("crystal", "class", "class", r"(?m)^\s*(?:abstract\s+)?(?:class|module|struct|enum)\s+([\w:]+)"),
+    ("crystal", "function", "def", r"(?m)^\s*(?:private\s+|protected\s+)?def\s+(?:self\.)?(\w+[?!=]?)"),
     ("v", "import", "import", r"(?m)^\s*import\s+([\w.]+)"),
     ("v", "function", "function", r"(?m)^\s*(?:pub\s+)?fn\s+(?:\([^)]*\)\s*)?(\w+)"),
     ("vbnet", "import", "Imports", r"(?mi)^\s*Imports\s+([\w.]+)"),
@@ -136,35 +140,146 @@ def _candidates(target, lang):
     return F.when(lang == "javascript", js).otherwise(F.array(target))
 
 
+#: For each language: what separates the parts of a module's name, the ends its file may have, and
+#: whether shorter names are tried when the whole names no file, because the last part may be a member.
+MODULES = {
+    "python": (".", (".py", "/__init__.py"), True), "java": (".", (".java", ".kt"), True), "kotlin": (".", (".kt", ".java"), True), "scala": (".", (".scala", ".sc"), True),
+    "rust": ("::", (".rs", "/mod.rs"), True), "csharp": (".", (".cs",), False), "php": ("\\", (".php", ""), False), "ruby": ("/", (".rb", ""), False),
+    "elixir": (".", (".ex", ".exs"), False), "haskell": (".", (".hs", ".lhs"), False), "dart": ("/", ("", ".dart"), False), "swift": ("/", (".swift",), False),
+    "zig": ("/", ("", ".zig"), False), "nim": ("/", (".nim",), False), "crystal": ("/", (".cr", ""), False), "erlang": ("/", ("", ".erl", ".hrl"), False),
+    "perl": ("::", (".pm", ".pl"), False), "clojure": (".", (".clj", ".cljs", ".cljc"), False), "fsharp": (".", (".fs",), False), "ocaml": (".", (".ml", ".mli"), False),
+    "julia": (".", (".jl",), False), "v": (".", (".v",), False), "vbnet": (".", (".vb",), False), "lua": (".", (".lua", "/init.lua"), False), "cpp": ("/", ("",), False),
+    "objc": ("/", ("",), False), "r": ("/", ("", ".R", ".r"), False), "shell": ("/", ("",), False),
+}
+#: Languages whose relative names hold from the importing file's directory.
+_FROM_HERE = ("php", "ruby", "dart", "zig", "nim", "crystal", "cpp", "objc", "lua", "shell", "r", "erlang", "julia")
+
+
+def _stem(lang: str, module):
+    """The module's name as a path without its end."""
+    separator, _, _ = MODULES[lang]
+    name = F.regexp_replace(module, "^package:[\\w]+/", "") if lang == "dart" else F.regexp_replace(module, r"^(crate|self|super|Self)::", "") if lang == "rust" else module
+    if separator == "." and lang != "python":
+        name = F.regexp_replace(name, r"\.[*_]$", "")
+    path = F.replace(name, F.lit(separator), F.lit("/")) if separator != "/" else name
+    path = F.regexp_replace(F.regexp_replace(path, r"^(\./)+", ""), "/$", "")
+    if lang == "elixir":
+        return F.lower(F.regexp_replace(path, "([a-z0-9])([A-Z])", "$1_$2"))
+    if lang == "clojure":
+        return F.replace(path, F.lit("-"), F.lit("_"))
+    if lang == "ocaml":
+        return F.concat(F.lower(F.substring(path, 1, 1)), F.expr("''"), F.substring(path, 2, 2147483647))
+    return path
+
+
+def _keys(lang: str, module, folder):
+    """array<struct<how, path>>: what the module's file may be called, likeliest first.
+
+    ``path`` is a whole path, ``end`` the end of one, ``folder`` a directory.
+    """
+    _, ends, shorter = MODULES[lang]
+    row = lambda how, p: F.struct(F.lit(how).alias("how"), p.alias("path"))
+    with_ends = lambda how, stem: [row(how, F.concat(stem, F.lit(e))) for e in ends]
+    stem = _stem(lang, module)
+    out = []
+    if lang == "python":
+        dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+        above = F.array_join(F.slice(F.split(folder, "/"), F.lit(1), F.greatest(F.size(F.split(folder, "/")) - dots + 1, F.lit(0))), "/")
+        inner = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
+        near = S.normalized(F.concat_ws("/", above, F.when(inner != "", inner)))
+        relative = F.flatten(F.array(F.array(*with_ends("path", near)), F.array(*with_ends("path", F.regexp_replace(near, "/[^/]*$", "")))))
+        stem = F.replace(module, F.lit("."), F.lit("/"))
+        return F.when(dots > 0, relative).otherwise(F.concat(F.array(*with_ends("path", S.joined(folder, stem))), _shorter(stem, ends)))
+    if lang in _FROM_HERE:
+        out += with_ends("path", S.joined(folder, stem))
+    if lang == "rust":
+        # ``mod x`` is a file or directory beside this one, or below the module this file is.
+        own = F.regexp_replace(F.col("file"), r"(/mod)?\.rs$", "")
+        out += with_ends("path", S.joined(folder, stem)) + with_ends("path", F.concat(own, F.lit("/"), stem))
+    if shorter:
+        return F.concat(F.array(*out) if out else F.array().cast("array<struct<how:string,path:string>>"), _shorter(stem, ends), F.array(row("folder", stem)) if lang in ("java", "kotlin", "scala") else F.array().cast("array<struct<how:string,path:string>>"))
+    out += with_ends("end", stem)
+    if lang in ("php", "csharp"):
+        # The first part may be a root that stands for a source directory.
+        out += with_ends("end", F.regexp_replace(stem, "^[^/]+/", ""))
+    return F.array(*out)
+
+
+def _shorter(stem, ends):
+    pieces = F.filter(F.split(stem, "/"), lambda p: p != "")
+    stems = F.transform(F.sequence(F.greatest(F.size(pieces), F.lit(1)), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "/"))
+    each = F.flatten(F.transform(stems, lambda x: F.transform(F.array(*map(F.lit, ends)), lambda e: F.struct(F.lit("end").alias("how"), F.concat(x, e).alias("path")))))
+    return F.filter(each, lambda x: F.length(x["path"]) > 0)
+
+
+def _go(module):
+    """The import's directory: with its leading parts dropped one by one."""
+    pieces = F.split(module, "/")
+    tails = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: F.array_join(F.slice(pieces, k + 1, F.size(pieces)), "/"))
+    return F.transform(tails, lambda t: F.struct(F.lit("folder").alias("how"), t.alias("path")))
+
+
 def resolved(imports_: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """project, src, dst, kind: imports that name a file of the project, by the first candidate that exists.
+    """project, src, dst, kind: imports that name files of the project, by the first way that finds any.
 
-    Every import becomes ranked candidate paths, which meet the files by equality. Relative paths
-    and aliases (project, prefix, target) hold for JavaScript; dotted names, whole and shortened,
-    for Python, Java and Kotlin; others match a file by the end of its path through its base name.
+    Every import (project, file, lang, type, module, and specifiers where they are known) becomes
+    ranked keys, which meet the files by equality: on the whole path, on the end of the path (a file
+    is there under every end it has, so no pattern is tried), or on the directory. Relative paths and
+    aliases (project, prefix, target; the longest prefix first) hold for JavaScript; the others go by
+    ``MODULES``, Go by directory.
     """
-    folder = S.dirname(F.col("file"))
+    first = resolved_imports(imports_, files, aliases)
+    return first.select("project", F.col("file").alias("src"), F.col("target").alias("dst"), F.col("type").alias("kind")).distinct()
+
+
+def resolved_imports(imports_: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """project, file, lang, type, module, target: one row for each import and file that it names, as in ``resolved``."""
+    folder = F.when(F.col("file").contains("/"), S.dirname(F.col("file"))).otherwise("")
     module = F.col("module")
-    rows = imports_.withColumn("_k", F.xxhash64("project", "file", "type", "module"))
+    rows = imports_.withColumn("origin", module)
+    if "specifiers" in imports_.columns:
+        # ``from package import member``: the member may be a module of its own.
+        plain = F.filter(F.transform("specifiers", lambda s: s["name"]), lambda n: n != "*")
+        members = F.transform(plain, lambda n: F.when(module.rlike(r"\.$"), F.concat(module, n)).otherwise(F.concat(module, F.lit("."), n)))
+        each = F.when((F.col("lang") == "python") & (F.col("type") == "from") & (F.size(plain) > 0), members).otherwise(F.array(module))
+        rows = rows.withColumn("module", F.explode(each)).drop("specifiers")
+    rows = rows.select("project", "file", "lang", "type", "module", "origin").distinct().withColumn("_k", F.xxhash64("project", "file", "type", "module"))
+    whole = lambda paths: F.transform(paths, lambda p: F.struct(F.lit("path").alias("how"), p.alias("path")))
     relative = rows.filter(module.rlike(r"^\.{1,2}(/|$)") & (F.col("lang") == "javascript"))
-    near = relative.select("*", F.posexplode(_candidates(S.joined(folder, module), F.col("lang"))).alias("rank", "path"))
-    parts = [near]
+    parts = [relative.select("*", F.posexplode(whole(_candidates(S.joined(S.dirname(F.col("file")), module), F.col("lang")))).alias("rank", "key"))]
     if aliases is not None:
-        hit = rows.filter("lang = 'javascript'").join(aliases, "project").filter(F.col("module").startswith(F.col("prefix")))
-        target = S.normalized(F.concat("target", F.expr("substring(module, length(prefix) + 1)")))
-        parts.append(hit.select(*rows.columns, F.posexplode(_candidates(target, F.col("lang"))).alias("rank", "path")))
-    dotted = rows.filter(F.col("lang").isin("python", "java", "kotlin"))
-    pieces = F.filter(F.split(F.regexp_replace(module, r"^\.+", ""), r"\."), lambda p: p != "")
-    lengths = F.sequence(F.size(pieces), F.lit(1), F.lit(-1))
-    stems = F.transform(lengths, lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "/"))
-    ends = F.when(F.col("lang") == "python", F.array(F.lit(".py"), F.lit("/__init__.py"))).otherwise(F.array(F.lit(".java"), F.lit(".kt")))
-    roots = F.when(F.col("lang") == "python", F.array(F.lit(""), F.lit("src/"), F.concat(folder, F.lit("/")))).otherwise(F.array(F.lit(""), F.lit("src/main/java/"), F.lit("src/main/kotlin/"), F.lit("src/")))
-    paths = F.flatten(F.transform(stems, lambda s: F.flatten(F.transform(roots, lambda r: F.transform(ends, lambda e: F.concat(r, s, e))))))
-    parts.append(dotted.filter(F.size(pieces) > 0).select("*", F.posexplode(paths).alias("rank", "path")))
-    candidates = reduce(lambda a, b: a.unionByName(b), parts)
-    found = candidates.join(files.select("project", F.col("file").alias("path")), ["project", "path"])
-    best = found.groupBy("project", "_k", F.col("file").alias("src"), F.col("type").alias("kind")).agg(F.min_by("path", "rank").alias("dst"))
-    return best.select("project", "src", "dst", "kind").distinct()
+        # An import meets its aliases on the parts before each of its slashes, and on itself.
+        heads = F.array_distinct(F.concat(F.array(module), F.transform(S.ancestors(module), lambda a: F.concat(a, F.lit("/"))), S.ancestors(module)))
+        own = aliases.select("project", F.col("prefix").alias("_head"), "target").distinct()
+        hit = rows.filter("lang = 'javascript'").withColumn("_head", F.explode(heads)).join(own, ["project", "_head"])
+        target = S.normalized(F.concat("target", F.expr("substring(module, length(_head) + 1)")))
+        far = hit.select(*rows.columns, F.length("_head").alias("_length"), F.posexplode(whole(_candidates(target, F.col("lang")))).alias("_at", "key"))
+        parts.append(far.select(*rows.columns, (F.col("_at") + 100 * (1000 - F.col("_length"))).alias("rank"), "key"))
+    keyed = F.when(F.col("lang") == "go", _go(module))
+    for lang in MODULES:
+        keyed = keyed.when(F.col("lang") == lang, _keys(lang, module, folder))
+    parts.append(rows.filter("lang <> 'javascript'").select("*", F.posexplode(keyed).alias("rank", "key")))
+    candidates = reduce(lambda a, b: a.unionByName(b), parts).select("*", "key.how", "key.path").drop("key")
+    found = candidates.join(_index(files), ["project", "how", "path"]).filter("dst <> file")
+    first = found.withColumn("_first", F.min("rank").over(Window.partitionBy("project", "_k", "file"))).filter("rank = _first")
+    return first.select("project", "file", "lang", "type", F.col("origin").alias("module"), F.col("dst").alias("target")).distinct()
+
+
+def _index(files: DataFrame) -> DataFrame:
+    """project, how, path, dst: every key that a file can be found by."""
+    row = lambda how, p: F.struct(F.lit(how).alias("how"), p.alias("path"))
+    pieces = F.split("file", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, n, F.size(pieces)), "/"))
+    folder = F.when(F.col("file").contains("/"), S.dirname(F.col("file"))).otherwise("")
+    by_folder = F.col("file").rlike(r"\.(go|java|kt|scala)$") & ~F.col("file").rlike(r"_test\.go$")
+    folders = F.transform(F.sequence(F.lit(1), F.size(F.split(folder, "/"))), lambda n: F.array_join(F.slice(F.split(folder, "/"), n, F.size(F.split(folder, "/"))), "/"))
+    none = F.array().cast("array<struct<how:string,path:string>>")
+    keys = F.concat(
+        F.array(row("path", F.col("file"))),
+        F.when(F.col("file").rlike(r"\.([mc]?[jt]sx?|vue|svelte)$"), none).otherwise(F.transform(ends, lambda e: row("end", e))),
+        F.when(by_folder, F.transform(F.when(F.col("file").endswith(".go"), F.array(folder)).otherwise(folders), lambda d: row("folder", d))).otherwise(none),
+    )
+    return files.select("project", F.col("file").alias("dst"), F.explode(keys).alias("k")).select("project", "k.how", "k.path", "dst").distinct()
 
 
 #: Files that tools and run times start from, by convention. First match gives the reason.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import scalars as S
+
 _SCRIPT = r"[\w@./-]+\.(?:m?[jt]sx?|cjs|py|sh)"
 #: name, file pattern, content pattern whose first group is a path or name.
 READERS = (
@@ -69,6 +71,108 @@ def manifests(files: DataFrame) -> DataFrame:
     return read.select("project", folder.alias("directory"), F.explode(F.concat(*each)).alias("d")).select("project", "directory", "d.*")
 
 
+_PACKAGE = "name string, version string, private boolean, main string, module string, source string, types string, typings string, bin string, exports string, files string, publishConfig string, workspaces string, scripts map<string,string>"
+_PATHS = r'"(\.{0,2}/?[\w@./*-]+\.[\w]+)"'
+
+
+def packages(files: DataFrame) -> DataFrame:
+    """project, directory, name, private, publishable, starts (paths it names as its start), workspaces (globs) of package.json files."""
+    read = files.filter(F.col("file").rlike(r"(^|/)package\.json$")).withColumn("j", F.from_json("content", _PACKAGE))
+    folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "")).otherwise(".")
+    given = F.array(*(F.col(f"j.{k}") for k in ("main", "module", "source", "types", "typings")))
+    listed = F.concat(*(F.regexp_extract_all(F.concat(F.lit('"'), F.coalesce(f"j.{k}", F.lit("")), F.lit('"')), F.lit(_PATHS), 1) for k in ("bin", "exports")))
+    starts = F.transform(F.filter(F.concat(given, listed), lambda p: p.isNotNull()), lambda p: F.regexp_replace(p, r"^\./", ""))
+    surface = F.exists(F.array(*(F.col(f"j.{k}").isNotNull() for k in ("main", "module", "exports", "types", "typings", "bin", "files", "publishConfig"))), lambda x: x)
+    globs = F.regexp_extract_all(F.coalesce("j.workspaces", F.lit("")), F.lit('"([^"]+)"'), 1)
+    private = F.coalesce("j.private", F.lit(False))
+    return read.select("project", folder.alias("directory"), "j.name", private.alias("private"), (~private & surface).alias("publishable"), F.array_distinct(starts).alias("starts"), globs.alias("workspaces"))
+
+
+def in_publishable(files: DataFrame, packages_: DataFrame) -> DataFrame:
+    """Files (project, file) whose nearest package is one that others may install: its exports are its surface."""
+    from quarry.sources.files import longest_scope
+
+    scoped = longest_scope(files.select("project", "file"), packages_)
+    own = packages_.filter("publishable").select("project", F.col("directory").alias("scope"))
+    return scoped.join(own, ["project", "scope"], "left_semi").select("project", "file")
+
+
+def script_globs(files: DataFrame) -> DataFrame:
+    """project, file, glob: globs in the scripts of package.json files."""
+    read = files.filter(F.col("file").rlike(r"(^|/)package\.json$")).select("project", "file", F.explode(F.map_values(F.coalesce(F.from_json("content", _PACKAGE)["scripts"], F.create_map().cast("map<string,string>")))).alias("script"))
+    return read.select("project", "file", F.explode(F.regexp_extract_all("script", F.lit(r"""((?:[\w@.-]+/)*[\w@./-]*\*[\w@./*{},-]*)"""), 1)).alias("glob")).distinct()
+
+
+_TSCONFIG = "extends string, files array<string>, include array<string>, compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"
+
+
+def aliases(files: DataFrame) -> DataFrame:
+    """project, prefix, target: what an import's beginning stands for.
+
+    From ``paths`` and ``baseUrl`` of tsconfig and jsconfig files, ``alias`` tables of bundlers, the
+    names of workspace packages, ``imports`` with ``#`` names, and the module line of go.mod.
+    """
+    folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "")).otherwise("")
+    in_folder = lambda p: S.normalized(F.concat(folder, F.lit("/"), p))
+    no_star = lambda p: F.regexp_replace(p, r"\*.*$", "")
+    plain = F.regexp_replace(F.regexp_replace("content", r"(?m)^\s*//.*$|(?s)/\*(?![^\n]*\*\s*\").*?\*/", ""), r",(\s*[}\]])", "$1")
+    ts = files.filter(F.col("file").rlike(r"(^|/)[tj]sconfig[\w.]*\.json$")).withColumn("j", F.from_json(plain, _TSCONFIG)).withColumn("_base", F.coalesce("j.compilerOptions.baseUrl", F.lit(".")))
+    each = ts.select("project", "file", "_base", F.explode(F.map_entries(F.col("j.compilerOptions.paths"))).alias("e")).select("project", "file", "_base", F.col("e.key").alias("prefix"), F.explode("e.value").alias("target"))
+    from_paths = each.select("project", no_star(F.col("prefix")).alias("prefix"), _slashed(in_folder(F.concat(F.col("_base"), F.lit("/"), no_star(F.col("target")))), F.col("target")).alias("target"))
+    bundled = files.filter(F.col("file").rlike(r"(^|/)(vite|webpack|rollup|vue|vitest|next|rspack)[\w.]*\.[cm]?[jt]s$"))
+    pair = r"""['"]?([@~#\w$/-]+)['"]?\s*:\s*(?:(?:path\.)?(?:resolve|join)\(\s*__dirname\s*,\s*|fileURLToPath\(new URL\(\s*)?['"](\.{0,2}/?[\w./@-]+)['"]"""
+    block = F.regexp_extract("content", r"(?s)alias\s*:\s*\{(.*?)\}", 1)
+    named = bundled.select("project", "file", F.arrays_zip(F.regexp_extract_all(block, F.lit(pair), 1).alias("prefix"), F.regexp_extract_all(block, F.lit(pair), 2).alias("target")).alias("z"))
+    from_bundler = named.select("project", "file", F.explode("z").alias("z")).select("project", F.col("z.prefix").alias("prefix"), in_folder(F.col("z.target")).alias("target"))
+    own = packages(files).filter("name IS NOT NULL")
+    home = F.when(F.col("directory") == ".", "").otherwise(F.col("directory"))
+    started = own.withColumn("_start", F.coalesce(F.get("starts", F.lit(0)), F.lit("index.js")))
+    from_names = started.select("project", F.col("name").alias("prefix"), S.normalized(F.concat(home, F.lit("/"), F.col("_start"))).alias("target"))
+    below = own.select("project", F.concat("name", F.lit("/")).alias("prefix"), F.concat(home, F.when(home == "", "").otherwise("/")).alias("target"))
+    go = files.filter(F.col("file").rlike(r"(^|/)go\.mod$")).select("project", F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("prefix"), folder.alias("target"))
+    out = from_paths.unionByName(from_bundler).unionByName(from_names).unionByName(below).unionByName(go)
+    return out.filter("prefix <> ''").distinct()
+
+
+def _slashed(path, given):
+    """A directory keeps the slash that ``normalized`` takes away, so that what follows the prefix can be joined on."""
+    return F.when(given.rlike(r"/?\*"), F.concat(path, F.lit("/"))).otherwise(path)
+
+
+def workspace_packages(files: DataFrame) -> DataFrame:
+    """project, directory, name of packages that a workspace's globs take in."""
+    from quarry.operators.entries import glob_column
+
+    every = packages(files)
+    globs = every.select("project", F.col("directory").alias("_root"), F.explode("workspaces").alias("_glob"))
+    at = F.when(F.col("_root") == ".", F.col("_glob")).otherwise(F.concat_ws("/", "_root", "_glob"))
+    return every.join(globs.withColumn("_glob", at), "project").filter(F.rlike(F.col("directory"), glob_column(F.col("_glob")))).select("project", "directory", "name").distinct()
+
+
+def project_references(files: DataFrame) -> DataFrame:
+    """project, src, dst: directories of .NET projects and of those that they refer to."""
+    read = files.filter(F.col("file").rlike(r"\.(cs|fs|vb)proj$"))
+    folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "")).otherwise("")
+    named = read.select("project", "file", folder.alias("src"), F.explode(F.regexp_extract_all("content", F.lit(r'<ProjectReference\s+Include="([^"]+)"'), 1)).alias("to"))
+    to = S.normalized(F.concat(F.col("src"), F.lit("/"), F.replace("to", F.lit("\\"), F.lit("/"))))
+    return named.select("project", "src", F.regexp_replace(to, "/?[^/]*$", "").alias("dst")).distinct()
+
+
+def build_packages(files: DataFrame) -> DataFrame:
+    """project, system, config, package: the members that build files list."""
+    rules = (
+        ("gradle", r"(^|/)settings\.gradle(\.kts)?$", r"""['"]:([\w:.-]+)['"]"""), ("maven", r"(^|/)pom\.xml$", r"<module>\s*([^<\s]+)\s*</module>"),
+        ("go-workspace", r"(^|/)go\.work$", r"(?m)^\s*(?:use\s+)?\./(\S+)"), ("dotnet", r"\.sln$", r'"([^"]+\.(?:cs|fs|vb)proj)"'),
+        ("cargo", r"(^|/)Cargo\.toml$", r'(?m)(?:members\s*=\s*\[|^\s*)"([\w./*-]+)"\s*[,\]]'), ("bazel", r"(^|/)BUILD(\.bazel)?$", r'name\s*=\s*"([^"]+)"'),
+        ("buck", r"(^|/)BUCK$", r'name\s*=\s*"([^"]+)"'), ("pants", r"(^|/)BUILD$", r'name\s*=\s*"([^"]+)"'),
+        ("turborepo", r"(^|/)turbo\.json$", r'"([\w@/#:-]+)"\s*:\s*\{'), ("python", r"(^|/)pyproject\.toml$", r'(?m)^name\s*=\s*"([^"]+)"'),
+    )
+    none = F.array().cast("array<struct<system:string,package:string>>")
+    told = lambda n, p: F.transform(F.regexp_extract_all("content", F.lit(p), 1), lambda x: F.struct(F.lit(n).alias("system"), F.replace(x, F.lit(":"), F.lit("/")).alias("package")))
+    found = F.concat(*(F.when(F.col("file").rlike(where), told(n, p)).otherwise(none) for n, where, p in rules))
+    return files.select("project", F.col("file").alias("config"), F.explode(found).alias("e")).select("project", "e.system", "config", "e.package").distinct()
+
+
 def lockfile(files: DataFrame) -> DataFrame:
     """project, name, version, license and the requirer of each dependency in package-lock.json files."""
     schema = "packages map<string,struct<version:string,license:string,dependencies:map<string,string>>>"

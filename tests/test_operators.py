@@ -108,21 +108,41 @@ def test_normalized_code(spark):
 def test_versions_and_updates(spark):
     assert one(spark, S.version(F.lit("^1.2.x"))) == [1, 2, 0]
     assert one(spark, S.update_type(F.lit("1.9.0"), F.lit("2.0.0"))) == "major"
-    assert one(spark, S.update_type(F.lit("1.2.3"), F.lit("1.2.3"))) == "none"
-    assert one(spark, S.bump_type(F.lit("2.0.0-rc.1"))) == "prerelease"
+    assert one(spark, S.update_type(F.lit("1.2.3"), F.lit("1.2.3"))) == "patch"
+    for tag, kind in (("2.0.0-rc.1", "prerelease"), ("v3.0.0", "stable"), ("1.4.0", "stable"), ("1.0.0-0", "prerelease"), ("v2.0.0beta", "prerelease")):
+        assert one(spark, S.bump_type(F.lit(tag))) == kind
+    assert one(spark, S.fixed_version(F.lit(">=4.18.0 <5"))) == "4.18.0" and one(spark, S.fixed_version(F.lit("<1"))) == "unknown"
+    assert one(spark, S.days_behind(F.lit("2024-01-01 12:00:00").cast("timestamp"), F.lit("2024-02-01 00:00:00").cast("timestamp"))) == 30
 
 
-@pytest.mark.parametrize(("name", "want"), [("MIT AND GPL-3.0", "permissive"), ("UNLICENSED", "permissive"), ("GPL-3.0", "copyleft"), ("SSPL-1.0", "restrictive"), (None, "unknown"), ("?", "unknown")])
+@pytest.mark.parametrize(("name", "want"), [("MIT AND GPL-3.0", "permissive"), ("UNLICENSED", "permissive"), ("GPL-3.0", "copyleft"), ("SSPL-1.0", "restrictive"), (None, "unknown"), ("?", "unknown"),
+    ("BSL-1.1", "restrictive"), ("Sleepycat", "restrictive"), ("CPL-1.0", "copyleft"), ("QPL-1.0", "copyleft"), ("X11", "permissive"), ("Zope-2.0", "permissive"), ("CC-BY-4.0", "permissive"),
+    ("X11 OR Sleepycat", "restrictive"), ("(Fair AND CPL-1.0)", "copyleft"), ("Fair OR what", "permissive"), ("BUSL-1.1", "restrictive"), ("bsl-1.1", "unknown")])
 def test_licence_classes(spark, name, want):
     assert one(spark, S.license_class(F.lit(name).cast("string"))) == want
 
 
+@pytest.mark.parametrize(("name", "want"), [("LGPL-3.0", "high"), ("MPL-2.0", "medium"), ("Apache-2.0", "low"), ("MIT", "low"), ("EUPL-1.2", "medium"), ("Elastic-2.0", "medium"), ("my own", "unknown"), (None, "unknown"), ("QPL-1.0", "high")])
+def test_licence_risk(spark, name, want):
+    assert one(spark, S.license_risk(F.lit(name).cast("string"))) == want
+
+
+@pytest.mark.parametrize(("dead", "total", "want"), [(2, 2, 0.0), (0, 9, 0.0), (3, 3, 7.0), (1, 4, 1.8), (None, None, 0.0)])
+def test_dead_export_share(spark, dead, total, want):
+    assert one(spark, S.dead_export_share(F.lit(dead).cast("int"), F.lit(total).cast("int"))) == want
+
+
+@pytest.mark.parametrize(("days", "git", "want"), [(800.0, 0.0, 10.0), (800.0, 1.2, 0.0), (365.0, 0.0, 5.0), (None, 0.0, 0.0), (100.0, 0.0, 0.0)])
+def test_mtime_staleness(spark, days, git, want):
+    assert one(spark, S.mtime_staleness(F.lit(days).cast("double"), F.lit(git))) == want
+
+
 @pytest.mark.parametrize(("c30", "c90", "c365", "want"), [(0, 0, 2, 0.0), (0, 9, 12, 25.0), (3, 9, 12, 0.0), (2, 12, 12, 7.5), (1, 12, 12, 21.3)])
 def test_velocity(spark, c30, c90, c365, want):
     assert one(spark, S.velocity_decline(F.lit(c30), F.lit(c90), F.lit(c365))) == want
 
 
-@pytest.mark.parametrize(("days", "want"), [(0.0, 0.0), (180.0, 0.0), (365.0, 6.5), (730.0, 13.0)])
+@pytest.mark.parametrize(("days", "want"), [(0.0, 0.0), (180.0, 0.0), (365.0, 6.5), (730.0, 11.0), (731.0, 13.0)])
 def test_staleness(spark, days, want):
     assert one(spark, S.staleness(F.lit(days))) == want
 
@@ -238,3 +258,14 @@ def test_private_section_and_console_logs(spark):
     assert col(entries.ruby_private(rows), "name") == ["b"]
     tree = spark.createDataFrame([("p", "a.js", "console.log(1)\n// console.log(2)\nx\nconsole.debug(3)")], "project string, file string, content string")
     assert entries.console_logs(tree).first()["n"] == 2
+
+
+def test_login_is_close_to_authentication(spark):
+    assert one(spark, patterns.highest_boost(F.lit("/src/Login/form.js"))) == "CRITICAL"
+    assert len(patterns.PROXIMITY) == 23
+
+
+def test_lines_inside_templates_and_after_markup_are_left_out(spark):
+    text = "eval(a)\n// eval(b)\nx = `\neval(c)\n`; eval(d)\ny = \\`\neval(e)\n<div class='x'>\neval(f)\nz = `open\neval(g)\neval(h)"
+    rows = spark.createDataFrame([("p", "a.js", "js", text)], "project string, file string, lang string, content string")
+    assert sorted(r.line for r in patterns.scan(rows).collect()) == [1, 5, 7]
