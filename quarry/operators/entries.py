@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
 
+#: Annotations of classes and methods that a container, a framework or a test runner starts.
+STARTED = (
+    "SpringBootApplication RestController Controller Configuration Component Service Repository Entity Bean Test ParameterizedTest BeforeEach AfterEach BeforeAll AfterAll Scheduled EventListener KafkaListener "
+    "RabbitListener JmsListener PostConstruct PreDestroy WebServlet WebFilter WebListener Path Provider Singleton Stateless Stateful MessageDriven ApplicationScoped RequestScoped Named Aspect ControllerAdvice "
+    "RestControllerAdvice Mapper Converter Plugin Extension AutoService HiltAndroidApp AndroidEntryPoint Module Mixin"
+).split()
 #: Decorators of classes that a container makes, and scopes in which a service is made without being asked for.
 INJECTED = ("Controller", "Module", "Resolver", "Injectable", "Component", "Directive", "Pipe", "NgModule", "Service", "EntityRepository", "EventSubscriber")
 PROVIDED = ("root", "any", "platform")
@@ -100,11 +106,36 @@ def workspace_exports(packages: DataFrame, files: DataFrame) -> DataFrame:
 def by_metadata(parsed: DataFrame) -> DataFrame:
     """Files (project, file, lang, metadata map, annotations) whose content makes them a start: a main block, task, test or container class."""
     yes = lambda k: F.coalesce(F.try_element_at("metadata", F.lit(k)) == "true", F.lit(False))
-    started = F.arrays_overlap("annotations", F.array(*map(F.lit, ("SpringBootApplication", "RestController", "Controller", "Configuration", "Component", "Service", "Repository", "Entity", "Test"))))
-    reason = F.when(yes("has_main_block"), "main-block").when(yes("has_main"), "main").when(yes("is_celery"), "task").when(yes("is_test"), "test").when(started, "annotation").when(yes("has_init") & (F.col("lang") == "go"), "init")
+    started = F.arrays_overlap("annotations", F.array(*map(F.lit, STARTED)))
+    go, rust = F.col("lang") == "go", F.col("lang") == "rust"
+    reason = (
+        F.when(yes("has_main_block"), "main-block").when(yes("has_main"), "main").when(yes("is_celery"), "task").when(started, "annotation")
+        .when(go & (yes("has_init") | yes("is_test")), "init").when(rust & (yes("is_bin") | yes("is_lib")), "crate").when(yes("is_test"), "test")
+    )
     return parsed.withColumn("reason", reason).filter("reason IS NOT NULL").select("project", "file", "reason")
 
 
+def metadata(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """What ``by_metadata`` reads: project, file, lang, metadata, annotations, from files (with content) and what they parse to."""
+    per = rows.filter("relation IN ('function', 'class')").groupBy("project", "file").agg(
+        F.array_distinct(F.flatten(F.collect_list("annotations"))).alias("annotations"), F.bool_or((F.col("name") == "main") & (F.col("relation") == "function")).alias("_main"),
+        F.bool_or((F.col("name") == "init") & (F.col("relation") == "function")).alias("_init"), F.bool_or(F.col("name").rlike("^(Test|Benchmark|Example)[A-Z_]")).alias("_test"),
+    )
+    c, f = F.col("content"), F.col("file")
+    lang = F.col("lang")
+    told = {
+        "has_main_block": (lang == "python") & c.rlike(r"""(?m)^if\s+__name__\s*==\s*['"]__main__['"]"""),
+        "has_main": F.coalesce(F.col("_main"), F.lit(False)) & ((lang != "go") | c.rlike(r"(?m)^package\s+main\b")) & ~lang.isin("javascript", "python"),
+        "is_celery": (lang == "python") & c.rlike(r"(?m)^\s*@(?:\w+\.)?(?:shared_task|task|app\.task|celery\.task)\b"),
+        "has_init": F.coalesce(F.col("_init"), F.lit(False)),
+        "is_bin": (lang == "rust") & F.coalesce(F.col("_main"), F.lit(False)),
+        "is_lib": f.rlike(r"(^|/)src/lib\.rs$"),
+        "is_test": ((lang == "go") & F.coalesce(F.col("_test"), F.lit(False)) & f.rlike(r"_test\.go$")) | (lang.isin("ruby", "php") & c.rlike(r"(?m)<\s*(?:\w+::)*\w*Test(?:Case)?\b|\bRSpec\.describe\b|extends\s+\w*TestCase\b")),
+    }
+    made = F.create_map(*(x for k, v in told.items() for x in (F.lit(k), F.coalesce(v, F.lit(False)).cast("string"))))
+    return files.join(per, ["project", "file"], "left").select("project", "file", "lang", made.alias("metadata"), F.coalesce("annotations", F.array().cast("array<string>")).alias("annotations"))
+
+
 def best(found: DataFrame) -> DataFrame:
     """One reason for each file of all detectors' (project, file, reason, confidence): the surest, then by name."""
     return found.groupBy("project", "file").agg(F.max_by(F.struct("reason", "confidence"), F.struct("confidence", "reason")).alias("b")).select("project", "file", "b.*")
@@ -118,12 +149,31 @@ def ruby_private(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_section", carried).filter((F.col("_section") == "private") & (name != "")).select("project", "file", "line", name.alias("name"))
 
 
+#: Where console output is looked for, and where never.
+CONSOLE_IN = r"(?i)/(components|pages|views|features|app|widgets|containers|layouts|screens|frontend|client|admin|dashboard)/|/public/.*\.(js|mjs)$|\.(component|page)\.(js|ts|jsx|tsx)$"
+CONSOLE_NOT = r"\.(test|spec|stories|mock)\.(js|ts|jsx|tsx)$|__tests__|node_modules|\.min\.js$"
+_CONSOLE = r"^\s*console\.(log|warn|info|debug|trace)\s*\("
+
+
+def console_target(path: Column) -> Column:
+    return ~path.rlike(CONSOLE_NOT) & path.rlike(CONSOLE_IN)
+
+
+def _logs_only(line: Column) -> Column:
+    return line.rlike(_CONSOLE) & line.rlike(r"(\);?|,)\s*$")
+
+
 def console_logs(files: DataFrame) -> DataFrame:
     """project, file, n: lines that only log to the console."""
-    own = F.filter(F.split("content", "\n"), lambda x: x.rlike(r"^\s*console\.(log|debug|info)\s*\("))
+    own = F.filter(F.split("content", "\n", -1), _logs_only)
     return files.select("project", "file", F.size(own).alias("n")).filter("n > 0")
 
 
+def without_console_logs(content: Column) -> Column:
+    """The text as it would be without those lines."""
+    return F.array_join(F.filter(F.split(content, "\n", -1), lambda x: ~_logs_only(x)), "\n")
+
+
 def type_references(files: DataFrame, types: DataFrame) -> DataFrame:
     """Edges from files to those that declare a type (project, file, name) they name: tokens meet declarations by equality."""
     from quarry.operators import names

@@ -15,6 +15,14 @@ def index(files: DataFrame, token: str = TOKEN, least: int = 1) -> DataFrame:
     return each.filter(F.length("token") >= least).groupBy("project", "file", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lookup(files: DataFrame, wanted: DataFrame, token: str = TOKEN) -> DataFrame:
+    """name, occurrences, files of the wanted names (project, name). Other tokens leave before anything is counted or shuffled by name."""
+    each = files.select("project", "file", F.explode(F.regexp_extract_all("content", F.lit(f"({token})"), 1)).alias("name"))
+    found = each.join(wanted.select("project", "name").distinct(), ["project", "name"], "left_semi")
+    per_file = found.groupBy("project", "name", "file").agg(F.count(F.lit(1)).alias("n"))
+    return per_file.groupBy("project", "name").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"))
+
+
 def named_elsewhere(names: DataFrame, tokens: DataFrame) -> DataFrame:
     """The rows of ``names`` (project, file, name, ...) that occur in another file of the project."""
     other = tokens.select("project", F.col("token").alias("name"), F.col("file").alias("_other"))

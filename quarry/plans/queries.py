@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
 from quarry.operators import assets, dependencies, duplicates, graph, history, issues, names, patterns
 from quarry.plans.tables import ALL_EDGES_SQL, LINES_SQL, REACHED_SQL, document_lines, part_edges, part_seeds, table
+from quarry.sources import configs
+from quarry.sources import files as sources
+from quarry.streaming import monitor
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -49,8 +52,9 @@ def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "part").select(F.lit("p").alias("project"), F.col("p_partkey").cast("string").alias("node"), "p_type", "p_size")
     dead = graph.not_reached(nodes, graph.reachable(part_edges(spark, d), seeds), seeds)
     dynamic = F.lower("p_type").rlike("brushed|plated|anodized")
-    score = graph.confidence(dynamic, F.lit(seeds.count()))
-    return dead.select(as_long("node"), F.when(dynamic, "possibly-live").otherwise("unreachable").alias("verdict"), score.alias("confidence"), F.col("p_size").cast("long").alias("size"))
+    entries = F.broadcast(seeds.agg(F.count(F.lit(1)).alias("entries")))
+    score = graph.confidence(dynamic, F.col("entries"))
+    return dead.crossJoin(entries).select(as_long("node"), F.when(dynamic, "possibly-live").otherwise("unreachable").alias("verdict"), score.alias("confidence"), F.col("p_size").cast("long").alias("size"))
 
 
 @query(
@@ -131,13 +135,13 @@ def _releases(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_RELEASES_SQL} SELECT k.name, a || '.' || b || '.' || c AS version, n - rank AS behind,
-CASE WHEN la > a THEN 'major' WHEN lb > b THEN 'minor' WHEN lc > c THEN 'patch' ELSE 'none' END AS update_type FROM k JOIN l USING (name)""")
+CASE WHEN la > a THEN 'major' WHEN lb > b THEN 'minor' ELSE 'patch' END AS update_type FROM k JOIN l USING (name)""")
 def versions_behind(spark: SparkSession, d: str) -> DataFrame:
     releases = _releases(spark, d)
     return dependencies.versions_behind(releases, releases).select("name", "version", as_long("behind"), "update_type")
 
 
-@query(f"""WITH {_RELEASES_SQL}, u AS (SELECT CASE WHEN la > a THEN 'major' WHEN lb > b THEN 'minor' WHEN lc > c THEN 'patch' ELSE 'none' END AS update_type FROM k JOIN l USING (name))
+@query(f"""WITH {_RELEASES_SQL}, u AS (SELECT CASE WHEN la > a THEN 'major' WHEN lb > b THEN 'minor' ELSE 'patch' END AS update_type FROM k JOIN l USING (name))
 SELECT update_type, count(*) AS packages FROM u GROUP BY 1""")
 def update_types(spark: SparkSession, d: str) -> DataFrame:
     releases = _releases(spark, d)
@@ -182,7 +186,7 @@ def license_classify(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LINES_SQL.strip()}, f AS (SELECT line_text AS l FROM lines WHERE regexp_matches(line_text, '(?i)license')) SELECT {_LICENCE_SQL} AS category, count(*) AS packages FROM f GROUP BY 1")
 def license_histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = document_lines(spark, d).filter(F.col("line_text").rlike("(?i)license")).select(F.col("line_text").alias("license"))
-    return rows.withColumn("category", S.license_class(F.col("license"))).groupBy("category").agg(F.count(F.lit(1)).alias("packages"))
+    return dependencies.licence_histogram(rows.withColumn("category", S.license_class(F.col("license"))))
 
 
 # --- patterns ------------------------------------------------------------------------------------
@@ -225,9 +229,10 @@ def findings_summary(spark: SparkSession, d: str) -> DataFrame:
     return patterns.summary(_findings(spark, d)).select("total", "critical", "high", "medium", "low", "files")
 
 
-@query(_FOUND_SQL + """, dead AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) SELECT dead.doc_id, count(found.doc_id) AS findings FROM dead LEFT JOIN found USING (doc_id) GROUP BY 1""")
+@query(_FOUND_SQL + """, dead AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT dead.doc_id, count(found.doc_id) AS findings FROM dead LEFT JOIN found USING (doc_id) GROUP BY 1""")
 def dead_files_with_findings(spark: SparkSession, d: str) -> DataFrame:
-    dead = table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("file"))
+    """Dead files are the documents that no label names."""
+    dead = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("file"))
     rows = patterns.with_findings(dead, _findings(spark, d))
     return rows.select(F.col("file").cast("long").alias("doc_id"), F.coalesce(F.size("security_patterns"), F.lit(0)).cast("long").alias("findings"))
 
@@ -252,12 +257,11 @@ def prev_line_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def _proximity_sql() -> str:
-    ranked = "greatest(" + ", ".join(f"CASE WHEN regexp_matches(lower(url || '/'), '[/]{s}[/]') THEN {patterns.BOOST_RANK[b]} ELSE 0 END" for s, _, b in patterns.PROXIMITY) + ")"
-    return f"SELECT page_id, CASE {ranked} WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' END AS boost FROM pages"
+_PROXIMITY_SQL = """CASE WHEN regexp_matches(lower({0}), '[/](auth|login|oauth|sso|crypto|encryption|sandbox|task-runner|payments?|rbac|jwt|secrets?)[/]') THEN 'CRITICAL'
+WHEN regexp_matches(lower({0}), '[/](webhooks?|admin|billing|checkout|acl|permissions?|tokens?|uploads?)[/]') THEN 'HIGH' WHEN regexp_matches(lower({0}), '[/](api|graphql|middleware)[/]') THEN 'MEDIUM' END"""
 
 
-@query(_proximity_sql())
+@query("SELECT page_id, " + _PROXIMITY_SQL.format("url || '/'") + " AS boost FROM pages")
 def proximity_boost(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", patterns.highest_boost(F.concat("url", F.lit("/"))).alias("boost"))
 
@@ -308,9 +312,8 @@ SELECT name, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM d JOI
 def inverted_index_lookup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("file"), F.col("text").alias("content"))
     items = table(spark, d, "benchmark").select(F.lit("p").alias("project"), F.col("item_id").alias("file"), F.col("text").alias("content"))
-    wanted = names.index(items, least=4).select(F.col("token").alias("name")).distinct()
-    found = names.index(docs, least=4).withColumnRenamed("token", "name").join(wanted, "name")
-    return found.groupBy("name").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"))
+    wanted = names.index(items, least=4).select("project", F.col("token").alias("name"))
+    return names.lookup(docs, wanted).select("name", "occurrences", "files")
 
 
 @query(r"""WITH d AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents), c AS (SELECT name, count(*) AS occurrences FROM d GROUP BY name)
@@ -327,12 +330,14 @@ def rare_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("href"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("content"))
+    return configs.links(pages).select(F.col("file").alias("page_id"), "href")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<script')) AS scripts FROM pages")
 def html_scripts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<script")).cast("long").alias("scripts"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("content"))
+    return configs.scripts(pages).select(F.col("file").alias("page_id"), "scripts")
 
 
 @query("SELECT page_id, len(list_filter(list_transform(regexp_extract_all(html, '([^{}]+)\\{', 1), lambda x: trim(x)), lambda x: x <> '')) AS rules FROM pages")
@@ -343,14 +348,14 @@ def css_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY lang")
 def lang_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"))
+    return sources.histogram(table(spark, d, "documents").select("lang", F.col("n_chars").alias("size")), F.col("lang"))
 
 
-@query("SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS total, CAST(coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS BIGINT) AS en, CAST(coalesce(sum(n_chars) FILTER (lang = 'fr'), 0) AS BIGINT) AS fr, round(100.0 * count(*) FILTER (doc_id % 4 = 0) / count(*), 4) AS dead_rate FROM documents")
+@query("SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS total, CAST(coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS BIGINT) AS en, CAST(coalesce(sum(n_chars) FILTER (lang = 'fr'), 0) AS BIGINT) AS fr, round(100.0 * count(*) FILTER (doc_id % 4 = 0) / count(*), 2) AS dead_rate FROM documents")
 def scan_totals(spark: SparkSession, d: str) -> DataFrame:
-    of = lambda lang: F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n_chars"))), F.lit(0)).alias(lang)
-    rate = F.round(100.0 * F.count_if(F.col("doc_id") % 4 == 0) / F.count(F.lit(1)), 4)
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("total"), of("en"), of("fr"), rate.alias("dead_rate"))
+    rows = table(spark, d, "documents").select("lang", F.col("n_chars").alias("size"), (F.col("doc_id") % 4 == 0).alias("dead"), F.lit(False).alias("entry"))
+    rate = sources.dead_summary(rows).select("dead_rate")
+    return sources.totals(rows, "lang", ("en", "fr")).crossJoin(rate)
 
 
 @query("SELECT p_partkey AS id, regexp_replace(p_name, '[^ ]* ?$', '') AS folder, split_part(p_name, ' ', -1) AS name FROM part")
@@ -386,27 +391,35 @@ def commit_buckets_events(spark: SparkSession, d: str) -> DataFrame:
     return history.commit_buckets(events, F.lit(last), (1, 3, 7, 30)).select("file", "commits_1d", "commits_3d", "commits_7d", "commits_30d", "contributors_all")
 
 
+_AGED_SQL = "CASE WHEN {0} <= 180 THEN 0.0 WHEN {0} <= 365 THEN {1} * 0.5 * ({0} - 180) / 185 WHEN {0} <= 730 THEN {1} * (0.5 + 0.35 * ({0} - 365) / 365) ELSE {1} END"
 _DECAY_SQL = f"""WITH {_BUCKETS_SQL}, s AS (SELECT file, floor(10 * CASE WHEN commits_365d < 3 THEN 0.0 WHEN r >= 1 THEN 0.0 WHEN r >= 0.5 THEN 25 * (1 - r) * 0.6 WHEN r > 0 THEN 25 * (0.7 + 0.3 * (1 - r / 0.5)) ELSE 25.0 END + 0.5) / 10 AS velocity,
+  floor(10 * CASE WHEN file % 5 < 2 THEN 0.0 ELSE 25.0::DOUBLE * greatest(0, file % 5 - file % 4) / (file % 5) END + 0.5) / 10 AS imports,
   floor(10 * CASE WHEN contributors_all <= 1 OR commits_90d = 0 THEN 0.0 WHEN contributors_90d = 1 AND contributors_all >= 4 THEN 0.8 * 12 WHEN contributors_90d = 1 AND contributors_all >= 2 THEN 0.5 * 12
     WHEN contributors_90d::DOUBLE / contributors_all < 0.4 THEN 12 * (1 - contributors_90d::DOUBLE / contributors_all / 0.4) ELSE 0.0 END + 0.5) / 10 AS contributors,
-  floor(10 * CASE WHEN days < 180 THEN 0.0 WHEN days < 365 THEN 13 * 0.5 * (days - 180) / 185 WHEN days < 730 THEN 13 * (0.5 + 0.35 * (days - 365) / 365) ELSE 13.0 END + 0.5) / 10 AS staleness
+  floor(10 * {_AGED_SQL.format("days", "13")} + 0.5) / 10 AS staleness,
+  CASE WHEN floor(10 * {_AGED_SQL.format("days", "13")} + 0.5) > 0 THEN 0.0 ELSE floor(10 * {_AGED_SQL.format("(file % 900)::DOUBLE", "10")} + 0.5) / 10 END AS mtime,
+  CASE file % 4 WHEN 1 THEN 8.0 WHEN 2 THEN 4.0 ELSE 0.0 END AS fragility,
+  floor(10 * CASE WHEN file % 8 < 3 THEN 0.0 ELSE 7.0::DOUBLE * (file % 3) / (file % 8) END + 0.5) / 10 AS exports
  FROM (SELECT *, commits_30d::DOUBLE / nullif(greatest(commits_90d / 3.0::DOUBLE, commits_365d / 12.0::DOUBLE), 0) AS r, (floor(epoch(TIMESTAMP '2001-08-01')) - floor(epoch(last_commit))) / 86400.0::DOUBLE AS days FROM b)),
-z AS (SELECT *, round(velocity + contributors + staleness, 1) AS score FROM s)"""
+z AS (SELECT *, round(velocity + imports + contributors + staleness + mtime + fragility + exports, 1)::DOUBLE AS score FROM s)"""
 
 
 def _decay(spark: SparkSession, d: str) -> DataFrame:
-    files = _buckets(spark, d).withColumns({"importer_count": F.lit(5), "previous_importers": F.lit(None).cast("int"), "export_total": F.lit(0), "export_dead": F.lit(0)})
-    return history.decay(files.withColumn("last_commit", F.col("last_commit").cast("timestamp")), F.lit(DAY).cast("timestamp"))
+    """Files with 0 to 3 importers, 0 to 4 before, 0 to 7 exports of which 0 to 2 are dead, and an age of up to 900 days."""
+    k, day = F.col("file"), F.lit(DAY).cast("timestamp")
+    files = _buckets(spark, d).withColumns({"importer_count": k % 4, "export_total": k % 8, "export_dead": k % 3, "mtime": (day - F.make_dt_interval((k % 900).cast("int"))).cast("timestamp")})
+    before = files.select("file", (k % 5).alias("importer_count"))
+    return history.decay(history.with_previous_importers(files, before).withColumn("last_commit", F.col("last_commit").cast("timestamp")), day)
 
 
-@query(_DECAY_SQL + " SELECT file, velocity, contributors, staleness, score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'none' END AS risk FROM z")
+@query(_DECAY_SQL + " SELECT file, velocity, imports, contributors, staleness, mtime, fragility::DOUBLE AS fragility, exports, score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'none' END AS risk FROM z")
 def decay_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _decay(spark, d).select("file", "velocity", "contributors", "staleness", "score", "risk")
+    return _decay(spark, d).select("file", *(F.col(s).cast("double").alias(s) for s in history.SIGNALS), "score", "risk")
 
 
 @query(_DECAY_SQL + " SELECT CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'none' END AS risk, count(*) AS files FROM z GROUP BY 1")
 def decay_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _decay(spark, d).groupBy("risk").agg(F.count(F.lit(1)).alias("files"))
+    return history.decay_summary(_decay(spark, d))
 
 
 @query("""WITH i AS (SELECT DISTINCT substr(sha256('customer:' || o_custkey), 1, 12) AS id, year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) IN (1999, 2000))
@@ -438,7 +451,7 @@ def esg_by_project(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SCANS_SQL} SELECT strftime(ts, '%Y-%m') AS month, count(*) AS scans, CAST(sum(waste) AS BIGINT) AS waste, count(DISTINCT project) AS projects FROM s GROUP BY 1")
 def esg_monthly(spark: SparkSession, d: str) -> DataFrame:
-    return _scans(spark, d).groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("scans"), F.sum("waste").alias("waste"), F.countDistinct("project").alias("projects"))
+    return history.by_month(_scans(spark, d))
 
 
 @query(f"""WITH {_SCANS_SQL}, t AS (SELECT project, arg_min(waste, ts::VARCHAR || lpad(id::VARCHAR, 12, '0')) AS f, arg_max(waste, ts::VARCHAR || lpad(id::VARCHAR, 12, '0')) AS l FROM s GROUP BY project)
@@ -457,14 +470,14 @@ def latest_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, o_custkey AS project FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
 def recent_scans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project"))
+    rows = history.recent(table(spark, d, "orders"), 20, [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return rows.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project"))
 
 
 @query("SELECT o_custkey AS project, count(*) AS scans, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents, round(max(o_totalprice), 2) AS highest FROM orders GROUP BY 1")
 def project_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("project")).agg(
-        F.count(F.lit(1)).alias("scans"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total_cents"), F.round(F.max("o_totalprice"), 2).alias("highest")
-    )
+    scans = table(spark, d, "orders").select(F.col("o_custkey").alias("project"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return history.project_stats(scans, "cents").select("project", "scans", F.col("total").alias("total_cents"), F.round(F.col("highest") / 100.0, 2).alias("highest"))
 
 
 @query("SELECT o_orderstatus AS status, o_custkey AS project, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
@@ -594,10 +607,9 @@ def issue_summary(spark: SparkSession, d: str) -> DataFrame:
     return issues.by_severity(_issues(spark, d))
 
 
-@query("SELECT p_type AS kind, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS total, CAST(max(p_size) AS BIGINT) AS largest FROM part GROUP BY 1")
+@query("""SELECT CASE p_partkey % 5 WHEN 2 THEN 'font' WHEN 3 THEN 'svg' WHEN 4 THEN 'video' ELSE 'image' END AS kind, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS total, CAST(max(p_size) AS BIGINT) AS largest FROM part GROUP BY 1""")
 def asset_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_size").cast("long").alias("size"))
-    return assets.rollup(rows)
+    return assets.rollup(_asset_rows(spark, d).withColumn("kind", assets.kind(F.col("path"))))
 
 
 _ASSET_SQL = "a AS (SELECT p_partkey, p_partkey || CASE p_partkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.ttf' WHEN 3 THEN '.svg' ELSE '.mov' END AS path, p_size FROM part)"
@@ -609,9 +621,10 @@ def _asset_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.lit("p").alias("project"), F.concat(F.col("p_partkey").cast("string"), ext).alias("path"), F.col("p_size").cast("long").alias("size"), "p_partkey")
 
 
-@query(f"WITH {_ASSET_SQL} SELECT path, CASE p_partkey % 5 WHEN 2 THEN 'woff2' WHEN 4 THEN 'mp4' ELSE 'webp' END AS format, CAST(floor(p_size * CASE p_partkey % 5 WHEN 0 THEN 30 WHEN 1 THEN 25 WHEN 2 THEN 50 ELSE 40 END / 100) AS BIGINT) AS saved FROM a WHERE p_partkey % 5 <> 3")
+@query(f"""WITH {_ASSET_SQL}, p AS (SELECT *, CASE p_partkey % 5 WHEN 0 THEN 75 WHEN 1 THEN 30 ELSE 50 END AS percent FROM a WHERE p_partkey % 5 <> 3)
+SELECT path, CASE p_partkey % 5 WHEN 2 THEN 'woff2' WHEN 4 THEN 'mp4' ELSE 'webp' END AS format, percent, p_size - CAST(floor(p_size * (1 - percent / 100.0::DOUBLE) + 0.5) AS BIGINT) AS saved FROM p""")
 def format_savings(spark: SparkSession, d: str) -> DataFrame:
-    return assets.format_savings(_asset_rows(spark, d)).select("path", "format", as_long("saved"))
+    return assets.format_savings(_asset_rows(spark, d)).select("path", "format", "percent", as_long("saved"))
 
 
 @query(f"WITH {_ASSET_SQL} SELECT path FROM a WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
@@ -622,11 +635,10 @@ def unused_assets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return per.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    per = monitor.windowed_counts(table(spark, d, "events"))
+    return per.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT o_orderpriority AS status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM orders GROUP BY 1")
 def percent_of_total(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    return per.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+    return history.percent_of_total(table(spark, d, "orders").select(F.col("o_orderpriority").alias("status")), "status")

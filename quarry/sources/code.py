@@ -282,22 +282,63 @@ def _index(files: DataFrame) -> DataFrame:
     return files.select("project", F.col("file").alias("dst"), F.explode(keys).alias("k")).select("project", "k.how", "k.path", "dst").distinct()
 
 
-#: Files that tools and run times start from, by convention. First match gives the reason.
-ENTRIES = (
-    ("test", r"(^|/)(__tests__|tests?|spec|e2e|cypress)/|\.(test|spec|e2e|cy|stories)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.(go|py)$|(^|/)conftest\.py$"),
-    ("config", r"(^|/)[\w.-]*\.config\.[a-z]+$|(^|/)\.[\w-]+rc(\.[a-z]+)?$|(^|/)(gulpfile|gruntfile|rakefile|setup|manage|wsgi|asgi)\.[a-z]+$|(?i)(^|/)build\.(gradle|rs)(\.kts)?$"),
-    ("command", r"(^|/)(bin|cli|scripts|cmd|commands|tasks)/"),
-    ("main", r"^(src/)?(index|main|app|server|cli)\.[a-z]+$|(^|/)main\.(go|rs|py|dart|swift|kt|nim|zig|v|cr)$|(^|/)__main__\.py$|(^|/)(Program|Startup)\.cs$|(^|/)(lib|mod)\.rs$"),
-    ("pages", r"(^|/)(pages|app|routes)/.*\.(jsx?|tsx?|vue|svelte)$"),
-    ("migration", r"(^|/)(migrations?|seeds?|seeders?)/"),
-    ("types", r"\.d\.ts$"),
-)
+_SCRIPTS = r"\.([mc]?[jt]s|[jt]sx)$"
+#: Directories whose files tools and run times start from or load by their place, by reason; anywhere in a path.
+ENTRY_FOLDERS = (
+    ("command", "commands bin script scripts cli/commands management/commands tasks"),
+    ("test", "e2e playwright __tests__ __mocks__ testing fixtures __fixtures__ __testfixtures__ test/assets tests/assets test/setup tests/setup __checks__ test-d spec specs intTest test_data test-data testdata bench benchmark benchmarks chromatic"),
+    ("build", "dist build out builds esm polyfill polyfills shim shims __shims__ buildSrc cache-dir code_generators generated __generated__ @generated _generated openapi-gen"),
+    ("template", "template templates starter starters example examples example-app example-apps sandbox demo demos sample samples playground playgrounds recipes tutorial"),
+    ("locale", "locale locales i18n l10n lang"),
+    ("data", "schema schemas migrations seed seeds db/migrate db/post_migrate database/migrations database/seeders"),
+    ("plugin", "plugin plugins extension extensions addon addons integration integrations connector connectors adapter adapters provider providers nodes composable composables mixin mixins snippets registry reporters internal-plugins"),
+    ("loaded", "router routers store stores worker workers experiment experiments workflows codemod codemods plop plops config configs icon icons illustration illustrations mode modes theme themes grammar grammars keymap keymaps modules public public-api containers scanner ee enterprise premium deprecated meteor server src/theme"),
+    ("deploy", "netlify vercel lambda functions hack cluster staging homebrew debug tools website site/src doc docs docs_src documentation META-INF/services mocks mock grpcmocks"),
+    ("rails", "app/controllers app/models app/helpers app/jobs app/mailers app/views config/initializers config/environments app/Http/Controllers app/Models app/Providers resources/views"),
+    ("ember", "app/services app/serializers app/initializers app/instance-initializers app/adapters app/transforms app/routes app/components app/mixins app/modifiers app/machines app/abilities mirage/scenarios mirage/factories mirage/fixtures mirage/models mirage/serializers mirage/identity-managers"),
+)
+#: Files by name, by reason. First match gives the reason.
+ENTRY_FILES = (
+    ("test", (
+        rf"\.(test|spec)(\.\w+)*{_SCRIPTS}", rf"[-_](test|spec|worker){_SCRIPTS}", rf"\.(test-d|type-tests?|typecheck|bench(mark)?|e2e(-spec)?|unit|cy|stories|lit-stories){_SCRIPTS}",
+        rf"(^|/)tests?/.+{_SCRIPTS}", rf"(^|/)tests?{_SCRIPTS}", rf"test-utils{_SCRIPTS}", rf"(^|/)setup(Vitest|Jest|Tests?){_SCRIPTS}", rf"(vitest|jest)[.-](setup|config|preset|workspace)[^/]*{_SCRIPTS}",
+        r"(^|/)tests?/.+\.(py|rb|go|rs|java|kt|php|nim|exs?|scala|ml)$", r"(^|/)(test_[^/]*|[^/]*_test|tests|conftest)\.py$", r"_test\.(go|dart|clj|rb|exs)$", r"(Tests?|Spec|IT|ITCase)\.(java|kt|cs|scala|fs|vb|swift|hs)$",
+        r"_spec\.(rb|cr)$", r"\.t$", r"_SUITE\.erl$", r"(^|/)runtests\.jl$", r"(smoke|performance|e2e|api)-tests?(/|$)|(^|/)e2e[_-]\w+/",
+    )),
+    ("config", (
+        r"\.(config|rc|conf)(\.\w+)*\.([mc]?[jt]s|json)$", r"(^|/)\.[\w-]*rc(\.[\w.]+)?$", r"(^|/)(plopfile|gulpfile|[Gg]runtfile|dangerfile|sidebars|gatsby-(node|config|browser|ssr)|ember-cli-build)\.\w+$",
+        r"(^|/)(setup\.(py|cfg)|conf\.py|config\.py|celeryconfig\.py|build\.(rs|zig|sbt)|Cargo\.toml|mix\.exs|rebar\.config|shard\.yml|pubspec\.yaml|Project\.toml|project\.clj|deps\.edn|dune(-project)?|v\.mod|stack\.yaml|cpanfile)$",
+        r"(build|settings)\.gradle(\.kts)?$", r"(^|/)(Jenkinsfile|Makefile|makefile|CMakeLists\.txt|Rakefile|Gemfile|config\.ru|artisan|composer\.json|Makefile\.PL|Build\.PL)$", r"\.(gemspec|cabal|nimble)$", r"eslint[_-]?(local[_-])?(config|rules?)",
+    )),
+    ("command", (r"(^|/)[\w-]*cli\.[a-z]+$", rf"(^|/)bin{_SCRIPTS}", r"(^|/)manage\.py$", r"lib/tasks/.*\.rake$", r"(^|/)post[a-z]+\.[mc]?js$", r"(^|/)bin/.*\.(dart|ml)$", r"(^|/)script/.*\.pl$")),
+    ("main", (
+        rf"^(src/)?(index|main|server|app|init|router){_SCRIPTS}", rf"^(apps|packages|libs)/(@?[^/]+/){{1,2}}(src/)?(index|main|server|app|init){_SCRIPTS}",
+        rf"^(client|server|api|backend|functions|lambda|workers?|services|core|lib|app|web|middleware|source)/(src/)?(index|main|server|app|handler){_SCRIPTS}",
+        rf"^(jobs|cron|queues|graphql|resolvers|deno|edge-functions?)/[^/]+{_SCRIPTS}", rf"^(lib|modules/[^/]+)/[^/]+{_SCRIPTS}",
+        r"(^|/)(main|__main__|__init__|wsgi|asgi|app|celery)\.py$", r"(^|/)main\.(go|rs|dart|swift|kt|nim|zig|v|ml|java)$", r"(^|/)(lib|mod)\.rs$", r"(^|/)(plugin|wire|wire_gen|doc)\.go$", r"(^|/)index\.php$|(^|/)bootstrap\.php$",
+        r"(Program|Startup|GlobalUsings|AssemblyInfo|Module1)\.(cs|fs|vb)$", r"Application\.(java|kt)$", r"package-info\.java$", r"(Main|Setup)\.hs$", r"(App|Main)\.(scala|swift)$", r"(^|/)Package\.swift$", r"src/root\.zig$", r"_app\.erl$",
+        r"(^|/)Sources?/.*\.swift$|src/main/scala/.*\.scala$|(^|/)lib/.*\.(ex|pm)$|(^|/)src/.*\.(jl|cr|cljs?|fs)$|(^|/)src/.*\.(c|cpp|h|hpp)$",
+    )),
+    ("framework", (
+        r"(^|/)(settings|urls|admin|models|views|serializers|signals|apps|router|routes|endpoints|deps|schemas|tasks|context_processors)\.py$", r"(^|/)(templatetags|api|routers?|services?|models?|schemas?|core|backends)/[^/]+\.py$",
+        r"(Controller|Extensions?|Middleware|Module|Handler|Attribute|Hub|Filter|Converter)\.cs$", r"\.(controller|handler|store|xsd|terms|node|plugin|credentials|connector|adapter)\.([mc]?[jt]s|tsx)$", rf"\.worker{_SCRIPTS}",
+        r"use\w+Store\.([mc]?[jt]s|tsx)$", r"\+(page|layout|server|error)(\.server)?\.([mc]?[jt]s|[jt]sx|svelte)$", rf"(^|/)entry\.(ssr|dev|preview|express|cloudflare|vercel|deno|bun|fastify|node){_SCRIPTS}",
+        rf"(^|/)(middleware|instrumentation(-client)?){_SCRIPTS}", r"(^|/)config/(routes|application)\.rb$|(^|/)db/seeds\.rb$|(^|/)routes/(web|api)\.php$|(^|/)config/.*\.(php|exs)$",
+        rf"(^|/)(background|content[_-]?script|popup|options|devtools|sidebar|panel){_SCRIPTS}", rf"jsx(-dev)?-runtime{_SCRIPTS}", r"parcel-(transformer|resolver|namer|packager|optimizer|reporter|compressor|validator)\b",
+    )),
+    ("pages", (r"(^|/)(pages|app|routes)/.*\.(jsx?|tsx?|vue|svelte)$",)),
+    ("generated", (r"\.(pb|pb2|proto)\.(go|py|js|ts)$|_grpc_pb\.|_pb2(_grpc)?\.pyi?$|_pb\.(js|ts|d\.ts)$", rf"\.gen{_SCRIPTS}|\.min\.js$", r"(^|/)(mock_[^/]+|zz_generated[_.].*)\.go$|_generated?\.go$")),
+    ("types", (r"\.d\.[mc]?ts$", r"\.pyi$", r"(^|/)(flow-typed|typeshed)/")),
+    ("rust", (r"(^|/)(benches|examples|tests)/.*\.rs$", r"(^|/)(fuzz_targets|fuzz/targets|handlers|imports|syntax_helpers|completions|tracing|toolchain_info)/[^/]+\.rs$")),
+)
 NEVER_ENTRY = r"(^|/)(dead|deprecated|legacy|old|unused)[-_]|(^|/)dead\.[a-z]+$"
 
 
 def entry_reason(path):
     """Why a file is an entry point by convention; null if it is none. Names that tell of dead code never are."""
     told = F.when(F.lower(path).rlike(NEVER_ENTRY), F.lit(None).cast("string"))
-    for reason, pattern in ENTRIES:
-        told = told.when(path.rlike(pattern), reason)
+    for reason, patterns in ENTRY_FILES:
+        told = told.when(path.rlike("|".join(f"(?:{p})" for p in patterns)), reason)
+    for reason, words in ENTRY_FOLDERS:
+        told = told.when(path.rlike(rf"(^|/)({'|'.join(w.replace('.', '[.]') for w in words.split())})/"), reason)
     return told

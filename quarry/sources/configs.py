@@ -50,6 +50,16 @@ def entries(files: DataFrame, readers=READERS) -> DataFrame:
     return files.select("project", F.col("file").alias("config"), F.explode(found).alias("e")).select("project", "e.reader", "config", "e.path").distinct()
 
 
+def links(pages: DataFrame) -> DataFrame:
+    """file, href of every link in pages (file, content)."""
+    return pages.select("file", F.explode(F.regexp_extract_all("content", F.lit('href="([^"]+)"'), 1)).alias("href"))
+
+
+def scripts(pages: DataFrame) -> DataFrame:
+    """file, scripts: how many script elements each page has."""
+    return pages.select("file", F.regexp_count("content", F.lit("<script")).cast("long").alias("scripts"))
+
+
 def build_systems(files: DataFrame) -> DataFrame:
     """project, system, config, directory."""
     found = F.filter(F.array(*(F.when(F.col("file").rlike(p), F.lit(n)) for n, p in BUILD_SYSTEMS)), lambda x: x.isNotNull())

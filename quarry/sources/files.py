@@ -26,13 +26,43 @@ LANGUAGES = {
 }
 #: Languages of the command-line scan, first match, and its short names for rules.
 RULE_LANGUAGES = (("js", r"\.(js|mjs|cjs|jsx|vue|svelte)$"), ("ts", r"\.(ts|tsx|mts|cts)$"), ("py", r"\.pyi?$"), ("go", r"\.go$"), ("php", r"\.php$"))
-GENERATED_PATHS = r"(^|/)(generated|__generated__|gen|\.next|\.nuxt|codegen|autogen)/|\.(generated|g|gen|pb|designer)\.[a-z]+$|_pb2(_grpc)?\.py$|\.pb\.go$|_generated\.[a-z]+$"
-GENERATED_HEADS = r"(?i)@generated|auto-?generated|do not edit|code generated by|this file (was|is) generated"
+#: Paths of generated files, and what generated files say in their first lines.
+GENERATED_PATHS = (
+    r"\.generated\.(ts|tsx|js|jsx|mjs)$", r"\.g\.(ts|js)$", r"(^|/)(generated|__generated__|codegen|__graphql__|api-client|swagger-client|mocks|obj)/", r"/(graphql|gql)\.(ts|tsx|js)$", r"\.graphql\.(ts|tsx|js)$",
+    r"_pb\.(js|d\.ts)$", r"_pb2(_grpc)?\.py$", r"\.pb\.(go|cc|h)$", r"(^|/)(target/generated-(test-)?sources|build/generated(-sources)?)/", r"_\.java$", r"\.Designer\.cs$", r"\.g(\.i)?\.cs$", r"(^|/)Migrations/.*\.cs$",
+    r"\.AssemblyAttributes\.cs$", r"GlobalSuppressions\.cs$", r"_gen\.go$", r"mock_.*\.go$", r"_mock\.go$", r"_string\.go$", r"\.rs\.bk$", r"(^|/)(dist|build|out|output|\.next|\.nuxt|\.output|node_modules|vendor|bazel-bin|bazel-out|bazel-testlogs)/",
+)
+GENERATED_HEADS = (
+    r"(?im)^// Code generated .* DO NOT EDIT|^// AUTO-GENERATED|^// GENERATED CODE|^// This file was auto-?generated|^# Generated by|^# DO NOT EDIT|@generated|DO NOT EDIT THIS FILE|This file is auto-?generated|Generated from |"
+    r"^/\*\s*eslint-disable\s*\*/|^// @ts-nocheck"
+)
+#: What the command-line scan leaves out besides; it takes third_party, archives and videos in.
+CLI_EXCLUDED_DIRS = (
+    "node_modules bower_components .git dist build coverage logs log tmp temp .cache cache __pycache__ .pytest_cache .mypy_cache __snapshots__ snapshots test-fixtures test_fixtures __fixtures__ fixtures fixture "
+    "testdata test-data vendor __mockdata__ __mock__ __for-testing__ pkg-tests-fixtures pkg-tests-specs type-tests type-test TestData testData test-cases test_cases conformance testcases test-fixture obj"
+).split()
+CLI_EXCLUDED_NAMES = r"\.min\.(js|css)$|\.(log|pyc|pyo|sql|sqlite|sqlite3|db)$"
+#: The bucket of each extension; those of 25 languages are the language's, .vb to .vue besides.
+CATEGORIES = {
+    "javascript": ".js .mjs .cjs .jsx .ts .mts .cts .tsx .vue .svelte", "python": ".py .pyi", "java": ".java", "kotlin": ".kt .kts", "csharp": ".cs", "go": ".go", "rust": ".rs", "php": ".php", "ruby": ".rb", "swift": ".swift",
+    "dart": ".dart", "scala": ".scala .sc", "elixir": ".ex .exs", "haskell": ".hs .lhs", "fsharp": ".fs", "ocaml": ".ml .mli", "julia": ".jl", "zig": ".zig", "nim": ".nim", "erlang": ".erl .hrl", "crystal": ".cr", "vlang": ".v",
+    "perl": ".pl .pm", "clojure": ".clj .cljs .cljc", "vbnet": ".vb", "css": ".css .scss .sass .less", "assets": ".png .jpg .jpeg .gif .svg .webp .ico .woff .woff2 .ttf .eot",
+}
+#: Languages that the command-line scan counts: the buckets of languages, with Kotlin taken for Java and fewer ends.
+CLI_LANGUAGES = {name: ends for name, ends in CATEGORIES.items() if name not in ("kotlin", "css", "assets")} | {
+    "javascript": ".js .mjs .cjs .jsx .ts .mts .cts .tsx", "python": ".py", "java": ".java .kt", "perl": ".pl .pm",
+}
+
+
+def excluded(path: Column, profile: str = "scan") -> Column:
+    """Whether a scan leaves a file out; the ``cli`` profile is that of the command line."""
+    names, patterns = (EXCLUDED_DIRS, EXCLUDED_NAMES) if profile == "scan" else (CLI_EXCLUDED_DIRS, CLI_EXCLUDED_NAMES)
+    dirs = "|".join(d.replace(".", r"\.") for d in names)
+    return path.rlike(rf"(^|/)({dirs})/") | path.rlike(patterns) | path.rlike(EXCLUDED_PATHS)
 
 
-def excluded(path: Column) -> Column:
-    dirs = "|".join(d.replace(".", r"\.") for d in EXCLUDED_DIRS)
-    return path.rlike(rf"(^|/)({dirs})/") | path.rlike(EXCLUDED_NAMES) | path.rlike(EXCLUDED_PATHS)
+def _by_extension(table: dict[str, str], ext: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for name, exts in table.items() for e in exts.split() for x in (e, name))), ext)
 
 
 def language(path: Column) -> Column:
@@ -50,27 +80,71 @@ def rule_language(path: Column) -> Column:
 
 def category(path: Column) -> Column:
     """One bucket for each file: a language, css, assets or other."""
-    assets = r"(?i)\.(png|jpe?g|gif|webp|avif|bmp|ico|svg|woff2?|ttf|otf|eot|mp3|ogg|wav|webm)$"
-    return F.coalesce(language(path), F.when(path.rlike(r"\.svelte$"), "javascript").when(path.rlike(r"\.(css|scss|sass|less)$"), "css").when(path.rlike(assets), "assets").otherwise("other"))
+    return F.coalesce(_by_extension(CATEGORIES, S.extension(path)), F.lit("other"))
+
+
+def cli_language(path: Column) -> Column:
+    """The command-line scan's language of a file, which takes Kotlin for Java; other where it knows none."""
+    return F.coalesce(_by_extension(CLI_LANGUAGES, S.extension(path)), F.lit("other"))
 
 
 def generated(path: Column, content: Column) -> Column:
-    return path.rlike(GENERATED_PATHS) | F.substring_index(F.coalesce(content, F.lit("")), "\n", 20).rlike(GENERATED_HEADS)
+    """By its path, or by what its first 20 lines say."""
+    head = F.substring_index(F.coalesce(content, F.lit("")), "\n", 20)
+    return path.rlike("|".join(f"(?:{p})" for p in GENERATED_PATHS)) | head.rlike(GENERATED_HEADS)
+
+
+def histogram(files: DataFrame, by: Column, size: str = "size", leave: str | None = "other") -> DataFrame:
+    """lang, files, size: one row for each value of ``by``, without the one to leave out."""
+    per = files.withColumn("lang", by).groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("size"))
+    return per if leave is None else per.filter(F.col("lang") != leave)
+
 
+def totals(files: DataFrame, by: str, names: tuple[str, ...], size: str = "size") -> DataFrame:
+    """One row: files, total size, and the size of each named value of ``by``."""
+    of = lambda n: F.coalesce(F.sum(F.when(F.col(by) == n, F.col(size))), F.lit(0)).alias(n)
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("total"), *map(of, names))
 
-def discover(spark: SparkSession, root: str, project: str, submodules: DataFrame | None = None) -> DataFrame:
+
+def dead_summary(files: DataFrame) -> DataFrame:
+    """One row of files (entry, dead, size): files, entry points, dead ones, their bytes and rate, and the rest, which is reached or no code."""
+    dead = F.count_if("dead")
+    return files.agg(
+        F.count(F.lit(1)).alias("files"), F.count_if("entry").alias("entry_points"), dead.alias("dead_files"), F.coalesce(F.sum(F.when(F.col("dead"), F.col("size"))), F.lit(0)).alias("dead_bytes"),
+        F.coalesce(F.round(100.0 * F.try_divide(dead, F.count(F.lit(1))), 2), F.lit(0.0)).alias("dead_rate"), (F.count(F.lit(1)) - dead - F.count_if("entry")).alias("other_files"),
+    )
+
+
+def _tops(spark: SparkSession, root: str, profile: str) -> list[str]:
+    """What lies in ``root`` itself, without the directories that the profile leaves out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    names = set(EXCLUDED_DIRS if profile == "scan" else CLI_EXCLUDED_DIRS)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    kept = [s.getPath().toString() for s in found if not (s.isDirectory() and s.getPath().getName() in names)]
+    return kept or [root]
+
+
+#: Larger files are no source files, and more than one cell can hold.
+MOST_BYTES = 1 << 30
+
+
+def discover(spark: SparkSession, root: str, project: str, submodules: DataFrame | None = None, profile: str = "scan") -> DataFrame:
     """project, file, size, mtime, ext, lang, content of every file under ``root`` that a scan covers."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # Directories left out whole are not listed, where they lie at the top; the limit on length is a filter of the scan itself.
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_tops(spark, root, profile))
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     name = F.regexp_replace(F.col("path"), rf"^[a-z]+:/+{base.replace('.', '[.]')}/+", "")
-    rows = read.select(
+    rows = read.filter(~excluded(name, profile) & (F.col("length") < MOST_BYTES)).select(
         F.lit(project).alias("project"), name.alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("content")
     )
-    rows = rows.filter(~excluded(F.col("file"))).withColumn("ext", S.extension(F.col("file"))).withColumn("lang", language(F.col("file")))
-    if submodules is not None:
-        inside = rows.select("file", F.explode(S.ancestors(F.col("file"))).alias("path")).join(submodules.select("path").distinct(), "path", "left_semi")
-        rows = rows.join(inside.select("file").distinct(), "file", "left_anti")
-    return rows
+    rows = rows.withColumn("ext", S.extension(F.col("file"))).withColumn("lang", language(F.col("file")))
+    return rows if submodules is None else outside_submodules(rows, submodules)
+
+
+def outside_submodules(files: DataFrame, submodules: DataFrame) -> DataFrame:
+    """Files that lie in no submodule (path)."""
+    inside = files.select("file", F.explode(S.ancestors(F.col("file"))).alias("path")).join(submodules.select("path").distinct(), "path", "left_semi")
+    return files.join(inside.select("file").distinct(), "file", "left_anti")
 
 
 def submodule_paths(gitmodules: DataFrame) -> DataFrame:
