@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.plans import repository, rules  # noqa: F401 - its queries join the others
 from quarry.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

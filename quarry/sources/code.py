@@ -33,7 +33,7 @@ RULES = (
     ("python", "function", "function", r"(?m)^\s*(?:async\s+)?def\s+(\w+)"),
     ("python", "class", "class", r"(?m)^\s*class\s+(\w+)"),
     ("go", "import", "single", r'(?m)^\s*import\s+(?:\w+\s+)?"([^"]+)"'),
-    ("go", "import", "block", r'(?m)^\s+(?:[\w.]+\s+)?"([^"\s]+)"\s*$'),
+    ("go", "import", "block", r'(?m)^[ \t]+(?:[\w.]+[ \t]+)?"([^"\s]+)"[ \t]*$'),
     ("go", "function", "function", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)"),
     ("go", "class", "struct", r"(?m)^type\s+(\w+)\s+struct\b"),
     ("go", "class", "interface", r"(?m)^type\s+(\w+)\s+interface\b"),

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 
 
 def rows_of(values):

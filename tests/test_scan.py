@@ -1,7 +1,6 @@
 import pytest
 
 from quarry.plans.scan import analyse
-from quarry.sources import code, parse
 from tests.fixtures_repos import EXPECTED, FILES
 
 
