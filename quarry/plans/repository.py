@@ -12,7 +12,10 @@ from quarry.plans.tables import EDGES_SQL, REACHED_SQL, part_edges, part_seeds,
 from quarry.sources import code, configs, parse
 from quarry.sources import files as sources
 
-P = F.lit("p").alias("project")
+
+
+def _p() -> F.Column:
+    return F.lit("p").alias("project")
 
 
 def _text(c) -> F.Column:
@@ -59,13 +62,13 @@ def _modules(spark: SparkSession, d: str) -> DataFrame:
     heads = edges.groupBy(F.col("src").alias("k")).agg(_lines(line, F.col("dst")).alias("head"))
     call = F.when(F.col("p_partkey") % 3 == 0, _cat("g", F.col("k"), "();\n")).otherwise("")
     body = _cat("\nexport function f", F.col("k"), "() { return 1; }\nexport function h", F.col("k"), "() { return '}'; }\nfunction g", F.col("k"), "() {\n  return g", F.col("k"), ";\n}\n", call)
-    rows = part.join(heads, "k", "left").select(P, _cat("src/m", folder(F.col("p_partkey")), "/p", F.col("k"), ".js").alias("file"), F.concat(F.coalesce("head", F.lit("")), body).alias("content"))
+    rows = part.join(heads, "k", "left").select(_p(), _cat("src/m", folder(F.col("p_partkey")), "/p", F.col("k"), ".js").alias("file"), F.concat(F.coalesce("head", F.lit("")), body).alias("content"))
     return rows.withColumn("lang", F.lit("javascript"))
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "part").filter("p_partkey % 4 = 0")
-    return own.select(P, _cat("src/notes/n", _text("p_partkey"), ".js").alias("file"), _cat("// h", _text("p_partkey"), " is used elsewhere\n").alias("content"), F.lit("javascript").alias("lang"))
+    return own.select(_p(), _cat("src/notes/n", _text("p_partkey"), ".js").alias("file"), _cat("// h", _text("p_partkey"), " is used elsewhere\n").alias("content"), F.lit("javascript").alias("lang"))
 
 
 # --- scripts: parsing, resolution, dead code -------------------------------------------------------------
@@ -117,7 +120,7 @@ def eligible_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(REACHED_SQL + " SELECT p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT node FROM reached)")
 def scan_dead_files(spark: SparkSession, d: str) -> DataFrame:
-    start = table(spark, d, "part").filter("p_partkey % 100 = 0").select(P, _cat("src/m", _text(F.col("p_partkey") % 7), "/p", _text("p_partkey"), ".js").alias("file"), F.lit("given").alias("reason"))
+    start = table(spark, d, "part").filter("p_partkey % 100 = 0").select(_p(), _cat("src/m", _text(F.col("p_partkey") % 7), "/p", _text("p_partkey"), ".js").alias("file"), F.lit("given").alias("reason"))
     found = scan.analyse(_modules(spark, d).drop("lang"), start)
     return found.dead_files.select(_number("node", r"p(\d+)\.js$").alias("file"))
 
@@ -125,14 +128,14 @@ def scan_dead_files(spark: SparkSession, d: str) -> DataFrame:
 @query(REACHED_SQL + """, used AS (SELECT DISTINCT e.dst FROM edges e JOIN reached r ON e.src = r.node)
 SELECT dst AS file, 'h' || dst AS name FROM used WHERE dst % 4 <> 0 AND dst % 100 <> 0""")
 def scan_dead_exports(spark: SparkSession, d: str) -> DataFrame:
-    start = table(spark, d, "part").filter("p_partkey % 100 = 0").select(P, _cat("src/m", _text(F.col("p_partkey") % 7), "/p", _text("p_partkey"), ".js").alias("file"), F.lit("given").alias("reason"))
+    start = table(spark, d, "part").filter("p_partkey % 100 = 0").select(_p(), _cat("src/m", _text(F.col("p_partkey") % 7), "/p", _text("p_partkey"), ".js").alias("file"), F.lit("given").alias("reason"))
     found = scan.analyse(_modules(spark, d).unionByName(_notes(spark, d)).drop("lang"), start)
     return found.dead_exports.select(_number("file", r"p(\d+)\.js$").alias("file"), F.explode("dead_names").alias("name"))
 
 
 @query(REACHED_SQL + " SELECT p_partkey AS node, CASE WHEN regexp_matches(lower(p_name), 'plugin|middleware|handler|hook|extension|addon|adapter|driver|strategy|provider') THEN 'possibly-live' ELSE 'unreachable' END AS verdict, CASE WHEN p_size >= 43 THEN 'high' WHEN p_size >= 30 THEN 'medium' ELSE 'low' END AS label FROM part WHERE p_partkey NOT IN (SELECT node FROM reached)")
 def dead_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "part").select(P, _text("p_partkey").alias("node"), "p_name", "p_size")
+    nodes = table(spark, d, "part").select(_p(), _text("p_partkey").alias("node"), "p_name", "p_size")
     seeds = part_seeds(spark, d)
     dead = graph.not_reached(nodes, graph.reachable(part_edges(spark, d), seeds), seeds)
     return dead.select(as_long("node"), graph.verdict(F.col("p_name")).alias("verdict"), graph.confidence_label(F.col("p_size") / 50.0).alias("label"))
@@ -150,7 +153,7 @@ def export_usage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE m AS (SELECT s_suppkey AS s, s_nationkey AS n FROM supplier) SELECT s AS node FROM m WHERE n IN (SELECT n FROM m WHERE s = 1)""")
 def same_scope(spark: SparkSession, d: str) -> DataFrame:
-    members = table(spark, d, "supplier").select(P, _text("s_suppkey").alias("node"), _text("s_nationkey").alias("scope"))
+    members = table(spark, d, "supplier").select(_p(), _text("s_suppkey").alias("node"), _text("s_nationkey").alias("scope"))
     seed = members.filter("node = '1'").select("project", "node")
     return graph.reachable(graph.shared_scope_edges(members), seed).filter("node NOT LIKE 'scope:%'").select(as_long("node"))
 
@@ -166,8 +169,8 @@ def glob_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SUPPLIERS_SQL} SELECT s.s AS supplier, n_nationkey AS nation FROM s JOIN nation ON n_regionkey = s.r")
 def go_edges(spark: SparkSession, d: str) -> DataFrame:
-    nations = _regions(spark, d).select(P, _cat("pkg/r", F.col("r"), "/n", F.col("n"), ".go").alias("file"), _cat("package r", F.col("r"), "\n").alias("content"))
-    mains = _suppliers(spark, d).select(P, _cat("cmd/s", F.col("s"), "/run.go").alias("file"), _cat('package main\n\nimport "example.com/app/pkg/r', F.col("r"), '"\n').alias("content"))
+    nations = _regions(spark, d).select(_p(), _cat("pkg/r", F.col("r"), "/n", F.col("n"), ".go").alias("file"), _cat("package r", F.col("r"), "\n").alias("content"))
+    mains = _suppliers(spark, d).select(_p(), _cat("cmd/s", F.col("s"), "/run.go").alias("file"), _cat('package main\n\nimport "example.com/app/pkg/r', F.col("r"), '"\n').alias("content"))
     files = nations.unionByName(mains).withColumn("lang", F.lit("go"))
     found = code.resolved(code.imports(files), files)
     return found.select(_number("src", r"s(\d+)/run\.go$").alias("supplier"), _number("dst", r"n(\d+)\.go$").alias("nation"))
@@ -175,8 +178,8 @@ def go_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey AS customer, c_nationkey AS nation FROM customer")
 def python_edges(spark: SparkSession, d: str) -> DataFrame:
-    nations = _regions(spark, d).select(P, _cat("lib/shop/models/n", F.col("n"), ".py").alias("file"), F.lit("class N:\n    pass\n").alias("content"))
-    own = table(spark, d, "customer").select(P, _cat("app/c", _text("c_custkey"), ".py").alias("file"), _cat("import os\nfrom shop.models import n", _text("c_nationkey"), "\n").alias("content"))
+    nations = _regions(spark, d).select(_p(), _cat("lib/shop/models/n", F.col("n"), ".py").alias("file"), F.lit("class N:\n    pass\n").alias("content"))
+    own = table(spark, d, "customer").select(_p(), _cat("app/c", _text("c_custkey"), ".py").alias("file"), _cat("import os\nfrom shop.models import n", _text("c_nationkey"), "\n").alias("content"))
     files = nations.unionByName(own).withColumn("lang", F.lit("python"))
     found = code.resolved(parse.imports(parse.parsed(files)), files)
     return found.select(_number("src", r"c(\d+)\.py$").alias("customer"), _number("dst", r"n(\d+)\.py$").cast("int").alias("nation"))
@@ -184,8 +187,8 @@ def python_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey AS supplier, s_nationkey AS nation FROM supplier")
 def java_edges(spark: SparkSession, d: str) -> DataFrame:
-    nations = _regions(spark, d).select(P, _cat("core/src/main/java/com/shop/N", F.col("n"), ".java").alias("file"), F.lit("").alias("content"))
-    own = _suppliers(spark, d).select(P, _cat("web/src/main/java/com/web/S", F.col("s"), ".java").alias("file"), _cat("import java.util.List;\nimport com.shop.N", F.col("n"), ";\n").alias("content"))
+    nations = _regions(spark, d).select(_p(), _cat("core/src/main/java/com/shop/N", F.col("n"), ".java").alias("file"), F.lit("").alias("content"))
+    own = _suppliers(spark, d).select(_p(), _cat("web/src/main/java/com/web/S", F.col("s"), ".java").alias("file"), _cat("import java.util.List;\nimport com.shop.N", F.col("n"), ";\n").alias("content"))
     files = nations.unionByName(own).withColumn("lang", F.lit("java"))
     found = code.resolved(code.imports(files), files)
     return found.select(_number("src", r"S(\d+)\.java$").alias("supplier"), _number("dst", r"N(\d+)\.java$").cast("int").alias("nation"))
@@ -194,8 +197,8 @@ def java_edges(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT s_suppkey AS supplier, s_nationkey AS nation FROM supplier")
 def alias_edges(spark: SparkSession, d: str) -> DataFrame:
     config = spark.createDataFrame([("p", "tsconfig.json", '{"compilerOptions": {"baseUrl": ".", "paths": {"@n/*": ["src/nations/*"]}}}')], "project string, file string, content string")
-    nations = _regions(spark, d).select(P, _cat("src/nations/n", F.col("n"), ".ts").alias("file"), F.lit("").alias("content"))
-    own = _suppliers(spark, d).select(P, _cat("src/s", F.col("s"), ".ts").alias("file"), _cat("import x from '@n/n", F.col("n"), "';\nimport y from 'react';\n").alias("content"))
+    nations = _regions(spark, d).select(_p(), _cat("src/nations/n", F.col("n"), ".ts").alias("file"), F.lit("").alias("content"))
+    own = _suppliers(spark, d).select(_p(), _cat("src/s", F.col("s"), ".ts").alias("file"), _cat("import x from '@n/n", F.col("n"), "';\nimport y from 'react';\n").alias("content"))
     files = nations.unionByName(own).withColumn("lang", F.lit("javascript"))
     found = code.resolved(code.imports(files), files, configs.aliases(files.drop("lang").unionByName(config)))
     return found.select(_number("src", r"s(\d+)\.ts$").alias("supplier"), _number("dst", r"n(\d+)\.ts$").cast("int").alias("nation"))
@@ -203,14 +206,14 @@ def alias_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _packages(spark: SparkSession, d: str) -> DataFrame:
     """A package for each region, and below it one for each nation with an even number; regions with an odd number are private."""
-    regions = table(spark, d, "region").select(P, _cat("r", _text("r_regionkey"), "/package.json").alias("file"), _cat('{"name": "r', _text("r_regionkey"), '", "main": "index.js", "private": ', F.when(F.col("r_regionkey") % 2 == 1, "true").otherwise("false"), "}").alias("content"))
+    regions = table(spark, d, "region").select(_p(), _cat("r", _text("r_regionkey"), "/package.json").alias("file"), _cat('{"name": "r', _text("r_regionkey"), '", "main": "index.js", "private": ', F.when(F.col("r_regionkey") % 2 == 1, "true").otherwise("false"), "}").alias("content"))
     even = _regions(spark, d).filter("CAST(n AS INT) % 2 = 0")
-    return regions.unionByName(even.select(P, _cat("r", F.col("r"), "/n", F.col("n"), "/package.json").alias("file"), _cat('{"name": "n', F.col("n"), '", "private": true}').alias("content")))
+    return regions.unionByName(even.select(_p(), _cat("r", F.col("r"), "/n", F.col("n"), "/package.json").alias("file"), _cat('{"name": "n', F.col("n"), '", "private": true}').alias("content")))
 
 
 def _customer_files(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "customer").select("c_custkey", _text("c_nationkey").alias("n")).join(_regions(spark, d), "n")
-    return own.select(P, _cat("r", F.col("r"), "/n", F.col("n"), "/c", _text("c_custkey"), ".js").alias("file"))
+    return own.select(_p(), _cat("r", F.col("r"), "/n", F.col("n"), "/c", _text("c_custkey"), ".js").alias("file"))
 
 
 _CUSTOMERS_SQL = "c AS (SELECT c_custkey AS customer, n_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey)"
@@ -232,7 +235,7 @@ def publishable_files(spark: SparkSession, d: str) -> DataFrame:
 def manifest_dependencies(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").filter("l_quantity = 50").select("l_suppkey", "l_partkey").distinct()
     held = F.concat(F.lit('{"dependencies": {'), F.array_join(F.collect_list(_cat('"p', _text("l_partkey"), '": "^1.0.0"')), ", "), F.lit("}}"))
-    files = lines.groupBy("l_suppkey").agg(held.alias("content")).select(P, _cat("s", _text("l_suppkey"), "/package.json").alias("file"), "content")
+    files = lines.groupBy("l_suppkey").agg(held.alias("content")).select(_p(), _cat("s", _text("l_suppkey"), "/package.json").alias("file"), "content")
     return configs.manifests(files).select(_number("directory", r"^s(\d+)$").alias("requirer"), "name", "declared_in")
 
 
@@ -240,28 +243,28 @@ def manifest_dependencies(spark: SparkSession, d: str) -> DataFrame:
 def lockfile_packages(spark: SparkSession, d: str) -> DataFrame:
     one = _cat('"node_modules/s', _text("s_suppkey"), '": {"version": "1.', _text("s_nationkey"), '.0", "license": "', F.when(F.col("s_nationkey") % 2 == 0, "MIT").otherwise("GPL-3.0"), '"}')
     content = F.concat(F.lit('{"packages": {"": {}, '), F.array_join(F.collect_list(one), ", "), F.lit("}}"))
-    files = table(spark, d, "supplier").groupBy("s_nationkey").agg(content.alias("content")).select(P, _cat("n", _text("s_nationkey"), "/package-lock.json").alias("file"), "content")
+    files = table(spark, d, "supplier").groupBy("s_nationkey").agg(content.alias("content")).select(_p(), _cat("n", _text("s_nationkey"), "/package-lock.json").alias("file"), "content")
     return configs.lockfile(files).select("name", "version", "license")
 
 
 @query("SELECT 'r' || n_regionkey || '/webpack.config.js' AS config, 'src/n' || n_nationkey || '.js' AS path, 'webpack' AS reader FROM nation")
 def config_entries(spark: SparkSession, d: str) -> DataFrame:
     entry = F.concat(F.lit("module.exports = { entry: { "), F.array_join(F.collect_list(_cat("a", F.col("n"), ": './src/n", F.col("n"), ".js'")), ", "), F.lit(" } }"))
-    files = _regions(spark, d).groupBy("r").agg(entry.alias("content")).select(P, _cat("r", F.col("r"), "/webpack.config.js").alias("file"), "content")
+    files = _regions(spark, d).groupBy("r").agg(entry.alias("content")).select(_p(), _cat("r", F.col("r"), "/webpack.config.js").alias("file"), "content")
     return configs.entries(files).select("config", "path", "reader")
 
 
 @query("SELECT 'scripts/s' || s_suppkey || '.js' AS path FROM supplier")
 def script_entries(spark: SparkSession, d: str) -> DataFrame:
     one = _cat('"run', F.col("s"), '": "node scripts/s', F.col("s"), '.js --fast"')
-    files = _suppliers(spark, d).groupBy("n").agg(F.concat(F.lit('{"scripts": {'), F.array_join(F.collect_list(one), ", "), F.lit("}}")).alias("content")).select(P, _cat("n", F.col("n"), "/package.json").alias("file"), "content")
+    files = _suppliers(spark, d).groupBy("n").agg(F.concat(F.lit('{"scripts": {'), F.array_join(F.collect_list(one), ", "), F.lit("}}")).alias("content")).select(_p(), _cat("n", F.col("n"), "/package.json").alias("file"), "content")
     return configs.entries(files).filter("reader = 'scripts'").select("path")
 
 
 @query("SELECT 'maven' AS system, 'r' || n_regionkey || '/pom.xml' AS config, 'n' || n_nationkey AS package FROM nation")
 def build_packages(spark: SparkSession, d: str) -> DataFrame:
     content = F.concat(F.lit("<project><modules>"), F.array_join(F.collect_list(_cat("<module>n", F.col("n"), "</module>")), "\n"), F.lit("</modules></project>"))
-    files = _regions(spark, d).groupBy("r").agg(content.alias("content")).select(P, _cat("r", F.col("r"), "/pom.xml").alias("file"), "content")
+    files = _regions(spark, d).groupBy("r").agg(content.alias("content")).select(_p(), _cat("r", F.col("r"), "/pom.xml").alias("file"), "content")
     return configs.build_packages(files).select("system", "config", "package")
 
 
@@ -269,7 +272,7 @@ def build_packages(spark: SparkSession, d: str) -> DataFrame:
 def build_systems(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey") % 4
     name = F.when(k == 0, "Cargo.toml").when(k == 1, "pom.xml").when(k == 2, "turbo.json").otherwise("go.work")
-    files = table(spark, d, "nation").select(P, _cat("n", _text("n_nationkey"), "/", name).alias("file"), F.lit("").alias("content"))
+    files = table(spark, d, "nation").select(_p(), _cat("n", _text("n_nationkey"), "/", name).alias("file"), F.lit("").alias("content"))
     return configs.build_systems(files).select("system", "directory")
 
 
@@ -277,7 +280,7 @@ def build_systems(spark: SparkSession, d: str) -> DataFrame:
 def project_closure(spark: SparkSession, d: str) -> DataFrame:
     to = _text((F.col("n_nationkey") * 3 + 1) % 25)
     include = _cat('<Project><ProjectReference Include="..\\n', to, "\\n", to, '.csproj" /></Project>')
-    files = table(spark, d, "nation").select(P, _cat("n", _text("n_nationkey"), "/n", _text("n_nationkey"), ".csproj").alias("file"), include.alias("content"))
+    files = table(spark, d, "nation").select(_p(), _cat("n", _text("n_nationkey"), "/n", _text("n_nationkey"), ".csproj").alias("file"), include.alias("content"))
     seed = spark.createDataFrame([("p", "n0")], "project string, node string")
     return graph.reachable(configs.project_references(files), seed).select(_number("node", r"^n(\d+)$").cast("int").alias("node"))
 
@@ -285,23 +288,23 @@ def project_closure(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_nationkey AS nation, 'n' || n_nationkey AS name FROM nation WHERE n_regionkey < 3")
 def workspace_members(spark: SparkSession, d: str) -> DataFrame:
     root = spark.createDataFrame([("p", "package.json", '{"private": true, "workspaces": ["r0/*", "r1/*", "r2/*"]}')], "project string, file string, content string")
-    own = _regions(spark, d).select(P, _cat("r", F.col("r"), "/n", F.col("n"), "/package.json").alias("file"), _cat('{"name": "n', F.col("n"), '"}').alias("content"))
+    own = _regions(spark, d).select(_p(), _cat("r", F.col("r"), "/n", F.col("n"), "/package.json").alias("file"), _cat('{"name": "n', F.col("n"), '"}').alias("content"))
     return configs.workspace_packages(root.unionByName(own)).select(_number("directory", r"n(\d+)$").cast("int").alias("nation"), "name")
 
 
 @query("SELECT n_nationkey AS nation, 'src/n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.ts' ELSE '/index.js' END AS file FROM nation")
 def workspace_exports(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "nation").select("n_nationkey", _text("n_nationkey").alias("n"))
-    packages = own.select(P, F.lit(".").alias("directory"), _cat("./dist/n", F.col("n"), ".js").alias("path"))
-    files = own.select(P, _cat("src/n", F.col("n"), F.when(F.col("n_nationkey") % 2 == 0, ".ts").otherwise("/index.js")).alias("file"))
+    packages = own.select(_p(), F.lit(".").alias("directory"), _cat("./dist/n", F.col("n"), ".js").alias("path"))
+    files = own.select(_p(), _cat("src/n", F.col("n"), F.when(F.col("n_nationkey") % 2 == 0, ".ts").otherwise("/index.js")).alias("file"))
     found = entries.workspace_exports(packages, files)
     return found.select(_number("path", r"n(\d+)\.js$").cast("int").alias("nation"), "file")
 
 
 @query("SELECT c_custkey AS file, c_nationkey AS type FROM customer WHERE c_nationkey % 3 <> 0")
 def type_references(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "customer").select(P, _text("c_custkey").alias("file"), _cat("var x = new Nation", _text("c_nationkey"), "Service(y);").alias("content"))
-    types = table(spark, d, "nation").filter("n_nationkey % 3 <> 0").select(P, _cat("n", _text("n_nationkey")).alias("file"), _cat("Nation", _text("n_nationkey"), "Service").alias("name"))
+    files = table(spark, d, "customer").select(_p(), _text("c_custkey").alias("file"), _cat("var x = new Nation", _text("c_nationkey"), "Service(y);").alias("content"))
+    types = table(spark, d, "nation").filter("n_nationkey % 3 <> 0").select(_p(), _cat("n", _text("n_nationkey")).alias("file"), _cat("Nation", _text("n_nationkey"), "Service").alias("name"))
     return entries.type_references(files, types).select(F.col("src").cast("long").alias("file"), _number("dst", r"^n(\d+)$").cast("int").alias("type"))
 
 
@@ -317,7 +320,7 @@ def _paths(spark: SparkSession, d: str, paths: tuple[str, ...] = _PATHS) -> Data
     for i, p in enumerate(paths):
         head, tail = p.split("{}")
         path = F.when(k == i, _cat(head, _text("doc_id"), tail)).otherwise(path)
-    return table(spark, d, "documents").select(P, path.alias("file"), "doc_id", F.col("n_chars").alias("size"), F.col("text").alias("content"), "lang")
+    return table(spark, d, "documents").select(_p(), path.alias("file"), "doc_id", F.col("n_chars").alias("size"), F.col("text").alias("content"), "lang")
 
 
 def _paths_sql(values: list, paths: tuple[str, ...] = _PATHS) -> str:
@@ -388,7 +391,7 @@ def console_targets(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, CAST(doc_id % 4 AS BIGINT) AS n FROM documents WHERE doc_id % 4 > 0")
 def console_logs(spark: SparkSession, d: str) -> DataFrame:
     text = _cat("let a = 1;\n", F.repeat(F.lit("  console.log('x', a);\n"), (F.col("doc_id") % 4).cast("int")), "foo(console.log);\nconsole.log(\n")
-    return entries.console_logs(table(spark, d, "documents").select(P, _text("doc_id").alias("file"), text.alias("content"))).select(as_long("file").alias("doc_id"), as_long("n"))
+    return entries.console_logs(table(spark, d, "documents").select(_p(), _text("doc_id").alias("file"), text.alias("content"))).select(as_long("file").alias("doc_id"), as_long("n"))
 
 
 @query("SELECT doc_id, 'framework:' || CASE source WHEN 'src0' THEN 'next' WHEN 'src1' THEN 'nuxt' END AS reason FROM documents WHERE (source = 'src0' AND doc_id % 2 = 0) OR (source = 'src1' AND doc_id % 2 = 1)")
@@ -408,8 +411,8 @@ def injected_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS file FROM part WHERE p_size <= 25")
 def configured_entries(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "part").select(P, _cat("packages/a/src/f", _text("p_partkey"), ".ts").alias("file"))
-    named = table(spark, d, "part").filter("p_size <= 25").select(P, F.when(F.col("p_size") % 2 == 0, _cat("./src/f", _text("p_partkey"), ".ts")).otherwise(_cat("a/src/f", _text("p_partkey"))).alias("entry"))
+    files = table(spark, d, "part").select(_p(), _cat("packages/a/src/f", _text("p_partkey"), ".ts").alias("file"))
+    named = table(spark, d, "part").filter("p_size <= 25").select(_p(), F.when(F.col("p_size") % 2 == 0, _cat("./src/f", _text("p_partkey"), ".ts")).otherwise(_cat("a/src/f", _text("p_partkey"))).alias("entry"))
     return entries.configured(files, named).select(_number("file", r"f(\d+)\.ts$").alias("file"))
 
 
@@ -425,14 +428,14 @@ def metadata_entries(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda *v: F.when(k == 0, v[0]).when(k == 1, v[1]).when(k == 2, v[2]).when(k == 3, v[3]).when(k == 4, v[4]).otherwise(v[5])
     lang = pick("python", "java", "java", "go", "rust", "go")
     text = pick("def a():\n    pass\n\nif __name__ == '__main__':\n    a()\n", "class A {\n  static void main(String[] a) {\n  }\n  public static void main(String[] a) {\n  }\n}\n", "@RestController\npublic class A {\n}\n", "package a\n\nfunc init() {\n}\n", "fn main() {\n}\n", "package a\n\nfunc help() {\n}\n")
-    files = table(spark, d, "part").select(P, _text("p_partkey").alias("file"), lang.alias("lang"), text.alias("content"))
+    files = table(spark, d, "part").select(_p(), _text("p_partkey").alias("file"), lang.alias("lang"), text.alias("content"))
     found = entries.by_metadata(entries.metadata(files, parse.parsed(files)))
     return found.select(as_long("file"), "reason")
 
 
 @query("SELECT p_partkey AS file, CASE WHEN p_partkey % 3 = 0 THEN 'c' WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'a' END AS reason FROM part")
 def best_reason(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select(P, F.col("p_partkey").alias("file"))
+    part = table(spark, d, "part").select(_p(), F.col("p_partkey").alias("file"))
     found = part.withColumns({"reason": F.lit("a"), "confidence": F.lit(0.5)})
     found = found.unionByName(part.filter("file % 2 = 0").withColumns({"reason": F.lit("b"), "confidence": F.lit(0.7)})).unionByName(part.filter("file % 3 = 0").withColumns({"reason": F.lit("c"), "confidence": F.lit(0.9)}))
     return entries.best(found).select("file", "reason")
@@ -499,7 +502,7 @@ _LOGS_SQL = "l AS (SELECT 'd' || (p_partkey % 40) AS directory, p_size * (p_part
 
 def _logs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    return assets.logs(table(spark, d, "part").select(P, _cat("d", _text(k % 40), "/f", _text(k), F.when(k % 2 == 0, ".log").otherwise(".txt")).alias("file"), (F.col("p_size") * (k % 40) * 100_000).cast("long").alias("size")))
+    return assets.logs(table(spark, d, "part").select(_p(), _cat("d", _text(k % 40), "/f", _text(k), F.when(k % 2 == 0, ".log").otherwise(".txt")).alias("file"), (F.col("p_size") * (k % 40) * 100_000).cast("long").alias("size")))
 
 
 @query(f"WITH {_LOGS_SQL} SELECT directory, count(*) AS files, CAST(sum(size) AS BIGINT) AS total, CASE WHEN max(size) > 104857600 THEN 'critical' WHEN max(size) > 10485760 THEN 'warning' ELSE 'ok' END AS level FROM l GROUP BY 1")
@@ -519,7 +522,7 @@ def asset_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id, 'img/p' || p_partkey || '.png' AS name FROM part UNION SELECT p_partkey, 'p' || p_partkey || '.png' FROM part")
 def asset_references(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "part").select(P, _text("p_partkey").alias("file"), _cat("<img src='./img/p", _text("p_partkey"), ".png?v=2'> plain.png").alias("content"))
+    files = table(spark, d, "part").select(_p(), _text("p_partkey").alias("file"), _cat("<img src='./img/p", _text("p_partkey"), ".png?v=2'> plain.png").alias("content"))
     return assets.references(files).select(_number("name", r"p(\d+)\.png$").alias("id"), "name")
 
 

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 from quarry.functions import scalars as S
 from quarry.operators import assets, dependencies, entries, graph, history, issues, names, patterns, rollups
 from quarry.plans.queries import _FOUND_SQL, _ISSUES_SQL, _PROXIMITY_SQL, _SCANS_SQL, _TEST_RULES, _WASTE_SQL, DAY, _findings, _issues, _scans, _waste, as_long, query
-from quarry.plans.repository import _cat, _text
+from quarry.plans.repository import _cat, _p, _text
 from quarry.plans.tables import table
 from quarry.shared import shared_dir
 from quarry.sinks import reports
 from quarry.streaming import monitor
 
-K = F.col("p_partkey")
-ID = F.col("p_partkey").alias("id")
-P = F.lit("p").alias("project")
+
+def _k() -> F.Column:
+    return F.col("p_partkey")
+
+
+def _id() -> F.Column:
+    return _k().alias("id")
 
 
 def _choice(values: list, key=None) -> F.Column:
     """One of the values in turn; None is null."""
-    at = (K if key is None else key) % len(values)
+    at = (_k() if key is None else key) % len(values)
     out = F.lit(None).cast("string")
     for i, v in enumerate(values):
         out = F.when(at == i, F.lit(v).cast("string")).otherwise(out)
@@ -54,12 +58,12 @@ _LICENCES = [
 @query(f"SELECT p_partkey AS id, {_choice_sql([x[1] for x in _LICENCES])} AS category, {_choice_sql([x[2] for x in _LICENCES])} AS risk FROM part")
 def license_names(spark: SparkSession, d: str) -> DataFrame:
     name = _choice([x[0] for x in _LICENCES])
-    return _part(spark, d).select(ID, S.license_class(name).alias("category"), S.license_risk(name).alias("risk"))
+    return _part(spark, d).select(_id(), S.license_class(name).alias("category"), S.license_risk(name).alias("risk"))
 
 
 def _licensed(spark: SparkSession, d: str) -> DataFrame:
     """Packages whose licence comes from their own file, else from the lockfile, else from what is well known."""
-    names_ = _part(spark, d).select(F.when(K % 4 == 3, F.lit("@shop/lodash")).otherwise(_cat("p", _text("p_partkey"))).alias("name"), K.alias("id"))
+    names_ = _part(spark, d).select(F.when(_k() % 4 == 3, F.lit("@shop/lodash")).otherwise(_cat("p", _text("p_partkey"))).alias("name"), _k().alias("id"))
     own = _part(spark, d).filter("p_partkey % 4 = 0").select(_cat("p", _text("p_partkey")).alias("name"), F.lit("GPL-3.0").alias("license"))
     lock = _part(spark, d).filter("p_partkey % 4 < 2").select(_cat("p", _text("p_partkey")).alias("name"), F.lit("Sleepycat").alias("license"))
     return dependencies.licence_chain(names_, own, lock)
@@ -86,7 +90,7 @@ def license_issues(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey AS id, p_partkey % 4 IN (0, 3) AS attribution, p_partkey % 4 = 2 AS source_disclosure, p_partkey % 4 IN (2, 3) AS modifications FROM part")
 def license_duties(spark: SparkSession, d: str) -> DataFrame:
     duties = S.license_duties(_choice(["MIT", "CC0-1.0", "Unlicense GPL-2.0", "MPL-2.0"]))
-    return _part(spark, d).select(ID, *(v.alias(k) for k, v in duties.items()))
+    return _part(spark, d).select(_id(), *(v.alias(k) for k, v in duties.items()))
 
 
 _TAGS = ["v1.2.3", "2.0.0-rc.1", "3.0.0", "v4.1.0beta", "0.0.1-0", "1.0"]
@@ -94,7 +98,7 @@ _TAGS = ["v1.2.3", "2.0.0-rc.1", "3.0.0", "v4.1.0beta", "0.0.1-0", "1.0"]
 
 @query(f"SELECT p_partkey AS id, {_choice_sql(['stable', 'prerelease', 'stable', 'prerelease', 'prerelease', 'stable'])} AS kind, {_choice_sql(['4.18.0', 'unknown', '2', 'unknown'])} AS fixed FROM part")
 def bump_types(spark: SparkSession, d: str) -> DataFrame:
-    return _part(spark, d).select(ID, S.bump_type(_choice(_TAGS)).alias("kind"), S.fixed_version(_choice([">=4.18.0 <5", "<1.2", "> 2", None])).alias("fixed"))
+    return _part(spark, d).select(_id(), S.bump_type(_choice(_TAGS)).alias("kind"), S.fixed_version(_choice([">=4.18.0 <5", "<1.2", "> 2", None])).alias("fixed"))
 
 
 @query("""WITH r AS (SELECT DISTINCT p_brand AS name, p_size AS a FROM part), k AS (SELECT name, a, row_number() OVER (PARTITION BY name ORDER BY a) AS rank, max(a) OVER (PARTITION BY name) AS last, count(*) OVER (PARTITION BY name) AS n FROM r)
@@ -109,14 +113,14 @@ def days_behind(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'low' END AS security, CASE WHEN p_size * 20 > 365 THEN 'medium' ELSE 'low' END AS features, CASE WHEN p_size * 20 > 180 THEN 'medium' ELSE 'low' END AS maintenance,
 CASE WHEN p_partkey % 7 = 0 THEN 'critical' WHEN p_partkey % 5 = 0 THEN 'high' WHEN p_size * 20 > 730 THEN 'significant' WHEN p_size * 20 > 365 THEN 'growing' WHEN p_size * 20 > 180 THEN 'moderate' ELSE 'minimal' END AS technical_debt FROM part""")
 def cost_of_waiting(spark: SparkSession, d: str) -> DataFrame:
-    cost = S.cost_of_waiting(_choice(["high", "low", None]), F.col("p_size") * 20, K % 7 == 0, K % 5 != 0)
-    return _part(spark, d).select(ID, *(v.alias(k) for k, v in cost.items()))
+    cost = S.cost_of_waiting(_choice(["high", "low", None]), F.col("p_size") * 20, _k() % 7 == 0, _k() % 5 != 0)
+    return _part(spark, d).select(_id(), *(v.alias(k) for k, v in cost.items()))
 
 
 def _updates(spark: SparkSession, d: str) -> DataFrame:
     return _part(spark, d).select(
-        _cat("p", F.lpad(_text("p_partkey"), 8, "0")).alias("name"), _choice(["major", "minor", "patch"]).alias("update_type"), (K % 7 == 0).alias("deprecated"), (K % 5 != 0).alias("maintained"),
-        F.when(F.col("p_size") > 45, F.col("p_size") - 45).otherwise(0).alias("cves"), F.when(K % 2 == 0, "low").otherwise("high").alias("effort"), (K % 4 == 0).alias("breaking"), _choice(["high", "medium", "low"]).alias("priority"),
+        _cat("p", F.lpad(_text("p_partkey"), 8, "0")).alias("name"), _choice(["major", "minor", "patch"]).alias("update_type"), (_k() % 7 == 0).alias("deprecated"), (_k() % 5 != 0).alias("maintained"),
+        F.when(F.col("p_size") > 45, F.col("p_size") - 45).otherwise(0).alias("cves"), F.when(_k() % 2 == 0, "low").otherwise("high").alias("effort"), (_k() % 4 == 0).alias("breaking"), _choice(["high", "medium", "low"]).alias("priority"),
     )
 
 
@@ -149,9 +153,9 @@ def release_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id, CAST(unnest([3, 4]) AS BIGINT) AS line, unnest(['one of ' || p_partkey, 'two']) AS change FROM part WHERE p_partkey % 2 = 0")
 def breaking_changes(spark: SparkSession, d: str) -> DataFrame:
-    head = F.when(K % 2 == 0, "## Breaking changes").otherwise("## Fixes")
+    head = F.when(_k() % 2 == 0, "## Breaking changes").otherwise("## Fixes")
     text = F.concat(F.lit("- before\n"), head, F.lit("\n- one of "), _text("p_partkey"), F.lit("\n* two\n## Later\n- three"))
-    lines = _part(spark, d).select(ID, F.posexplode(F.split(text, "\n")).alias("at", "line_text")).select("id", (F.col("at") + 1).alias("line"), "line_text")
+    lines = _part(spark, d).select(_id(), F.posexplode(F.split(text, "\n")).alias("at", "line_text")).select("id", (F.col("at") + 1).alias("line"), "line_text")
     return dependencies.breaking_changes(lines, "id").select("id", as_long("line"), "change")
 
 
@@ -162,14 +166,14 @@ def breaking_changes(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, 'CVE-' || k AS cve, risk, CASE risk WHEN 'high' THEN CASE WHEN k = 1 THEN 'critical' ELSE 'high' END ELSE risk END AS priority, k = 2 AS breaking_fix FROM j""")
 def advisories(spark: SparkSession, d: str) -> DataFrame:
     """Packages n0 to n4 by part: n4 has its fix already, n3 is not imported, n1 and n2 call what is vulnerable, n0 is only imported."""
-    packages = _part(spark, d).select(_text("p_partkey").alias("project"), _cat("n", _text(K % 5)).alias("name"), F.when(K % 5 == 4, "2.0.0").otherwise("1.0.0").alias("version"))
+    packages = _part(spark, d).select(_text("p_partkey").alias("project"), _cat("n", _text(_k() % 5)).alias("name"), F.when(_k() % 5 == 4, "2.0.0").otherwise("1.0.0").alias("version"))
     known = spark.createDataFrame([(f"n{k}", f"CVE-{k}", "critical" if k == 1 else "low", "2.0.0" if k == 2 else "1.5.0", "bad") for k in range(5)], "name string, cve string, severity string, fixed_in string, function string")
-    usage = _part(spark, d).filter("p_partkey % 5 <> 3").select(_text("p_partkey").alias("project"), _cat("n", _text(K % 5)).alias("name"), F.when((K % 5).isin(1, 2), "bad").alias("function"))
+    usage = _part(spark, d).filter("p_partkey % 5 <> 3").select(_text("p_partkey").alias("project"), _cat("n", _text(_k() % 5)).alias("name"), F.when((_k() % 5).isin(1, 2), "bad").alias("function"))
     return dependencies.advisories(packages, known, usage).select(as_long("project").alias("id"), "cve", "risk", "priority", "breaking_fix")
 
 
 def _vulnerabilities(spark: SparkSession, d: str) -> DataFrame:
-    return _part(spark, d).select(F.col("p_brand").alias("name"), _choice(["critical", "high", "medium", "low"]).alias("severity"), _choice(["high", "low", "medium"]).alias("risk"), K.alias("id"))
+    return _part(spark, d).select(F.col("p_brand").alias("name"), _choice(["critical", "high", "medium", "low"]).alias("severity"), _choice(["high", "low", "medium"]).alias("risk"), _k().alias("id"))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (p_partkey % 4 = 0) AS critical, count(*) FILTER (p_partkey % 4 = 1) AS high, count(*) FILTER (p_partkey % 4 = 2) AS medium, count(*) FILTER (p_partkey % 4 = 3) AS low,
@@ -194,10 +198,10 @@ CASE WHEN k = 3 THEN 0 WHEN k = 2 THEN (SELECT count(*) FROM part WHERE p_partke
 CASE k WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'high' ELSE 'low' END AS risk FROM (SELECT unnest([0, 1, 2, 3]) AS k)""")
 def vulnerable_usage(spark: SparkSession, d: str) -> DataFrame:
     """pkg0 is imported, pkg1 called, pkg2 vulnerable whatever is called, pkg3 neither."""
-    k = _text(K % 4)
-    name = F.when(K % 4 == 3, "other").otherwise(_cat("pkg", k))
-    text = F.when(K % 8 < 4, _cat("import x from '", name, "/deep'\n")).otherwise(_cat("const x = require('", name, "')\n"))
-    body = F.concat(text, F.when(K % 4 == 1, "x.merge(a)\nmerged(b)\n").otherwise("safe(a)\n"))
+    k = _text(_k() % 4)
+    name = F.when(_k() % 4 == 3, "other").otherwise(_cat("pkg", k))
+    text = F.when(_k() % 8 < 4, _cat("import x from '", name, "/deep'\n")).otherwise(_cat("const x = require('", name, "')\n"))
+    body = F.concat(text, F.when(_k() % 4 == 1, "x.merge(a)\nmerged(b)\n").otherwise("safe(a)\n"))
     lines = patterns.lines(_part(spark, d).select(_text("p_partkey").alias("file"), body.alias("content")))
     packages = spark.createDataFrame([("pkg0", ["mergeAll"]), ("pkg1", ["merge"]), ("pkg2", ["*"]), ("pkg3", ["eval"])], "name string, functions array<string>")
     found = dependencies.vulnerable_usage(lines, packages)
@@ -210,13 +214,13 @@ _CWES = ["CWE-79", "CWE-22", "CWE-1333", "CWE-1", None]
 @query(f"SELECT p_partkey AS id, {_choice_sql(['Cross-site Scripting (XSS)', 'Path Traversal', 'ReDoS', None, None])} AS title, CASE p_partkey % 6 WHEN 0 THEN 9.5 WHEN 1 THEN 7.5 WHEN 2 THEN 5.0 WHEN 3 THEN 2.5 ELSE 0.0 END::DOUBLE AS score, {_choice_sql(['critical', 'high', 'medium', 'low', 'low', 'medium'])} AS mapped, {_choice_sql([None, 'warning', 'error'])} AS setting FROM part")
 def severity_rules(spark: SparkSession, d: str) -> DataFrame:
     level = _choice(["critical", "high", "medium", "low", "info", None])
-    return _part(spark, d).select(ID, S.cwe_title(_choice(_CWES)).alias("title"), S.severity_score(F.coalesce(level, F.lit("none"))).cast("double").alias("score"), S.map_severity(level).alias("mapped"), S.rule_severity(_choice(["off", None, "error"]), "warning").alias("setting"))
+    return _part(spark, d).select(_id(), S.cwe_title(_choice(_CWES)).alias("title"), S.severity_score(F.coalesce(level, F.lit("none"))).cast("double").alias("score"), S.map_severity(level).alias("mapped"), S.rule_severity(_choice(["off", None, "error"]), "warning").alias("setting"))
 
 
 @query(f"SELECT p_partkey AS id, {_PROXIMITY_SQL.format('path')} AS boost, CASE {_PROXIMITY_SQL.format('path')} WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'HIGH' THEN CASE sev WHEN 'MEDIUM' THEN 'HIGH' WHEN 'LOW' THEN 'MEDIUM' WHEN 'HIGH' THEN 'CRITICAL' ELSE sev END WHEN 'MEDIUM' THEN CASE sev WHEN 'MEDIUM' THEN 'HIGH' WHEN 'LOW' THEN 'MEDIUM' ELSE sev END ELSE sev END AS severity FROM (SELECT p_partkey, '/src/' || {_choice_sql(['login', 'api', 'uploads', 'graphql', 'plain', 'acl', 'webhook', 'task-runner'])} || '/x.js' AS path, {_choice_sql(['HIGH', 'LOW', 'MEDIUM', 'HIGH', 'LOW', 'CRITICAL', 'HIGH'])} AS sev FROM part) WHERE sev <> 'LOW' OR {_PROXIMITY_SQL.format('path')} IS DISTINCT FROM 'CRITICAL'".replace("WHEN 'CRITICAL' THEN 'CRITICAL'", "WHEN 'CRITICAL' THEN CASE sev WHEN 'MEDIUM' THEN 'HIGH' ELSE 'CRITICAL' END"))
 def boosted_severity(spark: SparkSession, d: str) -> DataFrame:
     path = _cat("/src/", _choice(["login", "api", "uploads", "graphql", "plain", "acl", "webhook", "task-runner"]), "/x.js")
-    rows = _part(spark, d).select(ID, patterns.highest_boost(path).alias("boost"), _choice(["HIGH", "LOW", "MEDIUM", "HIGH", "LOW", "CRITICAL", "HIGH"]).alias("sev"))
+    rows = _part(spark, d).select(_id(), patterns.highest_boost(path).alias("boost"), _choice(["HIGH", "LOW", "MEDIUM", "HIGH", "LOW", "CRITICAL", "HIGH"]).alias("sev"))
     return rows.filter("sev <> 'LOW' OR NOT boost <=> 'CRITICAL'").select("id", "boost", patterns.boosted(F.col("sev"), F.col("boost")).alias("severity"))
 
 
@@ -237,34 +241,34 @@ def worst_findings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT p_partkey AS id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size FROM (SELECT p_partkey, CAST(p_size * p_partkey % 3000000 AS BIGINT) AS b FROM part)""")
 def formatted_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return _part(spark, d).select(ID, F.replace(S.format_bytes(F.col("p_size") * K % 3_000_000), F.lit(","), F.lit("")).alias("size"))
+    return _part(spark, d).select(_id(), F.replace(S.format_bytes(F.col("p_size") * _k() % 3_000_000), F.lit(","), F.lit("")).alias("size"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN x < 0.01 THEN '£0' WHEN x < 1 THEN printf('£%.2f', x) WHEN x < 100 THEN '£' || CAST(floor(x + 0.5) AS BIGINT) WHEN x < 10000 THEN printf('£%,d', CAST(floor(x + 0.5) AS BIGINT)) ELSE printf('£%.1fk', x / 1000) END AS cost FROM (SELECT p_partkey, (p_size - 1) * (p_size - 1) * (p_size - 1) / 8.0::DOUBLE AS x FROM part)""")
 def formatted_costs(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_size") - 1
-    return _part(spark, d).select(ID, S.format_currency(n * n * n / 8.0).alias("cost"))
+    return _part(spark, d).select(_id(), S.format_currency(n * n * n / 8.0).alias("cost"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN d < 1 THEN 'today' WHEN d < 7 THEN d || CASE WHEN d = 1 THEN ' day ago' ELSE ' days ago' END WHEN d < 30 THEN d // 7 || CASE WHEN d // 7 = 1 THEN ' week ago' ELSE ' weeks ago' END
 WHEN d < 365 THEN d // 30 || CASE WHEN d // 30 = 1 THEN ' month ago' ELSE ' months ago' END ELSE d // 365 || CASE WHEN d // 365 = 1 THEN ' year ago' ELSE ' years ago' END END AS ago, CAST(CASE p_partkey % 4 WHEN 0 THEN d * 60000 WHEN 1 THEN d * 3600000 WHEN 2 THEN d * 86400000 ELSE 21600000 END AS BIGINT) AS ms FROM (SELECT *, p_partkey % 900 AS d FROM part)""")
 def times(spark: SparkSession, d: str) -> DataFrame:
-    days = K % 900
-    return _part(spark, d).select(ID, S.time_ago(days).alias("ago"), S.interval_ms(_cat(_text(days), _choice(["m", "h", "d", " weeks"]))).alias("ms"))
+    days = _k() % 900
+    return _part(spark, d).select(_id(), S.time_ago(days).alias("ago"), S.interval_ms(_cat(_text(days), _choice(["m", "h", "d", " weeks"]))).alias("ms"))
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'src/b' || p_partkey || '/x.js' WHEN 1 THEN 'src/x.js' ELSE 'new' || p_partkey || '.js' END AS path FROM part")
 def renamed_paths(spark: SparkSession, d: str) -> DataFrame:
     k = _text("p_partkey")
-    given = F.when(K % 3 == 0, _cat("src/{a => b", k, "}/x.js")).when(K % 3 == 1, F.lit("src/{old => }/x.js")).otherwise(_cat("old.js => new", k, ".js"))
-    return _part(spark, d).select(ID, S.renamed_path(given).alias("path"))
+    given = F.when(_k() % 3 == 0, _cat("src/{a => b", k, "}/x.js")).when(_k() % 3 == 1, F.lit("src/{old => }/x.js")).otherwise(_cat("old.js => new", k, ".js"))
+    return _part(spark, d).select(_id(), S.renamed_path(given).alias("path"))
 
 
 @query("""SELECT p_partkey AS id, CAST(floor(greatest(0, 30 - p_size * 0.5) + 0.5) AS INTEGER) AS waste, greatest(0, 40 - (p_partkey % 12) * 5)::INTEGER AS security, greatest(0, 20 - p_partkey % 30)::INTEGER AS outdated, 10 AS emissions,
 CASE WHEN p_size * 2 >= 70 THEN 'success' WHEN p_size * 2 >= 40 THEN 'pending' ELSE 'failure' END AS state FROM part""")
 def dashboard_scores(spark: SparkSession, d: str) -> DataFrame:
-    scores = S.dashboard_scores(F.col("p_size"), K % 12, K % 30)
-    return _part(spark, d).select(ID, *(v.cast("int").alias(k) for k, v in scores.items()), issues.commit_state(F.col("p_size") * 2).alias("state"))
+    scores = S.dashboard_scores(F.col("p_size"), _k() % 12, _k() % 30)
+    return _part(spark, d).select(_id(), *(v.cast("int").alias(k) for k, v in scores.items()), issues.commit_state(F.col("p_size") * 2).alias("state"))
 
 
 @query(f"""WITH {_WASTE_SQL} SELECT source, round(bytes * 6000.0 / 1073741824 * 0.085, 8)::DOUBLE AS dead_file, round(floor(bytes * 0.3::DOUBLE) * 3000.0 / 1073741824 * 0.085, 8)::DOUBLE AS dependency, round(bytes * 2000.0 / 1073741824 * 0.08, 8)::DOUBLE AS asset FROM w""")
@@ -275,8 +279,8 @@ def served_costs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id, round(a - b, 6) AS saved, round(CASE WHEN a > 0 THEN (a - b) / a * 100 ELSE 0 END, 6) AS percent FROM (SELECT p_partkey, p_retailprice - (CASE WHEN p_partkey % 9 = 0 THEN p_retailprice ELSE 0 END) AS a, p_size::DOUBLE AS b FROM part)")
 def compared_emissions(spark: SparkSession, d: str) -> DataFrame:
-    saved = S.compared_emissions(F.col("p_retailprice") - F.when(K % 9 == 0, F.col("p_retailprice")).otherwise(0.0), F.col("p_size").cast("double"))
-    return _part(spark, d).select(ID, F.round(saved["saved"], 6).alias("saved"), F.round(saved["percent"], 6).alias("percent"))
+    saved = S.compared_emissions(F.col("p_retailprice") - F.when(_k() % 9 == 0, F.col("p_retailprice")).otherwise(0.0), F.col("p_size").cast("double"))
+    return _part(spark, d).select(_id(), F.round(saved["saved"], 6).alias("saved"), F.round(saved["percent"], 6).alias("percent"))
 
 
 @query("""SELECT preset, count(*) AS orders FROM (SELECT unnest(['90d', 'last-quarter', 'last-year', '1999-Q2', 'custom']) AS preset) p, orders WHERE CASE preset WHEN '90d' THEN o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY AND o_orderdate < TIMESTAMP '2001-08-01'
@@ -294,15 +298,15 @@ def reporting_periods(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN f = 'webp' AND p_size > 25 THEN 'avif' WHEN f IN ('png', 'jpeg', 'gif', 'bmp') THEN 'webp' END AS format FROM (SELECT *, CASE p_partkey % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'gif' WHEN 3 THEN 'bmp' WHEN 4 THEN 'webp' ELSE 'avif' END AS f FROM part)""")
 def image_advice(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size") * 20_000
-    told = assets.image_advice(_choice(["png", "jpeg", "gif", "bmp", "webp", "avif"]), F.col("p_size") < 10, K % 2 == 0, K % 2 == 0, size)
-    return _part(spark, d).select(ID, told.alias("a")).select("id", "a.percent", "a.format")
+    told = assets.image_advice(_choice(["png", "jpeg", "gif", "bmp", "webp", "avif"]), F.col("p_size") < 10, _k() % 2 == 0, _k() % 2 == 0, size)
+    return _part(spark, d).select(_id(), told.alias("a")).select("id", "a.percent", "a.format")
 
 
 @query("""SELECT p_partkey AS id, 35 + CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN p_partkey % 5 > 2 THEN 5 ELSE 0 END AS percent, CAST(p_partkey % 5 AS INTEGER) AS comments, CAST(p_size AS DOUBLE) AS width FROM part""")
 def svg_advice(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit('<svg viewBox="0 0 '), _text("p_size"), F.lit(' 9">'), F.when(K % 2 == 0, "<metadata/>").otherwise(""), F.repeat(F.lit("<!-- c\n -->"), (K % 5).cast("int")), F.lit("<path/></svg>"))
+    text = F.concat(F.lit('<svg viewBox="0 0 '), _text("p_size"), F.lit(' 9">'), F.when(_k() % 2 == 0, "<metadata/>").otherwise(""), F.repeat(F.lit("<!-- c\n -->"), (_k() % 5).cast("int")), F.lit("<path/></svg>"))
     facts = assets.svg_facts(text)
-    return _part(spark, d).select(ID, assets.svg_advice(text, F.lit(1000))["percent"].alias("percent"), facts["comments"].cast("int").alias("comments"), facts["width"].alias("width"))
+    return _part(spark, d).select(_id(), assets.svg_advice(text, F.lit(1000))["percent"].alias("percent"), facts["comments"].cast("int").alias("comments"), facts["width"].alias("width"))
 
 
 @query("""SELECT p_partkey AS id, CASE k WHEN 0 THEN 'woff2' WHEN 1 THEN 'woff2' WHEN 2 THEN 'woff2' WHEN 3 THEN 'mp4' END AS format, CASE k WHEN 0 THEN 50 WHEN 1 THEN 30 WHEN 2 THEN 70 WHEN 3 THEN 50 END AS percent, CASE WHEN k < 3 THEN CASE WHEN s >= 200000 THEN 'high' WHEN s >= 100000 THEN 'medium' ELSE 'low' END ELSE 'low' END AS priority
@@ -310,14 +314,14 @@ FROM (SELECT p_partkey, p_partkey % 5 AS k, p_size * 6000 AS s FROM part)""")
 def font_and_video_advice(spark: SparkSession, d: str) -> DataFrame:
     path, size = _cat("x", _choice([".ttf", ".woff", ".eot", ".mov", ".mp4"])), F.col("p_size") * 6000
     told = assets.advice(path, size)
-    return _part(spark, d).select(ID, told.alias("a"), assets.priority(assets.kind(path), size).alias("priority")).select("id", "a.format", "a.percent", "priority")
+    return _part(spark, d).select(_id(), told.alias("a"), assets.priority(assets.kind(path), size).alias("priority")).select("id", "a.format", "a.percent", "priority")
 
 
 @query("SELECT p_partkey AS id, 'let b = 2;' || chr(10) || 'log(b)' AS left_over, CAST(p_size % 3 AS INTEGER) AS removed FROM part")
 def console_previews(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("let b = 2;"), F.repeat(F.lit("\nconsole.warn(b);"), (F.col("p_size") % 3).cast("int")), F.lit("\nlog(b)"))
     left = entries.without_console_logs(text)
-    return _part(spark, d).select(ID, left.alias("left_over"), (F.size(F.split(text, "\n")) - F.size(F.split(left, "\n"))).alias("removed"))
+    return _part(spark, d).select(_id(), left.alias("left_over"), (F.size(F.split(text, "\n")) - F.size(F.split(left, "\n"))).alias("removed"))
 
 
 # --- rollups, orders, learned rules, reports ----------------------------------------------------------------------
@@ -335,8 +339,8 @@ def largest_files(spark: SparkSession, d: str) -> DataFrame:
 
 def _gate(spark: SparkSession, d: str) -> DataFrame:
     kind = _choice(["vulnerability", "unused-dependency", "dead-file", "outdated", "licence"])
-    detail = F.when(K % 5 == 0, F.when(K % 2 == 0, "exploitable")).when(K % 5 == 3, F.when(K % 2 == 0, "major").otherwise("security")).when(K % 5 == 4, "permissive")
-    return _part(spark, d).select(kind.alias("kind"), F.when(K % 5 == 0, F.when(K % 3 == 0, "critical").otherwise("high")).alias("severity"), detail.alias("detail"), (F.col("p_size") * 1000).cast("long").alias("size"))
+    detail = F.when(_k() % 5 == 0, F.when(_k() % 2 == 0, "exploitable")).when(_k() % 5 == 3, F.when(_k() % 2 == 0, "major").otherwise("security")).when(_k() % 5 == 4, "permissive")
+    return _part(spark, d).select(kind.alias("kind"), F.when(_k() % 5 == 0, F.when(_k() % 3 == 0, "critical").otherwise("high")).alias("severity"), detail.alias("detail"), (F.col("p_size") * 1000).cast("long").alias("size"))
 
 
 @query("""SELECT count(*) FILTER (p_partkey % 15 = 0) AS critical_vulnerabilities, count(*) FILTER (p_partkey % 5 = 0 AND p_partkey % 3 <> 0) AS high_vulnerabilities, count(*) FILTER (p_partkey % 10 = 0) AS exploitable, count(*) FILTER (p_partkey % 5 = 1) AS unused_dependencies,
@@ -371,26 +375,26 @@ def rules_engine(spark: SparkSession, d: str) -> DataFrame:
         return dependencies.unused(packages, used).select(F.lit("unused").alias("rule"), F.col("name").alias("subject"))
 
     name = lambda c: _cat("p", _text(c)).alias("name")
-    packages = _part(spark, d).select(P, name("p_partkey"), F.col("p_size").cast("long").alias("size"), F.lit("dependencies").alias("declared_in"))
-    used = table(spark, d, "lineitem").filter("l_quantity >= 48 AND l_returnflag = 'R'").select(P, name("l_partkey"))
+    packages = _part(spark, d).select(_p(), name("p_partkey"), F.col("p_size").cast("long").alias("size"), F.lit("dependencies").alias("declared_in"))
+    used = table(spark, d, "lineitem").filter("l_quantity >= 48 AND l_returnflag = 'R'").select(_p(), name("l_partkey"))
     return issues.apply_rules((heavy, unused), packages=packages, used=used)
 
 
 @query("SELECT p_type AS module, count(*) AS issues, count(*) FILTER (p_partkey % 3 = 0) AS high, count(*) FILTER (p_partkey % 3 = 1) AS medium, count(*) FILTER (p_partkey % 3 = 2) AS low, count(*) FILTER (p_partkey % 2 = 0) AS automatic, CAST(sum(p_size) AS BIGINT) AS savings FROM part GROUP BY 1")
 def fix_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.fix_rollup(_part(spark, d).select(F.col("p_type").alias("module"), _choice(["HIGH", "MEDIUM", "LOW"]).alias("confidence"), (K % 2 == 0).alias("automatic"), F.col("p_size").alias("size")))
+    return rollups.fix_rollup(_part(spark, d).select(F.col("p_type").alias("module"), _choice(["HIGH", "MEDIUM", "LOW"]).alias("confidence"), (_k() % 2 == 0).alias("automatic"), F.col("p_size").alias("size")))
 
 
 @query("SELECT p_partkey AS file FROM part WHERE CASE p_partkey % 3 WHEN 0 THEN p_size / 50.0 WHEN 1 THEN 0.2 ELSE 1.0 END >= 0.5")
 def selected_fixes(spark: SparkSession, d: str) -> DataFrame:
-    first = F.when(K % 3 == 0, 0.9).when(K % 3 == 1, 0.2)
-    rows = _part(spark, d).select(K.alias("file"), F.col("p_size").alias("size"), first.alias("confidence"), F.when(K % 3 == 0, F.col("p_size") / 50.0).alias("second_confidence"))
+    first = F.when(_k() % 3 == 0, 0.9).when(_k() % 3 == 1, 0.2)
+    rows = _part(spark, d).select(_k().alias("file"), F.col("p_size").alias("size"), first.alias("confidence"), F.when(_k() % 3 == 0, F.col("p_size") / 50.0).alias("second_confidence"))
     return rollups.selected_fixes(rows, 0.5).select("file")
 
 
 @query("SELECT CASE p_partkey % 3 WHEN 0 THEN 'language' WHEN 1 THEN 'framework' ELSE 'thing' END AS kind, 'p' || p_partkey AS name, CASE p_partkey % 3 WHEN 0 THEN 'extensions' WHEN 1 THEN 'entry_patterns' ELSE 'kind' END AS missing FROM part WHERE p_partkey % 3 = 2 OR p_partkey % 2 = 1")
 def invalid_knowledge(spark: SparkSession, d: str) -> DataFrame:
-    odd = K % 2 == 1
+    odd = _k() % 2 == 1
     fields = F.create_map(F.lit("name"), _cat("p", _text("p_partkey")), F.lit("detect"), F.lit("x"), F.lit("extensions"), F.when(odd, "").otherwise(".x"), F.lit("entry_patterns"), F.when(odd, F.lit(None).cast("string")).otherwise("^x"))
     rows = _part(spark, d).select(_choice(["language", "framework", "thing"]).alias("kind"), _cat("p", _text("p_partkey")).alias("name"), fields.alias("fields"))
     return rollups.invalid_knowledge(rows).select("kind", "name", F.array_join("missing", ",").alias("missing"))
@@ -468,7 +472,7 @@ SELECT a AS path, true AS is_dir, CAST(sum(size) AS BIGINT) AS size, count(*) AS
 def file_tree(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), "n_regionkey")
     rows = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n"))
-    files = rows.select(P, _cat("r", _text("n_regionkey"), "/n", _text("n"), "/c", _text("c_custkey"), ".js").alias("file"), (F.col("c_custkey") % 100).alias("size"))
+    files = rows.select(_p(), _cat("r", _text("n_regionkey"), "/n", _text("n"), "/c", _text("c_custkey"), ".js").alias("file"), (F.col("c_custkey") % 100).alias("size"))
     return reports.tree(files, 2).select("path", "is_dir", "size", "files")
 
 
@@ -489,7 +493,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, CAST(unnest([4, 5]) AS BIGINT) AS line FROM documents")
 def private_section(spark: SparkSession, d: str) -> DataFrame:
     text = "class A\n  def open_one\n  private\n  def hidden_one\n  def self.hidden_two\n  public\n  def open_two"
-    lines = table(spark, d, "documents").select(P, _text("doc_id").alias("file"), F.posexplode(F.split(F.lit(text), "\n")).alias("at", "line_text")).withColumn("line", F.col("at") + 1)
+    lines = table(spark, d, "documents").select(_p(), _text("doc_id").alias("file"), F.posexplode(F.split(F.lit(text), "\n")).alias("at", "line_text")).withColumn("line", F.col("at") + 1)
     return entries.ruby_private(lines).select(as_long("file").alias("doc_id"), as_long("line"))
 
 
@@ -497,13 +501,13 @@ def private_section(spark: SparkSession, d: str) -> DataFrame:
 def days_open(spark: SparkSession, d: str) -> DataFrame:
     day = F.lit(DAY).cast("timestamp")
     seen = F.timestamp_add("HOUR", -(F.least(F.col("p_size"), F.lit(10)) * 24 - 1), day)
-    return _part(spark, d).select(ID, history.days_open(seen, day).cast("int").alias("days"))
+    return _part(spark, d).select(_id(), history.days_open(seen, day).cast("int").alias("days"))
 
 
 @query("SELECT p_partkey AS file, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) ORDER BY p_size DESC, p_partkey LIMIT 10")
 def largest_dead_files(spark: SparkSession, d: str) -> DataFrame:
-    reached = table(spark, d, "lineitem").filter("l_quantity = 50").select(P, _text("l_partkey").alias("node"))
-    nodes = _part(spark, d).select(P, _text("p_partkey").alias("node"), F.col("p_size").alias("size"), K.alias("file"))
+    reached = table(spark, d, "lineitem").filter("l_quantity = 50").select(_p(), _text("l_partkey").alias("node"))
+    nodes = _part(spark, d).select(_p(), _text("p_partkey").alias("node"), F.col("p_size").alias("size"), _k().alias("file"))
     return rollups.largest(graph.not_reached(nodes, reached), "size", "file", n=10).select("file", "size")
 
 
@@ -517,7 +521,7 @@ def union_of_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id AS file, count(*) AS names FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents) WHERE name IN (SELECT name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents) GROUP BY name HAVING count(DISTINCT doc_id) > 1) GROUP BY 1")
 def names_elsewhere(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(P, F.col("doc_id").alias("file"), F.col("text").alias("content"))
+    docs = table(spark, d, "documents").select(_p(), F.col("doc_id").alias("file"), F.col("text").alias("content"))
     tokens = names.index(docs)
     found = names.named_elsewhere(tokens.select("project", "file", F.col("token").alias("name")).distinct(), tokens)
     return found.groupBy("file").agg(F.count(F.lit(1)).alias("names"))
