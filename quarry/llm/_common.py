@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -93,7 +95,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """``mapInArrow`` that keeps the columns c0, c1, ... of ``numbered(df)`` and adds some."""
     small_batches(df.sparkSession)
     plain = numbered(df)
-    return plain.mapInArrow(run, StructType([*plain.schema, *(added or [])]))
+    return plain.mapInArrow(lean(run), StructType([*plain.schema, *(added or [])]))
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:
@@ -107,6 +109,26 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives freed memory back: it waits beside the next stages, which may not need it."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return go
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Make ready for Python workers: bound what one Arrow batch of whole texts can take."""
     ship(spark)

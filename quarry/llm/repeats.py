@@ -15,6 +15,11 @@ phrases that occur are the dictionary, and the sequence of phrases is the parse.
    the least document of the phrases it lies in.
 4. What was found goes back to the parts, which look up their parse and cut the bytes out.
 
+A trigger that has more than ``HOT`` phrases in one part, such as a string that all documents share
+amid texts of their own, is hot. Its phrases go to no bucket; its windows do, each to a bucket of its
+own bytes' hash, where equal ones (by 128 bits) take their least document. So a bucket holds at most
+``HOT`` phrases of a trigger from each part, whatever the number of documents.
+
 A phrase that a third of all documents share is one row for each part in step 1 and one entry in
 each answer, so no task sees its occurrences. Parts are read again rather than kept: parsing is
 cheaper than storing a parse.
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import input_bytes, parts, small_batches, table, written_once
+from quarry.llm._common import input_bytes, lean, parts, small_batches, table, written_once
 from quarry.llm.shingles import mixed
 
 #: Fixed value: the length of a repeat. The trigger's length leaves 32 places for it in a window.
@@ -47,6 +52,8 @@ PLACES = WINDOW - TRIGGER + 1
 PART_BYTES, MOST_PARTS = 8 << 20, 50_000
 #: Text bytes parsed at a time.
 CHUNK = 2 << 20
+#: Phrases of one trigger that a part sends to the trigger's bucket.
+HOT = 128
 NEVER = np.iinfo("i8").max
 
 _U = np.uint64
@@ -124,7 +131,7 @@ def _chunks(rows: Iterator[tuple[int | None, bytes]]) -> Iterator[tuple[list[int
 MESSAGE = "to int, kind int, sender int, doc_id long, text string, a binary, b binary, c binary, d binary"
 _NAMES = [f.split()[0] for f in MESSAGE.split(", ")]
 _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), *[pa.binary()] * 4]
-DICTIONARY, PENDING, ASKED, PHRASES, SIMPLE, WINDOWED, DOCUMENT = range(7)
+DICTIONARY, PENDING, ASKED, PHRASES, SIMPLE, WINDOWED, IS_HOT, ASKED_HOT, HOT_WINDOWS, HOT_TOLD, DOCUMENT = range(11)
 
 
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -169,7 +176,11 @@ def _send_dictionary(buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             trigger, content, low, several = _dictionary(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            rows = []
+            starts = np.flatnonzero(_runs(trigger))
+            size = np.diff(np.concatenate((starts, [len(trigger)])))
+            hot, many = trigger[starts[size > HOT]], np.repeat(size > HOT, size)
+            rows = [(k, IS_HOT, sender, hot[own]) for k, own in _split((hot % _U(buckets)).astype("i8"), buckets)]
+            trigger, content, low, several = (x[~many] for x in (trigger, content, low, several))
             for k, rows_of in _split((trigger % _U(buckets)).astype("i8"), buckets):
                 rows.append((k, DICTIONARY, sender, (trigger[rows_of] // _U(buckets)).astype("u4"), content[rows_of], low[rows_of], several[rows_of]))
             return _sent(rows)
@@ -221,11 +232,24 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's triggers: answers where one phrase tells all, questions where phrases differ."""
-    bucket, got, senders = _gather(batches, {DICTIONARY: ("u4", "u8", "i8", "?")})
+def _settle(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _settle_bucket(batches, buckets)
+
+    return run
+
+
+def _settle_bucket(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's triggers: answers where one phrase tells all, questions where phrases differ, and which are hot."""
+    bucket, got, senders = _gather(batches, {DICTIONARY: ("u4", "u8", "i8", "?"), IS_HOT: ("u8",)})
     trigger, content, low, several = got[DICTIONARY]
     sender = senders[DICTIONARY]
+    if len(got[IS_HOT][0]):
+        # Every part that has any phrase of a hot trigger is asked for its windows.
+        hot = np.unique(got[IS_HOT][0])
+        is_hot = np.isin(trigger, (hot // _U(buckets)).astype("u4"))
+        yield from _sent([(int(k), ASKED_HOT, bucket, hot) for k in np.unique(np.concatenate((senders[IS_HOT], sender[is_hot])))])
+        trigger, content, low, several, sender = (x[~is_hot] for x in (trigger, content, low, several, sender))
     if not len(trigger):
         return
     order = np.lexsort((low, content, trigger))
@@ -256,35 +280,97 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _sent(rows)
 
 
+_MIX = mixed(np.arange(1, 2 * WINDOW + 1, dtype="u8").reshape(2, WINDOW) * _U(0xA0761D6478BD642F)) | _U(1)
+_OTHER = mixed(np.arange(1, 257, dtype="u8") * _U(0xE7037ED1A0B428DB))
+
+
+def window_prints(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """128 bits of each window at ``places``: two columns, by sums of hashed bytes with other factors at each place."""
+    out = np.zeros((len(places), 2), "u8")
+    for k in range(WINDOW):
+        byte = data[places + k]
+        out[:, 0] += _CODES[byte] * _MIX[0, k]
+        out[:, 1] += _OTHER[byte] * _MIX[1, k]
+    return np.stack([mixed(out[:, 0]), mixed(out[:, 1])], 1)
+
+
+def _hot(hot: np.ndarray, trigger: np.ndarray) -> np.ndarray:
+    """Which phrases have a hot trigger."""
+    if not len(hot):
+        return np.zeros(0, "i8")
+    return np.flatnonzero(hot[np.minimum(np.searchsorted(hot, trigger), len(hot) - 1)] == trigger)
+
+
+def _windows_of(own: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the phrases ``own``: which one, and the place, of each of their windows."""
+    which = np.repeat(np.arange(len(own)), count[own])
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + at[own][which]
+
+
+def _hot_windows(hot: np.ndarray, ids: list[int | None], parsed: tuple[np.ndarray, ...], buckets: int, part: int) -> Iterator[pa.RecordBatch]:
+    """The windows of a chunk's phrases of hot triggers, equal ones once with their least document, to the buckets of their prints."""
+    trigger, content, owner, at, count, data = parsed
+    on = _hot(hot, trigger)
+    on = on[np.array([i is not None for i in ids])[owner[on]]]
+    if not len(on):
+        return
+    doc = np.array([i or 0 for i in ids], "i8")[owner[on]]
+    order = np.lexsort((doc, content[on]))
+    on, doc = on[order], doc[order]
+    starts = np.flatnonzero(_runs(content[on]))
+    low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+    held = []
+    for a in range(0, len(starts), 4096):
+        which, places = _windows_of(on[starts[a : a + 4096]], at, count)
+        held.append((window_prints(data, places), low[a : a + 4096][which], high[a : a + 4096][which]))
+    prints, low, high = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((prints[:, 1], prints[:, 0]))
+    prints = prints[order]
+    starts = np.flatnonzero(_runs(prints[:, 0], prints[:, 1]))
+    low, high = np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+    prints, pair = prints[starts], np.stack([low, (low < high).astype("i8")], 1)
+    yield from _sent([(b, HOT_WINDOWS, part, prints[r], pair[r]) for b, r in _split((prints[:, 0] % _U(buckets)).astype("i8"), buckets)])
+
+
 def _answer(buckets: int):
-    """The phrases that buckets asked a part for, with their bytes."""
+    """The phrases that buckets asked a part for, with their bytes, and the windows of those that are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: list[np.ndarray] = []
-        wanted = np.zeros(0, "u8")
+        asked_hot: list[np.ndarray] = [np.zeros(0, "u8")]
+        hot = wanted = np.zeros(0, "u8")
         given = np.zeros(0, bool)
         part = -1
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
-            nonlocal wanted, given, part
+            nonlocal wanted, given, part, hot
             for batch in batches:
                 kinds = np.array(batch.column(1).to_pylist())
+                for k in np.flatnonzero(kinds == ASKED_HOT):
+                    asked_hot.append(np.frombuffer(batch.column(5)[k].as_buffer(), "u8"))
                 for k in np.flatnonzero(kinds == ASKED):
                     asked.append(np.frombuffer(batch.column(5)[k].as_buffer(), "u8"))
                 if batch.num_rows:
                     part = batch.column(0)[0].as_py()
                 documents = batch.filter(pa.array(kinds == DOCUMENT))
                 if documents.num_rows:
+                    if len(asked_hot) > 1:
+                        hot = np.unique(np.concatenate([hot, *asked_hot]))
+                        del asked_hot[1:]
                     if asked:
                         wanted = np.unique(np.concatenate([wanted, *asked]))
                         given = np.zeros(len(wanted), bool)
                         asked.clear()
                     yield from _texts(documents, 3, 4)
 
-        for _, texts in _chunks(rows()):
+        for ids, texts in _chunks(rows()):
+            if not len(wanted) and not len(hot):
+                continue
+            trigger, content, _, at, count, data = parsed = parse(texts)
+            if len(hot) and len(trigger):
+                yield from _hot_windows(hot, ids, parsed, buckets, part)
             if not len(wanted):
                 continue
-            trigger, content, _, at, count, data = parse(texts)
             place = np.minimum(np.searchsorted(wanted, content), len(wanted) - 1)
             hit = np.flatnonzero((wanted[place] == content) & ~given[place])
             hit = hit[np.unique(place[hit], return_index=True)[1]]
@@ -315,16 +401,22 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the phrases asked for, in suffix order, and the answers to all parts that have them."""
     phrases: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     waiting: list[tuple[np.ndarray, ...]] = []
+    windows: list[tuple[np.ndarray, ...]] = []
     bucket = -1
     for batch in batches:
-        for row in zip(*(batch.column(k) for k in (0, 1, 5, 6, 7, 8)), strict=True):
+        for row in zip(*(batch.column(k) for k in (0, 1, 5, 6, 7, 8, 2)), strict=True):
             bucket = row[0].as_py()
-            cells = [c.as_buffer() for c in row[2:] if c.is_valid]
-            if row[1].as_py() == PHRASES:
+            cells = [c.as_buffer() for c in row[2:6] if c.is_valid]
+            if row[1].as_py() == HOT_WINDOWS:
+                prints, pair = (np.frombuffer(c, d).reshape(-1, 2) for c, d in zip(cells, ("u8", "i8"), strict=True))
+                windows.append((prints, pair, np.full(len(prints), row[6].as_py(), "i4")))
+            elif row[1].as_py() == PHRASES:
                 phrases.append(tuple(np.frombuffer(c, d) for c, d in zip(cells, ("u8", "u4", "u1"), strict=True)))
             else:
                 trigger, content, pair, several = (np.frombuffer(c, d) for c, d in zip(cells, ("u4", "u8", "i8", "?"), strict=True))
                 waiting.append((content, pair.reshape(-1, 2)[:, 0], pair.reshape(-1, 2)[:, 1], several))
+    if windows:
+        yield from _match_hot(bucket, *(np.concatenate(c) for c in zip(*windows, strict=True)))
     if not waiting:
         return
     content, low, sender, several = (np.concatenate(c) for c in zip(*waiting, strict=True))
@@ -360,12 +452,52 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _sent(rows)
 
 
+def _match_hot(bucket: int, prints: np.ndarray, pair: np.ndarray, sender: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Equal windows of hot triggers, and the answers to all parts that have them."""
+    order = np.lexsort((prints[:, 1], prints[:, 0]))
+    new = _runs(prints[order, 0], prints[order, 1])
+    least = np.empty(len(order), "i8")
+    least[order] = np.minimum.reduceat(pair[order, 0], np.flatnonzero(new))[np.cumsum(new) - 1]
+    tell = np.flatnonzero((pair[:, 1] > 0) | (pair[:, 0] > least))
+    yield from _sent([(s, HOT_TOLD, bucket, prints[tell[own]], least[tell[own]]) for s, own in _split(sender[tell], int(sender.max()) + 1)])
+
+
+class _HotTold:
+    """What a part was told of its windows of hot triggers."""
+
+    def __init__(self) -> None:
+        self.triggers: list[np.ndarray] = [np.zeros(0, "u8")]
+        self.answers: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, 2), "u8"), np.zeros(0, "i8"))]
+
+    def settle(self) -> None:
+        self.hot = np.unique(np.concatenate(self.triggers))
+        prints, self.least = (np.concatenate(c) for c in zip(*self.answers, strict=True))
+        order = np.lexsort((prints[:, 1], prints[:, 0]))
+        self.one, self.two, self.least = prints[order, 0], prints[order, 1], self.least[order]
+
+    def gone(self, ids: list[int | None], parsed: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Places of windows that a smaller document has."""
+        trigger, _, owner, at, count, data = parsed
+        own = _hot(self.hot, trigger) if len(self.one) else np.zeros(0, "i8")
+        doc = np.array([-NEVER if i is None else i for i in ids], "i8")
+        out = [np.zeros(0, "i8")]
+        for a in range(0, len(own), 4096):
+            which, places = _windows_of(own[a : a + 4096], at, count)
+            prints = window_prints(data, places)
+            for first in (np.searchsorted(self.one, prints[:, 0]), np.searchsorted(self.one, prints[:, 0], side="right") - 1):
+                k = np.clip(first, 0, len(self.one) - 1)
+                hit = (self.one[k] == prints[:, 0]) & (self.two[k] == prints[:, 1]) & (self.least[k] < doc[owner[own[a : a + 4096]]][which])
+                out.append(places[hit])
+        return np.unique(np.concatenate(out))
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A part's documents with the repeated bytes found."""
     told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    hot = _HotTold()
     ready = False
     name = count = start = least = np.zeros(0, "i8")
 
@@ -376,13 +508,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in np.flatnonzero(kinds != DOCUMENT):
                 cells = [batch.column(c)[int(k)] for c in (5, 6, 7)]
                 content = np.frombuffer(cells[0].as_buffer(), "u8")
-                if kinds[k] == SIMPLE:
+                if kinds[k] == ASKED_HOT:
+                    hot.triggers.append(content)
+                elif kinds[k] == HOT_TOLD:
+                    hot.answers.append((content.reshape(-1, 2), np.frombuffer(cells[1].as_buffer(), "i8")))
+                elif kinds[k] == SIMPLE:
                     told.append((content, np.zeros(len(content), "i8"), np.frombuffer(cells[1].as_buffer(), "i8")))
                 else:
                     told.append((content, np.frombuffer(cells[1].as_buffer(), "u4").astype("i8"), np.frombuffer(cells[2].as_buffer(), "i8")))
             documents = batch.filter(pa.array(kinds == DOCUMENT))
             if documents.num_rows and not ready:
                 ready = True
+                hot.settle()
                 if told:
                     # One value tells all windows of a phrase (count 0), or each window has its own.
                     content, many, values = (np.concatenate(c) for c in zip(*told, strict=True))
@@ -393,8 +530,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _texts(documents, 3, 4)
 
     for ids, texts in _chunks(rows()):
-        _, content, owner, at, windows, data = parse(texts)
+        _, content, owner, at, windows, data = parsed = parse(texts)
         cover = np.zeros(len(data) + 1, "i8")
+        if len(hot.hot) and len(content) and len(gone := hot.gone(ids, parsed)):
+            cover += np.bincount(gone, minlength=len(cover)) - np.bincount(gone + WINDOW, minlength=len(cover) + WINDOW)[: len(cover)]
         if len(name) and len(content):
             place = np.minimum(np.searchsorted(name, content), len(name) - 1)
             hit = np.flatnonzero(name[place] == content)
@@ -433,15 +572,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     def delivered(messages: DataFrame) -> DataFrame:
         return messages.repartitionById(n, F.col("to")).sortWithinPartitions("to", "kind")
 
-    sent = rows.repartitionById(n, F.col("to")).mapInArrow(_send_dictionary(n), MESSAGE)
-    found = written_once(sent.repartitionById(n, F.col("to")).mapInArrow(_settle, MESSAGE), "repeats-found")
-    questions = delivered(found.filter(F.col("kind") == ASKED).unionByName(as_message))
-    phrases = questions.mapInArrow(_answer(n), MESSAGE)
+    sent = rows.repartitionById(n, F.col("to")).mapInArrow(lean(_send_dictionary(n)), MESSAGE)
+    found = written_once(sent.repartitionById(n, F.col("to")).mapInArrow(lean(_settle(n)), MESSAGE), "repeats-found")
+    questions = delivered(found.filter(F.col("kind").isin(ASKED, ASKED_HOT)).unionByName(as_message))
+    phrases = questions.mapInArrow(lean(_answer(n)), MESSAGE)
     matched = written_once(
-        phrases.unionByName(found.filter(F.col("kind") == PENDING)).repartitionById(n, F.col("to")).mapInArrow(_match, MESSAGE), "repeats-matched"
+        phrases.unionByName(found.filter(F.col("kind") == PENDING)).repartitionById(n, F.col("to")).mapInArrow(lean(_match), MESSAGE), "repeats-matched"
     )
-    answers = found.filter(F.col("kind") == SIMPLE).unionByName(matched)
-    return delivered(answers.unionByName(as_message)).mapInArrow(_cut, RESULT)
+    answers = found.filter(F.col("kind").isin(SIMPLE, ASKED_HOT)).unionByName(matched)
+    return delivered(answers.unionByName(as_message)).mapInArrow(lean(_cut), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quarry.llm import repeats as m
 
@@ -74,3 +75,38 @@ def test_suffix_order():
     windows = [data[p : p + 50].tobytes() for p in order]
     assert windows == sorted(windows)
     assert new.tolist() == [i == 0 or windows[i] != windows[i - 1] for i in range(len(windows))]
+
+
+def hot_rows(n, rng, alphabet="abcdefghijklmnopqrstuvwxyz "):
+    """Documents of their own amid which one string stands that all share, and some near ones."""
+    shared = "the one shared string of low hash stands here in all"
+    body = lambda k: "".join(rng.choices(alphabet, k=k))
+    rows = [(d, body(rng.randint(0, 90)) + shared[: rng.choice([25, 30, 52])] + body(rng.randint(0, 90))) for d in range(n)]
+    return rows + [(n + d, "x" + rows[rng.randrange(n)][1][rng.randint(0, 20) :]) for d in range(n // 4)] + [(None, rows[0][1]), (3, rows[5][1]), (2, "a" * 400 + shared)]
+
+
+def test_hot_triggers_against_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = hot_rows(120, rng) + [(1000 + k, "ab" * rng.randint(20, 120)) for k in range(30)] + [(2000 + k, "z" * rng.randint(40, 300)) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for hot in (0, 1, 3, 128):
+        monkeypatch.setattr(m, "HOT", hot)
+        assert rows_of(m.repeated(frame)) == want, hot
+
+
+def test_a_hot_trigger_is_dealt_over_buckets(monkeypatch):
+    """Of a trigger that every document has, a part sends a mark instead of its phrases, and its windows go everywhere."""
+    rng = random.Random(5)
+    texts = [t.encode() for _, t in hot_rows(2000, rng)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array([t.decode() for t in texts])], ["to", "doc_id", "text"])
+    sent = pa.Table.from_batches(list(m._send_dictionary(64)([batch])))
+    marks = [r for r in sent.to_pylist() if r["kind"] == m.IS_HOT]
+    assert marks
+    largest = max(np.unique(np.frombuffer(r["a"], "u4"), return_counts=True)[1].max() for r in sent.to_pylist() if r["kind"] == m.DICTIONARY)
+    assert largest <= m.HOT
+    hot = np.unique(np.concatenate([np.frombuffer(r["a"], "u8") for r in marks]))
+    ids = list(range(len(texts)))
+    windows = [r for b in m._hot_windows(hot, ids, m.parse(texts), 64, 0) for r in b.to_pylist()]
+    per = np.bincount([r["to"] for r in windows for _ in range(len(r["b"]) // 16)], minlength=64)
+    assert per.max() < 1.5 * per.mean()
