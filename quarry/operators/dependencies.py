@@ -159,6 +159,14 @@ def known_licence(name: Column) -> Column:
     return F.coalesce(of(name), of(F.element_at(F.split(name, "/"), -1)))
 
 
+def best_advisory(found: DataFrame, known: DataFrame) -> DataFrame:
+    """name, cve, matched of found vulnerabilities (name, cve) with the known one (name, cve) that fits best: the same, one of its year, else the first."""
+    year = lambda c: F.regexp_extract(c, r"^CVE-(\d{4})-", 1)
+    met = found.select("name", "cve").join(known.select("name", F.col("cve").alias("matched")), "name")
+    rank = F.when(F.col("cve") == F.col("matched"), 0).when((year(F.col("cve")) != "") & (year(F.col("cve")) == year(F.col("matched"))), 1).otherwise(2)
+    return met.groupBy("name", "cve").agg(F.min_by("matched", F.struct(rank.alias("r"), "matched")).alias("matched"))
+
+
 def licence_chain(packages: DataFrame, *found: DataFrame) -> DataFrame:
     """The first of several licence tables (name, license) that knows a package, else what is well known, else 'unknown'; with its class and risk."""
     out, names = packages, []

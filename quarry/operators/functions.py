@@ -101,6 +101,13 @@ def eligible(functions: DataFrame, files: DataFrame, prefixes: DataFrame | None
     return out.join(called, ["project", "file", "name", "line"], "left_anti")
 
 
+def with_code(functions: DataFrame, files: DataFrame) -> DataFrame:
+    """Functions with their own lines as ``code``, and its length as ``size``."""
+    lines = F.split("content", "\n", -1)
+    own = F.array_join(F.slice(lines, F.col("line"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(1))), "\n")
+    return functions.join(files.select("project", "file", "content"), ["project", "file"]).withColumn("code", own).withColumn("size", F.length("code")).drop("content")
+
+
 def occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
     """project, file, line, token: where any of ``names`` (project, name) occurs."""
     lines = files.select("project", "file", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))

@@ -12,8 +12,15 @@ from quarry.functions import scalars as S
 BUCKETS = (30, 90, 180, 365)
 
 
-def commit_buckets(commits: DataFrame, as_of: Column, days: tuple[int, ...] = BUCKETS) -> DataFrame:
-    """Per file (file, author, ts): commits in each look-back window, authors ever and in the second window, first and last."""
+def commit_buckets(commits: DataFrame, as_of: Column, days: tuple[int, ...] = BUCKETS, files: DataFrame | None = None) -> DataFrame:
+    """Per file (file, author, ts): commits in each look-back window, authors ever and in the second window, first and last.
+
+    With ``files`` there is a row for each of them, also for those without commits, and for no other.
+    """
+    if files is not None:
+        found = commit_buckets(commits, as_of, days)
+        counts = [c for c in found.columns if c.startswith(("commits_", "contributors_"))]
+        return files.select("file").join(found, "file", "left").fillna(0, counts)
     within = lambda n: F.col("ts") >= as_of - F.make_dt_interval(F.lit(n))
     return commits.filter(F.col("ts") <= as_of).groupBy("file").agg(
         *(F.count_if(within(n)).alias(f"commits_{n}d") for n in days),

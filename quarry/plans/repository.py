@@ -292,6 +292,34 @@ def workspace_members(spark: SparkSession, d: str) -> DataFrame:
     return configs.workspace_packages(root.unionByName(own)).select(_number("directory", r"n(\d+)$").cast("int").alias("nation"), "name")
 
 
+@query("SELECT n_nationkey AS nation FROM nation WHERE n_nationkey % 5 = 4 AND n_nationkey <> 9")
+def abandoned_packages(spark: SparkSession, d: str) -> DataFrame:
+    """By nation: a package with a start, one with a script, one that another needs, one that needs another, and one without any; 9 is needed by the root."""
+    k = F.col("n_nationkey") % 5
+    name = _cat('{"name": "n', _text("n_nationkey"), '"')
+    rest = F.when(k == 0, ', "main": "index.js"}').when(k == 1, ', "scripts": {"dev": "x"}}').when(k == 3, _cat(', "dependencies": {"n', _text(F.col("n_nationkey") - 1), '": "*"}}')).otherwise("}")
+    files = table(spark, d, "nation").select(_p(), _cat("packages/n", _text("n_nationkey"), "/package.json").alias("file"), F.concat(name, rest).alias("content"))
+    root = spark.createDataFrame([("p", "package.json", '{"name": "root", "private": true, "devDependencies": {"n9": "*", "react": "1"}}')], "project string, file string, content string")
+    return configs.abandoned(files.unionByName(root)).select(_number("directory", r"n(\d+)$").cast("int").alias("nation"))
+
+
+@query("SELECT p_partkey AS file, 'g' || p_partkey AS name, CAST(2 * length(p_partkey::VARCHAR) + 28 AS INTEGER) AS size FROM part")
+def function_sizes(spark: SparkSession, d: str) -> DataFrame:
+    files = _modules(spark, d)
+    found = functions.with_code(parse.functions(parse.parsed(files)).filter("NOT exported"), files)
+    return found.select(_number("file", r"p(\d+)\.js$").alias("file"), "name", "size")
+
+
+@query("WITH c AS (SELECT p_size % 5 AS v, p_brand AS file, min(p_partkey) AS k FROM part GROUP BY ALL) SELECT v AS variable, count(*) AS copies FROM c GROUP BY 1 HAVING count(*) > 1")
+def duplicate_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Code that differs in comments, texts, numbers and spacing only is the same code."""
+    v = _text(F.col("p_size") % 5)
+    text = _cat("function a() {\n  // of ", _text("p_partkey"), "\n  let v", v, F.when(F.col("p_partkey") % 2 == 0, " = ").otherwise("="), _text("p_partkey"), " + 'x", _text("p_partkey"), "'; return v", v, "}")
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("ord"), F.md5(duplicates.normalized_code(text).cast("binary")).alias("hash"), F.lit(100).alias("size"), F.col("p_size"))
+    per = duplicates.largest_first(duplicates.exact_groups(rows))
+    return per.join(rows.select("hash", (F.col("p_size") % 5).alias("variable")).distinct(), "hash").select("variable", "copies")
+
+
 @query("SELECT n_nationkey AS nation, 'src/n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.ts' ELSE '/index.js' END AS file FROM nation")
 def workspace_exports(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "nation").select("n_nationkey", _text("n_nationkey").alias("n"))

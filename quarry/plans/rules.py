@@ -172,6 +172,24 @@ def advisories(spark: SparkSession, d: str) -> DataFrame:
     return dependencies.advisories(packages, known, usage).select(as_long("project").alias("id"), "cve", "risk", "priority", "breaking_fix")
 
 
+@query("SELECT 'p' || p_partkey AS name, 'CVE-2020-1' AS cve, CASE p_partkey % 3 WHEN 0 THEN 'CVE-2020-1' WHEN 1 THEN 'CVE-2020-7' ELSE 'CVE-2018-3' END AS matched FROM part")
+def best_advisories(spark: SparkSession, d: str) -> DataFrame:
+    """The same advisory, one of the year, or the first that is known of the package."""
+    name = _cat("p", _text("p_partkey")).alias("name")
+    found = _part(spark, d).select(name, F.lit("CVE-2020-1").alias("cve"))
+    every = F.array(F.lit("CVE-2019-9"), F.lit("CVE-2018-3"))
+    known = F.concat(every, F.when(_k() % 3 == 0, F.array(F.lit("CVE-2020-7"), F.lit("CVE-2020-1"))).when(_k() % 3 == 1, F.array(F.lit("CVE-2020-7"))).otherwise(F.array().cast("array<string>")))
+    return dependencies.best_advisory(found, _part(spark, d).select(name, F.explode(known).alias("cve")))
+
+
+@query("""SELECT c_custkey AS file, count(o_orderkey) FILTER (o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY) AS commits_365d, count(DISTINCT o_orderpriority) AS contributors_all FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate <= TIMESTAMP '2001-08-01' GROUP BY 1""")
+def commits_of_all_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files without commits have their row too."""
+    commits = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderpriority").alias("author"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("file"))
+    return history.commit_buckets(commits, F.lit(DAY).cast("timestamp"), files=files).select("file", "commits_365d", "contributors_all")
+
+
 def _vulnerabilities(spark: SparkSession, d: str) -> DataFrame:
     return _part(spark, d).select(F.col("p_brand").alias("name"), _choice(["critical", "high", "medium", "low"]).alias("severity"), _choice(["high", "low", "medium"]).alias("risk"), _k().alias("id"))
 

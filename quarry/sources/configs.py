@@ -98,6 +98,21 @@ def packages(files: DataFrame) -> DataFrame:
     return read.select("project", folder.alias("directory"), "j.name", private.alias("private"), (~private & surface).alias("publishable"), F.array_distinct(starts).alias("starts"), globs.alias("workspaces"))
 
 
+def abandoned(files: DataFrame) -> DataFrame:
+    """project, directory, name of packages that nothing holds on to: named, no surface, no script that starts it, no package of the project that needs it, and none that it needs."""
+    every = packages(files).filter("name IS NOT NULL AND directory <> '.'")
+    needs = manifests(files).select("project", F.col("directory").alias("_by"), "name").distinct()
+    own = every.select("project", "name").distinct()
+    inner = needs.join(own, ["project", "name"], "left_semi")
+    started = files.filter(F.col("file").rlike(r"(^|/)package\.json$")).select("project", F.regexp_replace("file", "/?[^/]*$", "").alias("directory"), F.map_keys(F.coalesce(F.from_json("content", _PACKAGE)["scripts"], F.create_map().cast("map<string,string>"))).alias("s"))
+    started = started.filter(F.arrays_overlap("s", F.array(*map(F.lit, ("start", "dev", "serve", "develop", "preview"))))).select("project", "directory")
+    surface = files.filter(F.col("file").rlike(r"(^|/)package\.json$")).withColumn("j", F.from_json("content", _PACKAGE))
+    surface = surface.filter(F.exists(F.array(*(F.col(f"j.{k}").isNotNull() for k in ("main", "module", "exports", "types", "typings", "bin", "files", "publishConfig"))), lambda x: x))
+    surface = surface.select("project", F.regexp_replace("file", "/?[^/]*$", "").alias("directory"))
+    left = every.join(inner, ["project", "name"], "left_anti").join(inner.select("project", F.col("_by").alias("directory")).distinct(), ["project", "directory"], "left_anti")
+    return left.join(started, ["project", "directory"], "left_anti").join(surface, ["project", "directory"], "left_anti").select("project", "directory", "name")
+
+
 def in_publishable(files: DataFrame, packages_: DataFrame) -> DataFrame:
     """Files (project, file) whose nearest package is one that others may install: its exports are its surface."""
     from quarry.sources.files import longest_scope

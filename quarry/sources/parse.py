@@ -53,6 +53,7 @@ _DEFAULT = re.compile(r"(?m)^[ \t]*export\s+default\b(?!\s+(?:async\s+)?function
 _COMMON = re.compile(r"\b(?:module\.)?exports\.([\w$]+)\s*=")
 _FROM = re.compile(r"(?m)^[ \t]*from\s+([\w.]+)\s+import\s+(\([^)]*\)|[^\n#;]+)")
 _PLAIN = re.compile(r"(?m)^[ \t]*import\s+([\w., \t]+)")
+_LOADED = re.compile(r"""\b(?:import_module|__import__)\(\s*['"]([\w.]+)['"]""")
 _JS_METHOD = re.compile(
     r"(?m)^[ \t]*(?P<mods>(?:(?:public|private|protected|static|async|readonly|override|abstract)\s+)*)(?P<kind>(?:get|set)\s+(?=[#\w$]))?\*?\s*(?P<name>#?[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\([^)]*\)\s*(?::[^{;=]+)?\{"
 )
@@ -228,6 +229,8 @@ def _python_imports(src: _Source) -> Iterator[dict]:
             if name:
                 named.append((name, local or name, "namespace" if name == "*" else "named"))
         yield {"relation": "import", "type": "from", "name": m[1], "line": src.line(m.start() + len(m[0]) - len(m[0].lstrip())), "specifiers": named}
+    for m in _LOADED.finditer(src.code):
+        yield {"relation": "import", "type": "dynamic", "name": m[1], "line": src.line(m.start()), "specifiers": []}
     for m in _PLAIN.finditer(src.bare):
         for part in m[1].split(","):
             name = part.strip().partition(" as ")[0].strip()

@@ -269,3 +269,15 @@ def test_lines_inside_templates_and_after_markup_are_left_out(spark):
     text = "eval(a)\n// eval(b)\nx = `\neval(c)\n`; eval(d)\ny = \\`\neval(e)\n<div class='x'>\neval(f)\nz = `open\neval(g)\neval(h)"
     rows = spark.createDataFrame([("p", "a.js", "js", text)], "project string, file string, lang string, content string")
     assert sorted(r.line for r in patterns.scan(rows).collect()) == [1, 5, 7]
+
+
+def test_settings_are_merged_by_key():
+    from quarry.functions.settings import merged
+
+    assert merged({"a": {"b": 1, "c": [1]}, "d": 2}, {"a": {"c": [2], "e": None}}, None, {"d": {"f": 3}}) == {"a": {"b": 1, "c": [2]}, "d": {"f": 3}}
+
+
+def test_sarif_levels(spark):
+    rows = [("r", "critical", "a", 0, "m", "finding", None), ("r", "low", "a", 2, "m", "function", None), ("s", "high", "a", None, "m", "finding", "false-positive"), ("s", "low", "a", 2, "m", "export", "confirmed")]
+    frame = spark.createDataFrame(rows, "rule string, severity string, file string, line int, message string, kind string, verdict string")
+    assert [r.level for r in reports.sarif_results(frame).collect()] == ["error", "warning", "none", "error"]
