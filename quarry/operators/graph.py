@@ -50,7 +50,6 @@ def _search(key, edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
 
 def _rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Frontier rounds: one join a round, only of what the last round reached first."""
-    edges = _written(edges.select("project", "src", "dst").distinct())
     frontier = _written(seeds.select("project", "node", F.lit(0).cast("long").alias("depth")).distinct())
     reached, depth = frontier, 0
     while not frontier.isEmpty():
@@ -66,13 +65,17 @@ def _rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, task_edges: int = TASK_EDGES, method: str = "auto") -> DataFrame:
     """project, node, depth: every node that a seed (project, node) leads to, with its least distance."""
+    edges = edges.select("project", "src", "dst").distinct()
+    if method != "search":
+        # Written once: the edges may be long to make, and the count, the search or every round reads them.
+        edges = _written(edges)
     if method == "auto":
         counts = edges.groupBy("project").count()
-        method = "rounds" if counts.filter(F.col("count") > task_edges).limit(1).count() else "search"
+        method = "search" if counts.filter(F.col("count") > task_edges).isEmpty() else "rounds"
     if method == "rounds":
         return _rounds(edges, seeds)
     ship(edges.sparkSession)
-    left = edges.select("project", "src", "dst").distinct().groupBy("project")
+    left = edges.groupBy("project")
     return left.cogroup(_renewed(seeds, "project", "node").groupBy("project")).applyInPandas(_search, NODE)
 
 
@@ -155,8 +158,8 @@ def propagate_usage(usage: DataFrame, reexports: DataFrame, passes: int | None =
     task unless it is too large, or passes are to be counted.
     """
     usage = usage.select("project", "target", "symbol").distinct()
-    reexports = reexports.select("project", "barrel", "source", "name").distinct()
-    if passes is None and not reexports.groupBy("project").count().filter(F.col("count") > task_edges).limit(1).count():
+    reexports = _written(reexports.select("project", "barrel", "source", "name").distinct())
+    if passes is None and reexports.groupBy("project").count().filter(F.col("count") > task_edges).isEmpty():
         ship(usage.sparkSession)
         right = _renewed(reexports, "project", "barrel", "source", "name").groupBy("project")
         return usage.groupBy("project").cogroup(right).applyInPandas(_spread, "project string, target string, symbol string")
