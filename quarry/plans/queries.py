@@ -574,6 +574,9 @@ def _issues(spark: SparkSession, d: str) -> DataFrame:
         make(part.filter("p_size = 49"), "dead-file", F.lit("high"), "easy"),
         make(part.filter("p_size IN (47, 48)"), "unused-dependency", F.lit("medium"), "trivial"),
         make(part.filter("p_size = 46"), "licence", S.map_severity(F.lit("info")), "hard"),
+        make(part.filter("p_size = 45"), "duplicate-code", F.lit("low"), "medium"),
+        make(part.filter("p_size = 44"), "outdated-dependency", S.map_severity(F.lit("moderate")), "easy"),
+        make(part.filter("p_size = 43"), "unused-asset", S.map_severity(F.lit("low")), "trivial"),
     )
 
 
@@ -582,7 +585,7 @@ def _issue_sql(where: str, category: str, severity: str, effort: str) -> str:
 
 
 _ISSUES_SQL = "i AS (" + " UNION ALL ".join(
-    _issue_sql(*x) for x in (("p_size = 50", "vulnerability", "critical", "medium"), ("p_size = 49", "dead-file", "high", "easy"), ("p_size IN (47, 48)", "unused-dependency", "medium", "trivial"), ("p_size = 46", "licence", "low", "hard"))
+    _issue_sql(*x) for x in (("p_size = 50", "vulnerability", "critical", "medium"), ("p_size = 49", "dead-file", "high", "easy"), ("p_size IN (47, 48)", "unused-dependency", "medium", "trivial"), ("p_size = 46", "licence", "low", "hard"), ("p_size = 45", "duplicate-code", "low", "medium"), ("p_size = 44", "outdated-dependency", "medium", "easy"), ("p_size = 43", "unused-asset", "low", "trivial"))
 ) + ")"
 
 
