@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm._common import keeps, mapped, only, small_batches, table
+from quarry.llm._common import keeps, lean, mapped, only, small_batches, table
 
 #: Fixed values of the contamination rule.
 WINDOW = 13
@@ -310,7 +310,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, spans: code-point ranges of the original text that windows cover, documents with any."""
     found = scanned(docs.select("doc_id", "text"), benchmark).filter(F.size("found.hits") > 0)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.select("c0", "c1", "found.hits").mapInArrow(_offsets, f"doc_id {kind}, spans array<struct<start:bigint,end:bigint>>")
+    return found.select("c0", "c1", "found.hits").mapInArrow(lean(_offsets), f"doc_id {kind}, spans array<struct<start:bigint,end:bigint>>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm._common import numbered, small_batches, table, written
+from quarry.llm._common import lean, numbered, small_batches, table, written
 
 WIDTH, MOST_ROWS, PAD = 64, 1024, 64
 #: Pixels that a file of any size may declare, canvas and frames together, about 320 MB, and those for each of its bytes.
@@ -314,7 +314,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text (doc_id, text) as a GIF."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(_encode), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_columns(media: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def media_columns(media: DataFrame) -> DataFrame:
     plain = numbered(media)
     names = media.columns[:-1]
     added = StructType.fromDDL(DECODED)
-    return plain.mapInArrow(_decode, StructType([*plain.schema[:-1], *added])).toDF(*names, *added.names)
+    return plain.mapInArrow(lean(_decode), StructType([*plain.schema[:-1], *added])).toDF(*names, *added.names)
 
 
 def frames(decoded: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm._common import small_batches, table
+from quarry.llm._common import lean, small_batches, table
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 #: The rest of a tag: quotes count only right after an equals sign. Nothing is tried twice.
@@ -500,7 +500,7 @@ def main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages`` (page_id, url, html)."""
     small_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(_extract(trees or trained(), 2), f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(_extract(trees or trained(), 2)), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,8 +186,11 @@ def mix(docs: DataFrame, block_words: int = 4096, shard_blocks: int = 256, seed:
     A piece: shard, place (order inside the shard), doc_id, source, tie, copy, word_start, word_end
     (the words of the document that it takes), pass (0, or 1 for the second time round).
     """
+    return _mix(written(sizes(docs), "mix-sizes"), block_words, shard_blocks, seed)
+
+
+def _mix(sized: DataFrame, block_words: int, shard_blocks: int, seed: int) -> tuple[DataFrame, DataFrame]:
     blocks = F.ceil(F.col("quota") / block_words).cast("long")
-    sized = written(sizes(docs), "mix-sizes")
     sources = written(source_targets(sized).withColumn("quota", F.round("target").cast("long")).withColumn("blocks", blocks), "mix-sources")
     told = sources.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks")).first()
     placed = streams(sized, sources, told["docs"], told["sources"] <= BROADCAST_SOURCES, seed)
@@ -228,21 +231,35 @@ def mixed_documents(docs: DataFrame, block_words: int = 4096, shard_blocks: int
     Columns are those of ``docs``. A document the mix does not take is gone; one that it takes
     twice is there twice. ``n_chars`` follows the text where it was cut.
     """
-    _, pieces = mix(docs, block_words, shard_blocks, seed)
-    key = lambda d, s, t: F.struct(F.col(d).alias("d"), F.col(s).alias("s"), t.alias("t"))
-    words = F.sum(F.col("word_end") - F.col("word_start"))
-    each = pieces.groupBy(key("doc_id", "source", F.col("tie")).alias("key"), "copy", "pass", "size").agg(words.alias("words"))
+    sized = written(sizes(docs), "mix-sizes")
+    _, pieces = _mix(sized, block_words, shard_blocks, seed)
+    names, own = ("doc_id", "source", "tie"), ("d", "s", "t")
+    renamed = [F.col(a).alias(b) for a, b in zip(names, own, strict=True)]
+    each = pieces.groupBy(*names, "copy", "pass", "size").agg(F.sum(F.col("word_end") - F.col("word_start")).alias("words"))
     # Equal rows are alike, so it is enough how many of them a pass takes whole, and how much of one more.
     whole = lambda p: F.count_if((F.col("pass") == p) & (F.col("words") == F.col("size"))).alias(f"whole{p}")
     part = lambda p: F.coalesce(F.max(F.when((F.col("pass") == p) & (F.col("words") < F.col("size")), F.col("words"))), F.lit(0).cast("long")).alias(f"part{p}")
-    taken = each.groupBy("key").agg(*(f(p) for p in range(MOST) for f in (whole, part)))
-    have = as_row(docs).select("row", key("row.doc_id", "row.source", F.xxhash64("row.text")).alias("key"))
-    joined = have.join(taken, "key").withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    size = _size("row.text")
-    takes = F.array(*(F.when(F.col("copy") <= F.col(f"whole{p}"), size).when(F.col("copy") == F.col(f"whole{p}") + 1, F.col(f"part{p}")).otherwise(0) for p in range(MOST)))
-    rows = joined.withColumn("size", size).withColumn("words", F.explode(F.filter(takes, lambda n: n > 0)))
+    taken = each.select(*renamed, "pass", "size", "words").groupBy(*own, "size").agg(*(f(p) for p in range(MOST) for f in (whole, part)))
+    takes = F.array(*(F.when(F.col("copy") <= F.col(f"whole{p}"), F.col("size")).when(F.col("copy") == F.col(f"whole{p}") + 1, F.col(f"part{p}")).otherwise(0) for p in range(MOST)))
+    rows = as_row(docs).select("row", F.col("row.doc_id").alias("d"), F.col("row.source").alias("s"), F.xxhash64("row.text").alias("t"))
+
+    def met(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        same = F.col("a.d").eqNullSafe(F.col("b.d")) & F.col("a.s").eqNullSafe(F.col("b.s")) & (F.col("a.t") == F.col("b.t"))
+        joined = a.join(b, same, how)
+        return joined if how != "inner" else joined.select("a.*", *(F.col(f"b.{c}") for c in right.columns if c not in own))
+
+    repeated = sized.filter("copy = 2").select(*renamed)
+    if repeated.isEmpty():
+        chosen = met(rows, taken).withColumn("copy", F.lit(1))
+    else:
+        # Texts move once: only rows that have equals are numbered, which takes a second look at the table.
+        one = met(rows, met(taken, repeated, "left_anti")).withColumn("copy", F.lit(1))
+        several = met(rows, repeated, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy(*own).orderBy("t")))
+        chosen = one.unionByName(met(several, taken), allowMissingColumns=True)
+    chosen = chosen.select("row", "size", F.explode(F.filter(takes, lambda n: n > 0)).alias("words"))
     text = F.when(F.col("words") < F.col("size"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
-    cut = rows.select(F.col("row").withField("text", text).alias("row"), (F.col("words") < F.col("size")).alias("cut"))
+    cut = chosen.select(F.col("row").withField("text", text).alias("row"), (F.col("words") < F.col("size")).alias("cut"))
     if "n_chars" in docs.columns:
         n_chars = F.when(F.col("cut"), F.char_length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
         cut = cut.withColumn("row", F.col("row").withField("n_chars", n_chars))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import mapped, only, small_batches, table, written
+from quarry.llm._common import lean, mapped, only, small_batches, table, written
 
 KEEP_FROM = 0.7
 #: Share of the pooled covariance in each class's, and of the identity in the result.
@@ -129,7 +129,7 @@ def _measure(text_at: int):
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, x: the statistics of each document."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_measure(1), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(lean(_measure(1)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def training(labels: DataFrame) -> DataFrame:
 def fit(x: DataFrame, labels: DataFrame) -> Model:
     """``x``: measured documents. Two times 307 sums come to the driver."""
     rows = x.join(training(labels), "doc_id").select("quality", "x")
-    added = rows.mapInArrow(_add_up, "quality long, at long, v double").groupBy("quality", "at").agg(F.sum("v").alias("v"))
+    added = rows.mapInArrow(lean(_add_up), "quality long, at long, v double").groupBy("quality", "at").agg(F.sum("v").alias("v"))
     sums = {0: np.zeros(_SUMS), 1: np.zeros(_SUMS)}
     for r in added.collect():
         sums[r["quality"]][r["at"]] = r["v"]
@@ -179,7 +179,7 @@ def _score(model: Model, at: int):
 
 def scored(x: DataFrame, model: Model) -> DataFrame:
     """doc_id, score."""
-    return x.mapInArrow(_score(model, 1), f"doc_id {x.schema['doc_id'].dataType.simpleString()}, score double")
+    return x.mapInArrow(lean(_score(model, 1)), f"doc_id {x.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def _keep(model: Model, text_at: int, least: float):

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm._common import small_batches, table
+from quarry.llm._common import lean, small_batches, table
 
 #: The base patterns, the least length of each, and the order of kinds.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -190,7 +190,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+    return docs.select("doc_id", "text").mapInArrow(lean(_scan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import fresh_path, input_bytes, keeps, only, small_batches, table
+from quarry.llm._common import fresh_path, input_bytes, keeps, lean, only, small_batches, table
 
 #: Fixed values of the record format.
 MASK_ADD = 0xA282EAD8
@@ -163,7 +163,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     n = max(1, ceil(input_bytes(docs) / part_bytes))
     ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    framed = ranged.mapInArrow(_encode(tokenizer_path, end_id), "frame binary")
+    framed = ranged.mapInArrow(lean(_encode(tokenizer_path, end_id)), "frame binary")
     framed.select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(path)
 
 
@@ -205,7 +205,7 @@ def build_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     """Read every record file back, check it, and write the offset index beside it."""
     small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    files.mapInArrow(_index, INDEX).write.parquet(index_path)
+    files.mapInArrow(lean(_index), INDEX).write.parquet(index_path)
     return spark.read.schema(INDEX).parquet(index_path)
 
 
@@ -230,7 +230,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, seed: int) ->
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     wanted = index.select("file", "offset", F.xxhash64(F.lit(seed), "part", "record").alias("place"))
     cut = files.join(wanted, "file").select("content", "offset", "place")
-    return cut.mapInArrow(_pick, "place long, doc_id long, ids array<long>").orderBy("place")
+    return cut.mapInArrow(lean(_pick), "place long, doc_id long, ids array<long>").orderBy("place")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
