@@ -7,8 +7,11 @@ a similarity of 0.8 share none of them with a probability of 3 in a million.
 
 Each bucket of a band is settled exactly, whatever its size; buckets with the same members are
 settled once. In a group the shared shingles of all members give all their intersections as matrix
-products, and what leaves it is a spanning forest of its links. A bucket of up to ``BLOCK`` members
-is one group. Larger ones take three steps, none of which grows with the square of a bucket:
+products, and what leaves it is a spanning forest of its links. The first bands are settled before
+the others: what they link makes classes, and of the other bands' buckets only those that hold
+several classes are looked at, and only across them. A cluster of near copies so goes through a few
+bands, not all. A bucket of up to ``BLOCK`` members is one group. Larger ones take three steps, none
+of which grows with the square of a bucket:
 
 1. Each member meets ``BLOCK`` members that a hash picks as the bucket's pivots, in blocks. What is
    linked so far makes classes; a bucket of one class is done with, as large groups of near copies are.
@@ -34,12 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.llm._common import as_row, only, small_batches, table, written
+from quarry.llm._common import as_row, lean, only, small_batches, table, written
 from quarry.llm.dart_minhash import signatures
 from quarry.llm.shingles import mixed, shingle_sets
 
 SIZE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 4
+#: Bands that are settled first.
+FIRST = 6
 BLOCK = 512
 #: Columns of one matrix product.
 CHUNK = 4096
@@ -88,20 +93,20 @@ def _sign(weights: Weights):
 def signed(docs: DataFrame, weights: Weights = unit_weights) -> DataFrame:
     """doc_id, s1 and s2 (a fingerprint of the shingle set), n (its size), bands."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_sign(weights), "doc_id long, s1 long, s2 long, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(_sign(weights)), "doc_id long, s1 long, s2 long, n long, bands array<long>")
 
 
 #: Bits of the filter for each id that it is made for, and the most ids it is made for: 32 MB of bits.
 #: More ids take a semi-join instead, which gives the same rows.
-ID_BITS, MOST_IDS = 8, 1 << 25
+ID_BITS, MOST_IDS = 16, 1 << 24
 
 
 class IdFilter:
     """A bitmap, sized by their number, in which every id given has its bit."""
 
     def __init__(self, ids: DataFrame, n: int):
-        self.size = 1 << max(16, (ID_BITS * n - 1).bit_length())
-        told = ids.mapInArrow(self._bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        self.size = 1 << max(16, (ID_BITS * max(n, 1) - 1).bit_length())
+        told = ids.mapInArrow(lean(self._bits), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
         bits = np.zeros(self.size // 64, "i8")
         bits[told.column("at").to_numpy()] = told.column("word").to_numpy()
         self.sent = ids.sparkSession.sparkContext.broadcast(bits.view("u8"))
@@ -151,9 +156,9 @@ def sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     n = ids.count()
     rows = docs.select("doc_id", "text")
     if n <= MOST_IDS:
-        made = rows.mapInArrow(_sets(IdFilter(ids, n)), "rep long, s1 long, shingles binary")
+        made = rows.mapInArrow(lean(_sets(IdFilter(ids, n))), "rep long, s1 long, shingles binary")
     else:
-        made = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets(None), "rep long, s1 long, shingles binary")
+        made = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(lean(_sets(None)), "rep long, s1 long, shingles binary")
     return made.dropDuplicates(["rep", "s1"])
 
 
@@ -231,7 +236,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(groups: DataFrame, docs: DataFrame) -> DataFrame:
     """u < v: links inside each group (key, a, b), across sides where it has several."""
     held = groups.join(sets_of(docs, groups), ["rep", "s1"]).select("key", "a", "b", "side", "rep", "s1", "shingles")
-    return held.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_link, "u long, v long").distinct()
+    return held.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lean(_link), "u long, v long").distinct()
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,25 +263,35 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(h) for h in held), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], ["rep", "s1", "label", "n", "e"])
 
 
+#: Rows up to which a table is broadcast once they are counted: some 4 MB.
+SMALL = 100_000
+
+
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, and broadcast if it is small: what it is joined to then need not be dealt by a key that may be hot."""
+    out = written(df, name)
+    return F.broadcast(out) if out.count() <= SMALL else out
+
+
 def prefix_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Groups (key, a, b, side, rep, s1) that hold every pair of similar enough ``members`` (rep, s1, label) of different labels.
 
     ``key`` is a shingle that the pair shares among its first; the side is the label.
     """
     sets = members.join(sets_of(docs, members), ["rep", "s1"]).select("rep", "s1", "label", "shingles")
-    each = written(sets.mapInArrow(_exploded, "rep long, s1 long, label long, n long, e long"), "shingles")
+    each = written(sets.mapInArrow(lean(_exploded), "rep long, s1 long, label long, n long, e long"), "shingles")
     # A shingle that only one label has can't link two.
     shared = each.groupBy("e").agg(F.count(F.lit(1)).alias("count"), F.min("label").alias("low"), F.max("label").alias("high")).filter("count > 1")
     known = each.join(shared, "e").groupBy("rep", "s1", "label", "n").agg(F.collect_list(F.struct("count", "e")).alias("pairs"))
-    first = known.mapInArrow(_prefixes, "key long, rep long, s1 long, label long")
+    first = known.mapInArrow(lean(_prefixes), "key long, rep long, s1 long, label long")
     across = shared.filter("low < high").select(F.col("e").alias("key"))
     first = written(first.join(across, "key", "left_semi"), "prefixes")
-    per = first.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own"))
+    per = written(first.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own")), "own")
     small = F.sum(F.when(F.col("own") <= BLOCK, F.col("own")).otherwise(0))
     totals = per.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.ceil(small / BLOCK).cast("long").alias("bins")).filter("labels > 1").drop("labels")
-    large = F.col("own") > BLOCK
+    large = F.col("own").isNotNull()
     sub = F.pmod(F.xxhash64(F.lit(3), "rep"), F.ceil(F.col("own") / BLOCK).cast("long"))
-    dealt = first.join(per, ["key", "label"]).join(totals, "key").select(
+    dealt = first.join(_counted(per.filter(F.col("own") > BLOCK), "large"), ["key", "label"], "left").join(_counted(totals, "totals"), "key").select(
         "key", "rep", "s1", "label", F.when(large, F.col("label")).alias("large"),
         F.when(large, F.xxhash64("label", sub)).otherwise(F.pmod(F.xxhash64(F.lit(4), "label"), F.greatest("bins", F.lit(1)))).alias("block"),
     )
@@ -288,35 +303,49 @@ def prefix_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
     return dealt.join(sides, ["key", "block"]).select("key", "a", "b", F.col("label").alias("side"), "rep", "s1")
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """key, m, side, rep, s1, label: the members of every bucket of ``rows`` (key, rep, s1, label) that holds several labels, equal buckets once."""
+    print_ = lambda *seed: F.bit_xor(F.xxhash64(*map(F.lit, seed), "rep", "s1"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), print_().alias("x"), print_(1).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
+    once = buckets.filter("low < high").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+    members = rows.join(once.select("key", "m"), "key").withColumn("side", F.pmod(F.xxhash64(F.lit(2), "rep"), F.ceil(F.col("m") / BLOCK).cast("int")).cast("long"))
+    return written(members.select("key", "m", "side", "rep", "s1", "label"), "members")
+
+
+def _settled(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links of each bucket: all across labels where it is one group, those with its pivots where it is several."""
+    zero = F.lit(0).cast("long")
+    # Side 0 are the pivots, which meet every block; the others meet them only.
+    last = F.when(F.col("side") == 0, F.ceil(F.col("m") / BLOCK).cast("long") - 1).otherwise(F.col("side"))
+    groups = members.withColumn("b", F.explode(F.sequence(F.col("side"), last)))
+    across = F.when(F.col("m") <= BLOCK, F.col("label")).otherwise(F.col("side"))
+    return written(_linked(groups.select("key", zero.alias("a"), "b", across.alias("side"), "rep", "s1"), docs), "links")
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    labels = components(found).select(F.col("node").alias("rep"), "label")
+    return rows.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
 def bucket_links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
-    """u < v: a spanning forest of the links inside every bucket."""
+    """u < v: links that connect whatever the links inside all buckets connect."""
     own = sig.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")))
     # Repeated rows are one member: what enters a bucket twice would cancel in the xor that tells buckets apart.
     own = own.groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.min("bands").alias("bands"))
-    rows = own.select("rep", "s1", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "rep", "s1")
-    buckets = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep", "s1")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep", "s1")).alias("y"), F.min("rep").alias("low"), F.max("rep").alias("high")
-    )
-    once = buckets.filter("low < high").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = rows.join(once.select("key", "m"), "key").withColumn("side", F.pmod(F.xxhash64(F.lit(2), "rep"), n).cast("long"))
-    members = written(members.select("key", "m", "side", "rep", "s1"), "members")
-    zero = F.lit(0).cast("long")
-    # Side 0 are the pivots, which meet every block; the others meet them only.
-    last = F.when(F.col("side") == 0, n.cast("long") - 1).otherwise(F.col("side"))
-    groups = members.withColumn("b", F.explode(F.sequence(F.col("side"), last))).select("key", zero.alias("a"), "b", "side", "rep", "s1")
-    found = _linked(groups, docs)
-    large = members.filter(F.col("m") > BLOCK)
+    rows = own.select("rep", "s1", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "rep", "s1", F.col("rep").alias("label"))
+    early = _members(rows.filter(F.col("band") < FIRST))
+    found = _settled(docs, early)
+    late = _members(_labelled(rows.filter(F.col("band") >= FIRST), found))
+    found = found.unionByName(_settled(docs, late))
+    large = early.unionByName(late).filter(F.col("m") > BLOCK)
     if large.isEmpty():
-        return found
-    found = written(found, "links")
-    labels = components(found).withColumnRenamed("node", "rep")
-    labelled = large.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        return found.distinct()
+    labelled = _labelled(large, found)
     open_still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     rest = written(labelled.join(open_still, "key", "left_semi").select("rep", "s1", "label").distinct(), "unlike")
-    if rest.isEmpty():
-        return found
-    return found.unionByName(_linked(written(prefix_groups(docs, rest), "groups"), docs)).distinct()
+    if not rest.isEmpty():
+        found = found.unionByName(_linked(written(prefix_groups(docs, rest), "groups"), docs))
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -374,29 +403,53 @@ def _printed(wanted: IdFilter):
     return run
 
 
+def _apart(wanted: IdFilter, inside: bool):
+    """Whole rows whose id may be among those wanted, or is null; or all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).field("doc_id").cast(pa.int64())
+            may = wanted.may_have(ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(may == inside))
+
+    return run
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their class, columns as they were.
 
     Of rows with equal doc_id and shingle set one stays, with the smallest text (among equal texts,
     any). Rows with a null doc_id are in no class: one of those with equal sets stays, and all
     without words.
+
+    Texts stay where they are: a bitmap of the ids that go, or that several rows have, settles for
+    most rows that they stay; only the others are joined. Beyond ``MOST_IDS`` such ids all are.
     """
     named = written(_named(docs), "classes")
     ids = named.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.expr("doc_id = class_id")).alias("names"))
-    ids = written(ids.filter("names"), "kept")
+    ids = written(ids, "kept")
     row = as_row(docs)
-    single = row.join(ids.filter("rows = 1").select("kept"), F.col("row.doc_id") == F.col("kept"), "left_semi")
-    repeated = ids.filter("rows > 1").select("kept")
+    others = ids.filter("NOT (rows = 1 AND names)").select("kept")
+    n = others.count()
+    if not n and named.filter("doc_id IS NULL").isEmpty():
+        return docs
+    rest = row
+    if n <= MOST_IDS:
+        wanted = IdFilter(others, n)
+        sure = row.mapInArrow(lean(_apart(wanted, False)), row.schema)
+        rest = written(row.mapInArrow(lean(_apart(wanted, True)), row.schema), "apart")
+    single = rest.join(ids.filter("rows = 1 AND names").select("kept"), F.col("row.doc_id") == F.col("kept"), "left_semi")
+    out = sure.unionByName(single) if n <= MOST_IDS else single
+    repeated = ids.filter("rows > 1 AND names").select("kept")
     several = repeated.count()
     if not several and named.filter("doc_id IS NULL").isEmpty():
-        return single.select("row.*")
-    # As in ``sets_of``: a bitmap settles which rows leave their place, the join which of them were meant.
+        return out.select("row.*")
     schema = StructType([*(StructField(c, LongType()) for c in ("id", "s1", "s2", "n")), *row.schema])
-    rows = written(row.mapInArrow(_printed(IdFilter(repeated, min(several, MOST_IDS))), schema), "repeated")
+    rows = written(rest.mapInArrow(lean(_printed(IdFilter(repeated, min(several, MOST_IDS)))), schema), "repeated")
     prints = named.filter("doc_id = class_id").join(repeated, F.col("doc_id") == F.col("kept"), "left_semi").select(F.col("doc_id").alias("id"), "s1", "s2").distinct()
     more = rows.join(prints, ["id", "s1", "s2"], "left_semi").unionByName(rows.filter("id IS NULL AND n > 0"))
     one = more.groupBy("id", "s1", "s2").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
-    return single.unionByName(one.select("row")).unionByName(rows.filter("id IS NULL AND n = 0").select("row")).select("row.*")
+    return out.unionByName(one.select("row")).unionByName(rows.filter("id IS NULL AND n = 0").select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

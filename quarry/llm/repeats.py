@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings across documents, by prefix-free parsing and suffix order.
+"""Removal of repeated byte strings across documents, by hash-cut phrases and suffix order: prefix-free parsing in part.
 
 A rolling hash of 19 bytes is taken at every place. A 50-byte window's trigger is the least hash
 in it; a phrase is a longest run of windows with one trigger, so phrases overlap by 49 bytes, each

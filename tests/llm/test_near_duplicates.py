@@ -93,6 +93,16 @@ def test_one_row_of_each_stays(spark):
     assert sorted(map(repr, got)) == sorted(repr((d, t, "x", "y")) for d, t in want)
 
 
+def test_rows_that_stay_by_filter_and_by_join_agree(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k // 3}x{j}" for j in range(30)), k) for k in range(90)] + [(200, None, 1), (None, "a b", 2), (5, "w1x0", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    got = []
+    for most in (1 << 24, 2):
+        monkeypatch.setattr(m, "MOST_IDS", most)
+        got.append(sorted(map(repr, m.one_of_each(frame).collect())))
+    assert got[0] == got[1] and len(got[0]) == 33
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.label for r in m.components(edges).collect()}
