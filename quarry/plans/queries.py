@@ -95,11 +95,22 @@ def barrel_propagation(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey AS file, count(*) FILTER (l_returnflag = 'N') AS live, count(*) FILTER (l_returnflag <> 'N') AS dead
 FROM e GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag <> 'N') > 0""")
 def dead_exports(spark: SparkSession, d: str) -> DataFrame:
+    return _partly_dead(spark, d).select("file", "live", "dead")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem)
+SELECT l_orderkey AS file, count(*) FILTER (l_returnflag <> 'N') AS dead
+FROM e GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag <> 'N') > 0 ORDER BY dead DESC, file LIMIT 15""")
+def most_dead_exports(spark: SparkSession, d: str) -> DataFrame:
+    return graph.by_dead_exports(_partly_dead(spark, d)).limit(15).select("file", "dead")
+
+
+def _partly_dead(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag").distinct()
     name = F.concat_ws("/", "l_partkey", "l_linenumber", "l_returnflag")
     exports = rows.select(F.lit("p").alias("project"), F.col("l_orderkey").alias("file"), name.alias("name"), F.lit(False).alias("is_default"))
     usage = rows.filter("l_returnflag = 'N'").select(F.lit("p").alias("project"), F.col("l_orderkey").alias("target"), name.alias("symbol"))
-    return graph.partly_dead(exports, usage).select("file", "live", "dead")
+    return graph.partly_dead(exports, usage)
 
 
 @query("SELECT DISTINCT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS name FROM pages")
@@ -422,6 +433,16 @@ def decay_summary(spark: SparkSession, d: str) -> DataFrame:
     return history.decay_summary(_decay(spark, d))
 
 
+@query(_DECAY_SQL + " SELECT file FROM z WHERE score >= 25 AND file % 2 = 0 AND file % 3 <> 0 ORDER BY score DESC, 'c' || file || '.js' LIMIT 20")
+def decay_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every second file is a document, and every third is dead already."""
+    path = F.concat(F.lit("c"), F.col("file").cast("string"), F.when(F.col("file") % 2 == 0, ".js").otherwise(".md"))
+    scored = _decay(spark, d)
+    dead = scored.filter("file % 3 = 0").select(path.alias("file"))
+    found = history.decay_candidates(scored.withColumn("file", path), dead)
+    return found.limit(20).select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("file"))
+
+
 @query("""WITH i AS (SELECT DISTINCT substr(sha256('customer:' || o_custkey), 1, 12) AS id, year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) IN (1999, 2000))
 SELECT coalesce(p.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'resolved' WHEN p.id IS NULL THEN 'new' ELSE 'open' END AS status FROM (SELECT id FROM i WHERE y = 1999) p FULL JOIN (SELECT id FROM i WHERE y = 2000) n ON p.id = n.id""")
 def scan_diff(spark: SparkSession, d: str) -> DataFrame:
