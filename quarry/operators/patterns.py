@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.shared import spread
+
 _JS = ("js", "ts")
 #: Id, weakness, severity, pattern, languages (none: all), in the order they are tried.
 RULES = (
@@ -61,13 +63,20 @@ def lines(files: DataFrame, text: str = "content") -> DataFrame:
     )
 
 
+def any_rule(text: Column, rules=RULES) -> Column:
+    """Whether any rule's pattern matches, whatever the language: one alternation, and one without case."""
+    plain = [p for *_, p, _ in rules if not p.startswith("(?i)")]
+    insensitive = [p[4:] for *_, p, _ in rules if p.startswith("(?i)")]
+    found = F.lit(False)
+    for flag, patterns_ in (("", plain), ("(?i)", insensitive)):
+        if patterns_:
+            found = found | text.rlike(flag + "|".join(f"(?:{p})" for p in patterns_))
+    return found
+
+
 def first_rule(text: Column, lang: Column | None, rules=RULES) -> Column:
     """The id of the first rule that matches, in order; null where none does."""
-    plain = [p for *_, p, _ in rules]
-    any_of = text.rlike("|".join(f"(?:{p})" for p in plain if not p.startswith("(?i)")))
-    insensitive = [p[4:] for p in plain if p.startswith("(?i)")]
-    if insensitive:
-        any_of = any_of | text.rlike("(?i)" + "|".join(f"(?:{p})" for p in insensitive))
+    any_of = any_rule(text, rules)
     told = None
     for name, _, _, pattern, languages in rules:
         hit = text.rlike(pattern)
@@ -132,30 +141,34 @@ def boosted(severity: Column, boost: Column) -> Column:
     return F.when(boost.isNotNull() & (severity != "CRITICAL") & (rank(boost) >= rank(severity)), up).otherwise(severity)
 
 
-def _kept_lines(text: Column) -> Column:
-    """array<struct<line, text>> of the lines that are no comment, no sample, and not wholly inside a back-quoted text.
+def _kept_lines(files: DataFrame, text: str, kept: list[str], rules) -> DataFrame:
+    """The columns ``kept``, line and line_text of the lines that match any rule and are no comment, no sample, and not wholly inside a back-quoted text.
 
     All lines of a file come from its one row, so they are judged in the row and nothing is
     shuffled. The text between back quotes is every other piece of the lines cut at the quotes;
-    what lies between a piece's first and last line break is inside.
+    what lies between a piece's first and last line break is inside. Each step is a projection of
+    its own, so that what it makes is made once and not again for each line.
     """
-    every = F.split(F.coalesce(text, F.lit("")), "\r?\n", -1)
-    plain = F.filter(F.transform(every, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda x: ~comment_line(x["text"]))
-    told = F.array_join(F.transform(plain, lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["text"])), "\n")
-    pieces = F.split(told, r"(?<!\\)`", -1)
-    last = F.size(pieces) - 1
+    rows = files.select(*kept, F.split(F.coalesce(F.col(text), F.lit("")), "\r?\n", -1).alias("_every"))
+    numbered = F.transform("_every", lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), F.when(comment_line(x), F.lit(None)).otherwise(x)))
+    rows = rows.withColumn("_plain", F.filter(numbered, lambda x: x.isNotNull()))
+    rows = rows.withColumn("_quoted", F.exists("_plain", lambda x: F.contains(x, F.lit("`"))))
+    rows = rows.withColumn("_pieces", F.when(F.col("_quoted"), F.split(F.array_join("_plain", "\n"), r"(?<!\\)`", -1)))
+    last = F.size("_pieces") - 1
     closed = lambda p: F.regexp_replace(p, r"(?s)^([^\n]*\n).*\n", "$1")
-    unclosed = lambda p: F.substring_index(p, "\n", 1)
-    outside = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).when(i == last, unclosed(p)).otherwise(closed(p))), "`")
-    lines_ = F.when(F.contains(told, F.lit("`")), F.split(outside, "\n", -1)).otherwise(F.split(told, "\n", -1))
+    outside = F.transform("_pieces", lambda p, i: F.when(i % 2 == 0, p).when(i == last, F.substring_index(p, "\n", 1)).otherwise(closed(p)))
+    rows = rows.withColumn("_lines", F.when(F.col("_quoted"), F.split(F.array_join(outside, "`"), "\n", -1)).otherwise(F.col("_plain")))
     number = lambda x: F.substring_index(x, ":", 1).cast("int")
-    rows = F.transform(F.filter(lines_, lambda x: x != ""), lambda x: F.struct(number(x).alias("line"), F.regexp_replace(x, r"(?s)^\d+:", "").alias("text")))
-    return F.filter(rows, lambda x: ~example_line(x["text"], F.get(every, x["line"] - 2)))
+    before = lambda x: F.get("_every", number(x) - 2)
+    own = lambda x: F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x))
+    left = F.filter("_lines", lambda x: any_rule(own(x), rules) & ~example_line(own(x), before(x)))
+    one = rows.select(*kept, F.explode(left).alias("_line"))
+    return one.select(*kept, number(F.col("_line")).alias("line"), own(F.col("_line")).alias("line_text"))
 
 
 def scan(files: DataFrame, dead: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Findings of ``files`` (project, file, lang, content): one a line, the first rule's."""
-    rows = files.select("project", "file", "lang", F.explode(_kept_lines(F.col("content"))).alias("x")).select("project", "file", "lang", "x.line", F.col("x.text").alias("line_text"))
+    rows = _kept_lines(spread(files.select("project", "file", "lang", "content")), "content", ["project", "file", "lang"], rules)
     found = rows.withColumn("rule", first_rule(F.col("line_text"), F.col("lang"), rules)).filter("rule IS NOT NULL")
     found = found.withColumn("original_severity", _of_rule(F.col("rule"), 2, rules)).withColumn("boost", highest_boost(F.concat(F.lit("/"), F.col("file"))))
     found = found.withColumn("severity", boosted(F.col("original_severity"), F.col("boost")))

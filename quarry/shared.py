@@ -31,3 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files are too few for that; as it is where there are enough.
+
+    The planner's size decides: below one file partition for each core, which is little to move. A
+    size that it cannot know is taken for large.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) * cores
+    return df.repartition(cores) if size < most else df

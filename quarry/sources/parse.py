@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.shared import spread
 from quarry.shipping import ship
 from quarry.sources.code import RULES
 
@@ -356,7 +357,7 @@ def _parse(parsers: dict[str, Callable[[str, str], list[dict]]] | None):
 def parsed(files: DataFrame, parsers: dict[str, Callable[[str, str], list[dict]]] | None = None) -> DataFrame:
     """All rows of ``files`` (project, file, lang, content). ``parsers`` replaces the reader of a language."""
     ship(files.sparkSession)
-    return files.select("project", "file", "lang", "content").mapInArrow(_parse(parsers), SCHEMA)
+    return spread(files.select("project", "file", "lang", "content")).mapInArrow(_parse(parsers), SCHEMA)
 
 
 def imports(rows: DataFrame) -> DataFrame:
