@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_format, decontaminate, gif, html_text, mixing, near_duplicates, quality, repeats, secrets, token_records
+from quarry.llm import chat_format, collocations, decontaminate, gif, html_text, language_id, mixing, near_duplicates, quality, repeats, secrets, token_records, whitening
 
 QUERIES = {
     "op8_repeats": repeats.query,
@@ -15,8 +15,12 @@ QUERIES = {
     "op2_token_records": token_records.query,
     "op3_mix_sources": mixing.query,
     "op10_chat_format": chat_format.query,
+    "op11_language_id": language_id.query,
+    "op12_collocations": collocations.query,
+    "op13_whitening": whitening.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op12_collocations": collocations.SQL,
 }
