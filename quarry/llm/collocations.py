@@ -204,10 +204,12 @@ def _extended(k: int):
 
 
 def frequent(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows (number, n, keys) of phrases that occur ``LEAST`` times in all, with id, the least of their numbers, and a, the sum of n."""
-    dealt = rows.repartition(*keys)
-    total = dealt.groupBy(*keys).agg(F.sum("n").alias("a"), F.min("number").alias("id")).filter(F.col("a") >= LEAST)
-    return dealt.join(total.hint("shuffle_hash"), list(keys))
+    """The rows (number, n, keys) of phrases that occur ``LEAST`` times in all, with id, the least of their numbers, and a, the sum of n.
+
+    A window, so that the blocks' rows move once: a phrase has one for each block.
+    """
+    same = Window.partitionBy(*keys)
+    return rows.withColumns({"a": F.sum("n").over(same), "id": F.min("number").over(same)}).filter(F.col("a") >= LEAST)
 
 
 def _told(rows: DataFrame, level: int) -> DataFrame:
