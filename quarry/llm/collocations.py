@@ -8,13 +8,14 @@ about ``BLOCK`` words: its word list, and at each position the number of its wor
 2. In each block the positions of frequent phrases of k - 1 words are merge-joined with the postings
    of the adjacent word, those where it starts a frequent phrase of k - 1 words itself (for k = 2,
    a frequent word): what comes out is the occurrence list of each phrase of k words, and its length
-   is the phrase's exact frequency in the block. Each block sends a row for each of its phrases;
-   their lengths are added up by phrase, and blocks are told which are frequent. This for k = 2, 3, 4.
+   is the phrase's exact frequency in the block. Each block sends the lengths to buckets by a hash of
+   the phrase, packed; there they are added up, and blocks are told which phrases are frequent. This
+   for k = 2, 3, 4.
 3. A phrase is known by the two phrases that it was joined from, so the frequencies of all its first
    and last words come along with these, and containment needs only its prefix and suffix: what a
    phrase of four words contains, one of three with no smaller frequency does.
 
-A phrase that fills a third of the corpus is one row for each block. Nothing but the number of rows
+A phrase that fills a third of the corpus is one entry for each block. Nothing but the number of rows
 of a fixed-size window per lang is limited: the report's first ``TOP``, taken in two steps.
 
 Scores are exact: products are decimals.
@@ -28,6 +29,7 @@ gives an empty result; other columns are ignored, whatever their names. Doc_id i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import lean, only, small_batches, table, written, written_once
+from quarry.llm._common import input_bytes, lean, only, parts, small_batches, table, written, written_once
+from quarry.llm.shingles import mixed
 
 UNKNOWN = "und"
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -43,6 +46,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 INSIDE = 80
 #: Words of a block, words held by a task in all, bytes of text split at a time.
 BLOCK, HELD, CHUNK = 1 << 20, 4 << 20, 2 << 20
+#: Bytes of input for each bucket of phrases.
+BUCKET_BYTES = 8 << 20
 #: Bits of a phrase's number in its block, and of a block's in its task.
 IN_BLOCK, IN_TASK = 22, 20
 #: A lang's phrases are ranked in so many parts first.
@@ -117,7 +122,22 @@ class _Block:
         return out
 
 
-BLOCKS = "block long, lang string, own int, ids binary, words array<string>, counts array<long>"
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as compressed planes of bytes."""
+    return pa.compress(b"".join(np.ascontiguousarray(a).view("u1").reshape(len(a), -1).T.tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, *types: str) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for t in types]
+    raw = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd"), "u1")
+    out, at = [], 0
+    for t, w in zip(types, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(t).ravel())
+        at += n * w
+    return out
+
+
+BLOCKS = "block long, lang string, own int, seen int, ids binary, words array<string>, counts array<long>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +151,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = held[lang].take(all_of_it)
         if got is not None and len(got[2]):
             ids, own, words, counts = got
-            columns = [[first + made], [lang], [own], [ids.tobytes()], [words], [counts]]
-            types = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            columns = [[first + made], [lang], [own], [len(ids)], [packed(ids)], [words], [counts]]
+            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
             made += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
 
@@ -170,50 +190,107 @@ def occurrences(positions: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray,
     return positions[first], number, pair // wide, pair % wide
 
 
-PHRASES = "number long, prefix long, suffix long, n long"
+#: From a block to a bucket: ``size`` phrases, packed: number in the block less the one before, prefix, suffix, occurrences.
+SENT = "bucket int, block long, size int, phrases binary"
+_SENT = ("u4", "i8", "i8", "u4")
 
 
-def _extended(k: int):
+def _extended(k: int, buckets: int):
     """The phrases of ``k`` words of a block, given what is frequent among the shorter ones."""
 
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in PHRASES.split(", ")]
-        if not block.num_rows or not told.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 4, names)
-        ids = np.frombuffer(block.column("ids")[0].as_buffer(), "i4")
-        own, base = block.column("own")[0].as_py(), block.column("block")[0].as_py() << IN_BLOCK
-        level, number, known = (told.column(c).to_numpy() for c in ("level", "number", "id"))
-        number = number - base
-        positions, phrase = np.arange(len(ids)), ids.astype("i8")
-        for size in range(1, k):
-            # Of the phrases of this many words, the lists of the frequent ones stay.
-            mine = level == size
-            frequent = np.zeros(int(phrase.max(initial=0)) + 2, "i8")
-            frequent[number[mine]] = known[mine]
-            kept = frequent[phrase] > 0
-            positions, phrase = positions[kept], phrase[kept]
-            if not len(positions):
-                return pa.Table.from_arrays([pa.array([], pa.int64())] * 4, names)
-            at, longer, first, second = occurrences(positions, phrase)
-            prefix, suffix = frequent[first], frequent[second]
-            positions, phrase = at, longer + 1
-        n = np.bincount(phrase[positions < own] - 1, minlength=len(prefix))
-        return pa.Table.from_arrays([pa.array(v) for v in (base + 1 + np.arange(len(prefix)), prefix, suffix, n)], names)
+        names = [f.split()[0] for f in SENT.split(", ")]
+        rows: list[tuple] = []
+        if block.num_rows and told.num_rows:
+            one = block.to_pylist()[0]
+            (ids,) = unpacked(one["ids"], one["seen"], "i4")
+            known = _known(told, k)
+            positions, phrase = np.arange(len(ids)), ids.astype("i8")
+            prefix = suffix = np.zeros(0, "i8")
+            for size in range(1, k):
+                # Of the phrases of this many words, the lists of the frequent ones stay.
+                frequent = np.zeros(max(int(phrase.max(initial=0)), int(known[size][0].max(initial=0))) + 1, "i8")
+                frequent[known[size][0]] = known[size][1]
+                kept = frequent[phrase] > 0
+                positions, longer, first, second = occurrences(positions[kept], phrase[kept])
+                phrase, prefix, suffix = longer + 1, frequent[first], frequent[second]
+            n = np.bincount(phrase[positions < one["own"]] - 1, minlength=len(prefix)).astype("u4")
+            bucket = (mixed(prefix.astype("u8") * np.uint64(0x9E3779B97F4A7C15) + suffix.astype("u8")) % np.uint64(buckets)).astype("i4")
+            order = np.argsort(bucket, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(own):
+                    rows.append((int(bucket[own[0]]), one["block"], len(own), packed(np.diff(own + 1, prepend=0).astype("u4"), prefix[own], suffix[own], n[own])))
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names)
 
     return run
 
 
-def frequent(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows (number, n, keys) of phrases that occur ``LEAST`` times in all, with id, the least of their numbers, and a, the sum of n.
+#: What blocks are told, either a phrase or, packed, ``size`` phrases: number in the block less the one before, id.
+TOLD = "block long, level int, number long, id long, size int, phrases binary"
+_TOLD = ("u4", "i8")
+
+
+def _known(told: pa.Table, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Numbers in the block and ids of its frequent phrases of 1 to k - 1 words."""
+    got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {size: [] for size in range(1, k)}
+    single = told.filter(told.column("phrases").is_null())
+    if single.num_rows:
+        got[1].append((single.column("number").to_numpy() & ((1 << IN_BLOCK) - 1), single.column("id").to_numpy()))
+    for row in told.filter(told.column("phrases").is_valid()).select(["level", "size", "phrases"]).to_pylist():
+        step, ids = unpacked(row["phrases"], row["size"], *_TOLD)
+        got[row["level"]].append((np.cumsum(step.astype("i8")), ids))
+    none = (np.zeros(0, "i8"), np.zeros(0, "i8"))
+    return {size: tuple(np.concatenate(c) for c in zip(none, *v, strict=True)) for size, v in got.items()}
+
+
+#: From a bucket: what blocks are told, and each frequent phrase once.
+FOUND = "block long, size int, phrases binary, id long, prefix long, suffix long, a long"
+
+
+def _added_up(least: int):
+    """A bucket's phrases: lengths added up, the frequent ones told to the blocks that have them. A phrase's id is the least of its numbers."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        held, blocks = [], []
+        for row in sent.select(["block", "size", "phrases"]).to_pylist():
+            step, prefix, suffix, n = unpacked(row["phrases"], row["size"], *_SENT)
+            held.append((np.cumsum(step.astype("i8")), prefix, suffix, n.astype("i8")))
+            blocks.append(np.full(row["size"], row["block"]))
+        number, prefix, suffix, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        block = np.concatenate(blocks)
+        order = np.lexsort((number, block, suffix, prefix))
+        number, prefix, suffix, n, block = (x[order] for x in (number, prefix, suffix, n, block))
+        new = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])))
+        starts = np.flatnonzero(new)
+        a = np.add.reduceat(n, starts)
+        ids = (block[starts] << IN_BLOCK) + number[starts]
+        which = np.cumsum(new) - 1
+        tell = np.flatnonzero(a[which] >= least)
+        tell = tell[np.lexsort((number[tell], block[tell]))]
+        rows = []
+        for own in np.split(tell, np.flatnonzero(np.diff(block[tell])) + 1):
+            if len(own):
+                rows.append((int(block[own[0]]), len(own), packed(np.diff(number[own], prepend=0).astype("u4"), ids[which[own]])))
+        some = a >= least
+        told = pa.Table.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "size", "phrases"])
+        once = pa.Table.from_arrays([pa.array(v[some]) for v in (ids, prefix[starts], suffix[starts], a)], ["id", "prefix", "suffix", "a"])
+        return pa.concat_tables([told, once], promote_options="default")
 
-    A window, so that the blocks' rows move once: a phrase has one for each block.
-    """
-    same = Window.partitionBy(*keys)
-    return rows.withColumns({"a": F.sum("n").over(same), "id": F.min("number").over(same)}).filter(F.col("a") >= LEAST)
+    return run
 
 
-def _told(rows: DataFrame, level: int) -> DataFrame:
-    return rows.select(F.shiftright("number", IN_BLOCK).alias("block"), F.lit(level).alias("level"), "number", "id")
+def _frequent_words(blocks: DataFrame) -> DataFrame:
+    """number, id, and for one row of each word that occurs ``LEAST`` times in its lang (number = id) lang, word, a.
+
+    A window, so that the blocks' rows move once: a word has one for each block.
+    """
+    rows = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w"))
+    rows = rows.select((F.shiftleft("block", IN_BLOCK) + F.col("k") + 1).alias("number"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    same = Window.partitionBy("lang", "word")
+    rows = rows.withColumns({"a": F.sum("n").over(same), "id": F.min("number").over(same)}).filter(F.col("a") >= LEAST)
+    once = lambda c: F.when(F.col("number") == F.col("id"), F.col(c)).alias(c)
+    return rows.select("number", "id", once("lang"), once("word"), once("a"))
 
 
 def phrases(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -224,22 +301,23 @@ def phrases(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     blocks = written(rows.mapInArrow(lean(_blocks), BLOCKS), "phrase-blocks")
     sizes = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, v: a + v)).alias("n"))
-    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w")).select(
-        (F.shiftleft("block", IN_BLOCK) + F.col("k") + 1).alias("number"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n")
-    )
-    found = written_once(frequent(words, "lang", "word"), "phrase-words")
+    found = written_once(_frequent_words(blocks), "phrase-words")
     a = F.array("a")
-    levels = [found.filter("number = id").select("id", "lang", F.col("word").alias("phrase"), "a", F.col("word").alias("last"), a.alias("firsts"), a.alias("lasts"), F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"))]
-    told = _told(found, 1)
-    base = blocks.select("block", "own", "ids")
+    first = found.filter("number = id").select("id", "lang", F.col("word").alias("phrase"), "a", F.col("word").alias("last"), a.alias("firsts"), a.alias("lasts"))
+    levels = [first.withColumns({c: F.lit(None).cast("long") for c in ("prefix", "suffix")})]
+    none = {"size": F.lit(None).cast("int"), "phrases": F.lit(None).cast("binary")}
+    told = found.select(F.shiftright("number", IN_BLOCK).alias("block"), F.lit(1).alias("level"), "number", "id").withColumns(none)
+    base = blocks.select("block", "own", "seen", "ids")
+    buckets = max(parts(spark), ceil(input_bytes(docs) / BUCKET_BYTES))
     for k in range(2, LONGEST + 1):
-        longer = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_extended(k), PHRASES)
-        found = written_once(frequent(longer, "prefix", "suffix"), f"phrases-{k}")
-        told = told.unionByName(_told(found, k))
+        sent = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_extended(k, buckets), SENT)
+        found = written_once(sent.groupBy("bucket").applyInArrow(_added_up(LEAST), FOUND), f"phrases-{k}")
+        nothing = {c: F.lit(None).cast("long") for c in ("number", "id")}
+        told = told.unionByName(found.filter("phrases IS NOT NULL").select("block", F.lit(k).alias("level"), "size", "phrases").withColumns(nothing))
         shorter = levels[-1]
         x = shorter.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("begin"), "firsts")
         y = shorter.select(F.col("id").alias("suffix"), "last", "lasts")
-        named = found.filter("number = id").select("id", "prefix", "suffix", "a").join(x, "prefix").join(y, "suffix")
+        named = found.filter("id IS NOT NULL").select("id", "prefix", "suffix", "a").join(x, "prefix").join(y, "suffix")
         levels.append(
             written(
                 named.select("id", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "a", "last", F.concat("firsts", a).alias("firsts"), F.concat("lasts", a).alias("lasts"), "prefix", "suffix"),
