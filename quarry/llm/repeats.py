@@ -24,6 +24,11 @@ A phrase that a third of all documents share is one row for each part in step 1
 each answer, so no task sees its occurrences. Parts are read again rather than kept: parsing is
 cheaper than storing a parse.
 
+A phrase's name is a hash of its bytes of 127 bits under a key that the driver draws for each run, and
+so are the 128 bits that stand for a hot trigger's window: no text can be made so that different
+bytes get one name, and by chance it happens with a probability of some 2^-120 for each pair. Sums
+under the rolling hash, for which such texts exist, only choose triggers and buckets.
+
 Defined cases: a null text is empty; a document shorter than 50 bytes loses nothing; a null doc_id
 is not smaller than any, so it loses nothing and takes nothing; rows of equal doc_id do not repeat
 each other; repeated rows are each judged; an empty table gives an empty result; other columns are
@@ -33,11 +38,13 @@ ignored, whatever their names. Texts are parsed whole, as UTF-8 bytes.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,18 +87,34 @@ class _Powers:
             cls.down = _series(pow(_BASE, -1, 1 << 64), 1 << n.bit_length())
 
 
-def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """The parse of a chunk: per phrase its trigger, hash, document, first window and windows; and the joined bytes.
+#: A phrase's name: 16 bytes, the last of them odd, so that none is lost where trailing zeros don't count.
+NAME = "S16"
+
+
+def new_key() -> int:
+    return secrets.randbits(64)
+
+
+def _names(data: bytes, at: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    digest = xxhash.xxh3_128_digest
+    out = np.frombuffer(b"".join([digest(data[a:b], key) for a, b in zip(at.tolist(), end.tolist(), strict=True)]), "u1").copy()
+    out[15::16] |= 1
+    return out.view(NAME)
+
+
+def parse(texts: list[bytes], key: int) -> tuple[np.ndarray, ...]:
+    """The parse of a chunk: per phrase its trigger, name, document, first window and windows; and the joined bytes.
 
     First windows are places in the joined bytes.
     """
-    data = np.frombuffer(b"".join(texts), "u1")
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, "u1")
     lengths = np.array([len(t) for t in texts], "i8")
     starts = np.cumsum(lengths) - lengths
     windows = np.maximum(lengths - WINDOW + 1, 0)
     if not windows.sum():
         none = np.zeros(0, "i8")
-        return none.view("u8"), none.view("u8"), none, none, none, data
+        return none.view("u8"), none.view(NAME), none, none, none, data
     n = len(data)
     _Powers.upto(n + 1)
     sums = np.zeros(n + 1, "u8")
@@ -108,8 +131,7 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate((first, [len(trigger)])))
     at = place[first]
-    content = mixed((sums[at + count + WINDOW - 1] - sums[at]) * _Powers.down[at] ^ (count.astype("u8") << _U(40)))
-    return trigger[first], content, owner[first], at, count, data
+    return trigger[first], _names(raw, at, at + count + WINDOW - 1, key), owner[first], at, count, data
 
 
 def _chunks(rows: Iterator[tuple[int | None, bytes]]) -> Iterator[tuple[list[int | None], list[bytes]]]:
@@ -167,7 +189,7 @@ def _dictionary(trigger: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tu
     return trigger[first], content[first], low, low < high
 
 
-def _send_dictionary(buckets: int):
+def _send_dictionary(buckets: int, key: int):
     """A part's phrases, once each for every few chunks, to the buckets of their triggers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +215,7 @@ def _send_dictionary(buckets: int):
                 yield from _texts(batch, 1, 2)
 
         for ids, texts in _chunks(rows()):
-            trigger, content, owner, *_ = parse(texts)
+            trigger, content, owner, *_ = parse(texts, key)
             named = np.array([i is not None for i in ids])[owner]
             doc = np.array([i or 0 for i in ids], "i8")[owner]
             if named.any():
@@ -241,7 +263,7 @@ def _settle(buckets: int):
 
 def _settle_bucket(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """A bucket's triggers: answers where one phrase tells all, questions where phrases differ, and which are hot."""
-    bucket, got, senders = _gather(batches, {DICTIONARY: ("u4", "u8", "i8", "?"), IS_HOT: ("u8",)})
+    bucket, got, senders = _gather(batches, {DICTIONARY: ("u4", NAME, "i8", "?"), IS_HOT: ("u8",)})
     trigger, content, low, several = got[DICTIONARY]
     sender = senders[DICTIONARY]
     if len(got[IS_HOT][0]):
@@ -280,18 +302,16 @@ def _settle_bucket(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
     yield from _sent(rows)
 
 
-_MIX = mixed(np.arange(1, 2 * WINDOW + 1, dtype="u8").reshape(2, WINDOW) * _U(0xA0761D6478BD642F)) | _U(1)
-_OTHER = mixed(np.arange(1, 257, dtype="u8") * _U(0xE7037ED1A0B428DB))
-
-
-def window_prints(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """128 bits of each window at ``places``: two columns, by sums of hashed bytes with other factors at each place."""
+def window_prints(data: np.ndarray, places: np.ndarray, key: int) -> np.ndarray:
+    """128 bits of each window at ``places``: two columns, each a sum of bytes' codes times odd factors, all drawn under the key."""
+    drawn = np.random.Generator(np.random.PCG64(key)).integers(0, 1 << 64, (2, 256 + WINDOW), "u8", endpoint=False)
+    code, factor = drawn[:, :256], drawn[:, 256:] | _U(1)
     out = np.zeros((len(places), 2), "u8")
     for k in range(WINDOW):
         byte = data[places + k]
-        out[:, 0] += _CODES[byte] * _MIX[0, k]
-        out[:, 1] += _OTHER[byte] * _MIX[1, k]
-    return np.stack([mixed(out[:, 0]), mixed(out[:, 1])], 1)
+        for lane in (0, 1):
+            out[:, lane] += code[lane][byte] * factor[lane, k]
+    return mixed(out)
 
 
 def _hot(hot: np.ndarray, trigger: np.ndarray) -> np.ndarray:
@@ -307,7 +327,7 @@ def _windows_of(own: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.
     return which, np.arange(len(which)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + at[own][which]
 
 
-def _hot_windows(hot: np.ndarray, ids: list[int | None], parsed: tuple[np.ndarray, ...], buckets: int, part: int) -> Iterator[pa.RecordBatch]:
+def _hot_windows(hot: np.ndarray, ids: list[int | None], parsed: tuple[np.ndarray, ...], buckets: int, part: int, key: int) -> Iterator[pa.RecordBatch]:
     """The windows of a chunk's phrases of hot triggers, equal ones once with their least document, to the buckets of their prints."""
     trigger, content, owner, at, count, data = parsed
     on = _hot(hot, trigger)
@@ -322,7 +342,7 @@ def _hot_windows(hot: np.ndarray, ids: list[int | None], parsed: tuple[np.ndarra
     held = []
     for a in range(0, len(starts), 4096):
         which, places = _windows_of(on[starts[a : a + 4096]], at, count)
-        held.append((window_prints(data, places), low[a : a + 4096][which], high[a : a + 4096][which]))
+        held.append((window_prints(data, places, key), low[a : a + 4096][which], high[a : a + 4096][which]))
     prints, low, high = (np.concatenate(c) for c in zip(*held, strict=True))
     order = np.lexsort((prints[:, 1], prints[:, 0]))
     prints = prints[order]
@@ -332,13 +352,13 @@ def _hot_windows(hot: np.ndarray, ids: list[int | None], parsed: tuple[np.ndarra
     yield from _sent([(b, HOT_WINDOWS, part, prints[r], pair[r]) for b, r in _split((prints[:, 0] % _U(buckets)).astype("i8"), buckets)])
 
 
-def _answer(buckets: int):
+def _answer(buckets: int, key: int):
     """The phrases that buckets asked a part for, with their bytes, and the windows of those that are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: list[np.ndarray] = []
         asked_hot: list[np.ndarray] = [np.zeros(0, "u8")]
-        hot = wanted = np.zeros(0, "u8")
+        hot, wanted = np.zeros(0, "u8"), np.zeros(0, NAME)
         given = np.zeros(0, bool)
         part = -1
 
@@ -349,7 +369,7 @@ def _answer(buckets: int):
                 for k in np.flatnonzero(kinds == ASKED_HOT):
                     asked_hot.append(np.frombuffer(batch.column(5)[k].as_buffer(), "u8"))
                 for k in np.flatnonzero(kinds == ASKED):
-                    asked.append(np.frombuffer(batch.column(5)[k].as_buffer(), "u8"))
+                    asked.append(np.frombuffer(batch.column(5)[k].as_buffer(), NAME))
                 if batch.num_rows:
                     part = batch.column(0)[0].as_py()
                 documents = batch.filter(pa.array(kinds == DOCUMENT))
@@ -366,9 +386,9 @@ def _answer(buckets: int):
         for ids, texts in _chunks(rows()):
             if not len(wanted) and not len(hot):
                 continue
-            trigger, content, _, at, count, data = parsed = parse(texts)
+            trigger, content, _, at, count, data = parsed = parse(texts, key)
             if len(hot) and len(trigger):
-                yield from _hot_windows(hot, ids, parsed, buckets, part)
+                yield from _hot_windows(hot, ids, parsed, buckets, part, key)
             if not len(wanted):
                 continue
             place = np.minimum(np.searchsorted(wanted, content), len(wanted) - 1)
@@ -411,9 +431,9 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints, pair = (np.frombuffer(c, d).reshape(-1, 2) for c, d in zip(cells, ("u8", "i8"), strict=True))
                 windows.append((prints, pair, np.full(len(prints), row[6].as_py(), "i4")))
             elif row[1].as_py() == PHRASES:
-                phrases.append(tuple(np.frombuffer(c, d) for c, d in zip(cells, ("u8", "u4", "u1"), strict=True)))
+                phrases.append(tuple(np.frombuffer(c, d) for c, d in zip(cells, (NAME, "u4", "u1"), strict=True)))
             else:
-                trigger, content, pair, several = (np.frombuffer(c, d) for c, d in zip(cells, ("u4", "u8", "i8", "?"), strict=True))
+                trigger, content, pair, several = (np.frombuffer(c, d) for c, d in zip(cells, ("u4", NAME, "i8", "?"), strict=True))
                 waiting.append((content, pair.reshape(-1, 2)[:, 0], pair.reshape(-1, 2)[:, 1], several))
     if windows:
         yield from _match_hot(bucket, *(np.concatenate(c) for c in zip(*windows, strict=True)))
@@ -475,7 +495,7 @@ class _HotTold:
         order = np.lexsort((prints[:, 1], prints[:, 0]))
         self.one, self.two, self.least = prints[order, 0], prints[order, 1], self.least[order]
 
-    def gone(self, ids: list[int | None], parsed: tuple[np.ndarray, ...]) -> np.ndarray:
+    def gone(self, ids: list[int | None], parsed: tuple[np.ndarray, ...], key: int) -> np.ndarray:
         """Places of windows that a smaller document has."""
         trigger, _, owner, at, count, data = parsed
         own = _hot(self.hot, trigger) if len(self.one) else np.zeros(0, "i8")
@@ -483,7 +503,7 @@ class _HotTold:
         out = [np.zeros(0, "i8")]
         for a in range(0, len(own), 4096):
             which, places = _windows_of(own[a : a + 4096], at, count)
-            prints = window_prints(data, places)
+            prints = window_prints(data, places, key)
             for first in (np.searchsorted(self.one, prints[:, 0]), np.searchsorted(self.one, prints[:, 0], side="right") - 1):
                 k = np.clip(first, 0, len(self.one) - 1)
                 hit = (self.one[k] == prints[:, 0]) & (self.two[k] == prints[:, 1]) & (self.least[k] < doc[owner[own[a : a + 4096]]][which])
@@ -494,7 +514,14 @@ class _HotTold:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cut_part(batches, key)
+
+    return run
+
+
+def _cut_part(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     """A part's documents with the repeated bytes found."""
     told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     hot = _HotTold()
@@ -507,7 +534,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = np.array(batch.column(1).to_pylist())
             for k in np.flatnonzero(kinds != DOCUMENT):
                 cells = [batch.column(c)[int(k)] for c in (5, 6, 7)]
-                content = np.frombuffer(cells[0].as_buffer(), "u8")
+                content = np.frombuffer(cells[0].as_buffer(), "u8" if kinds[k] in (ASKED_HOT, HOT_TOLD) else NAME)
                 if kinds[k] == ASKED_HOT:
                     hot.triggers.append(content)
                 elif kinds[k] == HOT_TOLD:
@@ -530,9 +557,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _texts(documents, 3, 4)
 
     for ids, texts in _chunks(rows()):
-        _, content, owner, at, windows, data = parsed = parse(texts)
+        _, content, owner, at, windows, data = parsed = parse(texts, key)
         cover = np.zeros(len(data) + 1, "i8")
-        if len(hot.hot) and len(content) and len(gone := hot.gone(ids, parsed)):
+        if len(hot.hot) and len(content) and len(gone := hot.gone(ids, parsed, key)):
             cover += np.bincount(gone, minlength=len(cover)) - np.bincount(gone + WINDOW, minlength=len(cover) + WINDOW)[: len(cover)]
         if len(name) and len(content):
             place = np.minimum(np.searchsorted(name, content), len(name) - 1)
@@ -563,6 +590,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed): one row for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
+    key = new_key()
     n = min(MOST_PARTS, max(parts(spark), ceil(input_bytes(docs) / PART_BYTES)))
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("to"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     as_message = rows.select(
@@ -572,15 +600,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     def delivered(messages: DataFrame) -> DataFrame:
         return messages.repartitionById(n, F.col("to")).sortWithinPartitions("to", "kind")
 
-    sent = rows.repartitionById(n, F.col("to")).mapInArrow(lean(_send_dictionary(n)), MESSAGE)
+    sent = rows.repartitionById(n, F.col("to")).mapInArrow(lean(_send_dictionary(n, key)), MESSAGE)
     found = written_once(sent.repartitionById(n, F.col("to")).mapInArrow(lean(_settle(n)), MESSAGE), "repeats-found")
     questions = delivered(found.filter(F.col("kind").isin(ASKED, ASKED_HOT)).unionByName(as_message))
-    phrases = questions.mapInArrow(lean(_answer(n)), MESSAGE)
+    phrases = questions.mapInArrow(lean(_answer(n, key)), MESSAGE)
     matched = written_once(
         phrases.unionByName(found.filter(F.col("kind") == PENDING)).repartitionById(n, F.col("to")).mapInArrow(lean(_match), MESSAGE), "repeats-matched"
     )
     answers = found.filter(F.col("kind").isin(SIMPLE, ASKED_HOT)).unionByName(matched)
-    return delivered(answers.unionByName(as_message)).mapInArrow(lean(_cut), RESULT)
+    return delivered(answers.unionByName(as_message)).mapInArrow(lean(_cut(key)), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

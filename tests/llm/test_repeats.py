@@ -59,7 +59,7 @@ def test_empty_table_and_very_long_text(spark):
 
 def test_each_window_is_in_one_phrase():
     texts = [b"the quick brown fox jumps over the lazy dog and runs away from here", b"short", b"a" * 120]
-    _, _, owner, at, count, data = m.parse(texts)
+    _, _, owner, at, count, data = m.parse(texts, 7)
     starts = [p for a, c in zip(at, count, strict=True) for p in range(a, a + c)]
     want, first = [], 0
     for t in texts:
@@ -100,13 +100,44 @@ def test_a_hot_trigger_is_dealt_over_buckets(monkeypatch):
     rng = random.Random(5)
     texts = [t.encode() for _, t in hot_rows(2000, rng)]
     batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array([t.decode() for t in texts])], ["to", "doc_id", "text"])
-    sent = pa.Table.from_batches(list(m._send_dictionary(64)([batch])))
+    sent = pa.Table.from_batches(list(m._send_dictionary(64, 7)([batch])))
     marks = [r for r in sent.to_pylist() if r["kind"] == m.IS_HOT]
     assert marks
     largest = max(np.unique(np.frombuffer(r["a"], "u4"), return_counts=True)[1].max() for r in sent.to_pylist() if r["kind"] == m.DICTIONARY)
     assert largest <= m.HOT
     hot = np.unique(np.concatenate([np.frombuffer(r["a"], "u8") for r in marks]))
     ids = list(range(len(texts)))
-    windows = [r for b in m._hot_windows(hot, ids, m.parse(texts), 64, 0) for r in b.to_pylist()]
+    windows = [r for b in m._hot_windows(hot, ids, m.parse(texts, 7), 64, 0, 7) for r in b.to_pylist()]
     per = np.bincount([r["to"] for r in windows for _ in range(len(r["b"]) // 16)], minlength=64)
     assert per.max() < 1.5 * per.mean()
+
+
+def thue_morse_pair(blocks=2048):
+    """Two texts without a common window of which sums under any odd base modulo 2^64 are equal.
+
+    Blocks are a common trigger of low hash, a letter that is x or y by the Thue-Morse sequence and its complement, and nine letters of the block's own.
+    """
+    rng = random.Random(8)
+    letters = np.random.default_rng(8).integers(97, 105, (2_000_000, m.TRIGGER), "u1")
+    sums = np.zeros(len(letters), "u8")
+    for k in range(m.TRIGGER):
+        sums += m._CODES[letters[:, k]] * m._Powers.up[k]
+    low = letters[m.mixed(sums).argmin()].tobytes().decode()
+    middles = ["".join(rng.choices("klmnopqrstuvw", k=9)) for _ in range(blocks)]
+    bit = [bin(k).count("1") % 2 for k in range(blocks)]
+    return ["".join(low + "xy"[b ^ flip] + mid for b, mid in zip(bit, middles, strict=True)) for flip in (0, 1)]
+
+
+def test_texts_with_equal_sums_are_not_taken_for_equal(spark):
+    one, two = thue_morse_pair()
+    assert not {one[i : i + 50] for i in range(len(one) - 49)} & {two[i : i + 50] for i in range(len(two) - 49)}
+    parsed = [m.parse([t.encode()], 7) for t in (one, two)]
+    assert [len(p[0]) for p in parsed] == [1, 1] and parsed[0][0] == parsed[1][0]  # a phrase each, of one trigger
+    frame = spark.createDataFrame([(1, one), (2, two), (3, one[100:400] + "!" + two[7:200])], "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in m.repeated(frame).collect()} == {1: (0, 0), 2: (0, 0), 3: (493, 2)}
+
+
+def test_names_depend_on_the_run():
+    texts = [b"the quick brown fox jumps over the lazy dog and runs away from here"]
+    assert (m.parse(texts, 1)[1] != m.parse(texts, 2)[1]).all() and (m.parse(texts, 1)[1] == m.parse(texts, 1)[1]).all()
+    assert (m.window_prints(np.frombuffer(texts[0], "u1"), np.arange(3), 1) != m.window_prints(np.frombuffer(texts[0], "u1"), np.arange(3), 2)).all()
