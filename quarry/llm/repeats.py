@@ -102,6 +102,36 @@ def _names(data: bytes, at: np.ndarray, end: np.ndarray, key: int) -> np.ndarray
     return out.view(NAME)
 
 
+def _high(name: np.ndarray) -> np.ndarray:
+    """The first half of each name, as a number."""
+    return np.ascontiguousarray(name).view(">u8")[::2].astype("u8")
+
+
+def _ordered(name: np.ndarray, first: tuple[np.ndarray, ...] = (), last: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+    """Order by ``first``, name and ``last``. Halves of names sort faster; should two share one, whole names are sorted."""
+    high = _high(name)
+    order = np.lexsort((*last[::-1], high, *first[::-1]))
+    doubtful = ~_runs(high[order], *(f[order] for f in first))[1:]
+    sorted_names = name[order]
+    if (doubtful & (sorted_names[1:] != sorted_names[:-1])).any():
+        return np.lexsort((*last[::-1], name, *first[::-1]))
+    return order
+
+
+class _Names:
+    """Sorted names to look others up in; of equal ones the first is found."""
+
+    def __init__(self, names: np.ndarray):
+        self.names, high = names, _high(names)
+        self.high = None if ((high[1:] == high[:-1]) & (names[1:] != names[:-1])).any() else high
+
+    def find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each is or would be, and whether it is there."""
+        place = np.searchsorted(self.names, name) if self.high is None else np.searchsorted(self.high, _high(name))
+        place = np.minimum(place, len(self.names) - 1)
+        return place, self.names[place] == name
+
+
 def parse(texts: list[bytes], key: int) -> tuple[np.ndarray, ...]:
     """The parse of a chunk: per phrase its trigger, name, document, first window and windows; and the joined bytes.
 
@@ -182,7 +212,7 @@ def _texts(batch: pa.RecordBatch, id_at: int, text_at: int) -> Iterator[tuple[in
 
 def _dictionary(trigger: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each phrase once: trigger, content, least document, whether it has several."""
-    order = np.lexsort((content, trigger))
+    order = _ordered(content, (trigger,))
     trigger, content, doc = trigger[order], content[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (content[1:] != content[:-1]))))
     low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
@@ -274,7 +304,7 @@ def _settle_bucket(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         trigger, content, low, several, sender = (x[~is_hot] for x in (trigger, content, low, several, sender))
     if not len(trigger):
         return
-    order = np.lexsort((low, content, trigger))
+    order = _ordered(content, (trigger,), (low,))
     trigger, content, low, several, sender = (x[order] for x in (trigger, content, low, several, sender))
     starts = np.flatnonzero(_runs(trigger))
     lowest, highest = np.minimum.reduceat(low, starts), np.maximum.reduceat(low, starts)
@@ -358,7 +388,7 @@ def _answer(buckets: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: list[np.ndarray] = []
         asked_hot: list[np.ndarray] = [np.zeros(0, "u8")]
-        hot, wanted = np.zeros(0, "u8"), np.zeros(0, NAME)
+        hot, wanted = np.zeros(0, "u8"), _Names(np.zeros(0, NAME))
         given = np.zeros(0, bool)
         part = -1
 
@@ -378,21 +408,21 @@ def _answer(buckets: int, key: int):
                         hot = np.unique(np.concatenate([hot, *asked_hot]))
                         del asked_hot[1:]
                     if asked:
-                        wanted = np.unique(np.concatenate([wanted, *asked]))
-                        given = np.zeros(len(wanted), bool)
+                        wanted = _Names(np.unique(np.concatenate([wanted.names, *asked])))
+                        given = np.zeros(len(wanted.names), bool)
                         asked.clear()
                     yield from _texts(documents, 3, 4)
 
         for ids, texts in _chunks(rows()):
-            if not len(wanted) and not len(hot):
+            if not len(wanted.names) and not len(hot):
                 continue
             trigger, content, _, at, count, data = parsed = parse(texts, key)
             if len(hot) and len(trigger):
                 yield from _hot_windows(hot, ids, parsed, buckets, part, key)
-            if not len(wanted):
+            if not len(wanted.names):
                 continue
-            place = np.minimum(np.searchsorted(wanted, content), len(wanted) - 1)
-            hit = np.flatnonzero((wanted[place] == content) & ~given[place])
+            place, there = wanted.find(content)
+            hit = np.flatnonzero(there & ~given[place])
             hit = hit[np.unique(place[hit], return_index=True)[1]]
             if not len(hit):
                 continue
@@ -526,10 +556,11 @@ def _cut_part(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Record
     told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     hot = _HotTold()
     ready = False
-    name = count = start = least = np.zeros(0, "i8")
+    names = _Names(np.zeros(0, NAME))
+    count = start = least = np.zeros(0, "i8")
 
     def rows() -> Iterator[tuple[int | None, bytes]]:
-        nonlocal ready, name, count, start, least
+        nonlocal ready, names, count, start, least
         for batch in batches:
             kinds = np.array(batch.column(1).to_pylist())
             for k in np.flatnonzero(kinds != DOCUMENT):
@@ -552,8 +583,8 @@ def _cut_part(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Record
                     content, many, values = (np.concatenate(c) for c in zip(*told, strict=True))
                     took = np.maximum(many, 1)
                     begin = np.cumsum(took) - took
-                    order = np.argsort(content, kind="stable")
-                    name, count, start, least = content[order], many[order], begin[order], values
+                    order = _ordered(content)
+                    names, count, start, least = _Names(content[order]), many[order], begin[order], values
             yield from _texts(documents, 3, 4)
 
     for ids, texts in _chunks(rows()):
@@ -561,9 +592,9 @@ def _cut_part(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Record
         cover = np.zeros(len(data) + 1, "i8")
         if len(hot.hot) and len(content) and len(gone := hot.gone(ids, parsed, key)):
             cover += np.bincount(gone, minlength=len(cover)) - np.bincount(gone + WINDOW, minlength=len(cover) + WINDOW)[: len(cover)]
-        if len(name) and len(content):
-            place = np.minimum(np.searchsorted(name, content), len(name) - 1)
-            hit = np.flatnonzero(name[place] == content)
+        if len(names.names) and len(content):
+            place, there = names.find(content)
+            hit = np.flatnonzero(there)
             place = place[hit]
             each = windows[hit]
             phrase = np.repeat(np.arange(len(hit)), each)

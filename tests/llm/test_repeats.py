@@ -141,3 +141,12 @@ def test_names_depend_on_the_run():
     texts = [b"the quick brown fox jumps over the lazy dog and runs away from here"]
     assert (m.parse(texts, 1)[1] != m.parse(texts, 2)[1]).all() and (m.parse(texts, 1)[1] == m.parse(texts, 1)[1]).all()
     assert (m.window_prints(np.frombuffer(texts[0], "u1"), np.arange(3), 1) != m.window_prints(np.frombuffer(texts[0], "u1"), np.arange(3), 2)).all()
+
+
+def test_names_that_share_a_half():
+    halves = [b"aaaaaaa1", b"aaaaaaa2", b"zzzzzzz3"]
+    names = np.array([a + b for a in halves for b in (b"11111111", b"22222221", b"33333333")], m.NAME)
+    mixed_up = names[np.random.default_rng(0).permutation(np.tile(np.arange(9), 4))]
+    assert (mixed_up[m._ordered(mixed_up)] == np.sort(mixed_up)).all()
+    place, there = m._Names(names[:-1]).find(names)
+    assert there.tolist() == [True] * 8 + [False] and place[:8].tolist() == list(range(8))
