@@ -100,6 +100,23 @@ def parsed_functions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(_number("file", r"p(\d+)\.js$").alias("file"), "name", as_long("line"), as_long("end_line"), "exported")
 
 
+@query("""WITH n AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 5 AS m FROM part)
+SELECT k AS file, unnest(['a', 'run', 'in', 'z']) || CASE WHEN generate_subscripts([1, 2, 3, 4], 1) = 2 THEN '' ELSE '' || k END AS name,
+  unnest(['arrow', 'method', 'method', 'function']) AS type, CAST(n + unnest([1, 3, 5 + m, 9 + m]) AS BIGINT) AS line, CAST(n + unnest([1, 6 + m, 5 + m, 10 + m]) AS BIGINT) AS end_line,
+  unnest([NULL, 'C' || k, NULL, NULL]) AS class_name FROM n""")
+def nested_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Templates in templates, braces in patterns, markup and comments, and methods of objects in methods of classes: where each declaration begins and ends."""
+    part = table(spark, d, "part").withColumn("k", F.col("p_partkey").cast("string"))
+    pad, filler = F.repeat(F.lit("// } `\n"), F.col("p_size")), F.repeat(F.lit("    s = s / 2; // {\n"), (F.col("p_partkey") % 5).cast("int"))
+    content = _cat(
+        pad, "export const a", F.col("k"), " = (x) => `${x ? `}` : '{'}`;\n", "class C", F.col("k"), " extends mix({ a: 1 }) {\n  run(s) {\n    if (s) /[/}]/.exec(s);\n", filler,
+        "    return { in", F.col("k"), "() { return '}'; } };\n  }\n}\nconst v = <div a=\"}\">{(y) => '{'}don't</div>;\nfunction z", F.col("k"), "() {\n}\n",
+    )
+    files = part.select(_p(), _cat("src/p", F.col("k"), ".jsx").alias("file"), content.alias("content"), F.lit("javascript").alias("lang"))
+    rows = parse.functions(parse.parsed(files))
+    return rows.select(_number("file", r"p(\d+)\.jsx$").alias("file"), "name", "type", as_long("line"), as_long("end_line"), "class_name")
+
+
 @query("SELECT 'parsed' AS status, count(*) AS files FROM part UNION ALL SELECT 'empty', count(*) FROM part WHERE p_partkey % 4 = 0")
 def parse_status(spark: SparkSession, d: str) -> DataFrame:
     files = _modules(spark, d).unionByName(_notes(spark, d))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.shared import spread
 from quarry.shipping import ship
+from quarry.sources import scripts
 from quarry.sources.code import RULES
 
 SPECIFIER = "struct<name:string,local_name:string,type:string>"
@@ -41,27 +42,13 @@ _BLANK: dict[str, re.Pattern] = {
     "dash": re.compile(rf"(?P<c>--\[\[.*?(?:\]\]|\Z)|--[^\n]*|\{{-.*?(?:-\}}|\Z))|(?P<t>{_TEXTS})", re.S),
 }
 _COMPILED = {lang: [(rel, kind, re.compile(p)) for own, rel, kind, p in RULES if own == lang] for lang in dict.fromkeys(r[0] for r in RULES)}
-_JS_WORDS = frozenset("if for while switch catch function return with do else new await typeof case throw in of delete void yield super".split())
-
-_IMPORT = re.compile(r"""(?m)^[ \t]*import\s+(?:type\s+)?([^'"();]*?)\s*\bfrom\s*['"]([^'"\n]+)['"]|^[ \t]*import\s*['"]([^'"\n]+)['"]""")
-_REEXPORT = re.compile(r"""(?m)^[ \t]*export\s+(?:type\s+)?(\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s*from\s*['"]([^'"\n]+)['"]""")
-_REQUIRE = re.compile(r"""(?:\b(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*)?\brequire\(\s*['"]([^'"\n]+)['"]\s*\)""")
-_DYNAMIC = re.compile(r"""\bimport\(\s*['"]([^'"\n]+)['"]\s*\)""")
-_GLOBBED = re.compile(r"""import\.meta\.glob(?:Eager)?\(\s*['"]([^'"\n]+)['"]""")
-_LISTED = re.compile(r"(?m)^[ \t]*export\s+(?:type\s+)?\{([^}]*)\}(?!\s*from\b)")
-_EXPORTED = re.compile(r"(?m)^[ \t]*export\s+(?:declare\s+)?(default\s+)?(?:async\s+|abstract\s+)?(function|class|const|let|var|enum|interface|type)\b\s*\*?\s*([\w$]+)?")
-_DEFAULT = re.compile(r"(?m)^[ \t]*export\s+default\b(?!\s+(?:async\s+)?function\b|\s+(?:abstract\s+)?class\b)")
-_COMMON = re.compile(r"\b(?:module\.)?exports\.([\w$]+)\s*=")
+
 _FROM = re.compile(r"(?m)^[ \t]*from\s+([\w.]+)\s+import\s+(\([^)]*\)|[^\n#;]+)")
 _PLAIN = re.compile(r"(?m)^[ \t]*import\s+([\w., \t]+)")
 _LOADED = re.compile(r"""\b(?:import_module|__import__)\(\s*['"]([\w.]+)['"]""")
-_JS_METHOD = re.compile(
-    r"(?m)^[ \t]*(?P<mods>(?:(?:public|private|protected|static|async|readonly|override|abstract)\s+)*)(?P<kind>(?:get|set)\s+(?=[#\w$]))?\*?\s*(?P<name>#?[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\([^)]*\)\s*(?::[^{;=]+)?\{"
-)
-_JS_FUNCTION = re.compile(r"(?m)(?:^|[;{}]|\bexport\s+(?:default\s+)?)[ \t]*(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)")
-_JS_VALUE = re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:(function)\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=\n]+)?=>|[\w$]+\s*=>)")
 _MODIFIERS = re.compile(r"\b(private protected|private|protected|public|internal|fileprivate|pub)\b")
 _NOTE = re.compile(r"^\s*(?:@([\w.]+)|\[\s*([\w.]+)|#\[\s*([\w:]+))")
+_SPACE = re.compile(r"\s*")
 _METHOD_OF = re.compile(r"^func\s+\(")
 
 
@@ -112,8 +99,10 @@ class _Source:
 
     def _ends(self, at: int) -> bool:
         """Whether a statement may end at this line break: the next line opens no block, and this one leaves nothing open."""
-        before, after = self.bare[max(0, at - 200) : at].rstrip(), self.bare[at : at + 200].lstrip()
-        return not before.endswith(("=>", "=", ",", "(", "|", "&", "+", ":", "extends")) and not after.startswith(("{", ".", "=>", "where", "throws", ":", "extends", "implements"))
+        first, last = at, _SPACE.match(self.bare, at).end()
+        while first > 0 and self.bare[first - 1].isspace():
+            first -= 1
+        return not self.bare.endswith(("=>", "=", ",", "(", "|", "&", "+", ":", "extends"), 0, first) and not self.bare.startswith(("{", ".", "=>", "where", "throws", ":", "extends", "implements"), last)
 
     def _indented(self, first: int) -> int:
         own = len(self.lines[first - 1]) - len(self.lines[first - 1].lstrip())
@@ -146,82 +135,6 @@ class _Source:
         return out[::-1]
 
 
-def _specifiers(clause: str) -> list[tuple[str, str, str]]:
-    """(name, local name, type) of what stands between ``import`` and ``from``."""
-    out = []
-    braces = re.search(r"\{([^}]*)\}", clause)
-    for part in (braces[1].split(",") if braces else ()):
-        part = re.sub(r"^\s*type\s+", "", part).strip()
-        name, _, local = (x.strip() for x in part.partition(" as "))
-        if name:
-            out.append((name, local or name, "default" if name == "default" else "named"))
-    rest = re.sub(r"\{[^}]*\}", "", clause)
-    for part in rest.split(","):
-        part = part.strip()
-        if part.startswith("*"):
-            out.append(("*", part.partition(" as ")[2].strip() or "*", "namespace"))
-        elif re.fullmatch(r"[\w$]+", part):
-            out.append(("default", part, "default"))
-    return out
-
-
-def _javascript(src: _Source) -> Iterator[dict]:
-    code, bare = src.code, src.bare
-    at = lambda m: src.line(m.start() + len(m[0]) - len(m[0].lstrip()))
-    for m in _IMPORT.finditer(code):
-        yield {"relation": "import", "type": "esm", "name": m[2] or m[3], "line": at(m), "specifiers": _specifiers(m[1] or "")}
-    for m in _REEXPORT.finditer(code):
-        named = [("*", "*", "namespace")] if m[1].startswith("*") else _specifiers(m[1])
-        yield {"relation": "import", "type": "reexport", "name": m[2], "line": at(m), "specifiers": named}
-        for name, local, _ in named:
-            yield {"relation": "export", "type": "reexport", "name": local, "line": at(m), "is_default": local == "default", "source_module": m[2]}
-            yield {"relation": "reexport", "type": "reexport", "name": name, "line": at(m), "source_module": m[2]}
-    for m in _REQUIRE.finditer(code):
-        named = _specifiers(m[1].replace(":", " as ")) if m[1] and m[1].startswith("{") else []
-        yield {"relation": "import", "type": "commonjs", "name": m[2], "line": src.line(m.start()), "specifiers": named}
-    for kind, pattern in (("dynamic-import", _DYNAMIC), ("import-meta-glob", _GLOBBED)):
-        for m in pattern.finditer(code):
-            yield {"relation": "import", "type": kind, "name": m[1], "line": src.line(m.start()), "specifiers": []}
-    exported: set[str] = set()
-    for m in _EXPORTED.finditer(bare):
-        if m[3] or m[1]:
-            exported.add(m[3] or "default")
-            yield {"relation": "export", "type": "default" if m[1] else m[2], "name": m[3] or "default", "line": at(m), "is_default": bool(m[1])}
-    for m in _DEFAULT.finditer(bare):
-        yield {"relation": "export", "type": "default", "name": "default", "line": at(m), "is_default": True}
-    for m in _LISTED.finditer(bare):
-        for name, local, _ in _specifiers("{" + m[1] + "}"):
-            exported.add(name)
-            yield {"relation": "export", "type": "named", "name": local, "line": at(m), "is_default": local == "default"}
-    for m in _COMMON.finditer(bare):
-        yield {"relation": "export", "type": "commonjs", "name": m[1], "line": src.line(m.start()), "is_default": False}
-    classes = []
-    for m in re.finditer(r"\bclass\s+([A-Za-z_$][\w$]*)?[^{;()]*\{", bare):
-        name = m[1] if m[1] not in ("extends", "implements") else None
-        first, last = src.line(m.start()), src.line(src.close(m.end() - 1))
-        classes.append((m.end(), src.close(m.end() - 1), name or "default"))
-        yield {"relation": "class", "type": "class", "name": name or "default", "line": first, "end_line": last, "exported": (name or "default") in exported, "annotations": src.notes(first)}
-    seen = set()
-    for m in _JS_FUNCTION.finditer(bare):
-        first, last = src.block(m.start(1))
-        seen.add((m[1], first))
-        yield {"relation": "function", "type": "function", "name": m[1], "line": first, "end_line": last, "exported": m[1] in exported, "kind": "function"}
-    for m in _JS_VALUE.finditer(bare):
-        first, last = src.block(m.start(1))
-        yield {"relation": "function", "type": "expression" if m[2] else "arrow", "name": m[1], "line": first, "end_line": last, "exported": m[1] in exported, "kind": "function"}
-    for m in _JS_METHOD.finditer(bare):
-        first, last = src.block(m.start("name"))
-        if m["name"] in _JS_WORDS or (m["name"], first) in seen:
-            continue
-        own = max((c for c in classes if c[0] <= m.start("name") < c[1]), default=None)
-        kind = "constructor" if m["name"] == "constructor" else (m["kind"] or "method").strip()
-        level = _MODIFIERS.search(m["mods"])
-        yield {
-            "relation": "function", "type": "method", "name": m["name"], "line": first, "end_line": last, "class_name": own[2] if own else None, "kind": kind, "exported": False,
-            "visibility": "private" if m["name"].startswith("#") else level[1] if level else "public", "annotations": src.notes(first),
-        }
-
-
 def _python_imports(src: _Source) -> Iterator[dict]:
     for m in _FROM.finditer(src.bare):
         named = []
@@ -307,8 +220,10 @@ def _ruby_sections(src: _Source) -> list[str]:
 
 def parse(lang: str, content: str) -> list[dict]:
     """Rows of one file. Vue and Svelte files are read from their script, at the file's lines."""
+    if lang == "javascript":
+        return scripts.read(content)
     src = _Source(lang, content)
-    rows = list(_javascript(src) if lang == "javascript" else _general(src))
+    rows = list(_general(src))
     if lang == "python":
         rows += [
             {"relation": "export", "type": r["relation"], "name": r["name"], "line": r["line"], "is_default": False}
