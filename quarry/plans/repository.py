@@ -117,6 +117,31 @@ def nested_scripts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(_number("file", r"p(\d+)\.jsx$").alias("file"), "name", "type", as_long("line"), as_long("end_line"), "class_name")
 
 
+@query("""WITH n AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 3 AS m FROM part)
+SELECT k AS file, unnest(['top', '_own', 'inner', 'late', 'K', 'meth', '_hid']) || k AS name, unnest(['function', 'function', 'function', 'function', 'class', 'method', 'method']) AS type,
+  CAST(n + unnest([3, 8, 9, 13, 14, 17, 20]) AS BIGINT) AS line, CAST(n + unnest([6, 11, 10, 13, 22, 18, 22]) AS BIGINT) AS end_line,
+  unnest([NULL, NULL, NULL, NULL, NULL, 'K' || k, 'K' || k]) AS class_name,
+  unnest([true, m = 1, false, m <> 1, true, false, false]) AS exported FROM n WHERE m <> 2
+UNION ALL SELECT k, 'SyntaxError', 'error', CAST(n + 1 AS BIGINT), CAST(n + 1 AS BIGINT), NULL, false FROM n WHERE m = 2
+UNION ALL SELECT k, 'f' || k, 'function', CAST(n + 2 AS BIGINT), CAST(n + 3 AS BIGINT), NULL, true FROM n WHERE m = 2""")
+def python_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """Conditional, nested and decorated definitions, definitions inside texts, ``__all__``, and files of another version's syntax."""
+    part = table(spark, d, "part").withColumn("k", F.col("p_partkey").cast("string"))
+    k, pad = F.col("k"), F.repeat(F.lit("# def no():\n"), F.col("p_size"))
+    names = F.when(F.col("p_partkey") % 3 == 1, _cat("__all__ = ['top", k, "'] + ['_own", k, "', 'K", k, "']")).otherwise("import os.path")
+    whole = _cat(
+        pad, names, "\n@wraps(x)\nasync def top", k, "(a=(\n  1)):\n    '''\ndef no(): pass'''\n\ndef _own", k, "():\n    def inner", k, "(b):\n        return b\n    return inner", k,
+        "\nif True:\n    def late", k, "(): pass\nclass K", k, ":\n    x = 1\n    @property\n    def meth", k, "(self):\n        return 1\n    # end\n    def _hid", k, "(self):\n        if x:\n            return '}'\n",
+    )
+    broken = _cat(pad, "print 'two'\ndef f", k, "():\n    return 1\n")
+    content = F.when(F.col("p_partkey") % 3 == 2, broken).otherwise(whole)
+    files = part.select(_p(), _cat("src/p", k, ".py").alias("file"), content.alias("content"), F.lit("python").alias("lang"))
+    rows = parse.parsed(files).filter("relation IN ('function', 'class', 'error')")
+    name = F.when(F.col("relation") == "error", F.col("type")).otherwise(F.col("name"))
+    kind = F.when(F.col("relation") == "error", "error").otherwise(F.col("type"))
+    return rows.select(_number("file", r"p(\d+)\.py$").alias("file"), name.alias("name"), kind.alias("type"), as_long("line"), as_long("end_line"), "class_name", "exported")
+
+
 @query("SELECT 'parsed' AS status, count(*) AS files FROM part UNION ALL SELECT 'empty', count(*) FROM part WHERE p_partkey % 4 = 0")
 def parse_status(spark: SparkSession, d: str) -> DataFrame:
     files = _modules(spark, d).unionByName(_notes(spark, d))

@@ -1,6 +1,7 @@
 """Declarations with their place: imports with specifiers, exports, functions with lines, class, visibility, annotations.
 
-``code.RULES`` finds names; this adds what needs more than a pattern. A file is read twice in one
+Scripts have a reader of their own (``scripts``), Python its syntax tree (``python_tree``). For the
+others ``code.RULES`` finds names; this adds what needs more than a pattern. A file is read twice in one
 pass: with comments blanked out, and with texts blanked out as well, so that offsets stay true and
 neither hides a brace. Blocks end at the matching brace, or by indentation. Every file gives rows or
 one row of relation ``error``, never an exception. Files are rows, so a file is one task's work and
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.shared import spread
 from quarry.shipping import ship
-from quarry.sources import scripts
+from quarry.sources import python_tree, scripts
 from quarry.sources.code import RULES
 
 SPECIFIER = "struct<name:string,local_name:string,type:string>"
@@ -222,8 +223,15 @@ def parse(lang: str, content: str) -> list[dict]:
     """Rows of one file. Vue and Svelte files are read from their script, at the file's lines."""
     if lang == "javascript":
         return scripts.read(content)
+    failed = []
+    if lang == "python":
+        try:
+            return python_tree.read(content)
+        except (SyntaxError, RecursionError, MemoryError, ValueError) as why:
+            # Another version's syntax: an error row, and what patterns find.
+            failed = [{"relation": "error", "type": type(why).__name__, "name": str(why)[:200], "line": getattr(why, "lineno", None) or 0}]
     src = _Source(lang, content)
-    rows = list(_general(src))
+    rows = failed + list(_general(src))
     if lang == "python":
         rows += [
             {"relation": "export", "type": r["relation"], "name": r["name"], "line": r["line"], "is_default": False}

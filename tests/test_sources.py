@@ -117,3 +117,36 @@ def test_unreadable_files_are_rows(spark):
     got = parse.parsed(frame, {"javascript": broken})
     assert {r.status for r in parse.status(got, frame).collect()} == {"error"}
     assert {r.file: r.status for r in parse.status(parse.parsed(frame), frame).collect()} == {"a.js": "empty", "b.js": "parsed", "c.js": "empty"}
+
+
+def test_python_by_its_tree():
+    text = (
+        "\ufeffimport a.b as c, d\nfrom .. import e as f\nfrom .g import *\n__all__: list[str] = ['one', \"_two\"]\n__all__ += ('three',)\n__all__.extend(['K'])\n"
+        "try:\n    import fast\nexcept ImportError:\n    fast = importlib.import_module('slow')\n"
+        "def one(x=lambda: 1):\n    def _inner():\n        from late import z\n    return f'{x!r:>{10}} def no():'\nasync def _two(): ...\ndef hidden(): pass\n"
+        "@app.route('/x', methods=['GET'])\n@deco(1)(2)\nclass K(Base, metaclass=M):\n    class Deep:\n        def m(self): pass\n    if X:\n        @overload\n        def m(self): pass\n    else:\n        def m(self): pass\n"
+    )
+    rows = parse.parse("python", text)
+    assert [(r["type"], r["name"], r["line"]) for r in rows if r["relation"] == "import"] == [
+        ("from", "..", 2), ("from", ".g", 3), ("from", "late", 13), ("dynamic", "slow", 10), ("import", "a.b", 1), ("import", "d", 1), ("import", "fast", 8),
+    ]
+    assert [(r["name"], r["type"], r["line"]) for r in rows if r["relation"] == "export"] == [("one", "explicit", 11), ("_two", "explicit", 15), ("three", "explicit", 5), ("K", "explicit", 19)]
+    got = [(r["name"], r["type"], r["line"], r["end_line"], r["class_name"], r["exported"]) for r in rows if r["relation"] == "function"]
+    assert got == [
+        ("one", "function", 11, 14, None, True), ("_inner", "function", 12, 13, None, False), ("_two", "function", 15, 15, None, True), ("hidden", "function", 16, 16, None, False),
+        ("m", "method", 21, 21, "Deep", False), ("m", "method", 24, 24, "K", False), ("m", "method", 26, 26, "K", False),
+    ]
+    assert {r["name"]: (r["end_line"], r["annotations"]) for r in rows if r["relation"] == "class"} == {"K": (26, ["app.route", "deco"]), "Deep": (21, [])}
+
+
+@pytest.mark.parametrize("text", ["print 'x'\ndef f():\n    pass\n", "def f():\n\tif x:\n        pass\n", "(" * 5000, "x = '\0'\ndef f(): pass\n", "x" + "[0" * 3000])
+def test_python_without_a_tree_is_an_error_row_and_patterns(text):
+    rows = parse.parse("python", text)
+    assert [r["relation"] for r in rows][0] == "error"
+    assert [r["name"] for r in rows if r["relation"] == "function"] == (["f"] if "def" in text else [])
+
+
+def test_statements_end_over_any_blank_space():
+    gap = " " * 500
+    rows = parse.parse("kotlin", f"fun a() ={gap}\n{gap}b()\nfun c() {{\n}}\n")
+    assert [(r["name"], r["line"], r["end_line"]) for r in rows if r["relation"] == "function"] == [("a", 1, 2), ("c", 3, 4)]
