@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
+from quarry.shipping import ship
+from quarry.sources import listing
 
 #: Directories and names that a scan leaves out.
 EXCLUDED_DIRS = (
@@ -115,32 +117,49 @@ def dead_summary(files: DataFrame) -> DataFrame:
     )
 
 
-def _tops(spark: SparkSession, root: str, profile: str) -> list[str]:
-    """What lies in ``root`` itself, without the directories that the profile leaves out."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    names = set(EXCLUDED_DIRS if profile == "scan" else CLI_EXCLUDED_DIRS)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    kept = [s.getPath().toString() for s in found if not (s.isDirectory() and s.getPath().getName() in names)]
-    return kept or [root]
+def listed(spark: SparkSession, root: str, profile: str = "scan", content: bool = True, **options: str) -> DataFrame:
+    """file, size, mtime, status, content of what a scan covers, by the data source that lists before it reads.
 
-
-#: Larger files are no source files, and more than one cell can hold.
-MOST_BYTES = 1 << 30
+    Filters on ``file`` and ``size`` reach the listing. Status is ``read``, ``too large``, or why a file or directory could not be read.
+    """
+    ship(spark)
+    spark.dataSource.register(listing.Tree)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    names, pattern = (EXCLUDED_DIRS, EXCLUDED_NAMES) if profile == "scan" else (CLI_EXCLUDED_DIRS, CLI_EXCLUDED_NAMES)
+    options = {"dirs": "\n".join(names), "patterns": f"{pattern}\n{EXCLUDED_PATHS}", "submodules": "true", "content": str(content).lower()} | options
+    return spark.read.format("quarry_tree").options(**options).load(root)
 
 
 def discover(spark: SparkSession, root: str, project: str, submodules: DataFrame | None = None, profile: str = "scan") -> DataFrame:
-    """project, file, size, mtime, ext, lang, content of every file under ``root`` that a scan covers."""
-    # Directories left out whole are not listed, where they lie at the top; the limit on length is a filter of the scan itself.
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_tops(spark, root, profile))
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    name = F.regexp_replace(F.col("path"), rf"^[a-z]+:/+{base.replace('.', '[.]')}/+", "")
-    rows = read.filter(~excluded(name, profile) & (F.col("length") < MOST_BYTES)).select(
-        F.lit(project).alias("project"), name.alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("content")
-    )
-    rows = rows.withColumn("ext", S.extension(F.col("file"))).withColumn("lang", language(F.col("file")))
+    """project, file, size, mtime, ext, lang, status, content of every file under ``root`` that a scan covers.
+
+    Files too large for a cell, and what can't be read, are rows without content. Folders of stores that only
+    Spark's own readers open are read by these; there excluded directories are listed too, and then dropped.
+    """
+    if listing.known(root):
+        rows = listed(spark, root, profile)
+    else:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        base = root.rstrip("/").split("://")[-1].lstrip("/")
+        name = F.regexp_replace(F.col("path"), rf"^[a-z]+:/+{base.replace('.', '[.]')}/+", "")
+        there = read.filter(~excluded(name, profile))
+        row = lambda status, text: (name.alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(status).alias("status"), text.alias("content"))
+        rows = there.filter(F.col("length") < listing.MOST_BYTES).select(*row("read", F.col("content").cast("string")))
+        rows = rows.unionByName(there.filter(F.col("length") >= listing.MOST_BYTES).select(*row("too large", F.lit(None).cast("string"))))
+    rows = rows.withColumns({"project": F.lit(project), "ext": S.extension(F.col("file")), "lang": language(F.col("file"))})
+    rows = rows.select("project", "file", "size", "mtime", "ext", "lang", "status", "content")
     return rows if submodules is None else outside_submodules(rows, submodules)
 
 
+def git_commits(spark: SparkSession, path: str, commits: int = 5000) -> DataFrame:
+    """commit, author, ts, added, removed, file of a working copy's log; tasks ask git for ``commits`` each. Renamed files are there under their new path."""
+    ship(spark)
+    spark.dataSource.register(listing.GitLog)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = spark.read.format("quarry_git_log").option("commits", str(commits)).load(path)
+    return rows.withColumn("file", S.renamed_path(F.col("file")))
+
+
 def outside_submodules(files: DataFrame, submodules: DataFrame) -> DataFrame:
     """Files that lie in no submodule (path)."""
     inside = files.select("file", F.explode(S.ancestors(F.col("file"))).alias("path")).join(submodules.select("path").distinct(), "path", "left_semi")
