@@ -1,8 +1,9 @@
 """Dependency graphs as edge tables (project, src, dst): reachability, usage, dead files and exports.
 
 A repository's graph fits one task and many repositories spread out, so reachability is a grouped
-search by project. A project with more edges than a task should hold goes through frontier rounds
-instead, in which only newly reached nodes are joined to the edges.
+search by project. A project with more edges than a task should hold is searched over tables instead:
+leaves and chains are taken out by doubling, and only what is left goes through frontier rounds, in
+which only nodes that were just reached are joined to the edges.
 """
 
 from __future__ import annotations
@@ -48,19 +49,95 @@ def _search(key, edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
     return _frame(project=[key[0]] * len(depth), node=list(depth), depth=pd.Series(list(depth.values()), dtype="int64"))
 
 
-def _rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Frontier rounds: one join a round, only of what the last round reached first."""
-    frontier = _written(seeds.select("project", "node", F.lit(0).cast("long").alias("depth")).distinct())
-    reached, depth = frontier, 0
+def _least(edges: DataFrame) -> DataFrame:
+    """Each edge once, with its least length."""
+    return edges.groupBy("project", "src", "dst").agg(F.min("length").alias("length"))
+
+
+def _frontier(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """project, node, depth: rounds in which nodes whose depth fell in the last one hand on their edges' lengths."""
+    found = frontier = _written(seeds.select("project", "node", F.lit(0).cast("long").alias("depth")).distinct())
+    done = 0
     while not frontier.isEmpty():
-        depth += 1
-        step = frontier.select("project", F.col("node").alias("src")).join(edges, ["project", "src"]).select("project", F.col("dst").alias("node")).distinct()
-        step = step.join(reached.select("project", "node"), ["project", "node"], "left_anti")
-        frontier = _written(step.withColumn("depth", F.lit(depth).cast("long")))
-        reached = reached.unionByName(frontier)
-        if depth % 8 == 0:
-            reached = _written(reached)
-    return reached
+        done += 1
+        step = frontier.select("project", F.col("node").alias("src"), "depth").join(edges, ["project", "src"])
+        step = step.groupBy("project", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("length")).alias("depth"))
+        known = found.groupBy("project", "node").agg(F.min("depth").alias("_known"))
+        step = step.join(known, ["project", "node"], "left").filter(F.col("_known").isNull() | (F.col("depth") < F.col("_known")))
+        frontier = _written(step.select("project", "node", "depth"))
+        found = found.unionByName(frontier)
+        if done % 8 == 0:
+            found = _written(found)
+    return found.groupBy("project", "node").agg(F.min("depth").alias("depth"))
+
+
+def _chained(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains taken out: the edges that stay, and (project, node, head, length) of each inner node of a chain.
+
+    An inner node has one edge in and one out and is no seed, so it is reached through its chain's head alone.
+    Heads are found by doubling: each node points two times as far after each round. A ring of inner nodes
+    has no head and no seed, and is never reached; it is what still points at an inner node after as many
+    doublings as the longest chain can need.
+    """
+    into = edges.groupBy("project", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.first("src").alias("head"), F.first("length").alias("length"))
+    out = edges.groupBy("project", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
+    inner = into.filter("n_in = 1").join(out.filter("n_out = 1"), ["project", "node"]).filter("node <> head")
+    inner = inner.join(seeds.select("project", "node"), ["project", "node"], "left_anti")
+    open_ = _written(inner.select("project", "node", "head", "length"))
+    marks = open_.select("project", F.col("node").alias("head"), F.lit(True).alias("_open"))
+    rows = _written(open_.join(marks, ["project", "head"], "left").select("project", "node", "head", "length", F.col("_open").isNotNull().alias("open")))
+    left, limit = rows.filter("open").count(), 1
+    while left and limit <= left:
+        far = rows.select("project", F.col("node").alias("head"), F.col("head").alias("_head"), F.col("length").alias("_length"), F.col("open").alias("_open"))
+        jumped = rows.filter("open").join(far, ["project", "head"]).select("project", "node", F.col("_head").alias("head"), (F.col("length") + F.col("_length")).alias("length"), F.col("_open").alias("open"))
+        rows = _written(rows.filter("NOT open").unionByName(jumped))
+        now = rows.filter("open").count()
+        # While any chain is open its nodes get fewer; only rings stay as they are.
+        limit = limit * 2 if now == left else 1
+        left = now
+    heads = rows.filter("NOT open").select("project", "node", "head", "length")
+    gone = rows.select("project", F.col("node").alias("dst"))
+    kept = edges.join(gone, ["project", "dst"], "left_anti")
+    ends = heads.select("project", F.col("node").alias("src"), F.col("head").alias("_head"), F.col("length").alias("_length"))
+    kept = kept.join(ends, ["project", "src"], "left").join(rows.filter("open").select("project", F.col("node").alias("src")), ["project", "src"], "left_anti")
+    joined = kept.select("project", F.coalesce("_head", "src").alias("src"), "dst", (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length"))
+    return _written(_least(joined)), heads
+
+
+#: Times that leaves and chains are taken out, and the share of edges that has to go with one for another to follow.
+CONTRACTIONS, WORTH = 6, 0.2
+
+
+def _rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """A search over tables whose rounds don't grow with the length of chains.
+
+    Nodes without an edge out that are no seeds are set aside, then chains, and again what is now such:
+    a tree or a chain is gone after rounds in the logarithm of its size. What is left is searched in
+    rounds, one for each step; then what was set aside gets its depths, the last first.
+    """
+    seeds = _written(seeds.select("project", "node").distinct())
+    edges = _written(_least(edges.filter("src <> dst").withColumn("length", F.lit(1).cast("long"))))
+    taken, size = [], edges.count()
+    for _ in range(CONTRACTIONS):
+        sources = edges.select("project", F.col("src").alias("dst")).distinct()
+        ends = edges.join(sources, ["project", "dst"], "left_anti").join(seeds.select("project", F.col("node").alias("dst")), ["project", "dst"], "left_anti")
+        ends = _written(ends)
+        inside = edges.join(ends.select("project", "dst").distinct(), ["project", "dst"], "left_anti")
+        edges, heads = _chained(_written(inside), seeds)
+        taken.append((ends, heads))
+        now = edges.count()
+        if not now or now > (1 - WORTH) * size:
+            break
+        size = now
+    found = _frontier(edges, seeds)
+    for ends, heads in reversed(taken):
+        head = found.select("project", F.col("node").alias("head"), F.col("depth").alias("_depth"))
+        found = found.unionByName(heads.join(head, ["project", "head"]).select("project", "node", (F.col("_depth") + F.col("length")).alias("depth")))
+        found = _written(found)
+        source = found.select("project", F.col("node").alias("src"), F.col("depth").alias("_depth"))
+        last = ends.join(source, ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min(F.col("_depth") + F.col("length")).alias("depth"))
+        found = _written(found.unionByName(last))
+    return found
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, task_edges: int = TASK_EDGES, method: str = "auto") -> DataFrame:
