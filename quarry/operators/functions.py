@@ -56,6 +56,17 @@ def dispatch_prefixes(files: DataFrame) -> DataFrame:
     return files.select("project", F.explode(F.regexp_extract_all("content", F.lit(made), 1)).alias("prefix")).distinct()
 
 
+def _text_flags(files: DataFrame) -> DataFrame:
+    """What of a file's text decides over its functions, worked out once in the file's own row: texts go no further."""
+    text = F.col("content")
+    script = ~text.rlike(ESCAPES) & text.rlike(MODULE) & (F.length(text) <= 300 * F.size(F.split(text, "\n")))
+    flags = {
+        "_script": script, "_dynamic": text.rlike(r"this\s*\[\s*[^'\"`\]]|this\s*\[\s*`[^`]*\$\{"), "_injected": text.rlike(r"@(Component|Directive|Injectable|Pipe)\s*\("),
+        "_generated": F.substring(text, 1, 1500).rlike(GENERATED),
+    }
+    return files.select("project", "file", *(flag.alias(name) for name, flag in flags.items())).filter(F.col("_generated").isNotNull())
+
+
 def eligible(functions: DataFrame, files: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """The functions that may be judged by who names them, with ``scope``: where a use would have to be.
 
@@ -65,14 +76,12 @@ def eligible(functions: DataFrame, files: DataFrame, prefixes: DataFrame | None
     methods, by file; methods that TypeScript calls private, by project.
     """
     c = F.col
-    text = files.select("project", "file", "content")
-    f = functions.join(text, ["project", "file"])
+    f = functions.join(_text_flags(files), ["project", "file"])
     name, lang = c("name"), c("lang")
     private = c("visibility") == "private"
-    script = ~c("content").rlike(ESCAPES) & c("content").rlike(MODULE) & (F.length("content") <= 300 * F.size(F.split("content", "\n")))
-    dynamic = c("content").rlike(r"this\s*\[\s*[^'\"`\]]|this\s*\[\s*`[^`]*\$\{")
-    hidden = (c("type") == "method") & private & F.coalesce(c("kind") == "method", F.lit(True)) & ~dynamic
-    hidden = hidden & (name.startswith("#") | ~c("content").rlike(r"@(Component|Directive|Injectable|Pipe)\s*\("))
+    script = c("_script")
+    hidden = (c("type") == "method") & private & F.coalesce(c("kind") == "method", F.lit(True)) & ~c("_dynamic")
+    hidden = hidden & (name.startswith("#") | ~c("_injected"))
     local = c("class_name").isNull() & c("type").isin("function", "arrow", "expression") & ~c("exported")
     rules = {
         "go": ~c("exported") & (c("type") != "method") & ~name.isin("init", "main", "_") & (c("line_count") > 1) & ~name.startswith("swagger"),
@@ -92,7 +101,7 @@ def eligible(functions: DataFrame, files: DataFrame, prefixes: DataFrame | None
     for k, rule in rules.items():
         may = may | ((lang == k) & rule & ~c("file").rlike(NOT_JUDGED["java" if k == "kotlin" else k]))
     bare = F.regexp_replace("name", "^#", "")
-    out = f.filter(F.coalesce(may, F.lit(False)) & (F.length(bare) > 1) & ~F.substring("content", 1, 1500).rlike(GENERATED)).withColumn("scope", scope).drop("content")
+    out = f.filter(F.coalesce(may, F.lit(False)) & (F.length(bare) > 1) & ~c("_generated")).withColumn("scope", scope).drop("_script", "_dynamic", "_injected", "_generated")
     if prefixes is None:
         prefixes = dispatch_prefixes(files)
     # A name meets a prefix by equality: it is there with each of its beginnings.

@@ -200,6 +200,21 @@ def same_scope(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(graph.shared_scope_edges(members), seed).filter("node NOT LIKE 'scope:%'").select(as_long("node"))
 
 
+@query("""SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 5 <> 4 AND s_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 10 = 1)
+UNION SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 1""")
+def package_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Java and Kotlin files of one package in three source roots, of which some name it and some only lie there; old classes are left out."""
+    k = F.col("s_suppkey")
+    root = F.when(k % 3 == 0, "app/src/main/java").when(k % 3 == 1, "app/src/test/java").otherwise("lib/src/main/kotlin")
+    name = F.when(k % 5 == 4, "Legacy").otherwise("")
+    file = _cat(root, "/org/n", _text("s_nationkey"), "/", name, "S", _text(k), F.when(k % 2 == 0, ".kt").otherwise(".java"))
+    content = F.when(k % 7 == 0, "class X {}").otherwise(_cat("// c\npackage org.n", _text("s_nationkey"), F.when(k % 2 == 0, "").otherwise(";"), "\n"))
+    files = table(spark, d, "supplier").select(_p(), file.alias("file"), content.alias("content"), F.when(k % 2 == 0, "kotlin").otherwise("java").alias("lang"), (k % 10 == 1).alias("start"))
+    seeds = files.filter("start").select("project", F.col("file").alias("node"))
+    reached = graph.reachable(scan.implicit_edges(files), seeds)
+    return reached.filter("node NOT LIKE 'scope:%'").select(_number("node", r"S(\d+)\.\w+$").alias("node"))
+
+
 @query("SELECT p_partkey AS file FROM part WHERE p_partkey % 7 IN (2, 3)")
 def glob_seeds(spark: SparkSession, d: str) -> DataFrame:
     globs = spark.createDataFrame([("p", "src/load.js", "./m2/**/*.js"), ("p", "src/load.js", "m3/p*.js"), ("p", "src/load.js", "./m4/*.ts")], "project string, file string, glob string")

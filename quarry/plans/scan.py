@@ -49,11 +49,23 @@ def entry_points(files: DataFrame, *more: DataFrame) -> DataFrame:
     return found.filter(~dead_name).groupBy("project", "file").agg(F.min("reason").alias("reason"))
 
 
+#: Class files that an equal package does not bring in, besides ``code.NEVER_ENTRY``.
+_NEVER_TOGETHER = r"(^|/)(Dead|Deprecated|Legacy|Old|Unused)[A-Z][^/]*\.(java|kt)$"
+
+
 def implicit_edges(files: DataFrame) -> DataFrame:
-    """Files of one directory that see each other without an import, through one hub node for each."""
+    """Files that see each other without an import, through one hub node for each group.
+
+    Go: those of a directory, tests too. Java and Kotlin together: those of a package, whatever their source
+    roots; a file that names no package has the one of its place under a source root, or none.
+    """
     folder = F.when(F.col("file").contains("/"), S.dirname(F.col("file"))).otherwise("")
-    own = files.filter(F.col("lang").isin(*_TOGETHER) & ~F.lower("file").rlike(code.NEVER_ENTRY) & ~F.col("file").rlike(r"_test\\.go$"))
-    return graph.shared_scope_edges(own.select("project", F.col("file").alias("node"), F.concat("lang", F.lit(":"), folder).alias("scope")))
+    said = F.regexp_extract("content", r"(?m)^[ \t]*package[ \t]+([\w.`]+)", 1)
+    placed = F.translate(F.regexp_extract("file", r"(?:^|/)src/[^/]+/(?:java|kotlin)/(.+)/[^/]+$", 1), "/", ".")
+    package = F.coalesce(F.nullif(F.regexp_replace(said, "`", ""), F.lit("")), F.nullif(placed, F.lit("")))
+    scope = F.when(F.col("lang") == "go", F.concat(F.lit("go:"), folder)).otherwise(F.concat(F.lit("package:"), package))
+    own = files.filter(F.col("lang").isin(*_TOGETHER) & ~F.lower("file").rlike(code.NEVER_ENTRY) & ~F.col("file").rlike(_NEVER_TOGETHER))
+    return graph.shared_scope_edges(own.select("project", F.col("file").alias("node"), scope.alias("scope")).filter("scope IS NOT NULL"))
 
 
 def analyse(files: DataFrame, *more_entries: DataFrame) -> Scan:

@@ -31,3 +31,19 @@ def test_nothing_else_is_reported(scan):
         ("go-functions", "main.go", "deadHelper"), ("js-basic", "src/used.js", "deadArrow"), ("js-basic", "src/used.js", "deadLocal"),
         ("python-methods", "app/worker.py", "_dead_helper"), ("ts-private", "src/service.ts", "#deadEs"), ("ts-private", "src/service.ts", "deadTs"),
     ]
+
+
+def test_files_that_see_each_other(spark):
+    """A Go test reaches its package and the other way round; packages join over source roots, directories without a package don't."""
+    rows = [
+        ("a/x_test.go", "package a", "go"), ("a/y.go", "package a", "go"), ("a/old_z.go", "package a", "go"), ("b/y.go", "package b", "go"),
+        ("one/src/main/java/p/A.java", "package p;", "java"), ("two/B.kt", "\n  package p\n", "kotlin"), ("three/src/main/kotlin/p/C.kt", "class C", "kotlin"), ("x/D.java", "class D", "java"), ("x/E.java", "class E", "java"),
+        ("p/LegacyF.java", "package p;", "java"),
+    ]
+    from quarry.operators import graph
+    from quarry.plans.scan import implicit_edges
+
+    edges = implicit_edges(spark.createDataFrame([("q", *r) for r in rows], "project string, file string, content string, lang string"))
+    reach = lambda *starts: {r.node for r in graph.reachable(edges, spark.createDataFrame([("q", s) for s in starts], "project string, node string")).collect() if not r.node.startswith("scope:")}
+    assert reach("a/x_test.go") == reach("a/y.go") == {"a/x_test.go", "a/y.go"}
+    assert reach("two/B.kt") == {"two/B.kt", "one/src/main/java/p/A.java", "three/src/main/kotlin/p/C.kt"} and reach("x/D.java") == {"x/D.java"}
