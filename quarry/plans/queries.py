@@ -591,13 +591,13 @@ def _issues(spark: SparkSession, d: str) -> DataFrame:
     size = F.floor("p_retailprice")
     make = lambda rows, cat, sev, effort: issues.branch(rows, cat, key, sev, F.col("p_name"), none, size, effort)
     return issues.action_list(
-        make(part.filter("p_size = 50"), "vulnerability", F.lit("critical"), "medium"),
-        make(part.filter("p_size = 49"), "dead-file", F.lit("high"), "easy"),
-        make(part.filter("p_size IN (47, 48)"), "unused-dependency", F.lit("medium"), "trivial"),
-        make(part.filter("p_size = 46"), "licence", S.map_severity(F.lit("info")), "hard"),
-        make(part.filter("p_size = 45"), "duplicate-code", F.lit("low"), "medium"),
-        make(part.filter("p_size = 44"), "outdated-dependency", S.map_severity(F.lit("moderate")), "easy"),
-        make(part.filter("p_size = 43"), "unused-asset", S.map_severity(F.lit("low")), "trivial"),
+        make(part.filter("p_size % 8 = 0"), "vulnerability", F.lit("critical"), "medium"),
+        make(part.filter("p_size % 8 = 1"), "dead-file", F.lit("high"), "easy"),
+        make(part.filter("p_size % 8 IN (2, 3)"), "unused-dependency", F.lit("medium"), "trivial"),
+        make(part.filter("p_size % 8 = 4"), "licence", S.map_severity(F.lit("info")), "hard"),
+        make(part.filter("p_size % 8 = 5"), "duplicate-code", F.lit("low"), "medium"),
+        make(part.filter("p_size % 8 = 6"), "outdated-dependency", S.map_severity(F.lit("moderate")), "easy"),
+        make(part.filter("p_size % 8 = 7"), "unused-asset", S.map_severity(F.lit("low")), "trivial"),
     )
 
 
@@ -606,7 +606,7 @@ def _issue_sql(where: str, category: str, severity: str, effort: str) -> str:
 
 
 _ISSUES_SQL = "i AS (" + " UNION ALL ".join(
-    _issue_sql(*x) for x in (("p_size = 50", "vulnerability", "critical", "medium"), ("p_size = 49", "dead-file", "high", "easy"), ("p_size IN (47, 48)", "unused-dependency", "medium", "trivial"), ("p_size = 46", "licence", "low", "hard"), ("p_size = 45", "duplicate-code", "low", "medium"), ("p_size = 44", "outdated-dependency", "medium", "easy"), ("p_size = 43", "unused-asset", "low", "trivial"))
+    _issue_sql(*x) for x in (("p_size % 8 = 0", "vulnerability", "critical", "medium"), ("p_size % 8 = 1", "dead-file", "high", "easy"), ("p_size % 8 IN (2, 3)", "unused-dependency", "medium", "trivial"), ("p_size % 8 = 4", "licence", "low", "hard"), ("p_size % 8 = 5", "duplicate-code", "low", "medium"), ("p_size % 8 = 6", "outdated-dependency", "medium", "easy"), ("p_size % 8 = 7", "unused-asset", "low", "trivial"))
 ) + ")"
 
 

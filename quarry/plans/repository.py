@@ -288,9 +288,9 @@ def publishable_files(spark: SparkSession, d: str) -> DataFrame:
     return found.select(_number("file", r"c(\d+)\.js$").alias("customer"))
 
 
-@query("SELECT DISTINCT l_suppkey AS requirer, 'p' || l_partkey AS name, 'dependencies' AS declared_in FROM lineitem WHERE l_quantity = 50")
+@query("SELECT DISTINCT l_suppkey AS requirer, 'p' || l_partkey AS name, 'dependencies' AS declared_in FROM lineitem")
 def manifest_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").filter("l_quantity = 50").select("l_suppkey", "l_partkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     held = F.concat(F.lit('{"dependencies": {'), F.array_join(F.collect_list(_cat('"p', _text("l_partkey"), '": "^1.0.0"')), ", "), F.lit("}}"))
     files = lines.groupBy("l_suppkey").agg(held.alias("content")).select(_p(), _cat("s", _text("l_suppkey"), "/package.json").alias("file"), "content")
     return configs.manifests(files).select(_number("directory", r"^s(\d+)$").alias("requirer"), "name", "declared_in")
