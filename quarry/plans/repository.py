@@ -9,7 +9,7 @@ from quarry.operators import assets, duplicates, entries, functions, graph, hist
 from quarry.plans import scan
 from quarry.plans.queries import _ASSET_SQL, _asset_rows, as_long, query
 from quarry.plans.tables import EDGES_SQL, REACHED_SQL, part_edges, part_seeds, table
-from quarry.sources import code, configs, parse
+from quarry.sources import code, configs, parse, sql
 from quarry.sources import files as sources
 
 
@@ -142,6 +142,16 @@ def python_declarations(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(_number("file", r"p(\d+)\.py$").alias("file"), name.alias("name"), kind.alias("type"), as_long("line"), as_long("end_line"), "class_name", "exported")
 
 
+@query(f"""WITH {EDGES_SQL.strip()}, n AS (SELECT p_partkey AS k, (SELECT count(*) FROM edges WHERE src = p_partkey) AS imports FROM part)
+SELECT k AS file, unnest(['f', 'g', 'h']) || k AS name, CAST(greatest(imports, 1) + unnest([1, 3, 2]) AS BIGINT) AS line FROM n""")
+def functions_from_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The readers as a table function in a SQL query."""
+    sql.register(spark)
+    _modules(spark, d).createOrReplaceTempView("quarry_modules")
+    rows = spark.sql("SELECT file, name, line FROM parse_code(TABLE(quarry_modules) PARTITION BY (project, file)) WHERE relation = 'function'")
+    return rows.select(_number("file", r"p(\d+)\.js$").alias("file"), "name", as_long("line"))
+
+
 @query("SELECT 'parsed' AS status, count(*) AS files FROM part UNION ALL SELECT 'empty', count(*) FROM part WHERE p_partkey % 4 = 0")
 def parse_status(spark: SparkSession, d: str) -> DataFrame:
     files = _modules(spark, d).unionByName(_notes(spark, d))

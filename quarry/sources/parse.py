@@ -28,7 +28,7 @@ SCHEMA = (
     "project string, file string, lang string, relation string, type string, name string, line int, end_line int, class_name string, "
     f"visibility string, kind string, exported boolean, is_default boolean, source_module string, specifiers array<{SPECIFIER}>, annotations array<string>"
 )
-_FIELDS = [f.split()[0] for f in re.split(r", (?![^<]*>)", SCHEMA)]
+FIELDS = [f.split()[0] for f in re.split(r", (?![^<]*>)", SCHEMA)]
 
 #: Languages by the form of their comments and blocks.
 _HASH = frozenset("python ruby perl r elixir crystal julia nim shell powershell".split())
@@ -250,29 +250,31 @@ def script_only(content: str) -> str:
     return "".join([*out, re.sub(r"[^\n]", " ", content[at:])])
 
 
+def rows_of(project: str, file: str, lang: str, content: str | None, parsers: dict[str, Callable[[str, str], list[dict]]] | None = None) -> list[dict]:
+    """Whole rows of one file, ``FIELDS`` each; an error row where its reader fails."""
+    text = content or ""
+    if (file or "").endswith((".vue", ".svelte")):
+        text = script_only(text)
+    try:
+        rows = (parsers or {}).get(lang, parse)(lang, text)
+    except (SyntaxError, RecursionError, MemoryError, ValueError, IndexError, KeyError, TypeError) as why:
+        rows = [{"relation": "error", "type": type(why).__name__, "name": str(why)[:200], "line": 0}]
+    out = []
+    for r in rows:
+        named = [{"name": n, "local_name": local, "type": t} for n, local, t in r.get("specifiers") or ()]
+        full = {"exported": False, "is_default": False} | r | {"project": project, "file": file, "lang": lang, "specifiers": named, "annotations": r.get("annotations") or []}
+        full.setdefault("end_line", r.get("line"))
+        out.append({f: full.get(f) for f in FIELDS})
+    return out
+
+
 def _parse(parsers: dict[str, Callable[[str, str], list[dict]]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
+        types = {"line": pa.int32(), "end_line": pa.int32(), "exported": pa.bool_(), "is_default": pa.bool_(), "annotations": pa.list_(pa.string())}
+        types["specifiers"] = pa.list_(pa.struct([("name", pa.string()), ("local_name", pa.string()), ("type", pa.string())]))
         for batch in batches:
-            columns: dict[str, list] = {f: [] for f in _FIELDS}
-            for project, file, lang, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                text = content or ""
-                if (file or "").endswith((".vue", ".svelte")):
-                    text = script_only(text)
-                try:
-                    rows = (parsers or {}).get(lang, parse)(lang, text)
-                except (RecursionError, ValueError, IndexError, KeyError, TypeError, json.JSONDecodeError) as why:
-                    rows = [{"relation": "error", "type": type(why).__name__, "name": str(why)[:200], "line": 0}]
-                for r in rows:
-                    named = [{"name": n, "local_name": local, "type": t} for n, local, t in r.get("specifiers") or ()]
-                    full = {"exported": False, "is_default": False} | r | {"project": project, "file": file, "lang": lang, "specifiers": named, "annotations": r.get("annotations") or []}
-                    full.setdefault("end_line", r.get("line"))
-                    for f in _FIELDS:
-                        columns[f].append(full.get(f))
-            types = {"line": pa.int32(), "end_line": pa.int32(), "exported": pa.bool_(), "is_default": pa.bool_(), "annotations": pa.list_(pa.string())}
-            types["specifiers"] = pa.list_(pa.struct([("name", pa.string()), ("local_name", pa.string()), ("type", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f], types.get(f, pa.string())) for f in _FIELDS], _FIELDS)
+            rows = [r for own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) for r in rows_of(*own, parsers)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], types.get(f, pa.string())) for f in FIELDS], FIELDS)
 
     return run
 
