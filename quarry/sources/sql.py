@@ -24,7 +24,7 @@ NEEDED = ("project", "file", "lang", "content")
 
 def table_function(parsers: dict[str, Callable[[str, str], list[dict]]] | None = None):
     """The function's class, for ``udtf``."""
-    own = dict(parsers or {})
+    own, schema = dict(parsers or {}), StructType.fromDDL(parse.SCHEMA)
 
     class ParseCode:
         @staticmethod
@@ -34,7 +34,7 @@ def table_function(parsers: dict[str, Callable[[str, str], list[dict]]] | None =
             there = {f.name for f in files.dataType.fields}
             if missing := [c for c in NEEDED if c not in there]:
                 raise ValueError(f"the table lacks {', '.join(missing)}")
-            return AnalyzeResult(schema=StructType.fromDDL(parse.SCHEMA))
+            return AnalyzeResult(schema=schema)
 
         def eval(self, files: Row):
             for r in parse.rows_of(*(files[c] for c in NEEDED), own):
