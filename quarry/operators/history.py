@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
@@ -31,6 +31,46 @@ def commit_buckets(commits: DataFrame, as_of: Column, days: tuple[int, ...] = BU
     )
 
 
+#: Logarithm of a sketch's registers: distinct authors are within about 1.04 / 2^(LG_K / 2), 0.8 %, as standard error; up to some 1,500 all but exact.
+LG_K = 14
+
+
+def day_partials(commits: DataFrame) -> DataFrame:
+    """file, day, commits, authors (a sketch), first_commit, last_commit: what of a day's commits (file, author, ts) later questions need.
+
+    Partials of one file and day merge like those of several days, so a day may come in parts.
+    """
+    return commits.filter("file IS NOT NULL AND ts IS NOT NULL").groupBy("file", F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("commits"), F.hll_sketch_agg("author", LG_K).alias("authors"), F.min("ts").alias("first_commit"), F.max("ts").alias("last_commit")
+    )
+
+
+def keep_days(commits: DataFrame, path: str) -> None:
+    """Write the partials of the days in ``commits``, a folder for each; a day that is there already is replaced, others are not touched."""
+    out = day_partials(commits)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def kept_days(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def buckets_of_days(partials: DataFrame, upto: Column, days: tuple[int, ...] = BUCKETS) -> DataFrame:
+    """``commit_buckets`` from partials: windows are whole days that end with the day ``upto``; counts are exact, contributors estimates.
+
+    Days after ``upto`` are left out by their folder's name.
+    """
+    within = lambda n: F.col("day") > F.date_sub(upto, n)
+    estimate = lambda sketch: F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0).cast("long"))
+    return partials.filter(F.col("day") <= upto).groupBy("file").agg(
+        *(F.coalesce(F.sum(F.when(within(n), F.col("commits"))), F.lit(0).cast("long")).alias(f"commits_{n}d") for n in days),
+        estimate(F.hll_union_agg("authors")).alias("contributors_all"),
+        estimate(F.hll_union_agg(F.when(within(days[1]), F.col("authors")))).alias(f"contributors_{days[1]}d"),
+        F.min("first_commit").alias("first_commit"),
+        F.max("last_commit").alias("last_commit"),
+    )
+
+
 SIGNALS = ("velocity", "imports", "contributors", "staleness", "mtime", "fragility", "exports")
 #: Extensions of source files; others are expected to be stable.
 SOURCE_EXTENSIONS = (

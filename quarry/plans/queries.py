@@ -394,6 +394,16 @@ def commit_buckets(spark: SparkSession, d: str) -> DataFrame:
     return _buckets(spark, d).select("file", "commits_30d", "commits_90d", "commits_180d", "commits_365d", "contributors_all", "contributors_90d")
 
 
+@query("""WITH c AS (SELECT o_custkey AS file, o_orderpriority AS author, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '2001-06-30')
+SELECT file, count(*) FILTER (day > DATE '2001-05-31') AS commits_30d, count(*) FILTER (day > DATE '2001-04-01') AS commits_90d, count(*) FILTER (day > DATE '2001-01-01') AS commits_180d,
+  count(*) FILTER (day > DATE '2000-06-30') AS commits_365d, count(DISTINCT author) AS contributors_all, count(DISTINCT author) FILTER (day > DATE '2001-04-01') AS contributors_90d FROM c GROUP BY file""")
+def commit_days(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over days' partials, not over the log; a handful of authors is counted exactly by the sketches."""
+    commits = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderpriority").alias("author"), F.col("o_orderdate").alias("ts"))
+    found = history.buckets_of_days(history.day_partials(commits), F.lit("2001-06-30").cast("date"))
+    return found.select("file", "commits_30d", "commits_90d", "commits_180d", "commits_365d", "contributors_all", "contributors_90d")
+
+
 @query("""WITH m AS (SELECT max(ts) AS t FROM events) SELECT user_id AS file, count(*) FILTER (ts >= t - INTERVAL 1 DAY) AS commits_1d, count(*) FILTER (ts >= t - INTERVAL 3 DAY) AS commits_3d,
 count(*) FILTER (ts >= t - INTERVAL 7 DAY) AS commits_7d, count(*) FILTER (ts >= t - INTERVAL 30 DAY) AS commits_30d, count(DISTINCT event_type) AS contributors_all FROM events, m GROUP BY user_id""")
 def commit_buckets_events(spark: SparkSession, d: str) -> DataFrame:

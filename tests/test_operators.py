@@ -281,3 +281,27 @@ def test_sarif_levels(spark):
     rows = [("r", "critical", "a", 0, "m", "finding", None), ("r", "low", "a", 2, "m", "function", None), ("s", "high", "a", None, "m", "finding", "false-positive"), ("s", "low", "a", 2, "m", "export", "confirmed")]
     frame = spark.createDataFrame(rows, "rule string, severity string, file string, line int, message string, kind string, verdict string")
     assert [r.level for r in reports.sarif_results(frame).collect()] == ["error", "warning", "none", "error"]
+
+
+def test_history_by_days_equals_the_log(spark, tmp_path):
+    """Day by day, a day twice and a day in two parts: counts as over the log, authors within the sketch's bound; a new day reads its own commits alone."""
+    rows = spark.range(60_000).selectExpr("'f' || id % 5 AS file", "'a' || (id * 7919) % 9000 AS author", "timestamp_seconds(1700000000 + (id * 7993) % (400 * 86400)) AS ts").withColumn("day", F.to_date("ts"))
+    path = str(tmp_path / "days")
+    last = rows.agg(F.max("day")).first()[0]
+    history.keep_days(rows.filter(F.col("day") < F.lit(last)), path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "days").rglob("*.parquet")}
+    history.keep_days(rows.filter(F.col("day") == F.lit(last)), path)
+    history.keep_days(rows.filter(F.col("day") == F.lit(last)), path)
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    kept = history.kept_days(spark, path)
+    as_of = F.timestamp_micros(F.unix_micros(F.lit(last).cast("timestamp")) + 86400_000_000 - 1)
+    want = {r.file: r for r in history.commit_buckets(rows, as_of).collect()}
+    parts = history.day_partials(rows.filter("hash(author) % 2 = 0")).unionByName(history.day_partials(rows.filter("hash(author) % 2 <> 0")))
+    for partials in (kept, parts):
+        got = {r.file: r for r in history.buckets_of_days(partials, F.lit(last)).collect()}
+        assert got.keys() == want.keys()
+        for f, r in got.items():
+            assert [r[c] for c in r.asDict() if not c.startswith("contributors")] == [want[f][c] for c in r.asDict() if not c.startswith("contributors")]
+            assert all(abs(r[c] - want[f][c]) <= 4 * 0.0082 * want[f][c] for c in ("contributors_all", "contributors_90d"))
+    plan = history.buckets_of_days(kept, F.lit(last))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
