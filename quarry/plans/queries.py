@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import assets, dependencies, duplicates, graph, history, issues, names, patterns
+from quarry.operators import assets, dependencies, duplicates, graph, history, issues, name_index, names, patterns
 from quarry.plans.tables import ALL_EDGES_SQL, LINES_SQL, REACHED_SQL, document_lines, part_edges, part_seeds, table
+from quarry.shared import shared_dir
 from quarry.sources import configs
 from quarry.sources import files as sources
 from quarry.streaming import monitor
@@ -327,6 +330,19 @@ def inverted_index_lookup(spark: SparkSession, d: str) -> DataFrame:
     return names.lookup(docs, wanted).select("name", "occurrences", "files")
 
 
+@query(r"""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark),
+d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents)
+SELECT name, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM d JOIN q USING (name) WHERE length(name) >= 4 GROUP BY name""")
+def kept_index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The same answer from an index that is kept: built from all documents, then asked."""
+    docs = table(spark, d, "documents").select(F.lit("p").alias("project"), F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    items = table(spark, d, "benchmark").select(F.lit("p").alias("project"), F.col("item_id").alias("file"), F.col("text").alias("content"))
+    wanted = names.index(items, least=4).select("project", F.col("token").alias("name"))
+    path = f"{shared_dir(spark)}/quarry/name-index-{uuid.uuid4().hex}"
+    name_index.update(docs, path)
+    return name_index.lookup(spark, path, wanted).select("name", "occurrences", "files")
+
+
 @query(r"""WITH d AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents), c AS (SELECT name, count(*) AS occurrences FROM d GROUP BY name)
 SELECT occurrences, count(*) AS names FROM c WHERE occurrences <= 2 GROUP BY 1""")
 def rare_names(spark: SparkSession, d: str) -> DataFrame:
