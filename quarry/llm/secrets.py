@@ -4,8 +4,10 @@ Base kinds are patterns: ``assign`` (a named value), ``access`` (an access-key i
 long hexadecimal run). The confirmed kinds are reported only if a candidate decodes and parses:
 ``jwt``, a signed token whose header is a JSON object with an algorithm and whose payload is JSON;
 ``key``, base64 or hex that decodes to a private key, either DER whose nested lengths add up and
-whose fields are those of PKCS#1, PKCS#8 or an EC key, or the OpenSSH format with its
-length-prefixed fields; ``pem``, a private-key block whose body decodes to one of those.
+whose fields are those of PKCS#1, PKCS#8, encrypted PKCS#8 or an EC key, or the OpenSSH format with
+its length-prefixed fields; ``pem``, a private-key block whose body decodes to one of those, below
+header lines or not. A body that its headers call encrypted can't be parsed; it is confirmed by
+whole cipher blocks and an initial value in hexadecimal digits.
 
 Spans are code-point offsets, end exclusive. A text is looked at whole; byte searches, one for
 each kind or more, settle that most texts cannot hold it, and only the others are matched.
@@ -51,6 +53,10 @@ _PART = bytes(46 if chr(b) == "." else 120 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVW
 _DOTTED = b"x" * 8 + b".xx"
 
 INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+#: How the identifiers of password-based encryption begin, and what headers say of an encrypted body.
+ENCRYPTED = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+_HEADERS = re.compile(r"\s*((?:[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n(?:[ \t]++\S[^\n]*+\n)*+)++)")
+_INITIAL = re.compile(r"(?m)^DEK-Info:[ \t]*[A-Z0-9-]++,(?:[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})[ \t\r]*$")
 
 
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -77,9 +83,14 @@ def private_der(data: bytes) -> bool:
     if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return False
     fields = der_items(outer[0][1])
-    if not fields or fields[0][0] != INTEGER:
+    if not fields:
         return False
     tags = [t for t, _ in fields]
+    if tags == [SEQUENCE, OCTETS]:
+        cipher = der_items(fields[0][1])
+        return bool(cipher) and cipher[0][0] == OID and cipher[0][1].startswith(ENCRYPTED)
+    if tags[0] != INTEGER:
+        return False
     if len(tags) >= 9 and tags[:9] == [INTEGER] * 9:
         return True
     if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:
@@ -122,6 +133,15 @@ def private_key(data: bytes | None) -> bool:
     return data is not None and (private_der(data) or private_openssh(data))
 
 
+def private_block(body: str) -> bool:
+    """Whether the body of a private-key block holds a key, below header lines if it begins with such."""
+    headers = _HEADERS.match(body)
+    data = decoded(body[headers.end() :] if headers else body)
+    if headers and re.search(r"(?m)^Proc-Type:[ \t]*4,[ \t]*ENCRYPTED[ \t\r]*$", headers[1]):
+        return bool(data) and len(data) % 8 == 0 and bool(_INITIAL.search(headers[1]))
+    return private_key(data)
+
+
 def signed_token(header: str, payload: str) -> bool:
     try:
         parsed = [json.loads(decoded(part) or b"") for part in (header, payload)]
@@ -162,7 +182,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if b"." in data and _DOTTED in data.translate(_PART):
         spans += [("jwt", *s) for s in signed_tokens(text)]
     if b"-----BEGIN " in data:
-        spans += [("pem", *m.span()) for m in _PEM.finditer(text) if m[1].endswith("PRIVATE KEY") and private_key(decoded(m[2]))]
+        spans += [("pem", *m.span()) for m in _PEM.finditer(text) if m[1].endswith("PRIVATE KEY") and private_block(m[2])]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

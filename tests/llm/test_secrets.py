@@ -157,3 +157,20 @@ def test_hostile_texts_take_linear_time():
         began = time.perf_counter()
         m.find(unit * (1_000_000 // len(unit)))
         assert time.perf_counter() - began < 20, unit
+
+
+def test_keys_below_headers_and_encrypted_keys():
+    number = lambda n: der(2, n.to_bytes(40, "big"))
+    pkcs1 = base64.encodebytes(der(0x30, der(2, b"\0"), *(number(k + 1) for k in range(8)))).decode()
+    pem = lambda body, label="RSA PRIVATE KEY": f"-----BEGIN {label}-----\n{body}-----END {label}-----"
+    found = lambda text: [text[a:b] for kind, a, b in m.find(text) if kind == "pem"]
+    for headers in ("Comment: mine\n\n", "Comment: mine\nX-Note: two,\n  more\n\n", "Proc-Type: 4,CLEAR\n\n"):
+        assert found("x " + pem(headers + pkcs1)) == [pem(headers + pkcs1)]
+    sealed = base64.encodebytes(bytes(range(160))).decode()
+    closed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n"
+    assert found(pem(closed.format("0123456789abcdef0123456789ABCDEF") + sealed)) and not found(pem(closed.format("0123") + sealed))
+    assert not found(pem(closed.format("0" * 16) + base64.encodebytes(bytes(161)).decode())) and not found(pem("Comment: mine\n\n" + sealed))
+    cipher = lambda oid: der(0x30, der(0x30, der(6, oid), der(0x30, der(4, b"salt"))), der(4, b"c" * 64))
+    pbes2, digest = cipher(b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), cipher(b"\x60\x86\x48\x01\x65\x03\x04\x02\x01")
+    assert m.private_der(pbes2) and not m.private_der(digest) and not m.private_der(pbes2[:-1])
+    assert "key" in kinds("x " + base64.b64encode(pbes2).decode()) and found(pem(base64.encodebytes(pbes2).decode(), "ENCRYPTED PRIVATE KEY"))
