@@ -79,9 +79,10 @@ def vulnerabilities_by_package(found: DataFrame) -> DataFrame:
     )
 
 
-def riskiest_first(found: DataFrame) -> DataFrame:
+def riskiest_first(found: DataFrame, *then: str) -> DataFrame:
+    """Vulnerabilities (name, severity, risk) by risk, severity and name, and by the columns ``then`` where these agree; nulls last."""
     risk = F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).when(F.col("risk") == "low", 2).otherwise(3)
-    return found.orderBy(risk, S.severity_rank(F.col("severity")), "name")
+    return found.orderBy(risk, S.severity_rank(F.col("severity")), *(F.asc_nulls_last(c) for c in ("name", *then)))
 
 
 def vulnerable_usage(lines: DataFrame, packages: DataFrame) -> DataFrame:

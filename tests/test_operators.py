@@ -101,6 +101,19 @@ def test_near_members_names_every_copy(spark):
     assert got == {0: (0, 2, 1), 3: (0, 2, 1), 1: (1, 1, 1), 2: (2, 2, 0), 4: (2, 2, 0), 5: (5, 1, 1), 6: (6, 2, 1), 7: (6, 2, 1), 8: (8, 1, 0), 9: (9, 1, 0)}
 
 
+def test_riskiest_vulnerabilities_order_brands_before_keys(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quarry import catalog
+    from tests.parity import same
+
+    keys = [12, 24, 36, 12_000_000_000, 1_200_000_000, 15, 48, 60, *range(72, 720, 12)]
+    brands = ["Brand#1" if k in (15, 36) or k > 400 else "Brand#10" for k in keys]
+    pq.write_table(pa.table({"p_partkey": keys, "p_brand": brands}), tmp_path / "part.parquet")
+    same(spark, catalog.QUERIES["riskiest_vulnerabilities"], catalog.ORACLES["riskiest_vulnerabilities"], str(tmp_path))
+
+
 def test_normalized_code(spark):
     assert one(spark, duplicates.normalized_code(F.lit("a = 1 // x\n/* y */ b('z')"))) == "a=0 b('')"
 
