@@ -101,6 +101,38 @@ def test_near_members_names_every_copy(spark):
     assert got == {0: (0, 2, 1), 3: (0, 2, 1), 1: (1, 1, 1), 2: (2, 2, 0), 4: (2, 2, 0), 5: (5, 1, 1), 6: (6, 2, 1), 7: (6, 2, 1), 8: (8, 1, 0), 9: (9, 1, 0)}
 
 
+def _shuffled(spark):
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_pairs_move_texts_by_neighbourhood(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{rng.getrandbits(60):x}" for _ in range(400)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"x{rng.getrandbits(60):x}" for w in words) for _ in range(120)]
+    rows = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "id long, scope string, code string")
+    before = _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.id_a, r.id_b): r.similarity for r in duplicates.near_pairs(rows, 0.8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = _shuffled(spark) - before
+    sets = [set(t.split()) for t in texts]
+    want = {}
+    for a in range(120):
+        for b in range(a + 1, 120):
+            common = len(sets[a] & sets[b])
+            s = 0.7 * common / (len(sets[a]) + len(sets[b]) - common) + 0.3 * min(len(texts[a]), len(texts[b])) / max(len(texts[a]), len(texts[b]))
+            if round(s, 6) >= 0.8:
+                want[a, b] = s
+    assert len(want) > 6000 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
+    assert moved < 5 * sum(map(len, texts))
+
+
 def test_riskiest_vulnerabilities_order_brands_before_keys(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
