@@ -186,15 +186,26 @@ def longest_scope(files: DataFrame, scopes: DataFrame) -> DataFrame:
     return files.join(best, ["project", "file"], "left")
 
 
-def git_log(lines: DataFrame) -> DataFrame:
-    """file, author, ts of a ``--numstat`` log (n, value) with headers ``commit|author|iso time``.
+#: Line numbers of a log that one task takes together.
+LOG_BLOCK = 1 << 18
 
-    A header holds for the rows below it until the next, which is a running last value over the line number.
+
+def git_log(lines: DataFrame, block: int = LOG_BLOCK) -> DataFrame:
+    """file, author, ts of a ``--numstat`` log (source, n, value) with headers ``commit|author|iso time``.
+
+    A header holds for the rows below it until the next, which is a running last value over the line
+    number: within blocks of numbers, and over the blocks' own last headers where a block begins without one.
     """
     from pyspark.sql import Window
 
     head = F.when(F.col("value").rlike(r"^[0-9a-f]{7,40}\|"), F.col("value"))
-    carried = lines.withColumn("_head", F.last(head, ignorenulls=True).over(Window.partitionBy("source").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = lines.select("source", "n", "value", F.floor(F.col("n") / block).alias("_block"), head.alias("_head"))
+    ends = dealt.groupBy("source", "_block").agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("n"))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col("source").alias("_of"), F.col("_block").alias("_at"), before.alias("_before"))
+    own = F.last("_head", ignorenulls=True).over(Window.partitionBy("source", "_block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    carried = dealt.withColumn("_head", own).join(ends, F.col("source").eqNullSafe(F.col("_of")) & F.col("_block").eqNullSafe(F.col("_at")), "left")
+    carried = carried.withColumn("_head", F.coalesce("_head", "_before"))
     rows = carried.filter(F.col("value").rlike(r"^(\d+|-)\t(\d+|-)\t"))
     part = lambda k: F.split("_head", r"\|")[k]
     return rows.select(S.renamed_path(F.split("value", "\t")[2]).alias("file"), part(1).alias("author"), part(2).try_cast("timestamp").alias("ts"))
