@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
+from quarry.shared import written
 
 #: Words of code, with the signs that names may begin with.
 TOKEN = r"(#?[A-Za-z0-9_$]+[?!]?)"
@@ -136,6 +137,8 @@ def dead(functions: DataFrame, files: DataFrame, reached: DataFrame | None = Non
     rows = eligible(functions, files, prefixes)
     if reached is not None:
         rows = rows.join(reached.select("project", F.col("node").alias("file")), ["project", "file"], "left_semi")
+    # Read by each of the steps below, and made once.
+    rows = written(rows, "eligible", once=True)
     kinds = files.select("project", "file", F.when(F.col("file").rlike(TEMPLATES), "any").otherwise(F.col("lang")).alias("_lang"))
     found = occurrences(files, rows).join(kinds, ["project", "file"])
     folder = S.dirname(F.col("file"))

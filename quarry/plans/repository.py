@@ -9,6 +9,7 @@ from quarry.operators import assets, duplicates, entries, functions, graph, hist
 from quarry.plans import scan
 from quarry.plans.queries import _ASSET_SQL, _asset_rows, as_long, query
 from quarry.plans.tables import EDGES_SQL, REACHED_SQL, part_edges, part_seeds, table
+from quarry.shared import written
 from quarry.sources import code, configs, parse, sql
 from quarry.sources import files as sources
 
@@ -63,7 +64,13 @@ def _modules(spark: SparkSession, d: str) -> DataFrame:
     call = F.when(F.col("p_partkey") % 3 == 0, _cat("g", F.col("k"), "();\n")).otherwise("")
     body = _cat("\nexport function f", F.col("k"), "() { return 1; }\nexport function h", F.col("k"), "() { return '}'; }\nfunction g", F.col("k"), "() {\n  return g", F.col("k"), ";\n}\n", call)
     rows = part.join(heads, "k", "left").select(_p(), _cat("src/m", folder(F.col("p_partkey")), "/p", F.col("k"), ".js").alias("file"), F.concat(F.coalesce("head", F.lit("")), body).alias("content"))
-    return rows.withColumn("lang", F.lit("javascript"))
+    # Every step that reads the files would make them anew, which sorts all lines of all orders.
+    return written(rows.withColumn("lang", F.lit("javascript")), "modules", once=True)
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    """What files parse to, made once for all steps that read it."""
+    return written(parse.parsed(files), "parsed", once=True)
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +84,7 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EDGES_SQL.strip()} SELECT src, dst FROM edges WHERE src <> dst")
 def import_edges(spark: SparkSession, d: str) -> DataFrame:
     files = _modules(spark, d)
-    found = code.resolved(parse.imports(parse.parsed(files)), files)
+    found = code.resolved(parse.imports(_parsed(files)), files)
     return found.select(_number("src", r"p(\d+)\.js$").alias("src"), _number("dst", r"p(\d+)\.js$").alias("dst"))
 
 
@@ -161,13 +168,13 @@ def parse_status(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey AS file, 'g' || p_partkey AS name FROM part WHERE p_partkey % 3 <> 0")
 def dead_functions(spark: SparkSession, d: str) -> DataFrame:
     files = _modules(spark, d)
-    return functions.dead(parse.functions(parse.parsed(files)), files).select(_number("file", r"p(\d+)\.js$").alias("file"), "name")
+    return functions.dead(parse.functions(_parsed(files)), files).select(_number("file", r"p(\d+)\.js$").alias("file"), "name")
 
 
 @query("SELECT p_partkey AS file, 'g' || p_partkey AS name, 'file' AS scope FROM part")
 def eligible_functions(spark: SparkSession, d: str) -> DataFrame:
     files = _modules(spark, d)
-    return functions.eligible(parse.functions(parse.parsed(files)), files).select(_number("file", r"p(\d+)\.js$").alias("file"), "name", "scope")
+    return functions.eligible(parse.functions(_parsed(files)), files).select(_number("file", r"p(\d+)\.js$").alias("file"), "name", "scope")
 
 
 @query(REACHED_SQL + " SELECT p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT node FROM reached)")
