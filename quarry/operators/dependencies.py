@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
+from quarry.shared import tasks_for
 
 
 def unused(declared: DataFrame, used: DataFrame) -> DataFrame:
@@ -163,7 +164,9 @@ def known_licence(name: Column) -> Column:
 def best_advisory(found: DataFrame, known: DataFrame) -> DataFrame:
     """name, cve, matched of found vulnerabilities (name, cve) with the known one (name, cve) that fits best: the same, one of its year, else the first."""
     year = lambda c: F.regexp_extract(c, r"^CVE-(\d{4})-", 1)
-    met = found.select("name", "cve").join(known.select("name", F.col("cve").alias("matched")), "name")
+    # Dealt by name over as many tasks as there is input for: what both are joined and ordered by is never one task's because its files are few.
+    n = tasks_for(found, known)
+    met = found.select("name", "cve").repartition(n, "name").join(known.select("name", F.col("cve").alias("matched")).repartition(n, "name"), "name")
     rank = F.when(F.col("cve") == F.col("matched"), 0).when((year(F.col("cve")) != "") & (year(F.col("cve")) == year(F.col("matched"))), 1).otherwise(2)
     return met.groupBy("name", "cve").agg(F.min_by("matched", F.struct(rank.alias("r"), "matched")).alias("matched"))
 
