@@ -51,6 +51,8 @@ END_ID = 2
 #: Encoded pieces that a worker remembers, about 200 bytes each. Later ones, which are rarer, it
 #: encodes for their batch; if most of a batch is new to it, it starts anew.
 REMEMBERED = 600_000
+#: Pieces that the library encodes at a time, and characters and rows that a worker cuts at a time; one row is the least.
+LEARNED, CHARACTERS, ROWS = 4096, 1 << 20, 200
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Cuts a text only where the byte-level pre-tokenizer must cut too: before white space that follows
@@ -92,8 +94,13 @@ class Encoder:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        return {piece: array(self.code, got.ids).tobytes() for piece, got in zip(fresh, coded, strict=True)}
+        """A few thousand at a time: what the library returns for a piece takes many times the piece."""
+        out = {}
+        for k in range(0, len(fresh), LEARNED):
+            own = fresh[k : k + LEARNED]
+            coded = self.tokenizer.encode_batch_fast(own, add_special_tokens=False)
+            out.update((piece, array(self.code, got.ids).tobytes()) for piece, got in zip(own, coded, strict=True))
+        return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -137,6 +144,18 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
     return b"".join((head, masked(head).to_bytes(4, "little"), payload, masked(payload).to_bytes(4, "little")))
 
 
+def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """From and to of rows that are cut at a time."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and (k - start >= ROWS or size + len(t or "") > CHARACTERS):
+            yield start, k
+            start, size = k, 0
+        size += len(t or "")
+    if texts:
+        yield start, len(texts)
+
+
 def _encode(path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("token-records")
@@ -144,9 +163,9 @@ def _encode(path: str | None, end_id: int):
         end, width = array(enc.code, [end_id]).tobytes(), array(enc.code).itemsize
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), 200):
-                coded = enc.batch([t or "" for t in texts[k : k + 200]])
-                frames = [frame(i, c + end, width) for i, c in zip(ids[k : k + 200], coded, strict=True)]
+            for k, stop in _runs(texts):
+                coded = enc.batch([t or "" for t in texts[k:stop]])
+                frames = [frame(i, c + end, width) for i, c in zip(ids[k:stop], coded, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     return run

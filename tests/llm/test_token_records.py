@@ -83,3 +83,24 @@ def test_shuffled_read_by_index(spark):
     index = m.build_index(spark, f"{path}/records", f"{path}/index")
     got = m.read_records(spark, f"{path}/records", index.filter("doc_id < 5"), 3).collect()
     assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4] and all(r.ids[-1] == m.END_ID for r in got)
+
+
+def test_few_pieces_are_encoded_at_a_time():
+    enc = m.encoder(None)
+    asked = []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, pieces, **options):
+            asked.append(len(pieces))
+            return self.inner.encode_batch_fast(pieces, **options)
+
+    other = object.__new__(type(enc))
+    other.__dict__ = enc.__dict__ | {"tokenizer": Watched(enc.tokenizer), "known": {}}
+    text = " ".join(f"zq{k}x" for k in range(9000))
+    assert other.batch([text]) == [enc._whole(text)] and max(asked) <= 4096
+    texts = ["a" * 700_000, None, "b" * 700_000, "c"] + [""] * 500
+    runs = list(m._runs(texts))
+    assert runs[:2] == [(0, 2), (2, 202)] and runs[-1][1] == len(texts)
