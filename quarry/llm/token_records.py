@@ -31,7 +31,9 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
 from math import ceil
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,10 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Cuts a text only where the byte-level pre-tokenizer must cut too: before white space that follows
 #: a non-space, after a lone line break before a letter, and between a letter and plain punctuation.
 _PIECE = re.compile(rf"\n(?=[{_LETTER}])| ?[{_LETTER}]+(?=[ \t\n\r.,!?;:#$%&*|()]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: A piece that the pre-tokenizer leaves whole, and the characters by which it names the bytes: printable ones themselves, the others in turn from 256 on.
+_WORD = re.compile(rf" ?[{_LETTER}]+")
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: White space that is not among the four above: such texts are encoded in one go. The bytes that
 #: can begin one are looked for first.
 _RARE_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85\u200b\ufeff]")
@@ -86,18 +92,25 @@ class Encoder:
         )
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # ``known`` takes its place
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # ``known`` takes its place
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        """A few thousand at a time: what the library returns for a piece takes many times the piece."""
-        out = {}
-        for k in range(0, len(fresh), LEARNED):
-            own = fresh[k : k + LEARNED]
+        """Plain words by the library's model alone, as nothing else of it changes them; others a few thousand at a time: what the library returns for a piece takes many times the piece."""
+        out, others = {}, []
+        for piece in fresh:
+            if _WORD.fullmatch(piece):
+                named = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+                out[piece] = array(self.code, [t.id for t in self.model.tokenize(named)]).tobytes()
+            else:
+                others.append(piece)
+        for k in range(0, len(others), LEARNED):
+            own = others[k : k + LEARNED]
             coded = self.tokenizer.encode_batch_fast(own, add_special_tokens=False)
             out.update((piece, array(self.code, got.ids).tobytes()) for piece, got in zip(own, coded, strict=True))
         return out
@@ -110,13 +123,13 @@ class Encoder:
             rare = any(b in data for b in _RARE_BYTES) and _RARE_SPACE.search(t)
             cut.append(None if rare or not self.cuts or any(s in t for s in self.special) else _PIECE.findall(t))
         found = [None if pieces is None else list(map(known.get, pieces)) for pieces in cut]
-        lacking = [k for k, got in enumerate(found) if got is not None and None in got]
-        fresh: set[str] = set()
-        for k in lacking:
-            fresh.update([p for p, got in zip(cut[k], found[k]) if got is None])
-        learned = self._learn(list(fresh)) if fresh else {}
-        for k in lacking:
-            found[k] = [learned[p] if got is None else got for p, got in zip(cut[k], found[k])]
+        # The places of pieces that are not known, of the texts that have any.
+        lacking = {k: list(compress(range(len(got)), map(is_, got, repeat(None)))) for k, got in enumerate(found) if got is not None and None in got}
+        fresh = {cut[k][i] for k, places in lacking.items() for i in places}
+        learned = self._learn(list(fresh))
+        for k, places in lacking.items():
+            for i in places:
+                found[k][i] = learned[cut[k][i]]
         if len(known) + len(learned) <= REMEMBERED:
             known.update(learned)
         elif 2 * len(fresh) > sum(len(pieces) for pieces in cut if pieces):
