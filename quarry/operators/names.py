@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.shared import written
+
 TOKEN = r"[A-Za-z0-9_]+"
 TOKEN_JS = r"[A-Za-z0-9_$]+"
 
 
+def _tokens(text: Column, token: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({token})"), 1)
+
+
+def counted(tokens: Column) -> Column:
+    """The distinct tokens of an array, and how often each is in it, as structs (token, n) in token order: sorted, each run of equal ones is one. Null for none."""
+
+    def runs(own: Column) -> Column:
+        starts = F.filter(F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own))), lambda i: (i == 1) | (F.get(own, i - 1) != F.get(own, i - 2)))
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: F.struct(F.get(own, at - 1).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(own) + 1) - at).cast("long").alias("n"))))[0]
+
+    # As a lambda's variable the sorted array is made once, whatever the optimizer folds together.
+    return F.transform(F.array(F.sort_array(tokens)), runs)[0]
+
+
 def index(files: DataFrame, token: str = TOKEN, least: int = 1) -> DataFrame:
     """project, file, token, n: how often each token occurs in each file."""
-    each = files.select("project", "file", F.explode(F.regexp_extract_all("content", F.lit(f"({token})"), 1)).alias("token"))
-    return each.filter(F.length("token") >= least).groupBy("project", "file", "token").agg(F.count(F.lit(1)).alias("n"))
+    # A file's rows meet as texts and are counted in one row, so that its tokens are not shuffled.
+    texts = files.filter("content IS NOT NULL").groupBy("project", "file").agg(F.collect_list("content").alias("texts"))
+    tokens = F.flatten(F.transform("texts", lambda text: _tokens(text, token)))
+    each = texts.select("project", "file", F.explode(counted(tokens)).alias("_t"))
+    return each.select("project", "file", "_t.token", "_t.n").filter(F.length("token") >= least)
 
 
 def lookup(files: DataFrame, wanted: DataFrame, token: str = TOKEN) -> DataFrame:
@@ -31,6 +51,34 @@ def named_elsewhere(names: DataFrame, tokens: DataFrame) -> DataFrame:
     return found.filter((F.col("_low") != F.col("file")) | (F.col("_high") != F.col("file"))).drop("_low", "_high")
 
 
+def _rest(rows: DataFrame, own: Column, alone: DataFrame) -> DataFrame:
+    sizes = rows.select("project", "file", F.coalesce(F.size(own), F.lit(0)).cast("long").alias("_all")).join(alone, ["project", "file"], "left")
+    return sizes.select("project", "file", (F.col("_all") - F.coalesce("_alone", F.lit(0))).alias("names")).filter("names > 0")
+
+
+def counts_elsewhere(files: DataFrame, token: str = TOKEN) -> DataFrame:
+    """project, file, names: how many of a file's distinct tokens occur in another file of the project, where any does.
+
+    These are all of the file's but those that it alone has, and for either number no pair of file and
+    token is moved: a token's first and last file are found in part before the shuffle, and the file's
+    own number in its row. Files given in several rows, and rows without a file (one group, and no
+    other file to anyone), have their pairs joined instead.
+    """
+    rows, own = files.filter("content IS NOT NULL"), F.array_distinct(_tokens(F.col("content"), token))
+    each = rows.select("project", "file", F.explode(own).alias("name"))
+    spans = each.groupBy("name", "project").agg(F.min("file").alias("_low"), F.max("file").alias("_high"))
+    alone = spans.filter("_low = _high").groupBy("project", F.col("_low").alias("file")).agg(F.count(F.lit(1)).alias("_alone"))
+    several = files.groupBy("project", "file").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1 OR file IS NULL")
+    # Written, so that the planner knows how few they are and moves no text to meet them.
+    several = written(several.select(F.col("project").alias("_p"), F.col("file").alias("_f")), "several-rows")
+    if several.isEmpty():
+        return _rest(rows, own, alone)
+    theirs = F.col("project").eqNullSafe(F.col("_p")) & F.col("file").eqNullSafe(F.col("_f"))
+    plain = _rest(rows.join(several, theirs, "left_anti"), own, alone)
+    pairs = each.join(several, theirs, "left_semi").distinct().join(spans.filter("_low <> _high"), ["project", "name"], "left_semi")
+    return plain.unionByName(pairs.groupBy("project", "file").agg(F.count(F.lit(1)).alias("names")))
+
+
 def unreferenced(functions: DataFrame, tokens: DataFrame, allowed: int = 1) -> DataFrame:
     """Functions (project, file, name, ...) whose name occurs at most ``allowed`` times in the project."""
     total = tokens.groupBy("project", F.col("token").alias("name")).agg(F.sum("n").alias("occurrences"))
