@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.names import TOKEN
+from quarry.operators.names import TOKEN, counted
 from quarry.shared import written
 
 BUCKETS = 64
@@ -43,12 +43,18 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _postings(rows: DataFrame, token: str) -> DataFrame:
-    """Blocks of ``rows`` (project, number, content)."""
-    each = rows.select("project", "number", F.explode(F.regexp_extract_all("content", F.lit(f"({token})"), 1)).alias("token"))
-    counted = each.groupBy("project", "token", "number").agg(F.count(F.lit(1)).alias("n"))
+    """Blocks of ``rows`` (project, number, content), one row for each number.
+
+    A file's tokens are counted in its row. Neighbouring numbers are read by one task, so a run's
+    blocks are mostly made before the shuffle; until then an offset and its count, which is below
+    2^31 as a text's length is, are one long. Token comes first, as rows are sorted by it.
+    """
+    each = rows.select("project", "number", F.explode(counted(F.regexp_extract_all("content", F.lit(f"({token})"), 1))).alias("t"))
+    packed = F.shiftleft(F.col("number") % RUN, 32).bitwiseOR(F.col("t.n"))
     run = F.floor(F.col("number") / RUN)
-    blocks = counted.groupBy("project", "token", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct((F.col("number") % RUN).cast("int").alias("o"), "n"))).alias("p"))
-    return blocks.select("project", "token", "run", F.col("p.o").alias("offsets"), F.col("p.n").alias("counts"), _bucket(F.col("project"), F.col("token")).alias("bucket"))
+    blocks = each.groupBy(F.col("t.token").alias("token"), "project", run.alias("run")).agg(F.sort_array(F.collect_list(packed)).alias("p"))
+    offsets, counts = F.transform("p", lambda x: F.shiftright(x, 32).cast("int")), F.transform("p", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)))
+    return blocks.select("project", "token", "run", offsets.alias("offsets"), counts.alias("counts"), _bucket(F.col("project"), F.col("token")).alias("bucket"))
 
 
 def update(files: DataFrame, path: str, removed: DataFrame | None = None, token: str = TOKEN) -> int:
@@ -59,22 +65,20 @@ def update(files: DataFrame, path: str, removed: DataFrame | None = None, token:
     spark = files.sparkSession
     known = current(spark, path)
     given = files.groupBy("project", "file").agg(F.max("content").alias("content")).withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256))
-    fresh = written(given.join(known.select("project", "file", "hash"), ["project", "file", "hash"], "left_anti").select("project", "file", "hash", "content"), "index-fresh")
+    fresh = given.join(known.select("project", "file", "hash"), ["project", "file", "hash"], "left_anti").select("project", "file", "hash", "content")
+    # The task and place that wrote a row are written with it, so its number is the same whenever it is read.
+    fresh = written(fresh.withColumn("_at", F.monotonically_increasing_id()), "index-fresh")
     version = (_table(spark, f"{path}/versions", VERSIONS).agg(F.max("version")).first()[0] or 0) + 1
-    # Numbers are dense within an update's tasks and rise from update to update; the rows are written before they are numbered, so they keep them.
+    # Numbers are dense within an update's tasks and rise from update to update.
     top = _table(spark, f"{path}/versions", VERSIONS).agg(F.max("number")).first()[0]
     start = 0 if top is None else (top // RUN + 1) * RUN
-    sizes = {r["p"]: r["n"] for r in fresh.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["p"]: r["n"] for r in fresh.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, at = {}, start
     for p in sorted(sizes):
         before[p] = at
         at += sizes[p]
-    if not before:
-        numbered = fresh.withColumn("number", F.lit(0).cast("long"))
-    else:
-        place = F.create_map(*(F.lit(v) for p, n in before.items() for v in (p, n)))[F.spark_partition_id()]
-        numbered = fresh.withColumn("number", (place + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
-    numbered = written(numbered, "index-numbered")
+    place = F.create_map(*(F.lit(v) for p, n in before.items() for v in (p, n)))[F.shiftright("_at", 33)] if before else F.lit(0)
+    numbered = fresh.withColumn("number", (place + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
     _postings(numbered, token).repartition("bucket").sortWithinPartitions("bucket", "token", "run").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     told = numbered.select("project", "file", "number", F.lit(version).cast("long").alias("version"), "hash")
     if removed is not None:

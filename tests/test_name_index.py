@@ -50,3 +50,11 @@ def test_a_lookup_opens_the_wanted_tokens_folders_alone(spark, tmp_path):
     assert re.search(rf"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = {bucket}\)\]", plan) and [r.n for r in found.collect()] == [1]
     there = spark.read.parquet(f"{path}/postings").groupBy("bucket").count()
     assert there.count() > 50 and rows_of(name_index.lookup(spark, path, wanted)) == [("p", "name17", 1, 1)]
+
+
+def test_blocks_are_made_without_a_shuffle_of_pairs(spark):
+    files = spark.createDataFrame([("p", 0, "a b a"), ("p", 1, "a"), ("q", 2, "a"), ("p", 3, None), ("p", 4, "- -"), ("p", name_index.RUN + 1, "b")], "project string, number long, content string")
+    blocks = name_index._postings(files, names.TOKEN)
+    got = {(r.project, r.token, r.run): (r.offsets, r.counts) for r in blocks.collect()}
+    assert got == {("p", "a", 0): ([0, 1], [2, 1]), ("p", "b", 0): ([0], [1]), ("q", "a", 0): ([2], [1]), ("p", "b", 1): ([1], [1])}
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
