@@ -13,14 +13,22 @@ taken; removing a file that is not there changes nothing; a missing index is an
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.names import TOKEN, counted
+from quarry.operators.names import TOKEN
 from quarry.shared import written
+from quarry.shipping import ship
 
 BUCKETS = 64
 RUN = 1 << 14
+#: Tokens whose blocks a task makes at a time; one file is the least.
+TOKENS = 1 << 21
 VERSIONS = "project string, file string, number long, version long, hash string"
 POSTINGS = "project string, token string, run long, offsets array<int>, counts array<long>, bucket int"
 
@@ -42,17 +50,48 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, f"{path}/versions", VERSIONS).groupBy("project", "file").agg(last).select("project", "file", "v.*").filter("hash IS NOT NULL")
 
 
+def _own_blocks(run_files: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the rows (project, number, tokens) that a task has at a time, in Arrow and numpy.
+
+    Token, group of project and run, and row are one number for each token, and these are sorted and
+    counted. An offset and its count, which is below 2^31 as a text's length is, are one number too.
+    """
+
+    def blocks_of(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists, rows = part.column(2), part.num_rows
+        tokens, projects = lists.flatten().dictionary_encode(), part.column(0).dictionary_encode(null_encoding="encode")
+        runs, places = np.divmod(part.column(1).to_numpy(), run_files)
+        groups, group = np.unique(np.stack([projects.indices.to_numpy(), runs]), axis=1, return_inverse=True)
+        row = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        keys, n = np.unique((tokens.indices.to_numpy().astype("i8") * groups.shape[1] + group.ravel()[row]) * rows + row, return_counts=True)
+        block, row = np.divmod(keys, rows)
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        token, own = np.divmod(block[starts], groups.shape[1])
+        packed = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype("i4")), pa.array((places[row] << 32) | n))
+        return pa.RecordBatch.from_arrays([projects.dictionary.take(pa.array(groups[0][own])), tokens.dictionary.take(pa.array(token)), pa.array(groups[1][own]), packed], ["project", "token", "run", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(), dtype="i8")
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOKENS, side="right")))
+                yield blocks_of(batch.slice(start, stop - start))
+                start = stop
+
+    return run
+
+
 def _postings(rows: DataFrame, token: str) -> DataFrame:
     """Blocks of ``rows`` (project, number, content), one row for each number.
 
-    A file's tokens are counted in its row. Neighbouring numbers are read by one task, so a run's
-    blocks are mostly made before the shuffle; until then an offset and its count, which is below
-    2^31 as a text's length is, are one long. Token comes first, as rows are sorted by it.
+    Neighbouring numbers are read by one task, so a run's blocks are mostly made there, and no pair of
+    file and token is shuffled. Token comes first, as rows are sorted by it.
     """
-    each = rows.select("project", "number", F.explode(counted(F.regexp_extract_all("content", F.lit(f"({token})"), 1))).alias("t"))
-    packed = F.shiftleft(F.col("number") % RUN, 32).bitwiseOR(F.col("t.n"))
-    run = F.floor(F.col("number") / RUN)
-    blocks = each.groupBy(F.col("t.token").alias("token"), "project", run.alias("run")).agg(F.sort_array(F.collect_list(packed)).alias("p"))
+    ship(rows.sparkSession)
+    tokens = rows.select("project", "number", F.regexp_extract_all("content", F.lit(f"({token})"), 1).alias("tokens"))
+    own = tokens.mapInArrow(_own_blocks(RUN), "project string, token string, run long, p array<long>")
+    blocks = own.groupBy("token", "project", "run").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p"))
     offsets, counts = F.transform("p", lambda x: F.shiftright(x, 32).cast("int")), F.transform("p", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)))
     return blocks.select("project", "token", "run", offsets.alias("offsets"), counts.alias("counts"), _bucket(F.col("project"), F.col("token")).alias("bucket"))
 

@@ -58,3 +58,21 @@ def test_blocks_are_made_without_a_shuffle_of_pairs(spark):
     got = {(r.project, r.token, r.run): (r.offsets, r.counts) for r in blocks.collect()}
     assert got == {("p", "a", 0): ([0, 1], [2, 1]), ("p", "b", 0): ([0], [1]), ("q", "a", 0): ([2], [1]), ("p", "b", 1): ([1], [1])}
     assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_a_tasks_blocks_equal_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(name_index, "TOKENS", 25)
+    rng = random.Random(5)
+    rows = [(rng.choice(["p", "q", None]), k, rng.choice([None, []]) if rng.random() < 0.2 else [rng.choice(["a", "b", "é", "zz"]) for _ in range(rng.choice([1, 7, 60]))]) for k in range(3, 60)]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["project", "number", "tokens"])
+    want = {(p, t, k): ts.count(t) for p, k, ts in rows[5:] for t in set(ts or [])}
+    got, made = {}, list(name_index._own_blocks(8)(iter([whole.slice(5), whole.slice(0, 0)])))
+    for block in (r for b in made for r in b.to_pylist()):
+        assert block["p"] == sorted(block["p"])
+        for x in block["p"]:
+            key = (block["project"], block["token"], block["run"] * 8 + (x >> 32))
+            assert key not in got
+            got[key] = x & ((1 << 32) - 1)
+    assert got == want and len(made) > 5
