@@ -15,24 +15,10 @@ def _tokens(text: Column, token: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({token})"), 1)
 
 
-def counted(tokens: Column) -> Column:
-    """The distinct tokens of an array, and how often each is in it, as structs (token, n) in token order: sorted, each run of equal ones is one. Null for none."""
-
-    def runs(own: Column) -> Column:
-        starts = F.filter(F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own))), lambda i: (i == 1) | (F.get(own, i - 1) != F.get(own, i - 2)))
-        return F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: F.struct(F.get(own, at - 1).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(own) + 1) - at).cast("long").alias("n"))))[0]
-
-    # As a lambda's variable the sorted array is made once, whatever the optimizer folds together.
-    return F.transform(F.array(F.sort_array(tokens)), runs)[0]
-
-
 def index(files: DataFrame, token: str = TOKEN, least: int = 1) -> DataFrame:
     """project, file, token, n: how often each token occurs in each file."""
-    # A file's rows meet as texts and are counted in one row, so that its tokens are not shuffled.
-    texts = files.filter("content IS NOT NULL").groupBy("project", "file").agg(F.collect_list("content").alias("texts"))
-    tokens = F.flatten(F.transform("texts", lambda text: _tokens(text, token)))
-    each = texts.select("project", "file", F.explode(counted(tokens)).alias("_t"))
-    return each.select("project", "file", "_t.token", "_t.n").filter(F.length("token") >= least)
+    each = files.select("project", "file", F.explode(_tokens(F.col("content"), token)).alias("token"))
+    return each.filter(F.length("token") >= least).groupBy("project", "file", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lookup(files: DataFrame, wanted: DataFrame, token: str = TOKEN) -> DataFrame:
