@@ -133,6 +133,62 @@ def test_near_pairs_move_texts_by_neighbourhood(spark):
     assert moved < 5 * sum(map(len, texts))
 
 
+def _near_groups(groups, copies, words, changed, seed):
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.getrandbits(60):x}"
+    texts = []
+    for _ in range(groups):
+        own = [word() for _ in range(words)]
+        texts += [" ".join(w if rng.random() > changed else word() for w in own) for _ in range(copies)]
+    return list(enumerate(texts))
+
+
+def _near_by_hand(texts, least):
+    sets, want = [set(t.split()) for _, t in texts], {}
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            common, lengths = len(sets[a] & sets[b]), sorted((len(texts[a][1]), len(texts[b][1])))
+            s = round(0.7 * common / (len(sets[a]) + len(sets[b]) - common) + 0.3 * lengths[0] / lengths[1], 6)
+            if s >= least:
+                want[a, b] = s
+    return want
+
+
+def test_near_pairs_in_rounds_are_those_of_one_round(spark, monkeypatch):
+    texts = _near_groups(6, 30, 60, 0.07, 7)
+    rows = spark.createDataFrame([(i, "x", t) for i, t in texts], "id long, scope string, code string")
+    monkeypatch.setattr(duplicates, "LEAST_MEETINGS", 2000)
+    monkeypatch.setattr(duplicates, "MEETINGS_A_ROW", 1)
+    monkeypatch.setattr(duplicates, "TOKENS", 1)
+    rounds, counted = [], duplicates._rounds
+    monkeypatch.setattr(duplicates, "_rounds", lambda *a: rounds.append(counted(*a)) or rounds[-1])
+    got = {(r.id_a, r.id_b): r.similarity for r in duplicates.near_pairs(rows, 0.85).collect()}
+    want = _near_by_hand(texts, 0.85)
+    assert rounds[0] > 1 and len(want) > 1000 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
+
+
+def test_near_rows_meet_once_for_each_run_of_tokens(spark):
+    texts = _near_groups(1, 60, 400, 0.01, 8)
+    sets = duplicates._prefixes(spark.createDataFrame([(i, "x", t) for i, t in texts], "id long, scope string, code string"), 0.85).cache()
+    each = duplicates._postings(sets)
+    met = duplicates._met(each, each, 0.85)
+    assert met.distinct().count() == 60 * 59 // 2 and met.count() < 6 * 60 * 59 // 2
+    sets.unpersist()
+
+
+def test_near_texts_move_once_for_their_group(spark):
+    """Each is near to a tenth of its group, so that smallest neighbours differ."""
+    import random
+
+    rng = random.Random(9)
+    pairs = [(a, b) for a in range(300) for b in range(a + 1, 300) if rng.random() < 0.1]
+    cells = duplicates._cells(spark.createDataFrame(pairs, "id_a long, id_b long"))
+    assert sorted((r.id_a, r.id_b) for r in cells.collect()) == pairs
+    assert cells.select("cell", F.explode(F.array("id_a", "id_b")).alias("id")).distinct().count() < 320
+
+
 def test_riskiest_vulnerabilities_order_brands_before_keys(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
