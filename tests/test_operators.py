@@ -189,6 +189,16 @@ def test_near_texts_move_once_for_their_group(spark):
     assert cells.select("cell", F.explode(F.array("id_a", "id_b")).alias("id")).distinct().count() < 320
 
 
+def test_a_cell_compares_only_within_scopes():
+    import pyarrow as pa
+
+    texts = pa.table({"of": [1] * 4, "id": [1, 2, 3, 4], "scope": ["x", "y", None, None], "length": [5, 5, 5, 8], "words": ["ab cd", "ab cd", "ab cd", "ab cd ef"]})
+    pairs = [(1, 2), (3, 4), (1, 3)]
+    cell = lambda found: duplicates._compared(pa.table({"cell": [1] * len(found), "id_a": [a for a, _ in found], "id_b": [b for _, b in found]}), texts)
+    assert [tuple(r.values()) for r in cell(pairs).to_pylist()] == [(3, 4, 2, 2, 3, 5, 8)]
+    assert cell(pairs[:1]).num_rows == 0
+
+
 def test_riskiest_vulnerabilities_order_brands_before_keys(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
