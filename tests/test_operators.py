@@ -169,6 +169,15 @@ def test_near_pairs_in_rounds_are_those_of_one_round(spark, monkeypatch):
     assert rounds[0] > 1 and len(want) > 1000 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
 
 
+def test_near_members_count_links_of_all_rounds(spark, monkeypatch):
+    texts = _near_groups(2, 20, 200, 0.03, 11)
+    rows = spark.createDataFrame([(i, "x", t) for i, t in texts] + [(99, "x", texts[0][1])], "id long, scope string, code string")
+    monkeypatch.setattr(duplicates, "_rounds", lambda *a: 2)
+    got = {r.id: (r.representative, r.copies, r.links) for r in duplicates.near_members(rows, 0.85).collect()}
+    links = [i for pair in _near_by_hand(texts, 0.85) for i in pair]
+    assert len(links) > 400 and got == {i: (i % 99, 2 if i % 99 == 0 else 1, links.count(i % 99)) for i in [*range(40), 99]}
+
+
 def test_near_rows_meet_once_for_each_run_of_tokens(spark):
     texts = _near_groups(1, 60, 400, 0.01, 8)
     sets = duplicates._prefixes(spark.createDataFrame([(i, "x", t) for i, t in texts], "id long, scope string, code string"), 0.85).cache()
